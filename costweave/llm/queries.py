@@ -7,13 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costweave.llm import mixing, packing, simhash
+from costweave.llm import chat, mixing, packing, simhash, tiff
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_reply_trees(chat.turn_chain(conversations)))
+
+
+def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = tiff.store_texts(table(spark, sf_dir, "documents"), width=64, compression=tiff.DEFLATE, predictor=2)
+    pages = tiff.tiff_pages(media)
+    return pages.select(
+        "doc_id",
+        F.regexp_extract("description", "n_bytes=([0-9]+)", 1).cast("long").alias("n_bytes"),
+        F.length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"),
+        "media_bytes", "media_sha256", "feature", "error",
+    )
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), max_bits=2, shingle=3)
 
