@@ -7,13 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costweave.llm import chat, mixing, packing, simhash, tiff
+from costweave.llm import chat, imatch, mixing, packing, simhash, tiff, toxicity
+from costweave.llm.common import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Texts of the training folds with a label."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").where(fold(F.col("doc_id")) != 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", label).where(F.col(label).isNotNull())
+    return documents.join(labels, "doc_id")
+
+
+def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.train(labelled(spark, sf_dir, "toxic"))
+    scored = toxicity.score(table(spark, sf_dir, "documents"), model)
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_with_edits(table(spark, sf_dir, "documents"), min_share=0.0002, max_share=0.05)
+
+
 def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
