@@ -76,3 +76,28 @@ def arrow_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable],
                 )
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def with_columns_from(df: DataFrame, columns: list[str], make: Callable[[], Callable], added: str) -> DataFrame:
+    """All columns of ``df`` and those of the schema ``added``, computed batch by batch from ``columns``.
+
+    ``make()`` is called once a task; what it gives maps lists of the columns' values to a dict
+    of the added ones. Added names must not be among those of ``df``.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    extra = _parse_datatype_string(added)
+    arrow_extra = to_arrow_schema(extra)
+    places = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        handle = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                out = handle(*(part.column(i).to_pylist() for i in places))
+                arrays = [*part.columns, *(pa.array(out[f.name], f.type) for f in arrow_extra)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, *arrow_extra.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *extra.fields]))

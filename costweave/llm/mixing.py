@@ -173,12 +173,10 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text order. Helper columns get names that ``df`` does not have.
     """
     plan = mix(df, id_col, text_col, source_col, **options)
-    alike = Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies"))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies", F.row_number().over(alike).alias("__nth"))
-    own = df.withColumn("__n", word_count(F.col(text_col)))
-    own = own.withColumn("__nth_own", F.row_number().over(Window.partitionBy(id_col, source_col, "__n").orderBy(text_col)))
-    joined = own.join(
-        plan.withColumnRenamed("copies", "__copies").where("__copies > 0"),
-        own[id_col].eqNullSafe(F.col("__id")) & own[source_col].eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")) & (F.col("__nth_own") == F.col("__nth")),
-    )
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*df.columns)
+    key = F.to_json(F.struct("doc_id", "source", "size"))  # one string, so that nulls meet and texts are shuffled once
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.desc("copies")))
+    plan = plan.select(key.alias("__key"), "copies").withColumn("__nth", nth).where("copies > 0").select("__key", "__nth", F.col("copies").alias("__copies"))
+    own_key = F.to_json(F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    own = df.withColumn("__key", own_key).withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(text_col)))
+    copies = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
+    return own.join(plan, ["__key", "__nth"]).withColumn("__copy", copies).select(*df.columns)
