@@ -52,8 +52,8 @@ def branches(messages: DataFrame, n_branches: int = 1, max_rounds: int = 40) ->
     ``conv_id, leaf_id, branch, branch_score, msg_id, depth``: the messages of each chosen
     path, depth 0 at the root. A path scores the sum of its messages' scores (null: 0);
     branches rank by score, ties by the smaller leaf id. Self-joins double the span of the
-    ancestor links a round, so rounds grow with the logarithm of the depth, and every row
-    stays one message. A message whose parent is missing is a root. Raises on a cycle, or when
+    ancestor links a round, so rounds grow with the logarithm of the depth, every row stays one
+    message, and only messages whose link has not reached the root are joined. A message whose parent is missing is a root. Raises on a cycle, or when
     (conv_id, msg_id) repeats. An empty table gives no rows.
     """
     own = messages.select("conv_id", "msg_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
@@ -71,13 +71,15 @@ def branches(messages: DataFrame, n_branches: int = 1, max_rounds: int = 40) ->
         if len(levels) > max_rounds:
             raise ValueError("the reply links have a cycle")
         above = links.select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("span").alias("span2"), F.col("score").alias("score2"))
-        links = staged(
-            links.join(above, ["conv_id", "up"], "left").select(
+        moved = (
+            links.where(F.col("up").isNotNull())
+            .join(above, ["conv_id", "up"], "left")
+            .select(
                 "conv_id", "msg_id", F.col("up2").alias("up"),
                 (F.col("span") + F.coalesce("span2", F.lit(0))).alias("span"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
-            ),
-            "links",
+            )
         )
+        links = staged(links.where(F.col("up").isNull()).unionByName(moved), "links")
         levels.append(links)
     # All links now reach the root: span is the length of the path, score its sum.
     parents = levels[0].where(F.col("up").isNotNull()).select("conv_id", F.col("up").alias("msg_id")).distinct()
