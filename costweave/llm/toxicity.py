@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from costweave.llm.common import arrow_rows, fold, hash_sample, staged
 
 _WORD = re.compile(r"[^\W_]+")
-#: Units of a word: itself, then its first 6 and first 4 characters as back-off.
-_PREFIXES = (6, 4)
+#: Units of a word: itself and its first 7 to 3 characters; the longest one that the model has scores it.
+_PREFIXES = (7, 6, 5, 4, 3)
 
 
 def _units(word: str):
@@ -97,26 +97,26 @@ def _features(best: float, count: int, rest: float) -> tuple[float, float, float
     return 1.0, max(-10.0, min(40.0, best)) / 10, math.log1p(count), math.log1p(max(0.0, rest)) / 3
 
 
-def log_odds(labelled: DataFrame, prior_mass: float = 1000.0, least: float = 0.05, min_z: float = 3.0, min_count: int = 10, max_units: int = 200_000) -> dict[str, float]:
+def log_odds(labelled: DataFrame, prior_mass: float = 10.0, least: float = 0.5, min_z: float = 3.0, min_count: int = 5, max_units: int = 200_000) -> dict[str, float]:
     """Log-odds of units between toxic and other texts under Dirichlet priors.
 
-    ``labelled`` has ``text`` and ``toxic`` (0 or 1); every row counts. The prior of a unit is
-    ``prior_mass`` times its share of both classes plus ``least``. Units count where their
-    log-odds are ``min_z`` standard deviations from 0; the ``max_units`` surest ones come to the driver.
+    ``labelled`` has ``text`` and ``toxic`` (0 or 1); every row counts, a unit once a text, so that one
+    text that repeats a word proves nothing. The prior of a unit is ``prior_mass`` times its
+    share of both classes plus ``least``. Units count where their log-odds are ``min_z`` standard
+    deviations from 0; the ``max_units`` surest ones come to the driver.
     """
 
     def make():
         def handle(texts, toxic):
             by_class = (Counter(), Counter())
             for text, label in zip(texts, toxic, strict=True):
-                by_class[label].update(_WORD.findall((text or "").lower()))
-            sums: dict[str, list[int]] = {}
-            for label, counts in enumerate(by_class):
-                for word, n in counts.items():
+                units: set[str] = set()
+                for word in set(_WORD.findall((text or "").lower())):
                     if len(word) <= 40:
-                        for unit in _units(word):
-                            sums.setdefault(unit, [0, 0])[label] += n
-            return {"unit": list(sums), "n0": [v[0] for v in sums.values()], "n1": [v[1] for v in sums.values()]}
+                        units.update(_units(word))
+                by_class[label].update(units)
+            every = list(dict.fromkeys([*by_class[0], *by_class[1]]))
+            return {"unit": every, "n0": [by_class[0][u] for u in every], "n1": [by_class[1][u] for u in every]}
 
         return handle
 
