@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costweave.functions import columns as C
 
-_LINE = F.struct("source_file", "source_row_number")
+
+
+def _line() -> Column:
+    """Source order of lines."""
+    return F.struct("source_file", "source_row_number")
 
 
 def same_day(rows: DataFrame, mode: str = "quantity_weighted_mean", day: str = "po_date", price: str = "price", qty: str = "qty", value: str = "realized_spend") -> DataFrame:
@@ -27,7 +31,7 @@ def same_day(rows: DataFrame, mode: str = "quantity_weighted_mean", day: str = "
         F.count(F.lit(1)).alias("line_count"),
         F.min(p).alias("price_min"), F.max(p).alias("price_max"), F.avg(p).alias("price_mean"), F.stddev_samp(p).alias("price_std"), F.median(p).alias("price_median"),
         F.bool_or("is_open_order").alias("is_open_order_any"),
-        *(F.min_by(c, F.when(F.col(c).isNotNull(), _LINE)).alias(c) for c in ("approved_category", "match_tier", "description_1", "description_2")),
+        *(F.min_by(c, F.when(F.col(c).isNotNull(), _line())).alias(c) for c in ("approved_category", "match_tier", "description_1", "description_2")),
     )
     chosen = F.col("price_median") if mode == "median" else F.when(F.col("_q") > 0, F.col("_pq") / F.col("_q")).otherwise(F.col("price_median"))
     cv = F.when((F.col("price_mean") > 0) & F.col("price_std").isNotNull(), F.col("price_std") / F.col("price_mean")).otherwise(0.0)
@@ -82,7 +86,7 @@ def part_windows(scoped: DataFrame, windows: DataFrame, by: list[str] | None = N
         F.min("po_date").alias("first_date"), F.max("po_date").alias("last_date"), F.min("price").alias("price_min"), F.max("price").alias("price_max"),
         F.stddev_pop("price").alias("price_dispersion"),
         F.mode("hist_category", True).alias("hist_category"), F.mode("description_1", True).alias("description_1"),
-        F.min_by("description_norm", _LINE).alias("description_norm"),
+        F.min_by("description_norm", _line()).alias("description_norm"),
     )
 
 
