@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costweave.functions import columns as C
-from costweave.operators import basket, classify, committed, forecast, indices, matching, pairs, panel, quality
+from costweave.operators import basket, classify, committed, forecast, indices, matching, pairs, panel, quality, regression
 from costweave.operators.clean import clean_lines, flag_duplicates
 from costweave.plans import sql as S
 from costweave.sources.star_schema import po_lines
@@ -308,6 +308,31 @@ _register("extreme_anti", lambda s, d: _daily(s, d).join(_pairs(s, d).where("ext
           sql="SELECT part_key, po_date, round(price, 6) AS price FROM daily WHERE part_key NOT IN (SELECT part_key FROM flagged WHERE extreme_flag)")
 
 
+def _model(spark, d):
+    weighted = pairs.pair_weights(_pairs(spark, d))
+    return weighted, regression.fit_repeat_sales(weighted)
+
+
+def _index(spark, d):
+    return regression.monthly_index(_model(spark, d)[1].rates(spark), basket.fiscal_weights(_classified(spark, d), BASE), BASE)
+
+
+def _forecast(spark, d, part):
+    weighted, model = _model(spark, d)
+    n = quality.pair_coverage(weighted).select("category", "pairs")
+    signal = committed.committed_signal(_committed(spark, d))
+    return forecast.annual_forecast(model.rates(spark), basket.fiscal_weights(_classified(spark, d), BASE), n, BASE, signal)[part]
+
+
+_register("monthly_rates", lambda s, d: _model(s, d)[1].rates(s), "series month rate:6")
+_register("monthly_index", _index, "series month rate:6 index_level:4 status")
+_register("fy_ttm_rates", lambda s, d: regression.fiscal_and_trailing_rates(_index(s, d), BASE), "series period period_type end_date inflation_rate:5")
+_register("bucket_forecast", lambda s, d: _forecast(s, d, 0), "direct_category forecast_year method committed_weight:6 annual_rate:5 cumulative_multiplier:5 at_guardrail")
+_register("composite_forecast", lambda s, d: _forecast(s, d, 1), "forecast_year annual_rate:5 cumulative_multiplier:5")
+_register("part_residuals", lambda s, d: regression.part_residuals(regression.predict_pairs(*_model(s, d))), "part_key category n_pairs span_days residual_rate:5 shrinkage:6 shrunk_residual:6 quality:6 source")
+_register("huber_trim_grid", lambda s, d: regression.joint_huber(pairs.adjacent_pairs(_daily(s, d), 30)), "trim weighting n_pairs n_parts annual_rate:4 gamma:4 converged")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
