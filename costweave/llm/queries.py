@@ -19,7 +19,7 @@ def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     """Texts of the training folds with a label."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text").where(fold(F.col("doc_id")) != 0)
     labels = table(spark, sf_dir, "labels").select("doc_id", label).where(F.col(label).isNotNull())
-    return documents.join(labels, "doc_id")
+    return documents.join(labels.hint("merge"), "doc_id")  # one strategy at every size: both sides grow
 
 
 def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
