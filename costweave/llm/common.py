@@ -46,12 +46,15 @@ def fold(id_col: Column) -> Column:
 
 
 def hash_sample(df: DataFrame, id_col: str, max_rows: int) -> DataFrame:
-    """About ``max_rows`` rows chosen by a hash of the id: the same ones in every run."""
+    """About ``max_rows`` rows chosen by a hash of the id: the same ones in every run.
+
+    The share of the hash range bounds them; no limit, which would send them through one task.
+    """
     n = df.count()
     if n <= max_rows:
         return df
     cut = int(1_000_000 * max_rows / n)
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) < cut).limit(max_rows)
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) < cut)
 
 
 def arrow_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str) -> DataFrame:
