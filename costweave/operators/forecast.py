@@ -14,10 +14,11 @@ from costweave.functions import columns as C
 METHODS = ("trailing_12m_mean", "ewma", "damped_holt", "mean_reversion")
 
 
-def series_arrays(monthly: DataFrame, by: str = "series", month: str = "month", rate: str = "rate") -> DataFrame:
+def series_arrays(monthly: DataFrame, by: str | list[str] = "series", month: str = "month", rate: str = "rate") -> DataFrame:
     """One row a series with its rates in month order; a series has one rate a month, so rows stay short."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(month).alias("m"), F.col(rate).alias("r"))))
-    return monthly.groupBy(by).agg(ordered.alias("x")).select(by, F.transform("x", lambda s: s["r"]).alias("rates"), F.element_at("x", -1)["m"].alias("last_month"))
+    keys = [by] if isinstance(by, str) else by
+    return monthly.groupBy(*keys).agg(ordered.alias("x")).select(*keys, F.transform("x", lambda s: s["r"]).alias("rates"), F.element_at("x", -1)["m"].alias("last_month"))
 
 
 def _mean(a: Column) -> Column:
@@ -54,6 +55,12 @@ def method_sums(rates: Column, horizon: Column | int) -> dict[str, Column]:
     return {k: F.when(F.size(rates) == 0, 0.0).otherwise(v) for k, v in out.items()}
 
 
+def method_path(rates: Column, method: Column, months: Column) -> Column:
+    """Array of the next monthly rates by the named method, at least one."""
+    one = lambda k: F.coalesce(*(F.when(method == name, v - w) for (name, v), w in zip(method_sums(rates, k).items(), method_sums(rates, k - 1).values(), strict=True)))
+    return F.transform(F.sequence(F.lit(1), F.greatest(months, F.lit(1))), one)
+
+
 def candidates(series: DataFrame, horizon: int = 12) -> DataFrame:
     """Cumulative log change of the next months by series and method."""
     sums = method_sums(F.col("rates"), horizon)
@@ -79,9 +86,11 @@ def select_method(series: DataFrame, horizons: tuple[int, ...] = (12,)) -> DataF
     return series.select("series").join(best, "series", "left").withColumn("method", F.coalesce("method", F.lit(METHODS[0])))
 
 
-def annual_forecast(history: DataFrame, weights: DataFrame, pairs_by_category: DataFrame, base: date, committed: DataFrame | None = None, forced_method: str | None = None, controls: Controls | None = None) -> tuple[DataFrame, DataFrame]:
+def annual_forecast(history: DataFrame, weights: DataFrame, pairs_by_category: DataFrame, base: date, committed: DataFrame | None = None, forced_method: str | None = None, controls: Controls | None = None, run: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Bucket and composite forecasts of three years.
 
+    With ``run`` the history and the pairs carry a run column and every run has its own forecast; the method must then be forced.
+
     ``history`` has ``series, month, rate`` of complete months with the series ``Overall``; ``weights`` has
     ``direct_category, weight``; ``pairs_by_category`` has ``category, pairs``; ``committed`` is the signal table.
     Year 1 mixes the method's sum with the committed signal by its coverage, later years revert
@@ -89,15 +98,16 @@ def annual_forecast(history: DataFrame, weights: DataFrame, pairs_by_category: D
     A category without a series of its own uses the overall one.
     """
     c = controls or Controls()
+    keys = [run] if run else []
     complete = history.where(F.last_day("month") <= C.last_complete_month_end(F.lit(base)))
-    arrays = series_arrays(complete)
-    methods = select_method(arrays).withColumnRenamed("method", "chosen")
-    sums = candidates(arrays, 12).join(methods, "series").where(F.col("method") == (F.lit(forced_method) if forced_method else F.col("chosen"))).select("series", "method", "cumulative_log")
-    long = arrays.select("series", (12 * _mean(_tail(F.col("rates"), 36))).alias("long_rate"))
-    per = sums.join(long, "series")
-    overall = per.where("series = 'Overall'").select(F.col("method").alias("o_method"), F.col("cumulative_log").alias("o_sum"), F.col("long_rate").alias("o_long"))
-    n = pairs_by_category.select(F.col("category").alias("direct_category"), "pairs")
-    b = weights.select("direct_category", "weight").join(per.withColumnRenamed("series", "direct_category"), "direct_category", "left").join(n, "direct_category", "left").join(F.broadcast(overall))
+    arrays = series_arrays(complete, [*keys, "series"])
+    chosen = arrays.withColumn("method", F.lit(forced_method)) if forced_method else arrays.join(select_method(arrays), "series")
+    year = F.coalesce(*(F.when(F.col("method") == k, v) for k, v in method_sums(F.col("rates"), 12).items()))
+    per = chosen.select(*keys, "series", "method", year.alias("cumulative_log"), (12 * _mean(_tail(F.col("rates"), 36))).alias("long_rate"))
+    overall = per.where("series = 'Overall'").select(*keys, F.col("method").alias("o_method"), F.col("cumulative_log").alias("o_sum"), F.col("long_rate").alias("o_long"))
+    n = pairs_by_category.select(*keys, F.col("category").alias("direct_category"), "pairs")
+    on = [*keys, "direct_category"]
+    b = F.broadcast(weights.select("direct_category", "weight")).join(overall).join(per.withColumnRenamed("series", "direct_category"), on, "left").join(n, on, "left")
     clip = lambda x: C.clip(x, F.lit(c.forecast_annual_log_floor), F.lit(c.forecast_annual_log_cap))
     shrink = F.coalesce("pairs", F.lit(0)) / (F.coalesce("pairs", F.lit(0)) + F.lit(float(max(c.category_min_pairs, 1))))
     b = b.withColumns(
@@ -117,12 +127,12 @@ def annual_forecast(history: DataFrame, weights: DataFrame, pairs_by_category: D
     b = b.withColumn("committed_weight", omega).withColumn("y1", clip(F.col("committed_weight") * F.coalesce(clip(F.col("signal")), F.lit(0.0)) + (1 - F.col("committed_weight")) * clip(F.col("unclipped_1"))))
     rho = c.forecast_mean_reversion_rho
     years = F.array(*(F.struct(F.lit(k).alias("forecast_year"), clip(F.col("long_run") + (rho ** (k - 1)) * (F.col("y1") - F.col("long_run"))).alias("annual_log")) for k in (1, 2, 3)))
-    bucket = b.select("direct_category", "weight", "method", "committed_weight", "long_run", "unclipped_1", F.inline(years))
-    running = F.sum("annual_log").over(Window.partitionBy("direct_category").orderBy("forecast_year").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bucket = b.select(*on, "weight", "method", "committed_weight", "long_run", "unclipped_1", F.inline(years))
+    running = F.sum("annual_log").over(Window.partitionBy(*on).orderBy("forecast_year").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     floor, cap = c.forecast_annual_log_floor, c.forecast_annual_log_cap
     bucket = bucket.withColumns({"cumulative_multiplier": F.exp(running), "annual_rate": F.expm1("annual_log"), "at_guardrail": F.col("annual_log").isin(floor, cap)})
-    composite = bucket.groupBy("forecast_year").agg((F.sum(F.col("weight") * F.col("cumulative_multiplier")) / F.sum("weight")).alias("cumulative_multiplier"))
-    before = F.coalesce(F.lag("cumulative_multiplier").over(Window.orderBy("forecast_year")), F.lit(1.0))
+    composite = bucket.groupBy(*keys, "forecast_year").agg((F.sum(F.col("weight") * F.col("cumulative_multiplier")) / F.sum("weight")).alias("cumulative_multiplier"))
+    before = F.coalesce(F.lag("cumulative_multiplier").over(Window.partitionBy(*keys).orderBy("forecast_year")), F.lit(1.0))
     return bucket, composite.withColumn("annual_rate", F.col("cumulative_multiplier") / before - 1)
 
 

@@ -29,31 +29,39 @@ def adjacent_pairs(daily: DataFrame, min_gap_days: int = 0) -> DataFrame:
     return pairs.where(F.col("delta_days") >= min_gap_days)
 
 
-def flag_extremes(pairs: DataFrame, low: float = 0.25, high: float = 4.0, max_days: int = 548, max_z: float = 8.0) -> DataFrame:
-    """Ratio and robust-z flags; the two global medians are one-row tables joined back."""
+def _beside(rows: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """Each row beside the totals of its run; totals have one row a run."""
+    return rows.join(F.broadcast(totals), by) if by else rows.join(F.broadcast(totals))
+
+
+def flag_extremes(pairs: DataFrame, low: float = 0.25, high: float = 4.0, max_days: int = 548, max_z: float = 8.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Ratio and robust-z flags; the two medians of all pairs (of each run ``by``) are small tables joined back."""
     annual = pairs.withColumn("annual", F.col("y") / F.greatest("delta_years", F.lit(1 / 365.25)))
-    middle = annual.agg(F.median("annual").alias("middle"))
-    spread = annual.join(F.broadcast(middle)).agg(F.median(F.abs(F.col("annual") - F.col("middle"))).alias("mad"), F.first("middle").alias("middle"))
+    middle = annual.groupBy(*by).agg(F.median("annual").alias("middle"))
+    spread = _beside(annual, middle, [*by]).groupBy(*by).agg(F.median(F.abs(F.col("annual") - F.col("middle"))).alias("mad"), F.first("middle").alias("middle"))
     z = 0.6745 * (F.col("annual") - F.col("middle")) / (F.col("mad") + 1e-12)
     by_ratio = (F.col("delta_days") <= max_days) & ((F.col("price_ratio") < low) | (F.col("price_ratio") > high))
-    out = annual.join(F.broadcast(spread)).withColumns({"mad_z": z, "extreme_ratio": by_ratio}).withColumn("extreme_mad", F.abs("mad_z") > max_z)
+    out = _beside(annual, spread, [*by]).withColumns({"mad_z": z, "extreme_ratio": by_ratio}).withColumn("extreme_mad", F.abs("mad_z") > max_z)
     return out.withColumn("extreme_flag", F.col("extreme_ratio") | F.col("extreme_mad")).drop("annual", "middle", "mad")
 
 
-def pair_weights(pairs: DataFrame, method: str = "capped_spend_sqrt_n", extreme_factor: float = 0.25) -> DataFrame:
-    """``pair_weight``: capped geometric spend over root of the part's pairs, mean 1, extremes damped, mean 1 again."""
+def pair_weights(pairs: DataFrame, method: str = "capped_spend_sqrt_n", extreme_factor: float = 0.25, by: tuple[str, ...] = ()) -> DataFrame:
+    """``pair_weight``: capped geometric spend over root of the part's pairs, mean 1, extremes damped, mean 1 again.
+
+    With ``by`` the cap and the means are those of each run.
+    """
     if method == "equal_part":
         raw = pairs.withColumn("w", 1 / F.greatest(F.col("n_pairs_part").cast("double"), F.lit(1.0)))
     else:
         value = lambda s: F.greatest(F.coalesce(F.col(f"spend_{s}"), F.col(f"price_{s}") * F.coalesce(F.col(f"qty_{s}"), F.lit(0.0))), F.lit(0.0))
         geometric = pairs.withColumn("g", F.sqrt(value("a") * value("b")))
-        cap = geometric.agg(F.coalesce(F.percentile(F.when(F.col("g") > 0, F.col("g")), F.lit(0.95)), F.lit(1.0)).alias("cap"))
+        cap = geometric.groupBy(*by).agg(F.coalesce(F.percentile(F.when(F.col("g") > 0, F.col("g")), F.lit(0.95)), F.lit(1.0)).alias("cap"))
         w = F.least("g", "cap") / F.sqrt(F.greatest(F.col("n_pairs_part").cast("double"), F.lit(1.0)))
-        raw = geometric.join(F.broadcast(cap)).withColumn("w", F.when(w > 0, w).otherwise(1.0)).drop("g", "cap")
+        raw = _beside(geometric, cap, [*by]).withColumn("w", F.when(w > 0, w).otherwise(1.0)).drop("g", "cap")
     damped = F.col("w") * F.when(F.col("extreme_flag"), extreme_factor).otherwise(1.0)
     # The first normalisation to mean 1 cancels in the second.
-    mean = raw.agg(F.avg(damped).alias("mean_w"))
-    return raw.join(F.broadcast(mean)).withColumn("pair_weight", damped / F.col("mean_w")).drop("w", "mean_w")
+    mean = raw.groupBy(*by).agg(F.avg(damped).alias("mean_w"))
+    return _beside(raw, mean, [*by]).withColumn("pair_weight", damped / F.col("mean_w")).drop("w", "mean_w")
 
 
 def month_exposure(pairs: DataFrame, keys: tuple[str, ...] = ("part_key", "date_a", "date_b")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -90,24 +90,30 @@ def _partial_sums(rows: DataFrame, state: dict, size: int, huber: float) -> Data
     return parts.groupBy("unit", "slot").applyInPandas(add, schema).groupBy("unit").applyInPandas(add, schema)
 
 
-def irls(rows: DataFrame, n_months: int, controls: Controls, max_rounds: int | None = None) -> dict[str, tuple[np.ndarray, float, bool, int]]:
+def _penalty(n_months: int, c: Controls) -> np.ndarray:
+    penalty = np.zeros((n_months + 1, n_months + 1))
+    if n_months >= 3:
+        d2 = np.diff(np.eye(n_months), n=2, axis=0)
+        penalty[:n_months, :n_months] += c.lambda_smooth * (d2.T @ d2)
+    penalty[np.arange(n_months), np.arange(n_months)] += c.lambda_ridge
+    penalty[-1, -1] += c.lambda_gamma
+    return penalty
+
+
+def irls(rows: DataFrame, n_months: int, controls: Controls, max_rounds: int | None = None, spans: dict[str, tuple[int, int]] | None = None, controls_of: Callable[[str], Controls] | None = None) -> dict[str, tuple[np.ndarray, float, bool, int]]:
     """Penalised Huber fits of all units at once: ``unit -> (theta, sigma, converged, rows)``.
 
     ``rows`` has ``unit, first, shares, x_q, y, w`` and should be persisted. A round makes the median
     of the residuals, the median of their distance from it, and the normal equations, each in one
     job for all units; only units by months numbers reach the driver, which solves them.
     Medians are taken to a rank error of one in 100,000, so that no task sorts a whole unit.
+    ``spans`` limits a unit to months from one place up to another, ``controls_of`` gives it penalties of its own.
     """
     size, c = n_months + 1, controls
-    penalty = np.zeros((size, size))
-    if n_months >= 3:
-        d2 = np.diff(np.eye(n_months), n=2, axis=0)
-        penalty[:n_months, :n_months] += c.lambda_smooth * (d2.T @ d2)
-    penalty[np.arange(n_months), np.arange(n_months)] += c.lambda_ridge
-    penalty[-1, -1] += c.lambda_gamma
     counts = {r.unit: r.n for r in rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).collect()}
     state = {u: (np.zeros(size), 1.0) for u in counts}
     done: dict[str, bool] = dict.fromkeys(counts, False)
+    places = {u: np.array([*range(*((0, n_months) if spans is None else spans[u])), n_months]) for u in counts}
     spark = rows.sparkSession
     for _ in range(max_rounds or (30 if c.fast_mode else 60)):
         open_ = [u for u in counts if not done[u]]
@@ -122,48 +128,112 @@ def irls(rows: DataFrame, n_months: int, controls: Controls, max_rounds: int | N
         sigmas = {x.unit: max(1e-6, x.d / 0.6745) for x in spread.collect()}
         now = {u: (state[u][0], sigmas[u]) for u in open_}
         for x in _partial_sums(rows.where(F.col("unit").isin(open_)), now, size, c.huber_delta).collect():
-            both = np.array(x.sums).reshape(size, size + 1)
-            theta = np.linalg.lstsq(both[:, :size] + penalty, both[:, size], rcond=None)[0]
+            both, at = np.array(x.sums).reshape(size, size + 1), places[x.unit]
+            penalty = _penalty(len(at) - 1, controls_of(x.unit) if controls_of else c)
+            theta = np.zeros(size)
+            theta[at] = np.linalg.lstsq(both[np.ix_(at, at)] + penalty, both[at, size], rcond=None)[0]
             old = state[x.unit][0]
             done[x.unit] = bool(np.linalg.norm(theta - old) / (1 + np.linalg.norm(old)) < 1e-6)
             state[x.unit] = (theta, sigmas[x.unit])
     return {u: (*state[u], done[u], counts[u]) for u in counts}
 
 
-def fit_repeat_sales(weighted_pairs: DataFrame, controls: Controls | None = None) -> RepeatSales:
-    """Monthly log rates from repeat purchases, overall and by category.
+def fit_runs(weighted_pairs: DataFrame, controls: Controls | None = None, run: str = "run", controls_of: Callable[[str], Controls] | None = None, max_rounds: int | None = None, persist: bool = True) -> dict[str, RepeatSales]:
+    """Repeat-sales fits of many runs (cutoffs, resamples, penalties) in the jobs of one: ``run -> model``.
 
-    ``weighted_pairs`` carries ``pair_weight``. Each category is fitted on its own pairs with the overall weights and months,
-    then shrunk to the overall path by n / (n + category_min_pairs). Categories with too few
-    pairs or without convergence fall back to the overall path, with a warning.
+    ``weighted_pairs`` carries ``pair_weight`` and a run name in every row. A run's months go from its own first to its own last.
+    Each category is fitted on its own pairs with the run's weights and months, then shrunk to the overall path by
+    n / (n + category_min_pairs). Categories with too few pairs or without convergence fall back
+    to the overall path, with a warning. Runs without pairs are absent.
     """
     c = controls or Controls()
-    span = weighted_pairs.agg(F.min(F.date_add("date_a", 1)), F.max("date_b")).first()
-    if span[0] is None:
-        return RepeatSales([], np.zeros(0), 0.0, float("nan"), False, 0, warnings=["no repeat-purchase pairs"])
-    first, last = span[0].year * 12 + span[0].month - 1, span[1].year * 12 + span[1].month - 1
-    months = [date(m // 12, m % 12 + 1, 1) for m in range(first, last + 1)]
+    ends = weighted_pairs.groupBy(F.col(run).alias("run")).agg(F.min(_month_number(F.date_add("date_a", 1))).alias("low"), F.max(_month_number(F.col("date_b"))).alias("high")).collect()
+    if not ends:
+        return {}
+    first, last = min(r.low for r in ends), max(r.high for r in ends)
+    span = {r.run: (r.low - first, r.high - first + 1) for r in ends}
     category = F.coalesce("approved_category", F.lit("Uncategorized"))
-    rows = exposure_rows(weighted_pairs, first).select(F.explode(F.array(F.lit(OVERALL), category)).alias("unit"), "first", "shares", "x_q", "y", F.col("pair_weight").alias("w"))
-    rows = rows.persist()
+    unit = F.explode(F.array(*(F.concat_ws("\t", run, x) for x in (F.lit(OVERALL), category)))).alias("unit")
+    rows = exposure_rows(weighted_pairs, first).select(unit, "first", "shares", "x_q", "y", F.col("pair_weight").alias("w"))
+    if persist:
+        rows = rows.persist()
+
+    class Spans(dict):
+        def __missing__(self, name):
+            return span[name.split("\t", 1)[0]]
+
     try:
-        fits = irls(rows, len(months), c)
+        fits = irls(rows, last - first + 1, c, max_rounds, Spans(), controls_of and (lambda u: controls_of(u.split("\t", 1)[0])))
     finally:
-        rows.unpersist()
-    theta, sigma, converged, n = fits.pop(OVERALL)
-    out = RepeatSales(months, theta[:-1], float(theta[-1]), sigma, converged, n)
-    if not converged:
-        out.warnings.append("the overall fit did not converge")
-    for unit in sorted(fits):
-        own, _, ok, n_own = fits[unit]
+        if persist:
+            rows.unpersist()
+    out = {}
+    for name, (low, high) in span.items():
+        theta, sigma, converged, n = fits[f"{name}\t{OVERALL}"]
+        months = [date(m // 12, m % 12 + 1, 1) for m in range(first + low, first + high)]
+        model = RepeatSales(months, theta[low:high], float(theta[-1]), sigma, converged, n)
+        if not converged:
+            model.warnings.append("the overall fit did not converge")
+        out[name] = model
+    for unit_name in sorted(fits):
+        name, category_name = unit_name.split("\t", 1)
+        if category_name == OVERALL:
+            continue
+        model, (low, high), (own, _, ok, n_own) = out[name], span[name], fits[unit_name]
         if n_own < max(8, min(25, c.category_min_pairs)) or not ok:
-            out.warnings.append(f"{unit}: {n_own} pairs, {'no convergence' if n_own >= 8 else 'too few'}; overall path used")
+            model.warnings.append(f"{category_name}: {n_own} pairs, {'no convergence' if n_own >= 8 else 'too few'}; overall path used")
             continue
         b = n_own / (n_own + max(float(c.category_min_pairs), 1.0))
-        out.differences[unit], out.kappa[unit] = b * (own[:-1] - out.delta0), float(b * (own[-1] - out.gamma0))
+        model.differences[category_name], model.kappa[category_name] = b * (own[low:high] - model.delta0), float(b * (own[-1] - model.gamma0))
+    return out
+
+
+def fit_repeat_sales(weighted_pairs: DataFrame, controls: Controls | None = None) -> RepeatSales:
+    """Monthly log rates from repeat purchases, overall and by category: one run of ``fit_runs``."""
+    fits = fit_runs(weighted_pairs.withColumn("run", F.lit("all")), controls)
+    return fits.get("all") or RepeatSales([], np.zeros(0), 0.0, float("nan"), False, 0, warnings=["no repeat-purchase pairs"])
+
+
+def growth_paths(models: dict[str, RepeatSales], future: dict[str, list[float]] | None = None) -> list[tuple]:
+    """``run, category, first month number, monthly rates, elasticity`` of every fitted path; the overall one has a null category.
+
+    Rates after the last fitted month are those of ``future`` plus the category's mean difference over its last year.
+    """
+    out = []
+    for run, m in models.items():
+        if not m.months:
+            continue
+        first, ahead = m.months[0].year * 12 + m.months[0].month - 1, np.array((future or {}).get(run, []), float)
+        out.append((run, None, first, [*m.delta0.tolist(), *ahead.tolist()], m.gamma0))
+        for c, u in m.differences.items():
+            out.append((run, c, first, [*(m.delta0 + u).tolist(), *(ahead + u[-12:].mean()).tolist()], m.gamma0 + m.kappa[c]))
     return out
 
 
+PATHS = "run string, c string, first int, path array<double>, gamma double"
+
+
+def log_growth(spans: DataFrame, paths: list[tuple], category: str = "category", out: str = "log_growth") -> DataFrame:
+    """Adds the log price change over (date_a, date_b] and the elasticity of each row's run and category.
+
+    A category without a path of its own takes the overall one; months outside a path take its last rate; a run
+    without a path grows by nothing. Paths are runs by categories by months numbers, all of them from fits.
+    """
+    table = spans.sparkSession.createDataFrame(paths, PATHS)
+    own = table.where("c is not null").select("run", F.col("c").alias(category), F.struct("first", "path", "gamma").alias("_own"))
+    base = table.where("c is null").select("run", F.struct("first", "path", "gamma").alias("_base"))
+    p = spans.join(F.broadcast(base), "run", "left").join(F.broadcast(own), ["run", category], "left").withColumn("_p", F.coalesce("_own", "_base"))
+    months = F.sequence(F.trunc(F.date_add("date_a", 1), "month"), F.trunc("date_b", "month"), F.expr("interval 1 month"))
+
+    def term(m):
+        days = F.datediff(F.least(F.col("date_b"), F.last_day(m)), F.greatest(F.col("date_a"), F.date_sub(m, 1)))
+        rate = F.coalesce(F.get("_p.path", _month_number(m) - F.col("_p.first")), F.element_at("_p.path", -1))
+        return F.greatest(days, F.lit(0)) / F.day(F.last_day(m)) * rate
+
+    total = F.when(F.col("date_b") > F.col("date_a"), F.aggregate(F.transform(months, term), F.lit(0.0), lambda a, b: a + b))
+    return p.withColumns({out: F.coalesce(total, F.lit(0.0)), "gamma": F.coalesce("_p.gamma", F.lit(0.0))}).drop("_own", "_base", "_p")
+
+
 def predict_pairs(pairs: DataFrame, model: RepeatSales) -> DataFrame:
     """``predicted``: the model's log change of every pair; its category's path where it has one."""
     spark = pairs.sparkSession
@@ -180,12 +250,12 @@ def predict_pairs(pairs: DataFrame, model: RepeatSales) -> DataFrame:
     return p.withColumn("predicted", inside + gamma * F.col("x_q")).drop("first", "shares", "c", "path", "gamma")
 
 
-def part_residuals(predicted: DataFrame, controls: Controls | None = None) -> DataFrame:
+def part_residuals(predicted: DataFrame, controls: Controls | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Each part's yearly residual rate, shrunk by effective pairs, span and quality. One aggregation a part."""
     c = controls or Controls()
     a = F.when(F.col("extreme_flag"), 0.25).otherwise(1.0) * F.when(F.col("qty_comparable"), 1.0).otherwise(0.7) * C.clip(F.col("delta_years") / (30 / 365.25), F.lit(0.1), F.lit(1.0))
     rows = predicted.withColumn("a", a).withColumn("e", F.col("y") - F.col("predicted"))
-    g = rows.groupBy("part_key").agg(
+    g = rows.groupBy(*by, "part_key").agg(
         F.min_by("approved_category", "date_a").alias("category"), F.count(F.lit(1)).alias("n_pairs"), F.datediff(F.max("date_b"), F.min("date_a")).cast("long").alias("span_days"), F.sum("a").alias("n_eff"),
         (F.sum(F.col("a") * F.col("e") / F.greatest("delta_years", F.lit(1e-6))) / F.sum("a")).alias("residual_rate"), F.avg(F.col("extreme_flag").cast("double")).alias("xs"), F.avg(F.col("qty_comparable").cast("double")).alias("qs"),
     )
