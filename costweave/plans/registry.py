@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costweave.config import Controls
 from costweave.functions import columns as C
-from costweave.operators import basket, classify, committed, forecast, indices, matching, pairs, panel, quality, regression
+from costweave.operators import backtest, basket, bridge, classify, committed, forecast, indices, matching, pairs, panel, quality, regression
 from costweave.operators.clean import clean_lines, flag_duplicates
 from costweave.plans import sql as S
 from costweave.sources.star_schema import po_lines
@@ -332,6 +334,47 @@ _register("composite_forecast", lambda s, d: _forecast(s, d, 1), "forecast_year
 _register("part_residuals", lambda s, d: regression.part_residuals(regression.predict_pairs(*_model(s, d))), "part_key category n_pairs span_days residual_rate:5 shrinkage:6 shrunk_residual:6 quality:6 source")
 _register("huber_trim_grid", lambda s, d: regression.joint_huber(pairs.adjacent_pairs(_daily(s, d), 30)), "trim weighting n_pairs n_parts annual_rate:4 gamma:4 converged")
 
+_register("source_trace", lambda s, d: bridge.source_trace(_cleaned(s, d), ("source_file", "source_row_number", "description_1")), "part_key source_file source_row_number description_1",
+          sql="SELECT part_key, source_file, source_row_number, description_1 FROM (SELECT *, row_number() OVER (PARTITION BY part_key ORDER BY po_date DESC, source_file DESC, source_row_number DESC) AS k FROM clean WHERE part_key IS NOT NULL) t WHERE k = 1")
+
+
+def _backtest(spark, d, cutoffs=None):
+    classified = _classified(spark, d).persist()
+    daily = panel.realized_daily(classified).persist()
+    return backtest.composite_backtest(daily, classified, BASE, replace(Controls(), fast_mode=True), cutoffs)
+
+
+def _flagged(spark, d):
+    return _pairs(spark, d).persist()
+
+
+def _bands(spark, d):
+    c = replace(Controls(), bootstrap_iterations=10, fast_mode=True)
+    return backtest.bootstrap_forecasts(_flagged(spark, d), basket.fiscal_weights(_classified(spark, d), BASE), BASE, forecast.METHODS[0], committed.committed_signal(_committed(spark, d)), c)[0]
+
+
+def _bridged(spark, d):
+    weighted, model = _model(spark, d)
+    residuals = regression.part_residuals(regression.predict_pairs(weighted, model))
+    lines = _cleaned(spark, d).withColumn("model_eligible", F.col("included_for_pricing"))
+    return bridge.basket_quantities(bridge.bridged_prices(_daily(spark, d), residuals, model, BASE), lines, BASE)
+
+
+_register("composite_backtest", _backtest, "cutoff method matched_parts eligible_basket_weight:6 actual_gap_days:4 stale_parts_excluded extreme_weight_share:6 actual_multiplier:5 predicted_multiplier:4 absolute_log_error:4")
+_register("bootstrap_bands", _bands, "forecast_year lower:4 median:4 upper:4")
+_register("penalty_search", lambda s, d: backtest.penalty_search(_flagged(s, d), replace(Controls(), fast_mode=True)), "candidate lambda_smooth lambda_gamma mean_wape:4 n_cutoffs selected")
+_register("part_backtest", lambda s, d: backtest.part_backtest_summary(backtest.part_backtest(_daily(s, d).persist(), replace(Controls(), fast_mode=True))),
+          "model horizon_months n wape:4 wape_quantity_conditional:4 wale:4 mdape:4 directional_accuracy:4 interval_coverage:4 composite_error:4")
+_register("bridged_prices", _bridged, "part_key latest_date latest_price:4 estimated_base_price:4 price_staleness_days q_star:4 q_future:4 composite_weight:6 source")
+_register("purchasing_cost", lambda s, d: bridge.purchasing_cost(_bridged(s, d).withColumn("multiplier", F.when(F.col("category").isNull(), 1.0).otherwise(1.05))), "cost_base:2 cost_target:2 purchasing_cost_change:6 fixed_basket_change:6")
+_register("heaviest_parts", lambda s, d: bridge.heaviest(_daily(s, d).groupBy("part_key").agg(F.sum("spend").alias("weight")), 0.995, 50), "part_key weight:8",
+          sql="SELECT part_key, round(w / sum(w) OVER (), 8) AS weight FROM (SELECT part_key, w, sum(w) OVER (ORDER BY w DESC, part_key ROWS UNBOUNDED PRECEDING) / sum(w) OVER () AS run FROM (SELECT part_key, sum(spend) AS w FROM daily GROUP BY 1)) t WHERE run <= 0.995")
+_register("recent_quarter_change", lambda s, d: bridge.recent_change(indices.tornqvist(_panel(s, d, "Q")), "pct_change"), "mean_change:6 n annual_log:6")
+_register("historical_index", lambda s, d: bridge.historical_index(_daily(s, d)), "period_start frequency tornqvist_index:5 tornqvist_change:6 status match_count matched_spend:2 capped_spend_change:6 fisher_index:5")
+_register("scope_sensitivity", lambda s, d: bridge.scope_sensitivity({k: panel.realized_daily(classify.classify_lines(_cleaned(s, d)).withColumns({"approved_category": F.col("direct_category"), "in_direct_costs": v})) for k, v in
+          {"direct_costs": F.col("in_direct_costs"), "all_po_lines": F.col("included_for_pricing")}.items()}), "scope frequency status part_days distinct_parts latest_matched_change:6 latest_tornqvist:6 match_count matched_spend:2 total_spend:2")
+_register("extremes_sensitivity", lambda s, d: bridge.extremes_sensitivity(_daily(s, d), _pairs(s, d)), "variant status n_rows latest_matched_change:6 latest_tornqvist:6 extreme_pairs")
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
