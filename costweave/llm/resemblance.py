@@ -1,0 +1,124 @@
+"""Near copies by the Jaccard similarity of word shingles: banded minima propose, whole shingle sets decide.
+
+A text's 128 minima are keyed in 32 bands of four. Two texts of similarity s share no band with probability
+(1 - s^4)^32: 5e-8 at 0.8, less above. What shares a band is verified on the whole texts.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from costweave.llm.common import ASCII_LOWER, arrow_rows, staged
+from costweave.llm.graph import components
+
+_BANDS, _ROWS = 32, 4
+_DRAW = np.random.default_rng(42)
+_XOR = _DRAW.integers(0, 1 << 32, _BANDS * _ROWS, np.uint32)
+_MUL = _DRAW.integers(0, 1 << 31, _BANDS * _ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: str | None, shingle: int = 5) -> set[bytes]:
+    """The distinct runs of ``shingle`` words, A-Z in lower case; a shorter text is one run, one without words none."""
+    words = (text or "").encode().translate(ASCII_LOWER).split()
+    if len(words) < shingle:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+
+
+def jaccard(a: set[bytes], b: set[bytes]) -> float:
+    """Shared shingles by all shingles; 1 where neither has any."""
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def band_keys(pieces: set[bytes]) -> np.ndarray:
+    """One signed 64-bit key for each band of the minima of ``pieces``."""
+    from xxhash import xxh32_intdigest
+
+    hashes = np.fromiter((xxh32_intdigest(p, 42) for p in pieces), np.uint32, len(pieces))
+    least = np.full(_BANDS * _ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(hashes), 1024):
+        mixed = (hashes[at : at + 1024, None] ^ _XOR) * _MUL
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x2C1B3C6D)
+        least = np.minimum(least, mixed.min(axis=0))
+    keys = np.arange(1, _BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(_BANDS, _ROWS).T.astype(np.uint64):
+        keys = (keys ^ column) * _MIX
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, min_similarity: float, shingle: int) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose texts have ``min_similarity`` or more."""
+
+    def make():
+        def handle(a, b, left, right):
+            near = [jaccard(shingles(x, shingle), shingles(y, shingle)) >= min_similarity for x, y in zip(left, right, strict=True)]
+            return {"a": [v for v, ok in zip(a, near, strict=True) if ok], "b": [v for v, ok in zip(b, near, strict=True) if ok]}
+
+        return handle
+
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    return staged(arrow_rows(both, ["a", "b", "left", "right"], make, "a long, b long"), "near-pairs")
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_similarity: float = 0.8, shingle: int = 5, crowd: int = 16) -> DataFrame:
+    """``doc_id``, ``node`` (xxhash64 of the text) and ``component_id`` of every row.
+
+    Texts whose shingle sets have ``min_similarity`` (0.8 or more) are linked; the component
+    id is the smallest id that links reach. Equal texts are one node. All pairs in bands of
+    ``crowd`` or fewer nodes are verified. In a more crowded band each node is first held
+    against one leader, three times over; then all pairs that are still in different components
+    are, so a crowd costs its square only where its members are no near copies of its leaders.
+    An empty table gives no rows.
+    """
+    if min_similarity < 0.8:
+        raise ValueError("the bands are made for min_similarity 0.8 or more")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+
+    def make():
+        def handle(ids, nodes, texts):
+            sets = [shingles(t, shingle) for t in texts]
+            return {"doc_id": ids, "node": nodes, "size": [len(s) for s in sets], "bands": [band_keys(s) for s in sets]}
+
+        return handle
+
+    rows = staged(arrow_rows(docs, ["doc_id", "node", "text"], make, "doc_id long, node long, size long, bands array<long>"), "sketches")
+    keyed = rows.select("node", "size", F.explode("bands").alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = staged(keyed.join(shared, "key"), "bands")
+    texts = docs.join(sized.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = staged(texts, "texts")
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs in one band that sizes allow to be near."""
+        met = left.select("key", F.col("node").alias("x"), F.col("size").alias("x_size")).join(right.select("key", F.col("node").alias("y"), F.col("size").alias("y_size")), "key")
+        fits = F.least("x_size", "y_size") >= min_similarity * F.greatest("x_size", "y_size")
+        return met.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+
+    small, large = sized.where(F.col("n") <= crowd), sized.where(F.col("n") > crowd)
+    links = _verified(pairs(small, small), texts, min_similarity, shingle)
+    if not large.isEmpty():
+        order = F.struct(F.xxhash64("node").alias("h"), "node", "size")
+        after = None
+        for _ in range(3):
+            rest = large if after is None else large.join(after, "key").where(order < F.col("last"))
+            last = staged(rest.groupBy("key").agg(F.max(order).alias("last")), "leaders")
+            leaders = last.select("key", "last.node", "last.size")
+            links = links.unionByName(_verified(pairs(leaders, large), texts, min_similarity, shingle))
+            after = last
+        roots = components(links)
+        known = staged(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "crowds")
+        split = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        open_ = known.join(split, "key")
+        apart = open_.alias("l").join(open_.alias("r"), "key").where("l.root < r.root and least(l.size, r.size) >= greatest(l.size, r.size) * " + str(min_similarity))
+        apart = apart.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+        links = links.unionByName(_verified(apart, texts, min_similarity, shingle))
+    first = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    known = staged(first.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    group_of = known.join(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
+    return rows.select("doc_id", "node").join(group_of, "node")
