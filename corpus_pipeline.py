@@ -14,7 +14,7 @@ from costweave.llm.common import staged
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Label words by language; documents without letters or with a mean posterior below 0.4 go."""
+    """Label words by language; documents without letters or with words labelled at less than 0.4 in the mean go."""
     model = langid.train(docs.select("doc_id", "text", "lang"))
     return langid.keep_known(docs, model, min_score=0.4)
 

@@ -259,7 +259,7 @@ def train(df: DataFrame, id_col: str = "doc_id", docs_per_language: int = 400, w
 
 
 def _labeller(shared):
-    """A task's function from texts to lists of predicted language, score and languages in the mix."""
+    """A task's function from texts to lists of predicted language, score, languages in the mix and confidence."""
     m = Model(**shared.value)
     k = max(1, len(m.languages))
     cache: dict[str, int] = {}
@@ -275,13 +275,13 @@ def _labeller(shared):
         table = np.concatenate([table, _emissions(fresh, m)])
         return table[np.fromiter((cache[w] for ws in words for w in ws), np.int64)]
 
-    def summary(p: np.ndarray) -> tuple[str, float, list[dict]]:
+    def summary(p: np.ndarray) -> tuple[str, float, list[dict], float]:
         if not len(p) or not m.languages:
-            return UNDETERMINED, 0.0, []
+            return UNDETERMINED, 0.0, [], 0.0
         mean, best = p.mean(axis=0), p.argmax(axis=1)
         top = int(mean.argmax())
         mixed = [{"lang": m.languages[j], "words": int((best == j).sum()), "mean": float(mean[j])} for j in np.unique(best)]
-        return m.languages[top], float(min(1.0, mean[top])), mixed
+        return m.languages[top], float(min(1.0, mean[top])), mixed, float(p.max(axis=1).mean())
 
     def label(texts):
         rows, held, size = [], [], 0
@@ -293,7 +293,7 @@ def _labeller(shared):
                 post = marginals(emissions(held), lengths, m.start, m.moves)
                 rows += [summary(p) for p in np.split(post, np.cumsum(lengths)[:-1])]
                 held, size = [], 0
-        return {"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "languages": [r[2] for r in rows]}
+        return {"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "languages": [r[2] for r in rows], "confidence": [r[3] for r in rows]}
 
     return label
 
@@ -316,9 +316,10 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_known(df: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
-    """The rows of ``df`` whose text has letters and a language with ``min_score`` or more.
+    """The rows of ``df`` whose text has letters and whose words are labelled with ``min_score`` or more.
 
-    A model without languages rejects only texts without letters.
+    That is the mean over words of the highest posterior at each word, so a text that mixes
+    languages stays, however many they are, where its words are sure. A model without languages rejects only texts without letters.
     """
     shared, learned = df.sparkSession.sparkContext.broadcast(vars(model)), bool(model.languages)
 
@@ -327,7 +328,7 @@ def keep_known(df: DataFrame, model: Model, text_col: str = "text", min_score: f
 
         def handle(texts):
             got = label(texts)
-            known = [s >= min_score for s in got["score"]] if learned else [bool(_WORD.search(t or "")) for t in texts]
+            known = [c > 0 and c >= min_score for c in got["confidence"]] if learned else [bool(_WORD.search(t or "")) for t in texts]
             return {"__known": known}
 
         return handle

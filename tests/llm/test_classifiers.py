@@ -148,3 +148,11 @@ def test_languages_of_whole_and_mixed_texts(spark, docs, empty):
 def test_one_language_or_none(spark, docs, n):
     model = langid.train(docs.where("lang = 'en'").limit(40 * n))
     assert {r.lang_pred for r in langid.predict(docs.where("doc_id < 9"), model).collect()} == ({"en"} if n else {"und"})
+
+
+def test_a_clean_text_in_three_languages_stays(spark, docs):
+    model = langid.train(docs, docs_per_language=60)
+    rng = random.Random(4)
+    mixed = spark.createDataFrame([row(1, " ".join(prose(x, 40, rng) for x in ("en", "de", "fr")))], docs.schema)
+    assert langid.predict(mixed, model).first().score < 0.4
+    assert langid.keep_known(mixed, model).count() == 1
