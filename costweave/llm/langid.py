@@ -22,10 +22,10 @@ _RESULT = "lang_pred string, score double, languages array<struct<lang:string,wo
 
 @dataclass
 class Model:
-    """Languages, lexicon (word to language numbers as bits), feature weights and transitions."""
+    """Languages, lexicon (word to the numbers of the languages it marks), feature weights and transitions."""
 
     languages: list[str]
-    lexicon: dict[str, int]
+    lexicon: dict[str, tuple[int, ...]]
     weights: np.ndarray  # (_BUCKETS + 1 + languages) by languages; the last rows are the lexicon's
     start: np.ndarray
     moves: np.ndarray
@@ -35,7 +35,7 @@ def _words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def word_features(words: list[str], lexicon: dict[str, int], n_languages: int) -> tuple[np.ndarray, np.ndarray]:
+def word_features(words: list[str], lexicon: dict[str, tuple[int, ...]], n_languages: int) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows and their strengths for every word, as (words, features) arrays.
 
     The word, its first 1 to 3 and last 1 to 4 characters, and its character trigrams with word
@@ -70,9 +70,11 @@ def word_features(words: list[str], lexicon: dict[str, int], n_languages: int) -
     grams = mix(20, chars[:, :-2], chars[:, 1:-1], chars[:, 2:])
     inside = np.arange(_WIDTH)[None, :] < size[:, None]
     grams[~inside] = _BUCKETS
-    known = np.fromiter((lexicon.get(w, 0) for w in words), np.int64, n)
-    member = (known[:, None] >> np.arange(n_languages)) & 1
-    lexical = np.where(member > 0, _BUCKETS + 1 + np.arange(n_languages), _BUCKETS).astype(np.int32)
+    lexical = np.full((n, n_languages), _BUCKETS, np.int32)
+    known = [(i, j) for i, w in enumerate(words) for j in lexicon.get(w, ())]
+    if known:
+        i, j = np.array(known).T
+        lexical[i, j] = _BUCKETS + 1 + j
     index = np.concatenate([np.stack(rows, axis=1), grams, lexical], axis=1)
     strength = np.ones(index.shape, np.float32)
     strength[:, len(rows) : len(rows) + _WIDTH] = (2.0 / np.maximum(size, 1))[:, None]
@@ -150,13 +152,13 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, moves:
     return both / np.maximum(both.sum(axis=1, keepdims=True), 1e-300)
 
 
-def lexicon(df: DataFrame, per_language: int = 20_000, min_share: float = 0.8, min_count: int = 5, max_languages: int = 60) -> tuple[list[str], dict[str, int]]:
-    """Languages of ``df`` (``text``, ``lang``) and the words that mark each one.
+def lexicon(df: DataFrame, per_language: int = 20_000, min_share: float = 0.8, min_count: int = 5) -> tuple[list[str], dict[str, tuple[int, ...]]]:
+    """Languages of ``df`` (``text``, ``lang``), all of them, and the words that mark each one.
 
     Every word of every row is counted. A word marks a language that has ``min_share`` of its
     uses; the ``per_language`` most used ones of each come to the driver.
     """
-    languages = [r.lang for r in df.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    languages = [r.lang for r in df.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
 
     def make():
         def handle(texts, langs):
@@ -169,16 +171,14 @@ def lexicon(df: DataFrame, per_language: int = 20_000, min_share: float = 0.8, m
         return handle
 
     counts = arrow_rows(df, ["text", "lang"], make, "word string, lang string, n long")
-    by_word = counts.groupBy("word").pivot("lang", languages or [""]).agg(F.sum("n")).na.fill(0)
-    names = [f"`{x}`" for x in (languages or [""])]
-    total = sum((F.col(x) for x in names[1:]), F.col(names[0]))
-    by_word = staged(by_word.where(total >= min_count).select("word", *(F.col(x).alias(f"n{i}") for i, x in enumerate(names))), "words")
-    total = sum((F.col(f"n{i}") for i in range(1, len(names))), F.col("n0"))
-    words: dict[str, int] = {}
-    for i in range(len(languages)):
-        marks = by_word.where(F.col(f"n{i}") >= min_share * total).orderBy(F.desc(f"n{i}"), "word").limit(per_language).select("word")
-        for r in marks.collect():
-            words[r.word] = words.get(r.word, 0) | 1 << i
+    uses = counts.groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    by_word = uses.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("uses")).where(F.col("total") >= min_count)
+    marks = staged(by_word.select("word", "total", F.inline("uses")).where(F.col("n") >= min_share * F.col("total")).select("word", "lang", "n"), "words")
+    words: dict[str, tuple[int, ...]] = {}
+    for i, lang in enumerate(languages):
+        own = (i,)
+        for r in marks.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(per_language).select("word").collect():
+            words[r.word] = words[r.word] + own if r.word in words else own
     return languages, words
 
 

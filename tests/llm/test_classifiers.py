@@ -156,3 +156,13 @@ def test_a_clean_text_in_three_languages_stays(spark, docs):
     mixed = spark.createDataFrame([row(1, " ".join(prose(x, 40, rng) for x in ("en", "de", "fr")))], docs.schema)
     assert langid.predict(mixed, model).first().score < 0.4
     assert langid.keep_known(mixed, model).count() == 1
+
+
+def test_every_language_has_words_and_a_label(spark):
+    rows = [(70 * k + i, " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}{x}" for x in ("ong", "urm", "ike")), f"l`{i}.x") for i in range(70) for k in range(6)]
+    languages, words = langid.lexicon(spark.createDataFrame(rows, "doc_id long, text string, lang string").select("text", "lang"))
+    assert len(languages) == 70 and len(words) == 210
+    assert {(w, languages[j]) for w, js in words.items() for j in js} == {(w, lang) for _, text, lang in rows for w in text.split()}
+    index, _ = langid.word_features(["aaong", "crike", "none"], words, 70)
+    marked = [{int(v) - langid._BUCKETS - 1 for v in r[-70:] if v > langid._BUCKETS} for r in index]
+    assert marked == [set(words["aaong"]), set(words["crike"]), set()]
