@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 from datetime import date
 from functools import partial
 
@@ -341,7 +340,7 @@ _register("source_trace", lambda s, d: bridge.source_trace(_cleaned(s, d), ("sou
 def _backtest(spark, d, cutoffs=None):
     classified = _classified(spark, d).persist()
     daily = panel.realized_daily(classified).persist()
-    return backtest.composite_backtest(daily, classified, BASE, replace(Controls(), fast_mode=True), cutoffs)
+    return backtest.composite_backtest(daily, classified, BASE, Controls(), cutoffs)
 
 
 def _flagged(spark, d):
@@ -349,8 +348,9 @@ def _flagged(spark, d):
 
 
 def _bands(spark, d):
-    c = replace(Controls(), bootstrap_iterations=10, fast_mode=True)
-    return backtest.bootstrap_forecasts(_flagged(spark, d), basket.fiscal_weights(_classified(spark, d), BASE), BASE, forecast.METHODS[0], committed.committed_signal(_committed(spark, d)), c)[0]
+    best = backtest.backtest_summary(_backtest(spark, d)).where("selected").first()
+    method = best.method if best else forecast.METHODS[0]
+    return backtest.bootstrap_forecasts(_flagged(spark, d), basket.fiscal_weights(_classified(spark, d), BASE), BASE, method, committed.committed_signal(_committed(spark, d)), Controls())[0]
 
 
 def _bridged(spark, d):
@@ -362,8 +362,8 @@ def _bridged(spark, d):
 
 _register("composite_backtest", _backtest, "cutoff method matched_parts eligible_basket_weight:6 actual_gap_days:4 stale_parts_excluded extreme_weight_share:6 actual_multiplier:5 predicted_multiplier:4 absolute_log_error:4")
 _register("bootstrap_bands", _bands, "forecast_year lower:4 median:4 upper:4")
-_register("penalty_search", lambda s, d: backtest.penalty_search(_flagged(s, d), replace(Controls(), fast_mode=True)), "candidate lambda_smooth lambda_gamma mean_wape:4 n_cutoffs selected")
-_register("part_backtest", lambda s, d: backtest.part_backtest_summary(backtest.part_backtest(_daily(s, d).persist(), replace(Controls(), fast_mode=True))),
+_register("penalty_search", lambda s, d: backtest.penalty_search(_flagged(s, d), Controls()), "candidate lambda_smooth lambda_gamma mean_wape:4 n_cutoffs selected")
+_register("part_backtest", lambda s, d: backtest.part_backtest_summary(backtest.part_backtest(_daily(s, d).persist(), Controls())),
           "model horizon_months n wape:4 wape_quantity_conditional:4 wale:4 mdape:4 directional_accuracy:4 interval_coverage:4 composite_error:4")
 _register("bridged_prices", _bridged, "part_key latest_date latest_price:4 estimated_base_price:4 price_staleness_days q_star:4 q_future:4 composite_weight:6 source")
 _register("purchasing_cost", lambda s, d: bridge.purchasing_cost(_bridged(s, d).withColumn("multiplier", F.when(F.col("category").isNull(), 1.0).otherwise(1.05))), "cost_base:2 cost_target:2 purchasing_cost_change:6 fixed_basket_change:6")

@@ -94,3 +94,30 @@ def test_log_growth_by_hand(spark):
     got = regression.log_growth(spark.createDataFrame([("r", *x) for x in rows], "run string, category string, date_a date, date_b date"), paths)
     by = {(r.category, r.date_b): r.log_growth for r in got.collect()}
     assert [by[c, b] for c, _, b in rows] == pytest.approx([0.05, 0.01, 0.04, 0.0])
+
+
+@pytest.mark.parametrize("name, function", [("composite_backtest", "composite_backtest"), ("bootstrap_bands", "bootstrap_forecasts"), ("penalty_search", "penalty_search"), ("part_backtest", "part_backtest")])
+def test_registered_queries_take_the_whole_job(monkeypatch, name, function):
+    from unittest.mock import MagicMock
+
+    from costweave.plans import registry
+
+    class Reached(Exception):
+        pass
+
+    def reached(*given):
+        raise Reached(*given)
+
+    for part in ("_flagged", "_daily", "_classified", "_committed"):
+        monkeypatch.setattr(registry, part, MagicMock())
+    for module, part in ((registry.panel, "realized_daily"), (registry.basket, "fiscal_weights"), (registry.committed, "committed_signal")):
+        monkeypatch.setattr(module, part, MagicMock())
+    if name == "bootstrap_bands":
+        monkeypatch.setattr(registry, "_backtest", MagicMock())
+        summary = MagicMock()
+        summary.return_value.where.return_value.first.return_value.method = "ewma"
+        monkeypatch.setattr(registry.backtest, "backtest_summary", summary)
+    monkeypatch.setattr(registry.backtest, function, reached)
+    with pytest.raises(Reached) as got:
+        registry.queries()[name](None, "")
+    assert Controls() in got.value.args and (name != "bootstrap_bands" or "ewma" in got.value.args)
