@@ -135,17 +135,18 @@ def log_odds(labelled: DataFrame, prior_mass: float = 10.0, least: float = 0.5,
     return {r.unit: r.odds for r in rows.collect()}
 
 
-def _karlin_scale(values: np.ndarray) -> float:
-    """The positive root of mean(exp(scale * score)) = 1; 1 where scores are never positive."""
-    if values.max(initial=0.0) <= 0 or values.mean() >= 0:
+def _karlin_scale(values: np.ndarray, counts: np.ndarray) -> float:
+    """The positive root of mean(exp(scale * score)) = 1 over scores that come ``counts`` times; 1 where they are never positive."""
+    if values.max(initial=0.0) <= 0 or values @ counts >= 0:
         return 1.0
+    share = counts / counts.sum()
     low, high = 1e-6, 1.0
     with np.errstate(over="ignore"):
-        while np.exp(high * values).mean() < 1 and high < 64:
+        while np.exp(high * values) @ share < 1 and high < 64:
             high *= 2
         for _ in range(60):
             mid = (low + high) / 2
-            low, high = (mid, high) if np.exp(mid * values).mean() < 1 else (low, mid)
+            low, high = (mid, high) if np.exp(mid * values) @ share < 1 else (low, mid)
     return (low + high) / 2
 
 
@@ -198,8 +199,12 @@ def train(labelled: DataFrame, id_col: str = "doc_id", cost: float = 0.5, max_ca
         share = (sum(r.toxic for r in got) + 0.5) / (len(got) + 1)
         model.weights = (math.log(share / (1 - share)), 0.0, 0.0, 0.0)
         return model
-    values = np.concatenate([np.repeat(r.edges, r.sums) for r in zero[:1000]])
-    model.scale = _karlin_scale(values)
+    histogram: Counter = Counter()
+    for r in zero:
+        for value, count in zip(r.edges, r.sums, strict=True):
+            histogram[value] += count
+    edges = sorted(histogram)
+    model.scale = _karlin_scale(np.array(edges, float), np.array([histogram[e] for e in edges], float))
     model.size = math.exp(min(20.0, max(-20.0, float(np.mean([model.scale * r.best - math.log(r.n) for r in zero]) - 0.5772))))
     x, y = [], []
     for r in _statistics_rows(rows, model).collect():

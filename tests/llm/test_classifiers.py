@@ -166,3 +166,15 @@ def test_every_language_has_words_and_a_label(spark):
     index, _ = langid.word_features(["aaong", "crike", "none"], words, 70)
     marked = [{int(v) - langid._BUCKETS - 1 for v in r[-70:] if v > langid._BUCKETS} for r in index]
     assert marked == [set(words["aaong"]), set(words["crike"]), set()]
+
+
+def test_scale_takes_all_calibration_rows(spark):
+    import zlib
+
+    ids = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 5 == 4][:1301]
+    texts = ["the vile of in on at by so"] * 1000 + ["the of vile vile vile at by so in on no to"] * 300
+    rows = [(i, t, 0) for i, t in zip(ids, texts, strict=False)] + [(ids[-1], "vile vile vile", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").coalesce(1)
+    model = toxicity.train(df, seed_odds={"vile": 2.0})
+    scores = np.array([1.5 if w == "vile" else -0.5 for t in texts for w in t.split()])
+    assert abs(np.exp(model.scale * scores).mean() - 1) < 1e-6
