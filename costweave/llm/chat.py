@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from costweave.llm.common import arrow_rows, staged
 
 #: The template's control strings. Inside texts each gets a backslash after its first character.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[TEXT]", "[/ROLE]")
+_KEY = {"conv_id": "conv_id", "msg_id": "msg_id"}
 _REST = "|".join(re.escape(c[1:]) for c in CONTROL)
 _ESCAPE = rf"([<\[])(\\*)(?={_REST})"
 _UNESCAPE = rf"([<\[])\\(\\*)(?={_REST})"
@@ -45,6 +47,13 @@ def parse_conversation(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: dict[str, str], how: str = "inner") -> DataFrame:
+    """``left`` and ``right`` where each key of ``left`` equals its one of ``right`` or both are null; columns of ``left``, then the others of ``right``."""
+    renamed = right.withColumnsRenamed({k: f"right_{k}" for k in keys.values()})
+    same = reduce(lambda a, b: a & b, (F.col(a).eqNullSafe(F.col(f"right_{b}")) for a, b in keys.items()))
+    return left.join(renamed, same, how).drop(*(f"right_{k}" for k in keys.values()))
+
+
 def branches(messages: DataFrame, n_branches: int = 1, max_rounds: int = 40) -> DataFrame:
     """The best root-to-leaf paths of every conversation's reply tree.
 
@@ -53,15 +62,16 @@ def branches(messages: DataFrame, n_branches: int = 1, max_rounds: int = 40) ->
     path, depth 0 at the root. A path scores the sum of its messages' scores (null: 0);
     branches rank by score, ties by the smaller leaf id. Self-joins double the span of the
     ancestor links a round, so rounds grow with the logarithm of the depth, every row stays one
-    message, and only messages whose link has not reached the root are joined. A message whose parent is missing is a root. Raises on a cycle, or when
-    (conv_id, msg_id) repeats. An empty table gives no rows.
+    message, and only messages whose link has not reached the root are joined. A message whose
+    parent is missing is a root. A null ``conv_id`` is a conversation, a null ``msg_id`` a message that
+    nothing answers. Raises on a cycle, or when (conv_id, msg_id) repeats. An empty table gives no rows.
     """
     own = messages.select("conv_id", "msg_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     if own.groupBy("conv_id", "msg_id").count().where("count > 1").limit(1).count():
         raise ValueError("msg_id repeats in a conversation")
-    there = own.select("conv_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("has_parent"))
+    there = own.where(F.col("msg_id").isNotNull()).select("conv_id", "msg_id", F.lit(True).alias("has_parent"))
     links = staged(
-        own.join(there, ["conv_id", "parent_id"], "left").select(
+        own.select("conv_id", "msg_id", "parent_id", "score").transform(_joined, there, {"conv_id": "conv_id", "parent_id": "msg_id"}, "left").select(
             "conv_id", "msg_id", F.when(F.col("has_parent"), F.col("parent_id")).alias("up"), F.lit(1).cast("long").alias("span"), "score"
         ),
         "links",
@@ -70,10 +80,12 @@ def branches(messages: DataFrame, n_branches: int = 1, max_rounds: int = 40) ->
     while not links.where(F.col("up").isNotNull()).isEmpty():
         if len(levels) > max_rounds:
             raise ValueError("the reply links have a cycle")
-        above = links.select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("span").alias("span2"), F.col("score").alias("score2"))
+        above = links.select("conv_id", "msg_id", F.col("up").alias("up2"), F.col("span").alias("span2"), F.col("score").alias("score2"))
         moved = (
             links.where(F.col("up").isNotNull())
-            .join(above, ["conv_id", "up"], "left")
+            .withColumnRenamed("msg_id", "own_id")
+            .transform(_joined, above, {"conv_id": "conv_id", "up": "msg_id"}, "left")
+            .withColumnRenamed("own_id", "msg_id")
             .select(
                 "conv_id", "msg_id", F.col("up2").alias("up"),
                 (F.col("span") + F.coalesce("span2", F.lit(0))).alias("span"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
@@ -83,13 +95,13 @@ def branches(messages: DataFrame, n_branches: int = 1, max_rounds: int = 40) ->
         levels.append(links)
     # All links now reach the root: span is the length of the path, score its sum.
     parents = levels[0].where(F.col("up").isNotNull()).select("conv_id", F.col("up").alias("msg_id")).distinct()
-    leaves = links.join(parents, ["conv_id", "msg_id"], "left_anti")
+    leaves = _joined(links, parents, _KEY, "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "msg_id"))
     chosen = leaves.withColumn("branch", rank).where(F.col("branch") <= n_branches)
     paths = chosen.select("conv_id", F.col("msg_id").alias("leaf_id"), "branch", F.col("score").alias("branch_score"), "msg_id", (F.col("span") - 1).alias("depth"))
     for k in reversed(range(len(levels) - 1)):  # each member of a path brings the one 2^k above it
         jump = levels[k].where(F.col("up").isNotNull()).select("conv_id", "msg_id", "up")
-        more = paths.join(jump, ["conv_id", "msg_id"]).select("conv_id", "leaf_id", "branch", "branch_score", F.col("up").alias("msg_id"), (F.col("depth") - (1 << k)).alias("depth"))
+        more = _joined(paths, jump, _KEY).select("conv_id", "leaf_id", "branch", "branch_score", F.col("up").alias("msg_id"), (F.col("depth") - (1 << k)).alias("depth"))
         paths = staged(paths.unionByName(more), "paths")
     return paths
 
@@ -109,7 +121,7 @@ def format_reply_trees(messages: DataFrame, n_branches: int = 1) -> DataFrame:
     before = F.when(role == "user", "[INST] ").when(role == "system", "[SYS] ").when(role == "assistant", " ").otherwise(F.concat(F.lit("[ROLE]"), escaped(role), F.lit("[TEXT]")))
     after = F.when(role == "user", " [/INST]").when(role == "system", " [/SYS]").when(role == "assistant", "</s>").otherwise("[/ROLE]")
     turns = messages.select("conv_id", "msg_id", before.alias("before"), text.alias("body"), after.alias("after"), (role == "assistant").alias("learn"))
-    rows = branches(messages, n_branches).join(turns, ["conv_id", "msg_id"])
+    rows = _joined(branches(messages, n_branches), turns, _KEY)
     path = F.array_sort(F.collect_list(F.struct("depth", "before", "body", "after", "learn")))
     whole = rows.groupBy("conv_id", "leaf_id", "branch", "branch_score").agg(path.alias("path"))
     formatted = F.concat(F.lit("<s>"), F.array_join(F.transform("path", lambda t: F.concat(t["before"], t["body"], t["after"])), ""))

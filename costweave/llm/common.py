@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,17 +16,27 @@ from pyspark.sql import functions as F
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORD = r"[^\x20\x09-\x0D]+"
 _own_dirs: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (local runs), one of our own."""
+    """The folder of ``spark.checkpoint.dir``, or the one that the context has for checkpoints.
+
+    Where neither is set, a folder of our own, which only a driver that runs the tasks itself
+    (master ``local`` or ``local[...]``) can share with them; on a cluster that is an error.
+    """
+    context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    app = spark.sparkContext.applicationId
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="costweave-shared-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
     return _own_dirs[app]
 
 
@@ -37,7 +49,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _paths[back] = path
+    return back
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of :func:`staged` tables that nothing reads any more."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it while ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def fold(id_col: Column) -> Column:
@@ -45,16 +77,25 @@ def fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 5
 
 
-def hash_sample(df: DataFrame, id_col: str, max_rows: int) -> DataFrame:
-    """About ``max_rows`` rows chosen by a hash of the id: the same ones in every run.
+def hash_sample(df: DataFrame, max_rows: int, by: list[str] | None = None) -> DataFrame:
+    """About ``max_rows`` distinct rows chosen by a hash of the columns ``by`` (all): the same ones in every run.
 
-    The share of the hash range bounds them; no limit, which would send them through one task.
+    A share of the hash range bounds them, for the number of distinct hashes is estimated (to 1 %);
+    no limit, which would send them through one task. Rows alike in those columns count once,
+    so one row that repeats cannot fill the sample. Above ``max_rows`` the size varies by its square root.
     """
-    n = df.count()
-    if n <= max_rows:
-        return df
-    cut = int(1_000_000 * max_rows / n)
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) < cut)
+    key = fresh(df, "sample_hash")
+    hashed = df.withColumn(key, F.xxhash64(F.lit("sample"), *(F.col(f"`{c}`") for c in by or df.columns)))
+    n = hashed.agg(F.approx_count_distinct(key, 0.01)).first()[0]
+    if n > max_rows:
+        hashed = hashed.where(F.pmod(key, F.lit(1 << 53)) < int((1 << 53) * max_rows / n))
+    return hashed.dropDuplicates([key]).drop(key)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most 1,000 rows and, for rows of like size, 16 MB."""
+    step = max(1, min(1000, batch.num_rows * (16 << 20) // max(1, batch.nbytes)))
+    return (batch.slice(at, step) for at in range(0, batch.num_rows, step))
 
 
 def arrow_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str) -> DataFrame:
@@ -71,8 +112,7 @@ def arrow_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handle = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in _slices(batch):
                 out = handle(*(part.column(i).to_pylist() for i in range(len(columns))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], f.type) for f in arrow_schema], schema=arrow_schema
@@ -97,8 +137,7 @@ def with_columns_from(df: DataFrame, columns: list[str], make: Callable[[], Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handle = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in _slices(batch):
                 out = handle(*(part.column(i).to_pylist() for i in places))
                 arrays = [*part.columns, *(pa.array(out[f.name], f.type) for f in arrow_extra)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, *arrow_extra.names])

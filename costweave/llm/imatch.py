@@ -13,6 +13,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +38,10 @@ def text_terms(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((xxh32_intdigest(t) for t in terms), np.uint32, len(terms)))
 
 
-def fingerprint(text: str | None, terms: np.ndarray, lexicon: np.ndarray) -> tuple[int, np.ndarray]:
-    """Level and signatures (2 levels by ``SUBSETS``, 0: the subset keeps no term) of one text.
+def fingerprint(text: str | None, terms: np.ndarray, lexicon: np.ndarray) -> tuple[int, np.ndarray, int]:
+    """Level, signatures (2 levels by ``SUBSETS``, 0: the subset keeps no term) and whole signature of one text.
 
-    A text without lexicon terms uses all its terms, one without terms a hash of itself.
+    The whole signature hashes all kept terms. A text without lexicon terms uses all its terms, one without terms a hash of itself.
     """
     at = np.minimum(np.searchsorted(lexicon, terms), max(len(lexicon) - 1, 0))
     kept = terms[lexicon[at] == terms] if len(lexicon) else terms[:0]
@@ -48,6 +49,8 @@ def fingerprint(text: str | None, terms: np.ndarray, lexicon: np.ndarray) -> tup
         kept = terms
     if not len(kept):
         kept = np.frombuffer(hashlib.sha256((text or "").encode()).digest()[:4], np.uint32)
+    from xxhash import xxh64_intdigest
+
     level = int(math.log2(len(kept)))
     seeds = _mixed(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     out = np.zeros((2, SUBSETS), np.uint16)
@@ -62,19 +65,20 @@ def fingerprint(text: str | None, terms: np.ndarray, lexicon: np.ndarray) -> tup
             ranks[i] = rank[-1]
     filled = ranks > 0
     out[filled] = (_mixed(sums[filled]) % np.uint64(65535)).astype(np.uint16) + 1
-    return level, out
+    return level, out, xxh64_intdigest(kept.astype("<u4").tobytes())
 
 
-def as_string(print_: tuple[int, np.ndarray]) -> str:
-    return f"{print_[0]:02x}" + print_[1].astype(">u2").tobytes().hex()
+def as_string(print_: tuple[int, np.ndarray, int]) -> str:
+    """The signature of all kept terms, the level and the signatures of the subsets, in hex."""
+    return f"{print_[2]:016x}{print_[0]:02x}" + print_[1].astype(">u2").tobytes().hex()
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Share of equal signatures among those that either text has, at the sparsest level of both.
+def likeness(a: tuple[int, np.ndarray, int], b: tuple[int, np.ndarray, int]) -> float:
+    """Share of equal subset signatures among those that either text has, at the sparsest level of both.
 
     Equal fingerprints are at 1, fingerprints without a common level at 0.
     """
-    if a[0] == b[0] and (a[1] == b[1]).all():
+    if a[2] == b[2] and a[0] == b[0] and (a[1] == b[1]).all():
         return 1.0
     level = min(a[0], b[0]) + 1
     if level - a[0] > 1 or level - b[0] > 1 or level < max(a[0], b[0]):
@@ -128,21 +132,34 @@ def _with_successors(df: DataFrame, id_col: str, text_col: str, n_ranges: int) -
     """Rows dealt into ranges of falling id, each range with the first rows of the one after it.
 
     Ranges come from id quantiles; the first row's id of each range (one number a range) goes
-    through the driver, texts are shuffled once. ``ahead`` marks the lent rows.
+    through the driver, texts are shuffled once. ``ahead`` marks the lent rows. Rows of one id stay in one range.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     cuts = docs.agg(F.percentile_approx("key", [i / n_ranges for i in range(1, n_ranges)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts if n_ranges > 1 else []))
-    edges = F.array(*map(F.lit, cuts)).cast("array<bigint>")
-    ranged = docs.withColumn("part", F.size(F.filter(edges, lambda e: F.col("key") <= e)))  # falling ids: part 0 first
+    spark = df.sparkSession
+    edges = spark.sparkContext.broadcast(np.array(cuts, np.int64))
+
+    @F.pandas_udf("int")
+    def part_of(keys: pd.Series) -> pd.Series:  # falling ids: part 0 first
+        return pd.Series((len(edges.value) - np.searchsorted(edges.value, keys.to_numpy(np.int64))).astype(np.int32))
+
+    ranged = docs.withColumn("part", part_of("key"))
     tops = dict(ranged.groupBy("part").agg(F.max("key")).collect())
     order = sorted(tops)
-    lender = {tops[p]: order[i - 1] for i, p in enumerate(order)}  # the first part lends to the last
-    lends = F.create_map(*(x for k, v in lender.items() for x in (F.lit(k).cast("long"), F.lit(v)))) if lender else F.create_map().cast("map<bigint,int>")
+    lender = sorted((tops[p], order[i - 1]) for i, p in enumerate(order))  # the first part lends to the last
+    lenders = spark.sparkContext.broadcast(tuple(np.array([x[i] for x in lender], np.int64) for i in (0, 1)))
+
+    @F.pandas_udf("int")
+    def lent_to(keys: pd.Series) -> pd.Series:  # -1: not the first row of a part
+        top, to = lenders.value
+        at = np.minimum(np.searchsorted(top, keys.to_numpy(np.int64)), len(top) - 1)
+        return pd.Series(np.where(top[at] == keys.to_numpy(np.int64), to[at], -1).astype(np.int32))
+
     places = F.filter(
-        F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead")), F.struct(F.try_element_at(lends, F.col("key")).alias("part"), F.lit(True).alias("ahead"))),
-        lambda p: p["part"].isNotNull(),
+        F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead")), F.struct(lent_to("key").alias("part"), F.lit(True).alias("ahead"))),
+        lambda p: p["part"] >= 0,
     )
     dealt = ranged.select("doc_id", "text", "key", F.explode(places).alias("place")).select("place.part", "place.ahead", "doc_id", "key", "text")
     return dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "ahead", F.desc("key"), F.col("text").asc_nulls_first())

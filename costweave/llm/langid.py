@@ -10,9 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costweave.llm.common import arrow_rows, fold, staged, with_columns_from
+from costweave.llm.common import arrow_rows, dropped, fold, fresh, staged, with_columns_from
 
-_WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+")
 _WIDTH = 24
 _BUCKETS = 1 << 15
 _BLOCK = 64
@@ -26,68 +26,91 @@ class Model:
 
     languages: list[str]
     lexicon: dict[str, tuple[int, ...]]
-    weights: np.ndarray  # (_BUCKETS + 1 + languages) by languages; the last rows are the lexicon's
+    weights: np.ndarray  # (_BUCKETS + languages) by languages; the last rows are the lexicon's
     start: np.ndarray
     moves: np.ndarray
 
 
 def _words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters, in lower case; signs that only count (superscripts, fractions) are no letters."""
+    found = _RUN.findall((text or "").lower())
+    if not found or "".join(found).isalpha():
+        return found
+    return [part for w in found for part in ("".join(c if c.isalpha() else " " for c in w).split() if not w.isalpha() else [w])]
 
 
-def word_features(words: list[str], lexicon: dict[str, tuple[int, ...]], n_languages: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows and their strengths for every word, as (words, features) arrays.
+def _mixed(kind: int, *columns: np.ndarray) -> np.ndarray:
+    """Hashed feature rows of a kind of feature and its characters."""
+    mul = np.uint64(0x9E3779B97F4A7C15)
+    h = np.full(columns[0].shape, kind + 1, np.uint64)
+    for c in columns:
+        h = (h ^ c) * mul
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(_BUCKETS)).astype(np.int32)
+
+
+def _of_one_width(words: list[str], width: int, lexicon: dict[str, tuple[int, ...]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    from xxhash import xxh64_intdigest
 
-    The word, its first 1 to 3 and last 1 to 4 characters, and its character trigrams with word
-    ends, hashed; trigrams share a strength of 2. One row for each language whose lexicon has the word.
-    """
     n = len(words)
-    chars = np.zeros((n, _WIDTH + 2), np.uint64)
-    plain = np.array([w[:_WIDTH] for w in words], f"U{_WIDTH}").view(np.uint32).reshape(n, _WIDTH)
-    chars[:, 1:-1] = plain
+    plain = np.array(words, f"U{width}").view(np.uint32).reshape(n, width)
     size = (plain > 0).sum(axis=1)
+    chars, at = np.zeros((n, width + 2), np.uint64), np.arange(n)
+    chars[:, 1:-1] = plain
     chars[:, 0] = 2
-    chars[np.arange(n), size + 1] = 3
-    mul = np.uint64(0x9E3779B97F4A7C15)
-
-    def mix(kind: int, *columns: np.ndarray) -> np.ndarray:
-        h = np.full(columns[0].shape, kind + 1, np.uint64)
-        for c in columns:
-            h = (h ^ c) * mul
-            h ^= h >> np.uint64(29)
-        return (h % np.uint64(_BUCKETS)).astype(np.int32)
-
-    rows, at = [], np.arange(n)
-    whole = np.zeros(n, np.uint64)
-    for i in range(_WIDTH):
-        whole = (whole ^ plain[:, i]) * mul
-        whole ^= whole >> np.uint64(31)
-    rows.append(mix(0, whole))
-    for k in (1, 2, 3):
-        rows.append(mix(k, *(chars[:, 1 + i] for i in range(k))))
-    for k in (1, 2, 3, 4):
-        rows.append(mix(10 + k, *(chars[at, np.maximum(size - i, 0)] for i in range(k))))
-    grams = mix(20, chars[:, :-2], chars[:, 1:-1], chars[:, 2:])
-    inside = np.arange(_WIDTH)[None, :] < size[:, None]
-    grams[~inside] = _BUCKETS
-    lexical = np.full((n, n_languages), _BUCKETS, np.int32)
-    known = [(i, j) for i, w in enumerate(words) for j in lexicon.get(w, ())]
-    if known:
-        i, j = np.array(known).T
-        lexical[i, j] = _BUCKETS + 1 + j
-    index = np.concatenate([np.stack(rows, axis=1), grams, lexical], axis=1)
+    chars[at, size + 1] = 3
+    rows = [_mixed(0, np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, n))]
+    for m in (1, 2, 3):
+        rows.append(_mixed(m, *(chars[:, min(1 + i, width + 1)] for i in range(m))))
+    for m in (1, 2, 3, 4):
+        rows.append(_mixed(10 + m, *(chars[at, np.maximum(size - i, 0)] for i in range(m))))
+    grams = _mixed(20, chars[:, :-2], chars[:, 1:-1], chars[:, 2:])
+    marks = np.zeros((n, k), bool)
+    for i, w in enumerate(words):
+        for j in lexicon.get(w, ()):
+            marks[i, j] = True
+    index = np.concatenate([np.stack(rows, axis=1), grams, np.broadcast_to(_BUCKETS + np.arange(k, dtype=np.int32), (n, k))], axis=1)
+    inside = np.concatenate([np.ones((n, len(rows)), bool), np.arange(width) < size[:, None], marks], axis=1)
     strength = np.ones(index.shape, np.float32)
-    strength[:, len(rows) : len(rows) + _WIDTH] = (2.0 / np.maximum(size, 1))[:, None]
-    return index, strength
+    strength[:, len(rows) : len(rows) + width] = (2.0 / np.maximum(size, 1))[:, None]
+    return index[inside], strength[inside], inside.sum(axis=1)
+
+
+def _places(first: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of the features of the words ``rows``, where word i has those from ``first[i]`` to ``first[i + 1]``."""
+    counts = first[rows + 1] - first[rows]
+    return np.repeat(first[rows] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def word_features(words: list[str], lexicon: dict[str, tuple[int, ...]], n_languages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature rows and their strengths, word after word, and where each word's begin (one place more than words).
+
+    The word, its first 1 to 3 and last 1 to 4 characters, and all its character trigrams with word
+    ends, hashed; trigrams share a strength of 2. One row for each language whose lexicon has the
+    word. Words of any length are read whole; those over 24 characters are taken one by one.
+    """
+    short = [i for i, w in enumerate(words) if len(w) <= _WIDTH]
+    long = [i for i, w in enumerate(words) if len(w) > _WIDTH]
+    parts = [_of_one_width([words[i] for i in short], _WIDTH, lexicon, n_languages)] if short else []
+    parts += [_of_one_width([words[i]], len(words[i]), lexicon, n_languages) for i in long]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64)
+    index, strength, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    if long:
+        place = np.argsort(np.array(short + long))
+        first = np.concatenate([[0], np.cumsum(counts)])
+        at = _places(first, place)
+        index, strength, counts = index[at], strength[at], counts[place]
+    return index, strength, np.concatenate([[0], np.cumsum(counts)])
 
 
 def _emissions(words: list[str], model: Model) -> np.ndarray:
     k = len(model.languages)
     out, columns = np.zeros((len(words), max(1, k)), np.float32), np.ascontiguousarray(model.weights.T)
     for at in range(0, len(words), 8192):
-        index, strength = word_features(words[at : at + 8192], model.lexicon, k)
+        index, strength, first = word_features(words[at : at + 8192], model.lexicon, k)
         for j in range(k):
-            out[at : at + 8192, j] = (columns[j][index] * strength).sum(axis=1)
+            out[at : at + 8192, j] = np.add.reduceat(columns[j][index] * strength, first[:-1])
     return out
 
 
@@ -152,11 +175,12 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, moves:
     return both / np.maximum(both.sum(axis=1, keepdims=True), 1e-300)
 
 
-def lexicon(df: DataFrame, per_language: int = 20_000, min_share: float = 0.8, min_count: int = 5) -> tuple[list[str], dict[str, tuple[int, ...]]]:
+def lexicon(df: DataFrame, min_share: float = 0.8, min_count: int = 5, min_rate: float = 2e-6) -> tuple[list[str], dict[str, tuple[int, ...]]]:
     """Languages of ``df`` (``text``, ``lang``), all of them, and the words that mark each one.
 
     Every word of every row is counted. A word marks a language that has ``min_share`` of its
-    uses; the ``per_language`` most used ones of each come to the driver.
+    uses, where these are ``min_count`` and ``min_rate`` of the language's words at least. So a
+    language has at most 1 / ``min_rate`` such words however large the table is; they come to the driver.
     """
     languages = [r.lang for r in df.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
 
@@ -165,52 +189,75 @@ def lexicon(df: DataFrame, per_language: int = 20_000, min_share: float = 0.8, m
             counts: dict[str, Counter] = {}
             for text, lang in zip(texts, langs, strict=True):
                 counts.setdefault(lang, Counter()).update(_words(text))
-            rows = [(w, lang, n) for lang, c in counts.items() for w, n in c.items() if len(w) <= _WIDTH]
+            rows = [(w, lang, n) for lang, c in counts.items() for w, n in c.items()]
             return dict(zip(("word", "lang", "n"), zip(*rows, strict=True), strict=True)) if rows else {"word": [], "lang": [], "n": []}
 
         return handle
 
     counts = arrow_rows(df, ["text", "lang"], make, "word string, lang string, n long")
-    uses = counts.groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    uses = staged(counts.groupBy("word", "lang").agg(F.sum("n").alias("n")), "word-uses")
+    words_of = {r.lang: r.n for r in uses.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     by_word = uses.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("uses")).where(F.col("total") >= min_count)
-    marks = staged(by_word.select("word", "total", F.inline("uses")).where(F.col("n") >= min_share * F.col("total")).select("word", "lang", "n"), "words")
+    marks = by_word.select("word", "total", F.inline("uses")).where(F.col("n") >= min_share * F.col("total"))
+    number = {lang: i for i, lang in enumerate(languages)}
     words: dict[str, tuple[int, ...]] = {}
-    for i, lang in enumerate(languages):
-        own = (i,)
-        for r in marks.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(per_language).select("word").collect():
-            words[r.word] = words[r.word] + own if r.word in words else own
+    for r in marks.where(F.col("n") >= min_rate * min(words_of.values(), default=0)).select("word", "lang", "n").toLocalIterator():
+        if r.n >= max(min_count * min_share, min_rate * words_of[r.lang]):
+            words[r.word] = (*words.get(r.word, ()), number[r.lang])
+    dropped(uses)
     return languages, words
 
 
-def train(df: DataFrame, id_col: str = "doc_id", docs_per_language: int = 400, words_per_doc: int = 1_024, epochs: int = 3, seed: int = 7) -> Model:
+def _training_blocks(rows: DataFrame, counts: dict[str, int], docs_per_language: int, blocks_per_doc: int) -> list:
+    """(lang, hash of the row, number, words) of blocks of 64 words drawn by hashes from the whole texts, in a fixed order."""
+    key = F.xxhash64(F.lit("crf"), "doc_id", "text")
+    cuts = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 53, (docs_per_language << 53) // n))))
+    picked = rows.select("text", "lang", key.alias("key")).where(F.pmod("key", F.lit(1 << 53)) < cuts[F.col("lang")])
+
+    def make():
+        from xxhash import xxh32_intdigest
+
+        def handle(texts, langs, keys):
+            out = {"lang": [], "key": [], "block": [], "words": []}
+            for text, lang, key in zip(texts, langs, keys, strict=True):
+                found = _words(text)
+                n = -(-len(found) // _BLOCK)
+                for b in range(n):
+                    if n <= blocks_per_doc or xxh32_intdigest(f"{key} {b}") < (blocks_per_doc << 32) // n:
+                        for name, v in zip(out, (lang, key, b, found[_BLOCK * b : _BLOCK * (b + 1)]), strict=True):
+                            out[name].append(v)
+            return out
+
+        return handle
+
+    got = arrow_rows(picked, ["text", "lang", "key"], make, "lang string, key long, block long, words array<string>")
+    return sorted({(r.lang, r.key, r.block): r.words for r in got.toLocalIterator()}.items())
+
+
+def train(df: DataFrame, id_col: str = "doc_id", docs_per_language: int = 400, blocks_per_doc: int = 16, epochs: int = 3, seed: int = 7) -> Model:
     """Fit on rows with ``text`` and a non-null ``lang`` outside fold 0.
 
-    The lexicon counts all of them. The weights learn from ``docs_per_language`` texts of each
-    language (the least by a hash of the id) of at most ``words_per_doc`` words each, cut
-    into sequences of 64 words; in a third of the sequences the tail is replaced by words of
-    another language, which is where the transitions learn to switch. The likelihood gradient
-    comes from forward-backward; steps follow AdaGrad.
+    The lexicon counts all of them. The weights learn from about ``docs_per_language`` texts of each
+    language, chosen by a hash of id and text (repeated rows count once), and from about
+    ``blocks_per_doc`` sequences of 64 words of each, drawn by hash from the whole text; in a
+    third of the sequences the tail is replaced by words of another language, which is where
+    the transitions learn to switch. The likelihood gradient comes from forward-backward; steps
+    follow AdaGrad. Languages may have any names; they are told apart by their exact strings.
     """
     rows = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).alias("doc_id"), "text", "lang")
     rows = rows.where(fold(F.col("doc_id")) != 0)
     languages, words = lexicon(rows.select("text", "lang"))
     k = len(languages)
     rng = np.random.default_rng(seed)
-    model = Model(languages, words, np.zeros((_BUCKETS + 1 + k, max(k, 1)), np.float32), np.zeros(max(k, 1)), np.full((max(k, 1), max(k, 1)), -2.0))
+    model = Model(languages, words, np.zeros((_BUCKETS + k, max(k, 1)), np.float32), np.zeros(max(k, 1)), np.full((max(k, 1), max(k, 1)), -2.0))
     np.fill_diagonal(model.moves, 0.0)
     if k < 2:
         return model
-    sequences, labels = [], []
-    for number, lang in enumerate(languages):
-        own = rows.where(F.col("lang") == lang)
-        count = own.select("doc_id").count()
-        share = min(1.0, docs_per_language / count)
-        picked = own.where(F.pmod(F.xxhash64(F.lit("crf"), F.col("doc_id")), F.lit(1_000_000)) < int(1_000_000 * share)).limit(docs_per_language)
-        for r in picked.select("text").toLocalIterator():
-            found = _words(r.text)[:words_per_doc]
-            for at in range(0, len(found), _BLOCK):
-                sequences.append(found[at : at + _BLOCK])
-                labels.append(np.full(len(sequences[-1]), number))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    blocks = _training_blocks(rows, counts, docs_per_language, blocks_per_doc)
+    number = {lang: i for i, lang in enumerate(languages)}
+    sequences = [found for _, found in blocks]
+    labels = [np.full(len(found), number[lang]) for (lang, _, _), found in blocks]
     order = rng.permutation(len(sequences))
     for i in order[: len(order) // 3]:
         j = int(rng.integers(len(sequences)))
@@ -223,7 +270,8 @@ def train(df: DataFrame, id_col: str = "doc_id", docs_per_language: int = 400, w
     parts = [word_features(vocabulary[a : a + 8192], words, k) for a in range(0, len(vocabulary), 8192)]
     if not parts:
         return model
-    index, strength = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    index, strength, sizes = (np.concatenate(x) for x in zip(*((i, s, np.diff(first)) for i, s, first in parts), strict=True))
+    first = np.concatenate([[0], np.cumsum(sizes)])
     sum_w, sum_s, sum_m = np.full(model.weights.shape, 1e-2, np.float32), np.full(k, 1e-2), np.full((k, k), 1e-2)
     sequences = [np.array([number_of[w] for w in s], np.int64) for s in sequences]
     for _ in range(epochs):
@@ -233,18 +281,18 @@ def train(df: DataFrame, id_col: str = "doc_id", docs_per_language: int = 400, w
             gold = np.concatenate([labels[i] for i in batch])
             lengths = np.array([len(sequences[i]) for i in batch])
             uniq, back = np.unique(np.concatenate([sequences[i] for i in batch]), return_inverse=True)
-            ix, st = index[uniq], strength[uniq]
-            emit = np.stack([(model.weights[:, j][ix] * st).sum(axis=1) for j in range(k)], axis=1)[back]
+            places, own = _places(first, uniq), sizes[uniq]
+            ix, st, heads = index[places], strength[places], np.cumsum(own) - own
+            emit = np.stack([np.add.reduceat(model.weights[:, j][ix] * st, heads) for j in range(k)], axis=1)[back]
             forward, backward, potentials, m = _sweeps(emit, lengths, model.start, model.moves)
             post = forward * backward
             post /= post.sum(axis=1, keepdims=True)
             error, scale = np.eye(k)[gold] - post, 1.0 / len(batch)
             for j in range(k):
                 by_word = np.bincount(back, error[:, j], len(uniq))
-                g = np.bincount(ix.ravel(), (st * by_word[:, None]).ravel(), len(model.weights)).astype(np.float32) * scale
+                g = np.bincount(ix, st * np.repeat(by_word, own), len(model.weights)).astype(np.float32) * scale
                 sum_w[:, j] += g * g
                 model.weights[:, j] += 0.2 * g / np.sqrt(sum_w[:, j])
-            model.weights[_BUCKETS] = 0
             begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             here = np.setdiff1d(np.arange(len(gold)), np.cumsum(lengths) - 1)
             pairs = forward[here][:, :, None] * m * (potentials * backward)[here + 1][:, None, :]
@@ -267,7 +315,7 @@ def _labeller(shared):
 
     def emissions(words: list[list[str]]) -> np.ndarray:
         nonlocal table
-        if len(cache) > 300_000:
+        if len(cache) * k > 1_200_000:
             cache.clear()
             table = table[:0]
         fresh = list(dict.fromkeys(w for ws in words for w in ws if w not in cache))
@@ -328,9 +376,10 @@ def keep_known(df: DataFrame, model: Model, text_col: str = "text", min_score: f
 
         def handle(texts):
             got = label(texts)
-            known = [c > 0 and c >= min_score for c in got["confidence"]] if learned else [bool(_WORD.search(t or "")) for t in texts]
-            return {"__known": known}
+            known = [c > 0 and c >= min_score for c in got["confidence"]] if learned else [bool(_words(t)) for t in texts]
+            return {added: known}
 
         return handle
 
-    return with_columns_from(df, [text_col], make, "__known boolean").where("__known").drop("__known")
+    added = fresh(df, "known")
+    return with_columns_from(df, [text_col], make, f"{added} boolean").where(added).drop(added)

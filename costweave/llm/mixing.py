@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costweave.llm.common import WORD, staged
+from costweave.llm.common import WORD, dropped, fresh, staged
 
 #: Rates are summed as integers of this many parts, so that reruns agree to the last copy.
 PARTS = 1 << 20
@@ -83,7 +83,7 @@ def mix(
     source_col: str = "source",
     base_col: str | None = None,
     max_rate: int = 3,
-    corrections: int = 8,
+    rows_per_slot: int = 100_000,
 ) -> DataFrame:
     """Copies of every document in a mix that meets its sources' token targets.
 
@@ -91,11 +91,12 @@ def mix(
     row of ``df``. Rates come from :func:`balance`; ``base_col`` (positive, 1 where absent or
     null) is the rate a document would have without constraints. Rounding: in each source
     and in order of falling size class, the running sum of rates is rounded and a document
-    gets the difference, so that the copies follow the rates all along the sizes. Then, at
-    most ``corrections`` times, each source adds or drops one copy of the largest document
-    that its remaining gap still holds. A null text has size 0; a null source is a source;
-    repeated rows count each; an empty table gives no rows. The same table gives the same
-    copies whatever its partitions.
+    gets the difference, so that the copies follow the rates all along the sizes. A class of a
+    source is dealt into slots of about ``rows_per_slot`` rows, so none is summed in one place.
+    Then each source adds or drops one copy of the document whose size is nearest to its
+    remaining gap, again and again until no single change makes any gap smaller. A null text
+    has size 0; a null source is a source; repeated rows count each; an empty table gives no
+    rows. The same table gives the same copies whatever its partitions.
     """
     base = F.coalesce(F.col(base_col).cast("double"), F.lit(1.0)) if base_col else F.lit(1.0)
     sizes = staged(
@@ -103,18 +104,22 @@ def mix(
         "sizes",
     )
     targets = staged(source_targets(sizes, max_rate), "targets")
-    cells = sizes.groupBy("source", "base").agg(F.sum("size").alias("size"))
+    cells = staged(sizes.groupBy("source", "base").agg(F.sum("size").alias("size")), "cells")
     tilts = balance(cells, targets, max_rate)
     plan = staged(targets.join(tilts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "plan")
 
     rate = F.least(F.lit(float(max_rate)), F.col("base") * F.exp("tilt"))
     size_class = F.when(F.col("size") > 0, F.floor(F.log2("size") * 8)).otherwise(-1).cast("int")
     spread = F.xxhash64("doc_id", "size")
-    rated = sizes.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
+    classed = sizes.withColumn("cls", size_class)
+    classes = classed.groupBy(F.col("source").alias("s"), F.col("cls").alias("c")).agg(F.ceil(F.count(F.lit(1)) / rows_per_slot).alias("slots"))
+    plan = plan.withColumnRenamed("source", "s").join(classes.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
+    plan = staged(plan, "classes")
+    rated = classed.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("cls") == F.col("c"))).select(
         "doc_id", "source", "size", "source_size", "target", rate.alias("rate"), F.round(rate * PARTS).cast("long").alias("parts"),
-        size_class.alias("cls"), F.pmod(spread, F.lit(64)).cast("int").alias("slot"), spread.alias("spread"),
+        "cls", F.pmod(spread, F.col("slots")).cast("int").alias("slot"), spread.alias("spread"),
     )
-    # Running sums in two levels: over at most a few thousand (class, slot) groups a source, then inside each group.
+    # Running sums in two levels: over the (class, slot) groups of a source, then inside each group.
     groups = rated.groupBy("source", "cls", "slot").agg(F.sum("parts").alias("group_parts"))
     before = F.sum("group_parts").over(Window.partitionBy("source").orderBy(F.desc("cls"), "slot")) - F.col("group_parts")
     groups = groups.select(F.col("source").alias("s"), F.col("cls").alias("c"), F.col("slot").alias("o"), before.alias("before"))
@@ -129,31 +134,40 @@ def mix(
             (F.floor((F.col("before") + F.col("upto") + half) / PARTS) - F.floor((F.col("before") + F.col("upto") - F.col("parts") + half) / PARTS)).cast("long").alias("copies"),
         )
     )
-    return _corrected(staged(rounded, "rounded"), max_rate, corrections).withColumn("taken", F.col("copies") * F.col("size")).select(
+    rounded = staged(rounded, "rounded")
+    dropped(sizes, targets, cells)
+    return _corrected(rounded, max_rate).withColumn("taken", F.col("copies") * F.col("size")).select(
         "doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken"
     )
 
 
 _KEY = ["cls", "slot", "pos"]
+#: Words by which a change must make a gap smaller; targets are fractions.
+_LEAST_GAIN = 1e-6
 
 
-def _corrected(rounded: DataFrame, max_rate: int, rounds: int) -> DataFrame:
-    """One copy more or less of one document a source and round, while that closes the gap."""
-    spark = rounded.sparkSession
-    changed = None
-    now = rounded
-    for _ in range(rounds):
+def _corrected(rounded: DataFrame, max_rate: int) -> DataFrame:
+    """One copy more or less of one document a source and round, as long as that makes a gap smaller.
+
+    A gap shrinks with each change, so the rounds end; rounding leaves gaps of about one document.
+    """
+    changed, now = None, rounded
+    while True:
         gaps = now.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
         here = now.join(gaps.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        fits = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap")) & F.when(F.col("gap") > 0, F.col("copies") < max_rate).otherwise(F.col("copies") > 0)
+        fits = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap") - _LEAST_GAIN) & F.when(F.col("gap") > 0, F.col("copies") < max_rate).otherwise(F.col("copies") > 0)
         best = F.min_by(F.struct(*_KEY, F.signum("gap").cast("long").alias("delta")), F.struct(F.abs(F.col("size") - F.abs("gap")), F.col("doc_id"), *_KEY))
-        picks = here.where(fits).groupBy("source").agg(best.alias("pick")).select("source", "pick.*")
-        picks = staged(picks, "picks")
+        picks = staged(here.where(fits).groupBy("source").agg(best.alias("pick")).select("source", "pick.*"), "picks")
         if picks.isEmpty():
-            break
-        changed = picks if changed is None else changed.union(picks)
+            dropped(picks)
+            return now
+        if changed is None:
+            changed = picks
+        else:
+            both = staged(changed.union(picks), "picks")
+            dropped(changed, picks)
+            changed = both
         now = _with_changes(rounded, changed)
-    return now
 
 
 def _with_changes(rounded: DataFrame, changed: DataFrame) -> DataFrame:
@@ -172,11 +186,11 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows are matched by id, source and size; rows alike in all three share their copies out in
     text order. Helper columns get names that ``df`` does not have.
     """
+    key, place, copies = (fresh(df, c) for c in ("mix_key", "mix_nth", "mix_copies"))
     plan = mix(df, id_col, text_col, source_col, **options)
-    key = F.to_json(F.struct("doc_id", "source", "size"))  # one string, so that nulls meet and texts are shuffled once
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.desc("copies")))
-    plan = plan.select(key.alias("__key"), "copies").withColumn("__nth", nth).where("copies > 0").select("__key", "__nth", F.col("copies").alias("__copies"))
+    plan = plan.select(F.to_json(F.struct("doc_id", "source", "size")).alias(key), F.col("copies").alias(copies))  # one string, so that nulls meet
+    plan = plan.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.desc(copies)))).where(F.col(copies) > 0)
     own_key = F.to_json(F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
-    own = df.withColumn("__key", own_key).withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(text_col)))
-    copies = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
-    return own.join(plan, ["__key", "__nth"]).withColumn("__copy", copies).select(*df.columns)
+    own = df.withColumn(key, own_key).withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(text_col)))
+    repeated = own.join(plan, [key, place]).select(*(F.col(f"`{c}`") for c in df.columns), F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies))
+    return repeated.drop(copies)

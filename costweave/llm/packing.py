@@ -68,7 +68,10 @@ def pack(
     entries at most, which is what the driver gets. Places inside a bucket come from counts by
     slot (a hash of the row; about ``rows_per_slot`` rows each), never from one sort of a
     bucket. Repeated rows are pieces of their own. Batches number from 0 in each bucket.
+    A ``token_budget`` below ``max_length`` could not hold one full piece and is an error.
     """
+    if not 0 < max_length <= token_budget:
+        raise ValueError("max_length is 1 or more and token_budget at least max_length")
     words = word_count(F.col(text_col))
     pieces = (
         df.select(F.col(id_col).alias("doc_id"), words.alias("words"))

@@ -75,7 +75,7 @@ def train(stats: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     """
     rows = stats.join(labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)"), "doc_id")
     rows = rows.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0")
-    got = hash_sample(rows, "doc_id", max_rows).select("stats", "y", "fold").toPandas()
+    got = hash_sample(rows, max_rows).orderBy("doc_id", "y", "stats").select("stats", "y", "fold").toPandas()
     x = np.array(got["stats"].tolist(), np.float64).reshape(len(got), len(STATISTICS))
     y, last = got["y"].to_numpy(float), (got["fold"] == 4).to_numpy()
     trees = gbt.train(x[~last], y[~last])

@@ -16,14 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Texts of the training folds with a label."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text").where(fold(F.col("doc_id")) != 0)
+    """Texts of the training folds with a label, and ``drawn``, a hash of each that is made before the join."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("drawn")).where(fold(F.col("doc_id")) != 0)
     labels = table(spark, sf_dir, "labels").select("doc_id", label).where(F.col(label).isNotNull())
     return documents.join(labels.hint("merge"), "doc_id")  # one strategy at every size: both sides grow
 
 
 def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.train(labelled(spark, sf_dir, "toxic"))
+    model = toxicity.train(labelled(spark, sf_dir, "toxic"), hash_col="drawn")
     scored = toxicity.score(table(spark, sf_dir, "documents"), model)
     return scored.select(
         "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),

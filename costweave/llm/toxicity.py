@@ -10,8 +10,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_hexdigest
 
-from costweave.llm.common import arrow_rows, fold, hash_sample, staged
+from costweave.llm.common import arrow_rows, dropped, fold, hash_sample, staged
 
 _WORD = re.compile(r"[^\W_]+")
 #: Units of a word: itself and its first 7 to 3 characters; the longest one that the model has scores it.
@@ -19,7 +20,8 @@ _PREFIXES = (7, 6, 5, 4, 3)
 
 
 def _units(word: str):
-    yield word
+    """Word, then its first characters; a word over 40 characters stands as a hash of itself."""
+    yield word if len(word) <= 40 else f"{xxh64_hexdigest(word)}..."
     for n in _PREFIXES:
         if len(word) > n:
             yield word[:n] + "*"
@@ -97,13 +99,15 @@ def _features(best: float, count: int, rest: float) -> tuple[float, float, float
     return 1.0, max(-10.0, min(40.0, best)) / 10, math.log1p(count), math.log1p(max(0.0, rest)) / 3
 
 
-def log_odds(labelled: DataFrame, prior_mass: float = 10.0, least: float = 0.5, min_z: float = 3.0, min_count: int = 5, max_units: int = 200_000) -> dict[str, float]:
+def log_odds(labelled: DataFrame, prior_mass: float = 10.0, least: float = 0.5, min_z: float = 3.0, min_count: int = 5, min_share: float = 2e-5) -> dict[str, float]:
     """Log-odds of units between toxic and other texts under Dirichlet priors.
 
     ``labelled`` has ``text`` and ``toxic`` (0 or 1); every row counts, a unit once a text, so that one
     text that repeats a word proves nothing. The prior of a unit is ``prior_mass`` times its
     share of both classes plus ``least``. Units count where their log-odds are ``min_z`` standard
-    deviations from 0; the ``max_units`` surest ones come to the driver.
+    deviations from 0 and where ``min_count`` texts and a ``min_share`` of all texts have them. So
+    those that come to the driver number at most the mean count of distinct units in a text
+    over ``min_share``, however large the table is.
     """
 
     def make():
@@ -112,8 +116,7 @@ def log_odds(labelled: DataFrame, prior_mass: float = 10.0, least: float = 0.5,
             for text, label in zip(texts, toxic, strict=True):
                 units: set[str] = set()
                 for word in set(_WORD.findall((text or "").lower())):
-                    if len(word) <= 40:
-                        units.update(_units(word))
+                    units.update(_units(word))
                 by_class[label].update(units)
             every = list(dict.fromkeys([*by_class[0], *by_class[1]]))
             return {"unit": every, "n0": [by_class[0][u] for u in every], "n1": [by_class[1][u] for u in every]}
@@ -122,6 +125,7 @@ def log_odds(labelled: DataFrame, prior_mass: float = 10.0, least: float = 0.5,
 
     counts = arrow_rows(labelled, ["text", "toxic"], make, "unit string, n0 long, n1 long").groupBy("unit").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counts = staged(counts.where(F.col("n0") + F.col("n1") >= min_count), "units")
+    texts = labelled.count()
     whole = counts.where(~F.col("unit").endswith("*")).agg(F.sum("n0"), F.sum("n1")).first()
     t0, t1 = float(whole[0] or 0), float(whole[1] or 0)
     if not t0 or not t1:
@@ -131,8 +135,10 @@ def log_odds(labelled: DataFrame, prior_mass: float = 10.0, least: float = 0.5,
     logit = [F.ln((F.col(n) + prior) / F.greatest(F.lit(least), t + mass - F.col(n) - prior)) for n, t in (("n0", t0), ("n1", t1))]
     delta = logit[1] - logit[0]
     z = delta / F.sqrt(1 / (F.col("n0") + prior) + 1 / (F.col("n1") + prior))
-    rows = counts.select("unit", delta.alias("odds"), F.abs(z).alias("z")).where(F.col("z") >= min_z).orderBy(F.desc("z"), "unit").limit(max_units)
-    return {r.unit: r.odds for r in rows.collect()}
+    rows = counts.select("unit", delta.alias("odds"), F.abs(z).alias("z"), (F.col("n0") + F.col("n1")).alias("n"))
+    odds = {r.unit: r.odds for r in rows.where((F.col("z") >= min_z) & (F.col("n") >= min_share * texts)).toLocalIterator()}
+    dropped(counts)
+    return odds
 
 
 def _karlin_scale(values: np.ndarray, counts: np.ndarray) -> float:
@@ -162,19 +168,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40
     return w
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", cost: float = 0.5, max_calibration_rows: int = 4000, seed_odds: dict[str, float] | None = None) -> Model:
+def train(labelled: DataFrame, id_col: str = "doc_id", cost: float = 0.5, max_calibration_rows: int = 4000, seed_odds: dict[str, float] | None = None, hash_col: str | None = None) -> Model:
     """Fit on rows with ``text`` and ``toxic``; rows of fold 0 must not be among them.
 
     Token counts take all rows of folds 1 to 3. The Gumbel parameters and the logistic weights
     take at most ``max_calibration_rows`` rows of fold 4, whose tokens were not counted: the
     scale solves the score distribution of label-0 texts, the size matches the mean of
     their best segments, the logistic regression maps the statistics to the label.
-    Without both labels every score is the share of label 1.
+    Without both labels every score is the share of label 1. Calibration rows are drawn by ``hash_col``,
+    or by a hash of id, text and label; either way they do not depend on partitions or order.
     """
-    clean = labelled.where(F.col("toxic").isin(0, 1)).select(F.col(id_col).alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"), fold(F.col(id_col)).alias("fold"))
+    drawn = F.col(hash_col) if hash_col else F.xxhash64(F.col(id_col), "text", "toxic")
+    clean = labelled.where(F.col("toxic").isin(0, 1)).select(
+        F.col(id_col).alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"), fold(F.col(id_col)).alias("fold"), drawn.alias("drawn")
+    )
     odds = seed_odds if seed_odds is not None else log_odds(clean.where("fold <> 4"))
     model = Model(odds, cost)
-    rows = hash_sample(clean.where("fold = 4"), "doc_id", max_calibration_rows)
+    rows = hash_sample(clean.where("fold = 4"), max_calibration_rows, ["drawn"])
+    rows = staged(rows.select("text", "toxic"), "calibration")
 
     def tokens(m: Model) -> DataFrame:
         def make():
@@ -193,7 +204,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", cost: float = 0.5, max_ca
 
         return arrow_rows(rows, ["text", "toxic"], make, "toxic int, n long, best double, sums array<long>, edges array<double>")
 
-    got = tokens(model).collect()
+    got = sorted(tokens(model).collect(), key=tuple)
     zero = [r for r in got if r.toxic == 0 and r.n]
     if not zero or all(r.toxic == 0 for r in got):
         share = (sum(r.toxic for r in got) + 0.5) / (len(got) + 1)
@@ -207,10 +218,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", cost: float = 0.5, max_ca
     model.scale = _karlin_scale(np.array(edges, float), np.array([histogram[e] for e in edges], float))
     model.size = math.exp(min(20.0, max(-20.0, float(np.mean([model.scale * r.best - math.log(r.n) for r in zero]) - 0.5772))))
     x, y = [], []
-    for r in _statistics_rows(rows, model).collect():
+    for r in sorted(_statistics_rows(rows, model).collect(), key=tuple):
         x.append(_features(r.best, r.passages, r.rest))
         y.append(r.toxic)
     model.weights = tuple(_logistic(np.array(x), np.array(y, float)).tolist())
+    dropped(rows)
     return model
 
 

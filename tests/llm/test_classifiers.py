@@ -163,8 +163,8 @@ def test_every_language_has_words_and_a_label(spark):
     languages, words = langid.lexicon(spark.createDataFrame(rows, "doc_id long, text string, lang string").select("text", "lang"))
     assert len(languages) == 70 and len(words) == 210
     assert {(w, languages[j]) for w, js in words.items() for j in js} == {(w, lang) for _, text, lang in rows for w in text.split()}
-    index, _ = langid.word_features(["aaong", "crike", "none"], words, 70)
-    marked = [{int(v) - langid._BUCKETS - 1 for v in r[-70:] if v > langid._BUCKETS} for r in index]
+    index, _, first = langid.word_features(["aaong", "crike", "none"], words, 70)
+    marked = [{int(v) - langid._BUCKETS for v in index[a:b] if v >= langid._BUCKETS} for a, b in itertools.pairwise(first)]
     assert marked == [set(words["aaong"]), set(words["crike"]), set()]
 
 
