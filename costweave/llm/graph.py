@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costweave.llm.common import staged
+from costweave.llm.common import dropped, staged
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         before = state
-        pairs = staged(_small_star(_large_star(pairs)), "edges")
+        moved = staged(_small_star(_large_star(pairs)), "edges")
+        dropped(pairs)
+        pairs = moved
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

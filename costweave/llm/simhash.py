@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costweave.llm.common import ASCII_LOWER, arrow_rows, staged
+from costweave.llm.common import ASCII_LOWER, arrow_rows, dropped, staged
 from costweave.llm.graph import components
 
 SEED = 42
@@ -128,12 +128,23 @@ def near_duplicates(
     unless a component has no other (then it is null). An empty table gives no rows.
     """
     docs = staged(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    first = docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    first = staged(first, "distinct-fingerprints")
+    first = staged(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     roots = components(near_links(first.select("fp"), max_bits, crowd)).withColumnRenamed("node", "fp")
     known = staged(first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     least = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    group_of = known.join(least, "root").select("fp", "component_id")
-    return docs.join(group_of, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    group_of = staged(known.join(least, "root").select("fp", "n", "component_id"), "groups")
+    dropped(first, known)
+    rows = group_of.agg(F.sum("n")).first()[0] or 0
+    return with_groups(docs, group_of, "fp", rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def with_groups(rows: DataFrame, group_of: DataFrame, key: str, n_rows: int, most_hot: int = 10_000) -> DataFrame:
+    """``rows`` with the ``component_id`` that ``group_of`` (one row a ``key``, which comes ``n`` times) has for their key.
+
+    A key that holds more than one of ``most_hot`` parts of all rows (and 10,000 rows) is hot; there are at most
+    ``most_hot`` of these, which is the bound of what is broadcast to their rows. The others meet in a shuffle.
+    """
+    hot = group_of.where(F.col("n") > max(10_000, n_rows // most_hot)).select(key, "component_id")
+    cold = group_of.where(F.col("n") <= max(10_000, n_rows // most_hot)).select(key, "component_id")
+    few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(few)

@@ -4,7 +4,8 @@ import random
 import pytest
 
 import corpus_pipeline
-from costweave.llm import resemblance, simhash
+from costweave.llm import simhash
+from costweave.llm import copies as near
 
 from .conftest import prose, row
 
@@ -53,9 +54,9 @@ def copies(spark, docs):
 
 @pytest.mark.parametrize("crowd", [1, 16])
 def test_groups_against_all_pairs(copies, empty, crowd):
-    got = {r.doc_id: r.component_id for r in resemblance.near_groups(copies, crowd=crowd).collect()}
+    got = {r.doc_id: r.component_id for r in near.near_groups(copies, crowd=crowd).collect()}
     assert got == brute({r.doc_id: r.text for r in copies.collect()})
-    assert resemblance.near_groups(empty).count() == 0
+    assert near.near_groups(empty).count() == 0
 
 
 def test_the_stage_drops_near_copies_beyond_two_bits(spark, copies):
