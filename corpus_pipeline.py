@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costweave.llm import langid, mixing, packing, pii, resemblance
+from costweave.llm import copies, langid, mixing, packing, pii
 from costweave.llm.common import staged
 
 
@@ -21,8 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (5-word shingles, similarity 0.8) the document with the smallest id stays."""
-    groups = resemblance.near_groups(docs.select("doc_id", "text"), min_similarity=0.8, shingle=5)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return copies.without_near_copies(docs, min_similarity=0.8, shingle=5).select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
