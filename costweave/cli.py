@@ -12,6 +12,7 @@ from costweave import config
 from costweave.operators import basket, classify, committed, forecast, indices, matching, pairs, panel, quality, regression
 from costweave.operators.clean import clean_lines, flag_duplicates
 from costweave.plans.sinks import write_package
+from costweave.plans.stages import staged, tuned
 from costweave.sources import files, star_schema
 
 
@@ -28,9 +29,11 @@ def run_tables(lines: DataFrame, resolved: config.Resolved) -> tuple[dict[str, D
     classified = classify.classify_lines(cleaned, resolved)
     latest = classified.agg(F.max("effective_date")).first()[0]
     base, _ = config.resolve_dates(c, latest)
-    known = classify.label_categories_at(classified.where(F.col("effective_date") <= F.lit(base)), base).persist()
-    daily = panel.realized_daily(known, base, c.same_day_price_aggregation).persist()
-    weighted = pairs.pair_weights(pairs.flag_extremes(pairs.adjacent_pairs(daily, c.historical_min_pair_gap_days)), c.pair_weight_method).persist()
+    known = classify.label_categories_at(classified.where(F.col("effective_date") <= F.lit(base)), base)
+    known = staged(known, "known")
+    daily = staged(panel.realized_daily(known, base, c.same_day_price_aggregation), "daily")
+    adjacent = staged(pairs.adjacent_pairs(daily, c.historical_min_pair_gap_days), "pairs")
+    weighted = staged(pairs.pair_weights(pairs.flag_extremes(adjacent), c.pair_weight_method), "weighted")
     n = weighted.count()
     if n < 50:
         raise ValueError(f"only {n} repeat-purchase pairs; 50 are needed")
@@ -46,7 +49,7 @@ def run_tables(lines: DataFrame, resolved: config.Resolved) -> tuple[dict[str, D
     tables = {
         "monthly_rates": rates, "monthly_index": index, "fiscal_and_trailing_rates": regression.fiscal_and_trailing_rates(index, base, c.fiscal_year_start_month), "bucket_weights": weights,
         "coverage": quality.coverage_table(weighted, known, base), "committed_detail": detail, "committed_signal": signal, "bucket_forecast": bucket, "composite_forecast": composite,
-        "data_quality": quality.data_quality(classified, daily, weighted), "exclusions": quality.exclusion_log(classified), "family_candidates": matching.family_candidates(known),
+        "data_quality": quality.data_quality(classified, daily, weighted), "exclusions": quality.exclusion_log(classified), "family_candidates": matching.family_candidates(staged(matching.part_stats(known), "parts")),
         **indices.all_benchmarks(daily, c.fiscal_year_start_month),
     }
     return tables, {"base_date": base, "pairs": n, "sigma": model.sigma, "gamma": model.gamma0, "warnings": model.warnings, "controls": vars(c), "sources": resolved.sources}
@@ -61,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--config")
     p.add_argument("--base-date", type=date.fromisoformat)
     args = p.parse_args(argv)
-    spark = SparkSession.builder.getOrCreate()
+    spark = tuned(SparkSession.builder.getOrCreate())
     own = {"base_date": args.base_date}
     resolved = config.load(args.config, own) if args.config else config.resolve({}, own)
     lines = _lines(spark, args)
@@ -70,7 +73,8 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "validate":
         quality.profile(clean_lines(lines, resolved.controls)).show(truncate=False)
     elif args.command == "propose-mappings":
-        write_package({"family_candidates": matching.family_candidates(classify.classify_lines(clean_lines(lines, resolved.controls), resolved))}, args.output, {})
+        parts = staged(matching.part_stats(classify.classify_lines(clean_lines(lines, resolved.controls), resolved)), "parts")
+        write_package({"family_candidates": matching.family_candidates(parts)}, args.output, {})
     else:
         tables, summary = run_tables(lines, resolved)
         write_package(tables, args.output, summary)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from costweave.config import Controls
 from costweave.functions import columns as C
+from costweave.operators.quantiles import beside, percentiles
 
 
 def latest_complete_fiscal_year(base: date, start_month: int = 10) -> int:
@@ -76,14 +77,15 @@ def holdout_basket(daily: DataFrame, cutoff: date, horizon_months: int = 12, con
     stale = m.agg(F.count_if(F.col("gap_days") > c.backtest_max_actual_gap_days).alias("stale_excluded"))
     m = m.where((F.col("gap_days") > 0) & (F.col("gap_days") <= c.backtest_max_actual_gap_days))
     m = m.withColumn("raw_log", F.ln(F.col("price_actual") / F.col("price_base"))).withColumns({"log_h": F.col("raw_log") * horizon / F.col("gap_days"), "w0": F.greatest(F.coalesce("spend", "price_base"), F.lit(0.0))})
-    q = F.array(F.lit(c.benchmark_winsor_lower), F.lit(c.benchmark_winsor_upper))
-    stats = m.agg(F.percentile("log_h", q).alias("q"), F.percentile("raw_log", q).alias("rq"), F.percentile("w0", F.lit(0.95)).alias("cap"))
+    q = {"low": c.benchmark_winsor_lower, "high": c.benchmark_winsor_upper}
+    wanted = {f"{name}_{end}": (F.col(of), p) for name, of in (("q", "log_h"), ("rq", "raw_log")) for end, p in q.items()}
+    stats = percentiles(m, [], wanted | {"cap": (F.col("w0"), 0.95)})
     low, high = F.ln(F.lit(c.extreme_ratio_low)), F.ln(F.lit(c.extreme_ratio_high))
     m = m.join(F.broadcast(stats)).join(F.broadcast(stale))
-    bound = lambda x, q: F.exp(F.greatest(F.least(x, F.least(q[1], high)), F.greatest(q[0], low)))
+    bound = lambda x, q: F.exp(F.greatest(F.least(x, F.least(F.col(f"{q}_high"), high)), F.greatest(F.col(f"{q}_low"), low)))
     m = m.withColumns(
         {
-            "actual_multiplier": bound(F.col("log_h"), F.col("q")), "unscaled_multiplier": bound(F.col("raw_log"), F.col("rq")), "raw_multiplier": F.exp("log_h"),
+            "actual_multiplier": bound(F.col("log_h"), "q"), "unscaled_multiplier": bound(F.col("raw_log"), "rq"), "raw_multiplier": F.exp("log_h"),
             "extreme": (F.col("log_h") < low) | (F.col("log_h") > high), "w1": F.least("w0", "cap"),
         }
     )
@@ -91,7 +93,7 @@ def holdout_basket(daily: DataFrame, cutoff: date, horizon_months: int = 12, con
     m = m.join(F.broadcast(everywhere))
     return m.withColumns(
         {"pre_robust_weight": C.ratio(F.col("w1"), F.col("s1")), "weight": C.ratio(F.col("w1") * F.when(F.col("extreme"), 0.25).otherwise(1.0), F.col("s2"))}
-    ).drop("q", "rq", "cap", "w0", "w1", "s1", "s2", "log_h", "raw_log")
+    ).drop(*wanted, "cap", "w0", "w1", "s1", "s2", "log_h", "raw_log")
 
 
 def category_actuals(holdout: DataFrame, weights: DataFrame) -> DataFrame:
@@ -110,9 +112,9 @@ def forecast_metrics(df: DataFrame, by: list[str], actual: str = "actual", predi
     aggs = [
         F.try_divide(F.sum(w * F.abs(p - y)), F.nullif(F.sum(w * y), F.lit(0.0))).alias("wape"),
         F.try_divide(F.sum(F.when(good, w * F.abs(F.ln(p) - F.ln(y)))), F.nullif(F.sum(F.when(good, w)), F.lit(0.0))).alias("wale"),
-        F.median(F.when(y > 0, F.abs((p - y) / y))).alias("mdape"),
         F.avg(F.when(good & (b > 0), (F.signum(y - b) == F.signum(p - b)).cast("double"))).alias("directional_accuracy"),
     ]
     if low and high:
         aggs.append(F.avg(F.when(F.col(low).isNotNull() & F.col(high).isNotNull() & y.isNotNull(), y.between(F.col(low), F.col(high)).cast("double"))).alias("interval_coverage"))
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    middle = percentiles(df, by, {"mdape": (F.when(y > 0, F.abs((p - y) / y)), 0.5)})
+    return beside(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs), middle, by)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from costweave.functions import columns as C
 from costweave.operators.panel import realized_rows
+from costweave.operators.quantiles import beside, percentiles
 
 
 def asof_prior(open_rows: DataFrame, realized: DataFrame) -> DataFrame:
@@ -53,12 +54,13 @@ def committed_signal(detail: DataFrame, low: float = 0.01, high: float = 0.99, c
     """
     both = detail.withColumn("category", F.explode(F.array("direct_category", F.lit("Overall Direct Costs"))))
     ok = F.col("annual_log_change").isNotNull() & (F.col("open_weight") > 0)
-    stats = both.where(ok).groupBy("category").agg(F.percentile("annual_log_change", F.array(F.lit(low), F.lit(high))).alias("q"), F.percentile("open_weight", F.lit(cap_at)).alias("cap"))
-    joined = both.join(stats, "category", "left")
+    change, weight = F.when(ok, F.col("annual_log_change")), F.when(ok, F.col("open_weight"))
+    stats = percentiles(both, ["category"], {"q_low": (change, low), "q_high": (change, high), "cap": (weight, cap_at)})
+    joined = beside(both, stats, ["category"])
     w = F.when(ok, F.least("open_weight", "cap"))
     g = joined.groupBy("category").agg(
         F.count(F.lit(1)).alias("open_rows"), F.count_if(ok).alias("matched_rows"), F.sum("open_weight").alias("open_value"), F.sum(F.when(ok, F.col("open_weight")).otherwise(0.0)).alias("matched_open_value"),
-        F.try_divide(F.sum(w * C.clip(F.col("annual_log_change"), F.col("q")[0], F.col("q")[1])), F.sum(w)).alias("annual_log_signal"),
+        F.try_divide(F.sum(w * C.clip(F.col("annual_log_change"), F.col("q_low"), F.col("q_high"))), F.sum(w)).alias("annual_log_signal"),
     )
     total = detail.agg(F.sum("open_weight").alias("all_open"))
     return g.join(F.broadcast(total)).select(

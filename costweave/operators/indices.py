@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costweave.functions import columns as C
-from costweave.operators.panel import part_windows, window_spend
+from costweave.operators.panel import window_values
+from costweave.operators.quantiles import percentiles
 
 
 def links(panel: DataFrame) -> DataFrame:
@@ -24,19 +25,22 @@ def matched_changes(panel: DataFrame, low: float = 0.01, high: float = 0.99, cap
     """Matched-part changes of each period: plain, winsorised and capped-spend-weighted means, coverage."""
     nn = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0))
     rows = links(panel).withColumn("w0", F.sqrt(nn("spend") * nn("spend_0")))
-    by = rows.groupBy("period_start").agg(F.percentile("r", F.array(F.lit(low), F.lit(high))).alias("q"), F.sum("w0").alias("w_sum"), F.percentile("w0", F.lit(cap_at)).alias("cap0"))
+    r, w0 = F.col("r"), F.col("w0")
+    order = percentiles(rows, ["period_start"], {"q_low": (r, low), "q_high": (r, high), "m": (r, 0.5), "cap0": (w0, cap_at)})
+    by = rows.groupBy("period_start").agg(F.sum("w0").alias("w_sum")).join(order, "period_start")
     rows = rows.join(by, "period_start")
     plain = F.col("w_sum") <= 0
-    rows = rows.withColumn("w", F.when(plain, 1.0).otherwise(F.least("w0", "cap0"))).withColumn("rw", C.clip(F.col("r"), F.col("q")[0], F.col("q")[1]))
+    rows = rows.withColumn("w", F.when(plain, 1.0).otherwise(F.least("w0", "cap0"))).withColumn("rw", C.clip(r, F.col("q_low"), F.col("q_high")))
     total = panel.groupBy("period_start").agg(F.sum("spend").alias("total_spend"))
     out = rows.groupBy("period_start").agg(
         F.first("period_end").alias("period_end"), F.count(F.lit(1)).alias("match_count"), F.sum("w0").alias("matched_spend"), F.sum(F.coalesce("spend", F.lit(0.0))).alias("current_matched_spend"),
-        F.median("r").alias("m"), F.avg("r").alias("a"), F.avg("rw").alias("aw"), (F.sum(F.col("w") * F.col("rw")) / F.sum("w")).alias("sw"), F.first("q").alias("q"),
+        F.first("m").alias("m"), F.avg("r").alias("a"), F.avg("rw").alias("aw"), (F.sum(F.col("w") * F.col("rw")) / F.sum("w")).alias("sw"),
+        F.first("q_low").alias("winsor_low"), F.first("q_high").alias("winsor_high"),
     ).join(total, "period_start")
     return out.select(
         "period_start", "period_end", "match_count", "matched_spend", "current_matched_spend", "total_spend",
         F.when(F.col("total_spend") > 0, F.col("current_matched_spend") / F.col("total_spend")).alias("coverage"), F.expm1("m").alias("median_change"), F.expm1("a").alias("equal_change"),
-        F.expm1("aw").alias("winsor_equal_change"), F.expm1("sw").alias("capped_spend_change"), F.col("q")[0].alias("winsor_low"), F.col("q")[1].alias("winsor_high"),
+        F.expm1("aw").alias("winsor_equal_change"), F.expm1("sw").alias("capped_spend_change"), "winsor_low", "winsor_high",
     )
 
 
@@ -83,61 +87,88 @@ def all_benchmarks(daily: DataFrame, start_month: int = 10) -> dict[str, DataFra
     return out
 
 
-def matched_basket(scoped: DataFrame, windows: DataFrame, comparisons: DataFrame, by: list[str] | None = None, low: float = 0.01, high: float = 0.99, cap_at: float = 0.95) -> DataFrame:
-    """Parts bought in both windows of each comparison, with relatives, shares, weights and flags.
+def matched_parts(values: DataFrame, comparisons: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Parts bought in both windows of each comparison: values of both sides, log relative, spends and their root product.
 
-    ``windows`` has ``label, start, end``; ``comparisons`` has ``comparison, a, b`` (window labels). All
-    comparisons (and groups ``by``) are worked in one plan. Order statistics come from one
-    aggregation a step and join back on the comparison, a table of a few rows.
+    ``values`` is :func:`window_values`, ``comparisons`` has ``comparison, a, b`` (window labels). A part's windows
+    are paired by one aggregation over its comparisons.
     """
     keys = [*(by or []), "comparison"]
-    values = part_windows(scoped, windows, by)
-    side = lambda s: values.join(F.broadcast(comparisons.limit(1000)), F.col("label") == F.col(s)).select(
-        *keys, "part_key", *(F.col(c).alias(f"{c}_{s}") for c in ("price", "spend", "qty", "line_count", "price_dispersion")), *(["description_norm", "hist_category", "description_1"] if s == "b" else [])
+    ends = F.array(*(F.struct(F.col(s).alias("label"), F.lit(s).alias("side")) for s in ("a", "b")))
+    sides = comparisons.select("comparison", F.inline(ends))
+    rows = values.where("line_count > 0").join(sides, "label")
+    a, b = F.col("side") == "a", F.col("side") == "b"
+    pick = lambda c, on: F.max(F.when(on, F.col(c)))
+    m = rows.groupBy(*keys, "part_key").agg(
+        *(pick(c, on).alias(f"{c}_{s}") for s, on in (("a", a), ("b", b)) for c in ("price", "spend", "qty", "line_count", "price_dispersion")),
+        *(pick(c, b).alias(c) for c in ("description_norm", "hist_category", "description_1")),
     )
-    m = side("a").join(side("b"), [*keys, "part_key"]).withColumn("r", F.ln(F.col("price_b") / F.col("price_a")))
+    m = m.where(F.col("price_a").isNotNull() & F.col("price_b").isNotNull()).withColumn("r", F.ln(F.col("price_b") / F.col("price_a")))
     m = m.withColumns({"va": F.greatest("spend_a", F.lit(0.0)), "vb": F.greatest("spend_b", F.lit(0.0))}).withColumn("h", F.sqrt(F.col("va") * F.col("vb")))
-    first = m.groupBy(*keys).agg(
-        F.percentile("r", F.array(F.lit(low), F.lit(high))).alias("q"), F.sum("va").alias("sa"), F.sum("vb").alias("sb"), F.percentile("h", F.lit(cap_at)).alias("h_cap")
-    )
-    m = m.join(first, keys)
+    similar = F.try_divide(F.col("qty_b"), F.nullif(F.col("qty_a"), F.lit(0.0)))
+    comparable = (F.col("qty_a") > 0) & (F.col("qty_b") > 0) & similar.between(0.5, 2.0)
+    return m.withColumns({"qty_comparable": F.coalesce(comparable, F.lit(False)), "no_price_change": F.abs("r") < 1e-12})
+
+
+def weighted_basket(
+    matched: DataFrame, values: DataFrame, comparisons: DataFrame, by: list[str] | None = None, low: float = 0.01, high: float = 0.99, cap_at: float = 0.95
+) -> DataFrame:
+    """:func:`matched_parts` of ``values`` with shares, capped weights, winsorised relatives and coverage.
+
+    Both are read several times and should be written tables; ``matched`` has one row a part and comparison.
+    """
+    scope_spend = values.groupBy(*(by or []), "label").agg(F.sum("scope_spend").alias("scope_spend"))
+    keys = [*(by or []), "comparison"]
+    r = F.col("r")
+    order = percentiles(matched, keys, {"winsor_low": (r, low), "winsor_high": (r, high), "h_cap": (F.col("h"), cap_at)})
+    sums = matched.groupBy(*keys).agg(F.sum("va").alias("sa"), F.sum("vb").alias("sb"))
+    m = matched.join(order.join(sums, keys), keys)
     m = m.withColumns(
         {
-            "r_w": C.clip(F.col("r"), F.col("q")[0], F.col("q")[1]), "is_outlier": (F.col("r") < F.col("q")[0]) | (F.col("r") > F.col("q")[1]),
+            "r_w": C.clip(r, F.col("winsor_low"), F.col("winsor_high")), "is_outlier": (r < F.col("winsor_low")) | (r > F.col("winsor_high")),
             "s_bar": (C.ratio(F.col("va"), F.col("sa")) + C.ratio(F.col("vb"), F.col("sb"))) / 2, "h_capped": F.least("h", "h_cap"),
         }
     )
-    second = m.groupBy(*keys).agg(F.percentile("s_bar", F.lit(cap_at)).alias("weight_cap"), F.sum("h_capped").alias("h_sum"))
-    m = m.join(second, keys).withColumn("s_capped", F.least("s_bar", "weight_cap"))
-    third = m.groupBy(*keys).agg(F.sum("s_capped").alias("s_sum"))
-    totals = window_spend(scoped, windows, by)
-    scope = lambda s: totals.join(F.broadcast(comparisons.limit(1000)), F.col("label") == F.col(s)).select(*keys, F.col("scope_spend").alias(f"scope_{s}"))
-    m = m.join(third, keys).join(scope("a"), keys, "left").join(scope("b"), keys, "left")
-    similar = F.try_divide(F.col("qty_b"), F.nullif(F.col("qty_a"), F.lit(0.0)))
+    m = m.join(percentiles(m, keys, {"weight_cap": (F.col("s_bar"), cap_at)}), keys).withColumn("s_capped", F.least("s_bar", "weight_cap"))
+    capped = m.groupBy(*keys).agg(F.sum("s_capped").alias("s_sum"), F.sum("h_capped").alias("h_sum"))
+    scope = lambda s: scope_spend.join(comparisons, F.col("label") == F.col(s)).select(*keys, F.col("scope_spend").alias(f"scope_{s}"))
+    m = m.join(capped, keys).join(scope("a"), keys, "left").join(scope("b"), keys, "left")
     return m.select(
         *keys, "part_key", "description_norm", "hist_category", "description_1", "price_a", "price_b", "spend_a", "spend_b", "qty_a", "qty_b", "line_count_a", "line_count_b", "r", "r_w", "is_outlier",
-        F.col("q")[0].alias("winsor_low"), F.col("q")[1].alias("winsor_high"), "s_bar", "weight_cap", C.ratio(F.col("s_capped"), F.col("s_sum")).alias("s_tilde"), C.ratio(F.col("h_capped"), F.col("h_sum")).alias("h_tilde"),
-        F.coalesce((F.col("qty_a") > 0) & (F.col("qty_b") > 0) & similar.between(0.5, 2.0), F.lit(False)).alias("qty_comparable"), (F.abs("r") < 1e-12).alias("no_price_change"),
-        C.ratio(F.col("sa"), F.col("scope_a")).alias("coverage_a"), C.ratio(F.col("sb"), F.col("scope_b")).alias("coverage_b"),
+        "winsor_low", "winsor_high", "s_bar", "weight_cap", C.ratio(F.col("s_capped"), F.col("s_sum")).alias("s_tilde"), C.ratio(F.col("h_capped"), F.col("h_sum")).alias("h_tilde"),
+        "qty_comparable", "no_price_change", C.ratio(F.col("sa"), F.col("scope_a")).alias("coverage_a"), C.ratio(F.col("sb"), F.col("scope_b")).alias("coverage_b"),
     )
 
 
+def matched_basket(
+    scoped: DataFrame, windows: DataFrame, comparisons: DataFrame, by: list[str] | None = None, low: float = 0.01, high: float = 0.99, cap_at: float = 0.95
+) -> DataFrame:
+    """All steps in one plan, for small inputs; larger ones write ``values`` and the matched parts in between."""
+    values = window_values(scoped, windows, by)
+    return weighted_basket(matched_parts(values, comparisons, by), values, comparisons, by, low, high, cap_at)
+
+
 def index_variants(matched: DataFrame, by: list[str] | None = None, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """The headline (winsorised, capped Törnqvist) and six other means of each matched basket."""
+    """The headline (winsorised, capped Törnqvist) and six other means of each matched basket.
+
+    ``matched`` comes from :func:`weighted_basket`; it is read four times and should be a written table.
+    """
     keys = [*(by or []), "comparison"]
-    similar = matched.where("qty_comparable")
-    bounds = similar.groupBy(*keys).agg(F.percentile("r", F.array(F.lit(low), F.lit(high))).alias("q"), F.count(F.lit(1)).alias("n_similar"))
-    again = similar.join(bounds, keys).groupBy(*keys).agg(F.first("n_similar").alias("n_similar"), F.avg(C.clip(F.col("r"), F.col("q")[0], F.col("q")[1])).alias("similar"))
-    dot = lambda w, r: F.expm1(F.sum(F.coalesce(F.col(w) * F.col(r), F.lit(0.0))))
-    one = matched.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("matched_parts"), F.expm1(F.median("r")).alias("median_change"), F.expm1(F.percentile("r", F.lit(0.25))).alias("p25_change"), F.expm1(F.percentile("r", F.lit(0.75))).alias("p75_change"),
+    r = F.col("r")
+    alike = F.when(F.col("qty_comparable"), r)
+    order = percentiles(matched, keys, {"m": (r, 0.5), "p25": (r, 0.25), "p75": (r, 0.75), "like_low": (alike, low), "like_high": (alike, high)})
+    rows = matched.join(order, keys)
+    dot = lambda w, x: F.expm1(F.sum(F.coalesce(F.col(w) * F.col(x), F.lit(0.0))))
+    first = lambda c: F.first(c).alias(c)
+    out = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("matched_parts"), F.expm1(F.first("m")).alias("median_change"), F.expm1(F.first("p25")).alias("p25_change"), F.expm1(F.first("p75")).alias("p75_change"),
         F.avg(F.col("no_price_change").cast("double")).alias("share_unchanged"), F.sum(F.greatest("spend_a", F.lit(0.0))).alias("matched_spend_a"), F.sum(F.greatest("spend_b", F.lit(0.0))).alias("matched_spend_b"),
-        F.first("coverage_a").alias("coverage_a"), F.first("coverage_b").alias("coverage_b"), F.first("winsor_low").alias("winsor_low"), F.first("winsor_high").alias("winsor_high"), F.first("weight_cap").alias("weight_cap"),
+        *(first(c) for c in ("coverage_a", "coverage_b", "winsor_low", "winsor_high", "weight_cap")),
         dot("s_bar", "r").alias("raw_tornqvist"), dot("s_bar", "r_w").alias("winsor_tornqvist"), dot("s_tilde", "r_w").alias("headline"), dot("h_tilde", "r_w").alias("capped_geometric_spend"),
         F.expm1(F.avg("r_w")).alias("equal_winsor"), F.expm1(F.avg("r")).alias("equal_raw"),
+        F.avg(C.clip(alike, F.col("like_low"), F.col("like_high"))).alias("similar"), F.count_if("qty_comparable").alias("similar_parts"),
     )
-    out = one.join(again, keys, "left")
-    return out.withColumns({"similar_quantity": F.when(F.col("n_similar") >= 2, F.expm1("similar")), "similar_parts": F.coalesce("n_similar", F.lit(0)).cast("long")}).drop("similar", "n_similar")
+    return out.withColumn("similar_quantity", F.when(F.col("similar_parts") >= 2, F.expm1("similar"))).drop("similar")
 
 
 METHODS = ("headline", "raw_tornqvist", "winsor_tornqvist", "capped_geometric_spend", "equal_winsor", "equal_raw", "similar_quantity")

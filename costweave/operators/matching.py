@@ -20,19 +20,24 @@ def part_stats(classified: DataFrame, prefix=None) -> DataFrame:
     )
 
 
-def family_candidates(classified: DataFrame, prefix=None, min_similarity: float = 0.60, max_dispersion: float = 0.35, max_parts: int = 100) -> DataFrame:
+def family_candidates(parts: DataFrame, min_similarity: float = 0.60, max_dispersion: float = 0.35, max_parts: int = 100) -> DataFrame:
     """Groups of 2 to ``max_parts`` parts in one category and prefix that pass both thresholds.
 
-    Larger groups are no families by definition and are dropped before any pair is made, so a
-    group's pairs are bounded. Pairs are counted inside the group's row, not joined out. Nothing is activated.
+    ``parts`` is :func:`part_stats`, read three times, so better a written table. Larger groups are no families by
+    definition and are dropped before any pair is made, so a group's pairs are bounded. Pairs are
+    counted inside the group's row, not joined out. Nothing is activated.
     """
-    parts = part_stats(classified, prefix).withColumn("tokens", C.tokens(F.col("words")))
-    sized = parts.groupBy("direct_category", "prefix").agg(F.count(F.lit(1)).alias("n_parts"), F.stddev_pop(F.ln("median_price")).alias("dispersion")).where(F.col("n_parts").between(2, max_parts))
-    small = parts.join(sized, ["direct_category", "prefix"])
-    groups = small.groupBy("direct_category", "prefix").agg(F.collect_list("tokens").alias("sets"), F.first("dispersion").alias("dispersion"), F.first("n_parts").alias("n_parts"))
+    group = ["direct_category", "prefix"]
+    parts = parts.withColumn("tokens", C.tokens(F.col("words")))
+    sized = parts.groupBy(*group).agg(F.count(F.lit(1)).alias("n_parts"), F.stddev_pop(F.ln("median_price")).alias("dispersion"))
+    small = parts.join(sized.where(F.col("n_parts").between(2, max_parts)), group)
+    groups = small.groupBy(*group).agg(F.collect_list("tokens").alias("sets"), F.first("dispersion").alias("dispersion"), F.first("n_parts").alias("n_parts"))
     of_pair = lambda i, a: F.aggregate(F.slice("sets", i + 2, F.col("n_parts").cast("int")), F.lit(0.0), lambda acc, b: acc + C.jaccard(a, b))
     total = F.aggregate(F.transform("sets", lambda a, i: of_pair(i, a)), F.lit(0.0), lambda acc, x: acc + x)
     mean = total / (F.col("n_parts") * (F.col("n_parts") - 1) / 2)
-    chosen = groups.withColumn("similarity", mean).where((F.col("similarity") >= min_similarity) & (F.col("dispersion") <= max_dispersion)).select("direct_category", "prefix", "similarity", "dispersion")
-    out = parts.join(chosen, ["direct_category", "prefix"])
-    return out.select(F.concat_ws("-", "direct_category", "prefix").alias("candidate_family"), "direct_category", "prefix", "part_key", "words", "observations", "first_fy", "last_fy", "median_price", "similarity", "dispersion", F.lit(False).alias("activated"))
+    passed = (F.col("similarity") >= min_similarity) & (F.col("dispersion") <= max_dispersion)
+    chosen = groups.withColumn("similarity", mean).where(passed).select(*group, "similarity", "dispersion")
+    return parts.join(chosen, group).select(
+        F.concat_ws("-", *group).alias("candidate_family"), *group, "part_key", "words", "observations", "first_fy", "last_fy", "median_price",
+        "similarity", "dispersion", F.lit(False).alias("activated"),
+    )

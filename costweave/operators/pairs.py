@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costweave.functions import columns as C
+from costweave.operators.quantiles import beside, percentiles
 
 
 def adjacent_pairs(daily: DataFrame, min_gap_days: int = 0) -> DataFrame:
@@ -29,19 +30,18 @@ def adjacent_pairs(daily: DataFrame, min_gap_days: int = 0) -> DataFrame:
     return pairs.where(F.col("delta_days") >= min_gap_days)
 
 
-def _beside(rows: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
-    """Each row beside the totals of its run; totals have one row a run."""
-    return rows.join(F.broadcast(totals), by) if by else rows.join(F.broadcast(totals))
-
-
 def flag_extremes(pairs: DataFrame, low: float = 0.25, high: float = 4.0, max_days: int = 548, max_z: float = 8.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """Ratio and robust-z flags; the two medians of all pairs (of each run ``by``) are small tables joined back."""
+    """Ratio and robust-z flags; the two exact medians of all pairs (of each run ``by``) are joined back.
+
+    ``pairs`` is read five times and should be a written table.
+    """
     annual = pairs.withColumn("annual", F.col("y") / F.greatest("delta_years", F.lit(1 / 365.25)))
-    middle = annual.groupBy(*by).agg(F.median("annual").alias("middle"))
-    spread = _beside(annual, middle, [*by]).groupBy(*by).agg(F.median(F.abs(F.col("annual") - F.col("middle"))).alias("mad"), F.first("middle").alias("middle"))
+    middle = percentiles(annual, [*by], {"middle": (F.col("annual"), 0.5)})
+    centred = beside(annual, middle, [*by])
+    mad = percentiles(centred, [*by], {"mad": (F.abs(F.col("annual") - F.col("middle")), 0.5)})
     z = 0.6745 * (F.col("annual") - F.col("middle")) / (F.col("mad") + 1e-12)
     by_ratio = (F.col("delta_days") <= max_days) & ((F.col("price_ratio") < low) | (F.col("price_ratio") > high))
-    out = _beside(annual, spread, [*by]).withColumns({"mad_z": z, "extreme_ratio": by_ratio}).withColumn("extreme_mad", F.abs("mad_z") > max_z)
+    out = beside(centred, mad, [*by]).withColumns({"mad_z": z, "extreme_ratio": by_ratio}).withColumn("extreme_mad", F.abs("mad_z") > max_z)
     return out.withColumn("extreme_flag", F.col("extreme_ratio") | F.col("extreme_mad")).drop("annual", "middle", "mad")
 
 
@@ -55,13 +55,14 @@ def pair_weights(pairs: DataFrame, method: str = "capped_spend_sqrt_n", extreme_
     else:
         value = lambda s: F.greatest(F.coalesce(F.col(f"spend_{s}"), F.col(f"price_{s}") * F.coalesce(F.col(f"qty_{s}"), F.lit(0.0))), F.lit(0.0))
         geometric = pairs.withColumn("g", F.sqrt(value("a") * value("b")))
-        cap = geometric.groupBy(*by).agg(F.coalesce(F.percentile(F.when(F.col("g") > 0, F.col("g")), F.lit(0.95)), F.lit(1.0)).alias("cap"))
+        cap = percentiles(geometric, [*by], {"cap": (F.when(F.col("g") > 0, F.col("g")), 0.95)})
+        cap = cap.withColumn("cap", F.coalesce("cap", F.lit(1.0)))
         w = F.least("g", "cap") / F.sqrt(F.greatest(F.col("n_pairs_part").cast("double"), F.lit(1.0)))
-        raw = _beside(geometric, cap, [*by]).withColumn("w", F.when(w > 0, w).otherwise(1.0)).drop("g", "cap")
+        raw = beside(geometric, cap, [*by]).withColumn("w", F.when(w > 0, w).otherwise(1.0)).drop("g", "cap")
     damped = F.col("w") * F.when(F.col("extreme_flag"), extreme_factor).otherwise(1.0)
     # The first normalisation to mean 1 cancels in the second.
     mean = raw.groupBy(*by).agg(F.avg(damped).alias("mean_w"))
-    return _beside(raw, mean, [*by]).withColumn("pair_weight", damped / F.col("mean_w")).drop("w", "mean_w")
+    return beside(raw, mean, [*by]).withColumn("pair_weight", damped / F.col("mean_w")).drop("w", "mean_w")
 
 
 def month_exposure(pairs: DataFrame, keys: tuple[str, ...] = ("part_key", "date_a", "date_b")) -> DataFrame:
@@ -74,9 +75,17 @@ def month_exposure(pairs: DataFrame, keys: tuple[str, ...] = ("part_key", "date_
 
 
 def weighted_gram(pairs: DataFrame) -> DataFrame:
-    """Normal matrix of month exposures under pair weights: one weighted least-squares step in plain SQL form."""
-    long = month_exposure(pairs.withColumn("id", F.struct("part_key", "date_a")), ("id", "date_a", "date_b")).select("id", "month", "exposure")
-    weights = pairs.select(F.struct("part_key", "date_a").alias("id"), "pair_weight", "y")
-    left = long.join(weights, "id")
-    right = long.select("id", F.col("month").alias("month_2"), F.col("exposure").alias("exposure_2"))
-    return left.join(right, "id").groupBy("month", "month_2").agg(F.sum(F.col("pair_weight") * F.col("exposure") * F.col("exposure_2")).alias("gram"))
+    """Normal matrix of month exposures under pair weights: one weighted least-squares step in plain SQL form.
+
+    A pair's months are short arrays; its products are made in the row and summed on the way to the shuffle, so nothing is joined.
+    """
+    months = F.sequence(F.trunc(F.date_add("date_a", 1), "month"), F.trunc("date_b", "month"), F.expr("interval 1 month"))
+
+    def share(m):
+        days = F.datediff(F.least(F.col("date_b"), F.last_day(m)), F.greatest(F.col("date_a"), F.date_sub(m, 1)))
+        return F.greatest(days, F.lit(0)) / F.day(F.last_day(m))
+
+    shares = F.filter(F.transform(months, lambda m: F.struct(m.alias("month"), share(m).alias("exposure"))), lambda s: s["exposure"] > 0)
+    rows = pairs.select("pair_weight", shares.alias("all")).select("pair_weight", "all", F.inline("all"))
+    rows = rows.select((F.col("pair_weight") * F.col("exposure")).alias("weighted"), "month", F.explode("all").alias("other"))
+    return rows.groupBy("month", F.col("other.month").alias("month_2")).agg(F.sum(F.col("weighted") * F.col("other.exposure")).alias("gram"))

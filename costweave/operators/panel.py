@@ -69,28 +69,46 @@ def part_period(daily: DataFrame, freq: str, start_month: int = 10) -> DataFrame
     )
 
 
-def part_windows(scoped: DataFrame, windows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Representative values of each part in each inclusive date window.
+def in_windows(lines: DataFrame, windows: DataFrame, day: str = "po_date") -> DataFrame:
+    """Each line once for every window (``label, start, end``, both days inclusive) that holds its day.
 
-    ``windows`` (``label, start, end``) is a handful of rows that joins on the range. Median price,
-    summed non-negative value, median positive quantity, counts, spread and modal texts.
+    Windows are spread over the days they cover, so that lines meet them by equality on the day,
+    however many windows there are; a window of a year is 365 rows.
     """
-    keys = [*(by or []), "label", "part_key"]
-    rows = scoped.where(C.positive(F.col("price")) & F.col("part_key").isNotNull()).join(F.broadcast(windows.limit(1000)), F.col("po_date").between(F.col("start"), F.col("end")))
-    return rows.groupBy(*keys).agg(
-        F.median("price").alias("price"),
-        F.sum(F.greatest(F.coalesce("po_value", F.lit(0.0)), F.lit(0.0))).alias("spend"),
-        F.median(F.when(F.col("qty_ordered") > 0, F.col("qty_ordered"))).alias("qty"),
-        F.count(F.lit(1)).alias("line_count"),
-        F.count_distinct("price").alias("unique_price_count"),
-        F.min("po_date").alias("first_date"), F.max("po_date").alias("last_date"), F.min("price").alias("price_min"), F.max("price").alias("price_max"),
-        F.stddev_pop("price").alias("price_dispersion"),
-        F.mode("hist_category", True).alias("hist_category"), F.mode("description_1", True).alias("description_1"),
-        F.min_by("description_norm", _line()).alias("description_norm"),
+    days = windows.where(F.col("start") <= F.col("end")).select("label", "start", "end", F.explode(F.sequence("start", "end")).alias("window_day"))
+    return lines.join(days, F.col(day) == F.col("window_day")).drop("window_day")
+
+
+def window_values(scoped: DataFrame, windows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Representative values of each part in each inclusive date window, and what all its lines there add up to.
+
+    Median price, summed non-negative value, median positive quantity, counts, spread and modal texts come from
+    the ``line_count`` lines with a part and a price; ``scope_spend`` from all, so a null part or one without a price
+    has a row too. Both come from one reading of the lines.
+    """
+    priced = C.positive(F.col("price")) & F.col("part_key").isNotNull()
+    own = lambda c: F.when(priced, F.col(c) if isinstance(c, str) else c)
+    value = F.greatest(F.coalesce("po_value", F.lit(0.0)), F.lit(0.0))
+    return in_windows(scoped, windows).groupBy(*(by or []), "label", "part_key").agg(
+        F.median(own("price")).alias("price"),
+        F.sum(own(value)).alias("spend"),
+        F.median(F.when(priced & (F.col("qty_ordered") > 0), F.col("qty_ordered"))).alias("qty"),
+        F.count_if(priced).alias("line_count"),
+        F.count_distinct(own("price")).alias("unique_price_count"),
+        F.min(own("po_date")).alias("first_date"), F.max(own("po_date")).alias("last_date"), F.min(own("price")).alias("price_min"), F.max(own("price")).alias("price_max"),
+        F.stddev_pop(own("price")).alias("price_dispersion"),
+        F.mode(own("hist_category"), True).alias("hist_category"), F.mode(own("description_1"), True).alias("description_1"),
+        F.min_by("description_norm", own(_line())).alias("description_norm"),
+        F.sum(value).alias("scope_spend"),
     )
 
 
+def part_windows(scoped: DataFrame, windows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """:func:`window_values` of parts with a price."""
+    return window_values(scoped, windows, by).where("line_count > 0").drop("scope_spend")
+
+
 def window_spend(scoped: DataFrame, windows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Total non-negative value of each window, the denominator of coverage."""
-    rows = scoped.join(F.broadcast(windows.limit(1000)), F.col("po_date").between(F.col("start"), F.col("end")))
+    rows = in_windows(scoped, windows)
     return rows.groupBy(*(by or []), "label").agg(F.sum(F.greatest(F.coalesce("po_value", F.lit(0.0)), F.lit(0.0))).alias("scope_spend"))

@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from costweave.functions import columns as C
 
 
+#: Line columns that :func:`data_quality`, the daily panel and its pairs read.
+COLUMNS = (
+    "source_file", "source_row_number", "part_key", "po_date", "effective_date", "po_value", "in_direct_costs", "realized_price", "realized_spend", "realized_price_source",
+    "qty_received", "extension_received", "received_ratio", "has_open_commitment", "remaining_open_spend", "po_value_matches_ordered", "is_duplicate", "is_open_order",
+    "approved_category", "match_tier", "description_1", "description_2",
+)
+
+
 def data_quality(classified: DataFrame, daily: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """``issue, row_count, value``: all line conditions in one aggregation, then unpivoted.
 
@@ -35,7 +43,7 @@ def data_quality(classified: DataFrame, daily: DataFrame | None = None, pairs: D
     wide = classified.agg(*aggs)
     rows = F.array(*(F.struct(F.lit(n).alias("issue"), F.col(f"`{n}|n`").alias("row_count"), F.col(f"`{n}|v`").alias("value")) for n in checks))
     out = wide.select(F.inline(rows))
-    if daily is not None:
+    if daily is not None:  # one row each: three more small aggregations
         out = out.unionByName(daily.agg(F.lit("realized_part_days").alias("issue"), F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum("spend"), F.lit(0.0)).alias("value")))
     if pairs is not None:
         out = out.unionByName(pairs.agg(F.lit("repeat_pairs").alias("issue"), F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum("spend_b"), F.lit(0.0)).alias("value")))

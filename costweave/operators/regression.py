@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from costweave.config import Controls
 from costweave.functions import columns as C
+from costweave.operators.quantiles import beside, percentiles
 
 #: Name of the unit that holds all pairs.
 OVERALL = "Overall"
@@ -309,10 +310,10 @@ def joint_huber(pairs: DataFrame, trims: tuple[float, ...] = (0.0, 0.005, 0.01,
         "part_key", "y", F.col("delta_years").alias("t"), "x_q", (F.col("y") / F.greatest("delta_years", F.lit(1e-12))).alias("a"), "n_pairs_part",
         F.sqrt(F.greatest(F.coalesce("spend_a", F.lit(0.0)), F.lit(0.0)) * F.greatest(F.coalesce("spend_b", F.lit(0.0)), F.lit(0.0))).alias("b"),
     )
-    bounds = base.agg(*(F.percentile("a", F.array(F.lit(x), F.lit(1 - x))).alias(f"q{i}") for i, x in enumerate(trims)))
-    kept = F.array_compact(F.array(*(F.when(F.lit(x <= 0) | F.col("a").between(F.col(f"q{i}")[0], F.col(f"q{i}")[1]), F.lit(x)) for i, x in enumerate(trims))))
-    rows = base.join(F.broadcast(bounds)).withColumn("trim", F.explode(kept)).drop(*(f"q{i}" for i in range(len(trims))))
-    caps = rows.groupBy("trim").agg(F.percentile("b", F.lit(cap_at)).alias("cap"))
+    ends = {f"q{i}_{end}": (F.col("a"), p) for i, x in enumerate(trims) for end, p in (("low", x), ("high", 1 - x))}
+    kept = F.array_compact(F.array(*(F.when(F.lit(x <= 0) | F.col("a").between(F.col(f"q{i}_low"), F.col(f"q{i}_high")), F.lit(x)) for i, x in enumerate(trims))))
+    rows = beside(base, percentiles(base, [], ends), []).withColumn("trim", F.explode(kept)).drop(*ends)
+    caps = percentiles(rows, ["trim"], {"cap": (F.col("b"), cap_at)})
     rows = rows.join(F.broadcast(caps), "trim").withColumn("w", F.least("b", "cap") / F.sqrt(F.greatest(F.col("n_pairs_part").cast("double"), F.lit(1.0))))
     means = rows.groupBy("trim").agg(F.avg("w").alias("mw"), F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("part_key").alias("n_parts"))
     rows = rows.join(F.broadcast(means), "trim").withColumn("kind", F.explode(F.array(F.lit("unweighted"), F.lit("spend_weighted"))))

@@ -14,6 +14,7 @@ from costweave.functions import columns as C
 from costweave.operators import backtest, basket, bridge, classify, committed, forecast, indices, matching, pairs, panel, quality, regression
 from costweave.operators.clean import clean_lines, flag_duplicates
 from costweave.plans import sql as S
+from costweave.plans.stages import staged, tuned
 from costweave.sources.star_schema import po_lines
 
 BASE = date.fromisoformat(S.BASE)
@@ -33,12 +34,20 @@ def _daily(spark, d, mode="quantity_weighted_mean"):
     return panel.realized_daily(_classified(spark, d), mode=mode)
 
 
+def _written_daily(spark, d):
+    return staged(_daily(spark, d), "daily")
+
+
+def _flagged(daily):
+    return staged(pairs.flag_extremes(staged(pairs.adjacent_pairs(daily, 30), "pairs")), "flagged")
+
+
 def _pairs(spark, d):
-    return pairs.flag_extremes(pairs.adjacent_pairs(_daily(spark, d), 30))
+    return _flagged(_daily(spark, d))
 
 
 def _panel(spark, d, freq):
-    return panel.part_period(_daily(spark, d), freq)
+    return staged(panel.part_period(_daily(spark, d), freq), "panel")
 
 
 def _windows(spark):
@@ -52,17 +61,23 @@ def _scoped(spark, d):
     return h.withColumn("scope", F.explode(F.array_compact(flags)))
 
 
-def _matched(spark, d):
+def _basket(spark, scoped, by):
     w, c = _windows(spark)
-    return indices.matched_basket(_scoped(spark, d), w, c, ["scope"])
+    values = staged(panel.window_values(scoped, w, [by]), "window-values")
+    matched = staged(indices.matched_parts(values, c, [by]), "matched-parts")
+    return indices.weighted_basket(matched, values, c, [by])
+
+
+def _matched(spark, d):
+    return _basket(spark, _scoped(spark, d), "scope")
 
 
 def _variants(spark, d):
-    return indices.index_variants(_matched(spark, d), ["scope"])
+    return indices.index_variants(staged(_matched(spark, d), "matched"), ["scope"])
 
 
 def _committed(spark, d):
-    return committed.committed_detail(_classified(spark, d), BASE)
+    return staged(committed.committed_detail(_classified(spark, d), BASE), "committed")
 
 
 def pick(df: DataFrame, spec: str) -> DataFrame:
@@ -80,7 +95,7 @@ _SQL: dict[str, str] = {}
 
 
 def _register(name: str, build: Query, spec: str, table: str | None = None, tail: str = "", sql: str | None = None) -> None:
-    _QUERIES[name] = lambda spark, d: pick(build(spark, d), spec)
+    _QUERIES[name] = lambda spark, d: pick(build(tuned(spark), d), spec)
     if sql or table:
         _SQL[name] = S.statement(sql) if sql else S.rounded(spec, table, tail)
 
@@ -191,9 +206,8 @@ _register("method_sensitivity", lambda s, d: indices.method_sensitivity(_variant
 
 
 def _by_category(spark, d):
-    w, c = _windows(spark)
     physical = classify.historical_scopes(_cleaned(spark, d)).where("in_physical_inputs").withColumn("category", F.col("description_norm"))
-    return indices.reliability(indices.index_variants(indices.matched_basket(physical, w, c, ["category"]), ["category"]))
+    return indices.reliability(indices.index_variants(staged(_basket(spark, physical, "category"), "matched"), ["category"]))
 
 
 _register("category_comparisons", _by_category, "category comparison matched_parts headline:6 equal_winsor:6 capped_geometric_spend:6 coverage_a:6 coverage_b:6 low_reliability")
@@ -211,8 +225,9 @@ _register("spend_reconciliation", lambda s, d: quality.spend_reconciliation(clas
 def _quality(spark, d):
     c = flag_duplicates(_cleaned(spark, d))
     c = classify.classify_lines(c).withColumn("approved_category", F.col("direct_category"))
-    daily = panel.realized_daily(c)
-    return quality.data_quality(c, daily, pairs.flag_extremes(pairs.adjacent_pairs(daily, 30)))
+    c = staged(c.select(*quality.COLUMNS), "quality-lines")
+    daily = staged(panel.realized_daily(c), "daily")
+    return quality.data_quality(c, daily, _flagged(daily))
 
 
 _DQ = {
@@ -268,7 +283,8 @@ _register("coverage_current", lambda s, d: quality.current_coverage(_classified(
 
 
 def _families(spark, d):
-    return matching.family_candidates(_classified(spark, d), C.family_prefix(F.col("description_1")), 0.10, 2.0)
+    parts = staged(matching.part_stats(_classified(spark, d), C.family_prefix(F.col("description_1"))), "parts")
+    return matching.family_candidates(parts, 0.10, 2.0)
 
 
 _register("family_candidates", _families, "candidate_family direct_category prefix part_key words observations first_fy last_fy median_price:6 similarity:6 dispersion:6 activated", sql=r"""
@@ -286,7 +302,7 @@ def _monthly_rates(spark, d):
 
 _register("forecast_candidates", lambda s, d: forecast.candidates(forecast.series_arrays(_monthly_rates(s, d))), "series method cumulative_log:5")
 _register("method_selection", lambda s, d: forecast.method_errors(forecast.series_arrays(_monthly_rates(s, d))), "series method mae:5 n_evals")
-_register("holdout_basket", lambda s, d: basket.holdout_basket(_daily(s, d), date(1999, 9, 30)), "part_key base_date actual_date gap_days actual_multiplier:6 unscaled_multiplier:6 extreme pre_robust_weight:8 weight:8 stale_excluded", sql="""
+_register("holdout_basket", lambda s, d: basket.holdout_basket(_written_daily(s, d), date(1999, 9, 30)), "part_key base_date actual_date gap_days actual_multiplier:6 unscaled_multiplier:6 extreme pre_robust_weight:8 weight:8 stale_excluded", sql="""
   SELECT part_key, base_date, actual_date, gap AS gap_days, round(exp(greatest(least(lh, least(qh, ln(4.0))), greatest(ql, ln(0.25)))), 6) AS actual_multiplier,
     round(exp(greatest(least(raw, least(rh, ln(4.0))), greatest(rl, ln(0.25)))), 6) AS unscaled_multiplier, (lh < ln(0.25) OR lh > ln(4.0)) AS extreme, round(w1 / sum(w1) OVER (), 8) AS pre_robust_weight,
     round(w1 * CASE WHEN lh < ln(0.25) OR lh > ln(4.0) THEN 0.25 ELSE 1 END / sum(w1 * CASE WHEN lh < ln(0.25) OR lh > ln(4.0) THEN 0.25 ELSE 1 END) OVER (), 8) AS weight, stale_excluded
@@ -304,13 +320,20 @@ _register("last_price", lambda s, d: classify.last_rows(_daily(s, d).where(F.col
           sql=f"SELECT part_key, po_date, round(price, 6) AS price FROM (SELECT *, row_number() OVER (PARTITION BY part_key ORDER BY po_date DESC) AS k FROM daily WHERE po_date <= DATE '{S.BASE}') t WHERE k = 1")
 _register("top_weighted_parts", lambda s, d: _daily(s, d).groupBy("part_key").agg(F.sum("spend").alias("spend")).orderBy(F.desc("spend"), "part_key").limit(100), "part_key spend:2",
           sql="SELECT part_key, round(sum(spend), 2) AS spend FROM daily GROUP BY 1 ORDER BY sum(spend) DESC, part_key LIMIT 100")
-_register("paired_semi", lambda s, d: _daily(s, d).join(_pairs(s, d).select("part_key").distinct(), "part_key", "left_semi"), "part_key po_date price:6", sql="SELECT part_key, po_date, round(price, 6) AS price FROM daily WHERE part_key IN (SELECT part_key FROM flagged)")
-_register("extreme_anti", lambda s, d: _daily(s, d).join(_pairs(s, d).where("extreme_flag").select("part_key").distinct(), "part_key", "left_anti"), "part_key po_date price:6",
+
+
+def _with_pairs(spark, d, how, which):
+    daily = _written_daily(spark, d)
+    return daily.join(_flagged(daily).where(which).select("part_key").distinct(), "part_key", how)
+
+
+_register("paired_semi", lambda s, d: _with_pairs(s, d, "left_semi", "true"), "part_key po_date price:6", sql="SELECT part_key, po_date, round(price, 6) AS price FROM daily WHERE part_key IN (SELECT part_key FROM flagged)")
+_register("extreme_anti", lambda s, d: _with_pairs(s, d, "left_anti", "extreme_flag"), "part_key po_date price:6",
           sql="SELECT part_key, po_date, round(price, 6) AS price FROM daily WHERE part_key NOT IN (SELECT part_key FROM flagged WHERE extreme_flag)")
 
 
 def _model(spark, d):
-    weighted = pairs.pair_weights(_pairs(spark, d))
+    weighted = staged(pairs.pair_weights(_pairs(spark, d)), "weighted")
     return weighted, regression.fit_repeat_sales(weighted)
 
 
@@ -331,26 +354,22 @@ _register("fy_ttm_rates", lambda s, d: regression.fiscal_and_trailing_rates(_ind
 _register("bucket_forecast", lambda s, d: _forecast(s, d, 0), "direct_category forecast_year method committed_weight:6 annual_rate:5 cumulative_multiplier:5 at_guardrail")
 _register("composite_forecast", lambda s, d: _forecast(s, d, 1), "forecast_year annual_rate:5 cumulative_multiplier:5")
 _register("part_residuals", lambda s, d: regression.part_residuals(regression.predict_pairs(*_model(s, d))), "part_key category n_pairs span_days residual_rate:5 shrinkage:6 shrunk_residual:6 quality:6 source")
-_register("huber_trim_grid", lambda s, d: regression.joint_huber(pairs.adjacent_pairs(_daily(s, d), 30)), "trim weighting n_pairs n_parts annual_rate:4 gamma:4 converged")
+_register("huber_trim_grid", lambda s, d: regression.joint_huber(staged(pairs.adjacent_pairs(_daily(s, d), 30), "pairs")), "trim weighting n_pairs n_parts annual_rate:4 gamma:4 converged")
 
 _register("source_trace", lambda s, d: bridge.source_trace(_cleaned(s, d), ("source_file", "source_row_number", "description_1")), "part_key source_file source_row_number description_1",
           sql="SELECT part_key, source_file, source_row_number, description_1 FROM (SELECT *, row_number() OVER (PARTITION BY part_key ORDER BY po_date DESC, source_file DESC, source_row_number DESC) AS k FROM clean WHERE part_key IS NOT NULL) t WHERE k = 1")
 
 
 def _backtest(spark, d, cutoffs=None):
-    classified = _classified(spark, d).persist()
-    daily = panel.realized_daily(classified).persist()
+    classified = staged(_classified(spark, d), "classified")
+    daily = staged(panel.realized_daily(classified), "daily")
     return backtest.composite_backtest(daily, classified, BASE, Controls(), cutoffs)
 
 
-def _flagged(spark, d):
-    return _pairs(spark, d).persist()
-
-
 def _bands(spark, d):
     best = backtest.backtest_summary(_backtest(spark, d)).where("selected").first()
     method = best.method if best else forecast.METHODS[0]
-    return backtest.bootstrap_forecasts(_flagged(spark, d), basket.fiscal_weights(_classified(spark, d), BASE), BASE, method, committed.committed_signal(_committed(spark, d)), Controls())[0]
+    return backtest.bootstrap_forecasts(_pairs(spark, d), basket.fiscal_weights(_classified(spark, d), BASE), BASE, method, committed.committed_signal(_committed(spark, d)), Controls())[0]
 
 
 def _bridged(spark, d):
@@ -362,8 +381,8 @@ def _bridged(spark, d):
 
 _register("composite_backtest", _backtest, "cutoff method matched_parts eligible_basket_weight:6 actual_gap_days:4 stale_parts_excluded extreme_weight_share:6 actual_multiplier:5 predicted_multiplier:4 absolute_log_error:4")
 _register("bootstrap_bands", _bands, "forecast_year lower:4 median:4 upper:4")
-_register("penalty_search", lambda s, d: backtest.penalty_search(_flagged(s, d), Controls()), "candidate lambda_smooth lambda_gamma mean_wape:4 n_cutoffs selected")
-_register("part_backtest", lambda s, d: backtest.part_backtest_summary(backtest.part_backtest(_daily(s, d).persist(), Controls())),
+_register("penalty_search", lambda s, d: backtest.penalty_search(_pairs(s, d), Controls()), "candidate lambda_smooth lambda_gamma mean_wape:4 n_cutoffs selected")
+_register("part_backtest", lambda s, d: backtest.part_backtest_summary(backtest.part_backtest(_written_daily(s, d), Controls())),
           "model horizon_months n wape:4 wape_quantity_conditional:4 wale:4 mdape:4 directional_accuracy:4 interval_coverage:4 composite_error:4")
 _register("bridged_prices", _bridged, "part_key latest_date latest_price:4 estimated_base_price:4 price_staleness_days q_star:4 q_future:4 composite_weight:6 source")
 _register("purchasing_cost", lambda s, d: bridge.purchasing_cost(_bridged(s, d).withColumn("multiplier", F.when(F.col("category").isNull(), 1.0).otherwise(1.05))), "cost_base:2 cost_target:2 purchasing_cost_change:6 fixed_basket_change:6")
@@ -373,7 +392,12 @@ _register("recent_quarter_change", lambda s, d: bridge.recent_change(indices.tor
 _register("historical_index", lambda s, d: bridge.historical_index(_daily(s, d)), "period_start frequency tornqvist_index:5 tornqvist_change:6 status match_count matched_spend:2 capped_spend_change:6 fisher_index:5")
 _register("scope_sensitivity", lambda s, d: bridge.scope_sensitivity({k: panel.realized_daily(classify.classify_lines(_cleaned(s, d)).withColumns({"approved_category": F.col("direct_category"), "in_direct_costs": v})) for k, v in
           {"direct_costs": F.col("in_direct_costs"), "all_po_lines": F.col("included_for_pricing")}.items()}), "scope frequency status part_days distinct_parts latest_matched_change:6 latest_tornqvist:6 match_count matched_spend:2 total_spend:2")
-_register("extremes_sensitivity", lambda s, d: bridge.extremes_sensitivity(_daily(s, d), _pairs(s, d)), "variant status n_rows latest_matched_change:6 latest_tornqvist:6 extreme_pairs")
+_register("extremes_sensitivity", lambda s, d: _extremes(s, d), "variant status n_rows latest_matched_change:6 latest_tornqvist:6 extreme_pairs")
+
+
+def _extremes(spark, d):
+    daily = _written_daily(spark, d)
+    return bridge.extremes_sensitivity(daily, _flagged(daily))
 
 
 def queries() -> dict[str, Query]:
