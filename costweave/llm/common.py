@@ -82,14 +82,20 @@ def hash_sample(df: DataFrame, max_rows: int, by: list[str] | None = None) -> Da
 
     A share of the hash range bounds them, for the number of distinct hashes is estimated (to 1 %);
     no limit, which would send them through one task. Rows alike in those columns count once,
-    so one row that repeats cannot fill the sample. Above ``max_rows`` the size varies by its square root.
+    so one row that repeats cannot fill the sample. Above ``max_rows`` the size varies by its square
+    root. The hashes that repeat in the sample, ``max_rows`` or so at most, are broadcast: only their rows are shuffled.
     """
     key = fresh(df, "sample_hash")
     hashed = df.withColumn(key, F.xxhash64(F.lit("sample"), *(F.col(f"`{c}`") for c in by or df.columns)))
     n = hashed.agg(F.approx_count_distinct(key, 0.01)).first()[0]
     if n > max_rows:
         hashed = hashed.where(F.pmod(key, F.lit(1 << 53)) < int((1 << 53) * max_rows / n))
-    return hashed.dropDuplicates([key]).drop(key)
+    repeated = [r[0] for r in hashed.groupBy(key).count().where("count > 1").select(key).collect()]
+    if not repeated:
+        return hashed.drop(key)
+    again = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in sorted(repeated)], f"{key} long"))
+    once = hashed.join(again, key, "left_anti")
+    return once.unionByName(hashed.join(again, key, "left_semi").dropDuplicates([key])).drop(key)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -170,9 +170,13 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     def make():
         def handle(ids, nodes, found):
-            sets = [shingles(t, shingle) for t in found]
-            fps = np.array([text_fingerprint(t, shingle) for t in found], "<u8").view("<i8")
-            return {"doc_id": ids, "node": nodes, "fp": fps, "size": [len(s) for s in sets], "bands": [band_keys(s) for s in sets]}
+            fps, sizes, bands = [], [], []
+            for text in found:
+                pieces = shingles(text, shingle)
+                fps.append(text_fingerprint(text, shingle))
+                sizes.append(len(pieces))
+                bands.append(band_keys(pieces))
+            return {"doc_id": ids, "node": nodes, "fp": np.array(fps, "<u8").view("<i8"), "size": sizes, "bands": bands}
 
         return handle
 
