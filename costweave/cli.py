@@ -1,4 +1,4 @@
-"""Command line: ``python -m costweave.cli {profile,validate,run,propose-mappings} ...``."""
+"""Command line: ``python -m costweave.cli {profile,validate,run,propose-mappings,init-config,backtest,historical-actuals} ...``."""
 
 from __future__ import annotations
 
@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costweave import config
-from costweave.operators import basket, classify, committed, forecast, indices, matching, pairs, panel, quality, regression
+from costweave.operators import backtest, basket, classify, committed, forecast, indices, matching, pairs, panel, quality, regression
 from costweave.operators.clean import clean_lines, flag_duplicates
+from costweave.plans.historical import historical_tables
 from costweave.plans.sinks import write_package
 from costweave.plans.stages import staged, tuned
-from costweave.sources import files, star_schema
+from costweave.sources import files, star_schema, workbooks
 
 
 def _lines(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.format == "star":
         return star_schema.po_lines(spark, args.input)
+    if args.format == "workbooks":
+        return workbooks.read_workbooks(spark, [str(f) for f in files.discover(args.input, (".xlsx", ".xlsm"))])
     return files.read_csv(spark, args.input) if args.format == "csv" else files.read_parquet(spark, args.input)
 
 
@@ -55,28 +58,57 @@ def run_tables(lines: DataFrame, resolved: config.Resolved) -> tuple[dict[str, D
     return tables, {"base_date": base, "pairs": n, "sigma": model.sigma, "gamma": model.gamma0, "warnings": model.warnings, "controls": vars(c), "sources": resolved.sources}
 
 
+def backtest_tables(lines: DataFrame, resolved: config.Resolved) -> tuple[dict[str, DataFrame], dict]:
+    """Rolling backtests of the composite and of parts, and the chosen method."""
+    c = resolved.controls
+    classified = classify.classify_lines(flag_duplicates(clean_lines(lines, c), c.deduplication_mode), resolved)
+    base, _ = config.resolve_dates(c, classified.agg(F.max("effective_date")).first()[0])
+    known = staged(classified.where(F.col("effective_date") <= F.lit(base)), "known")
+    daily = staged(panel.realized_daily(known, base, c.same_day_price_aggregation), "daily")
+    detail = staged(backtest.composite_backtest(daily, known, base, c, None), "backtest")
+    summary = backtest.backtest_summary(detail)
+    tables = {"composite_backtest": detail, "composite_summary": summary, "part_backtest": backtest.part_backtest_summary(backtest.part_backtest(daily, c))}
+    best = summary.where("selected").first()
+    return tables, {"base_date": base, "selected_method": best.method if best else None, "controls": vars(c)}
+
+
+def _resolved(spark: SparkSession, args: argparse.Namespace) -> config.Resolved:
+    own = {"base_date": args.base_date, "fast_mode": args.fast or None}
+    if not args.config:
+        return config.resolve({}, own)
+    return config.load(args.config, own) if args.config.lower().endswith(".json") else config.load_tables(spark, args.config, own)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="costweave")
-    p.add_argument("command", choices=("profile", "validate", "run", "propose-mappings"))
+    p.add_argument("command", choices=("profile", "validate", "run", "propose-mappings", "init-config", "backtest", "historical-actuals"))
     p.add_argument("--input", required=True)
-    p.add_argument("--format", choices=("star", "csv", "parquet"), default="parquet")
+    p.add_argument("--format", choices=("star", "csv", "parquet", "workbooks"), default="parquet")
     p.add_argument("--output")
-    p.add_argument("--config")
+    p.add_argument("--config", help="JSON of controls, .xlsx workbook, or folder of CSV files")
     p.add_argument("--base-date", type=date.fromisoformat)
+    p.add_argument("--first-fiscal-year", type=int)
+    p.add_argument("--fast", action="store_true")
     args = p.parse_args(argv)
     spark = tuned(SparkSession.builder.getOrCreate())
-    own = {"base_date": args.base_date}
-    resolved = config.load(args.config, own) if args.config else config.resolve({}, own)
+    resolved = _resolved(spark, args)
     lines = _lines(spark, args)
     if args.command == "profile":
         quality.source_ranges(lines).orderBy("first_date").show(100, truncate=False)
     elif args.command == "validate":
         quality.profile(clean_lines(lines, resolved.controls)).show(truncate=False)
+    elif args.command == "init-config":
+        print("\n".join(config.write_template(args.output, classify.complete_mapping(clean_lines(lines, resolved.controls)))))
     elif args.command == "propose-mappings":
         parts = staged(matching.part_stats(classify.classify_lines(clean_lines(lines, resolved.controls), resolved)), "parts")
         write_package({"family_candidates": matching.family_candidates(parts)}, args.output, {})
     else:
-        tables, summary = run_tables(lines, resolved)
+        if args.command == "backtest":
+            tables, summary = backtest_tables(lines, resolved)
+        elif args.command == "historical-actuals":
+            tables, summary = historical_tables(lines, resolved.controls, args.base_date, args.first_fiscal_year, resolved.scope_mapping)
+        else:
+            tables, summary = run_tables(lines, resolved)
         write_package(tables, args.output, summary)
     return 0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from datetime import date
 
 from pyspark.sql import Column
@@ -25,6 +26,27 @@ STOP_WORDS = ("A", "AN", "AND", "FOR", "OF", "THE", "TO", "WITH", "ASSY", "ASSEM
 BASIS_TOLERANCE = 0.03
 
 
+def _compatibility_tables() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters of the basic plane whose compatibility form (NFKC) is one other character, and those with a longer one."""
+    forms = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x80, 0xFFFE) if not 0xD800 <= c < 0xE000}
+    single = {c: n for c, n in forms.items() if n != c and len(n) == 1}
+    return single, {c: n for c, n in forms.items() if len(n) > 1}
+
+
+_SINGLE, _LONGER = _compatibility_tables()
+
+
+def compatible(text: Column) -> Column:
+    """Text with full-width digits, ligatures, no-break spaces and the like as their plain characters (NFKC, character by character).
+
+    Only texts that are not ASCII are worked on. Letters with separate accents are left as they are.
+    """
+    plain = F.translate(text, "".join(_SINGLE), "".join(_SINGLE.values()))
+    table = F.map_from_arrays(F.split(F.lit("\x01".join(_LONGER)), "\x01"), F.split(F.lit("\x01".join(_LONGER.values())), "\x01"))
+    longer = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), longer).otherwise(text)
+
+
 def squeezed(text: Column) -> Column:
     """Upper case, trimmed, runs of white space as one space."""
     return F.upper(F.trim(F.regexp_replace(text, r"\s+", " ")))
@@ -33,7 +55,7 @@ def squeezed(text: Column) -> Column:
 def part_key(part_number: Column, kind: Column) -> Column:
     """Part key; integral numbers lose their fraction, punctuation stays, blanks and null words are null."""
     number = F.regexp_replace(F.regexp_replace(part_number, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    key = squeezed(F.when(kind.isin("int", "float") & part_number.contains("."), number).otherwise(part_number))
+    key = squeezed(F.when(kind.isin("int", "float") & part_number.contains("."), number).otherwise(compatible(part_number)))
     return F.when(~key.isin(*NULL_WORDS), key)
 
 
@@ -42,7 +64,7 @@ def part_key_status(part_number: Column, key: Column) -> Column:
 
 
 def description_norm(text: Column) -> Column:
-    key = squeezed(text)
+    key = squeezed(compatible(text))
     return F.when(~key.isin(*NULL_WORDS), key)
 
 

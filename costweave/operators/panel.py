@@ -50,6 +50,20 @@ def realized_daily(classified: DataFrame, cutoff: date | None = None, mode: str
     return same_day(realized_rows(classified, cutoff), mode, "effective_date", "realized_price", "qty_received", "realized_spend")
 
 
+def physical_daily(scoped: DataFrame) -> DataFrame:
+    """One row a part and day of the physical scope: median price, median positive ordered quantity, value, modal description.
+
+    Of descriptions that are equally frequent the first by name stands. Lines without part, date or positive price are left out.
+    """
+    rows = scoped.where(F.col("in_physical_inputs") & F.col("part_key").isNotNull() & F.col("po_date").isNotNull() & C.positive(F.col("price")))
+    return rows.groupBy("part_key", "po_date").agg(
+        F.median("price").alias("price"),
+        F.median(F.when(F.col("qty_ordered") > 0, F.col("qty_ordered"))).alias("qty"),
+        F.sum(F.greatest(F.coalesce("po_value", F.lit(0.0)), F.lit(0.0))).alias("spend"),
+        F.mode("description_norm", True).alias("approved_category"),
+    )
+
+
 def part_period(daily: DataFrame, freq: str, start_month: int = 10) -> DataFrame:
     """One row a part and month (M), quarter (Q) or fiscal year (FY)."""
     p, q = F.col("price"), F.col("qty")

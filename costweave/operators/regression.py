@@ -91,7 +91,8 @@ def _partial_sums(rows: DataFrame, state: dict, size: int, huber: float) -> Data
     return parts.groupBy("unit", "slot").applyInPandas(add, schema).groupBy("unit").applyInPandas(add, schema)
 
 
-def _penalty(n_months: int, c: Controls) -> np.ndarray:
+def penalty_matrix(n_months: int, c: Controls) -> np.ndarray:
+    """Smoothness of the monthly rates, a small ridge on each, and one on the elasticity."""
     penalty = np.zeros((n_months + 1, n_months + 1))
     if n_months >= 3:
         d2 = np.diff(np.eye(n_months), n=2, axis=0)
@@ -130,7 +131,7 @@ def irls(rows: DataFrame, n_months: int, controls: Controls, max_rounds: int | N
         now = {u: (state[u][0], sigmas[u]) for u in open_}
         for x in _partial_sums(rows.where(F.col("unit").isin(open_)), now, size, c.huber_delta).collect():
             both, at = np.array(x.sums).reshape(size, size + 1), places[x.unit]
-            penalty = _penalty(len(at) - 1, controls_of(x.unit) if controls_of else c)
+            penalty = penalty_matrix(len(at) - 1, controls_of(x.unit) if controls_of else c)
             theta = np.zeros(size)
             theta[at] = np.linalg.lstsq(both[np.ix_(at, at)] + penalty, both[at, size], rcond=None)[0]
             old = state[x.unit][0]

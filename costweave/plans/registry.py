@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from costweave.config import Controls
 from costweave.functions import columns as C
-from costweave.operators import backtest, basket, bridge, classify, committed, forecast, indices, matching, pairs, panel, quality, regression
+from costweave.operators import backtest, basket, bridge, classify, committed, forecast, indices, matching, pairs, panel, quality, regression, windows
 from costweave.operators.clean import clean_lines, flag_duplicates
 from costweave.plans import sql as S
 from costweave.plans.stages import staged, tuned
@@ -51,8 +51,8 @@ def _panel(spark, d, freq):
 
 
 def _windows(spark):
-    w = spark.createDataFrame([(k, date.fromisoformat(a), date.fromisoformat(b)) for k, (a, b) in S.WINDOWS.items()], "label string, start date, end date")
-    return w, spark.createDataFrame([(k, a, b) for k, (a, b) in S.COMPARISONS.items()], "comparison string, a string, b string")
+    """Fiscal years 1998 to 2000, and 2001 to date against 2000 to date at the end of June."""
+    return windows.as_tables(spark, *windows.comparisons(1998, date(2001, 6, 30)))
 
 
 def _scoped(spark, d):
@@ -154,10 +154,33 @@ _register("part_override_uom", _overridden, "decision uom_adjusted model_eligibl
     round(sum(realized_price / CASE WHEN p_size = 2 THEN 1000 ELSE 1 END), 4) AS prices
   FROM classified JOIN part ON part_key = CAST(p_partkey AS VARCHAR) GROUP BY 1, 2, 3, 4""")
 _MODAL = """SELECT part_key, direct_category AS modal_category, several_categories FROM (SELECT part_key, direct_category, count(*) OVER (PARTITION BY part_key) > 1 AS several_categories,
-  row_number() OVER (PARTITION BY part_key ORDER BY n DESC, direct_category) AS k FROM (SELECT part_key, direct_category, count(*) AS n FROM classified WHERE {} GROUP BY 1, 2) a) b WHERE k = 1"""
-_register("modal_category", lambda s, d: classify.modal_categories(_classified(s, d).where("in_direct_costs and included_for_pricing"), "part_key"), "part_key modal_category several_categories", sql=_MODAL.format("in_direct_costs AND included_for_pricing"))
-_register("cutoff_modal_category", lambda s, d: classify.label_categories_at(_classified(s, d).drop("approved_category"), BASE).where("in_direct_costs").select("part_key", "approved_category").distinct(), "part_key approved_category",
-          sql=f"SELECT DISTINCT part_key, direct_category AS approved_category FROM classified WHERE in_direct_costs AND (part_key IN (SELECT part_key FROM classified WHERE effective_date <= DATE '{S.BASE}') OR true)")
+  row_number() OVER (PARTITION BY part_key ORDER BY n DESC, direct_category) AS k FROM (SELECT part_key, direct_category, count(*) AS n FROM mixed WHERE {} GROUP BY 1, 2) a) b WHERE k = 1"""
+
+
+def _mixed(spark, d):
+    """Classified lines in which every third one is Inventory, so that parts have several categories."""
+    third = F.col("in_direct_costs") & (F.floor(F.col("source_row_number") / 100) % 3 == 0)
+    return _classified(spark, d).withColumn("direct_category", F.when(third, "Inventory").otherwise(F.col("direct_category"))).drop("approved_category")
+
+
+def _labelled_at(spark, d):
+    rows = classify.label_categories_at(_mixed(spark, d), BASE).where("in_direct_costs")
+    return rows.select("part_key", "direct_category", "approved_category").distinct()
+
+
+def _labelled(spark, d):
+    rows = classify.label_categories(_mixed(spark, d)).where("in_direct_costs")
+    return rows.select("part_key", "approved_category", "several_categories").distinct()
+
+
+_register("modal_category", lambda s, d: classify.modal_categories(_mixed(s, d).where("in_direct_costs and included_for_pricing"), "part_key"), "part_key modal_category several_categories",
+          sql=_MODAL.format("in_direct_costs AND included_for_pricing"))
+_register("cutoff_modal_category", _labelled_at, "part_key direct_category approved_category", sql=f"""
+  SELECT DISTINCT c.part_key, direct_category, coalesce(modal_category, direct_category) AS approved_category FROM mixed c
+  LEFT JOIN ({_MODAL.format(f"in_direct_costs AND effective_date <= DATE '{S.BASE}'")}) m ON m.part_key = c.part_key WHERE in_direct_costs""")
+_register("label_categories", _labelled, "part_key approved_category several_categories", sql=f"""
+  SELECT DISTINCT c.part_key, coalesce(modal_category, direct_category) AS approved_category, coalesce(several_categories, false) AS several_categories FROM mixed c
+  LEFT JOIN ({_MODAL.format("in_direct_costs AND included_for_pricing")}) m ON m.part_key = c.part_key WHERE in_direct_costs""")
 _register("hist_scope_flags", lambda s, d: classify.historical_scopes(_cleaned(s, d)).groupBy("description_norm", "in_inventory_only", "in_physical_inputs", "in_all_po_lines").agg(F.count(F.lit(1)).alias("n")),
           "description_norm in_inventory_only in_physical_inputs in_all_po_lines n", sql="SELECT description_norm, in_inventory_only, in_physical_inputs, in_all_po_lines, count(*) AS n FROM hist GROUP BY 1, 2, 3, 4")
 _register("scope_disclosure", lambda s, d: quality.scope_disclosure(classify.historical_scopes(_cleaned(s, d))), "description_norm row_count po_value:2 scope_role", sql="""
@@ -171,15 +194,8 @@ for _f in ("m", "q", "fy"):
     _F = _f.upper()
     _register(f"part_period_{_f}", partial(_panel, freq=_F), "part_key period_start period_end period_ordinal price:6 qty:4 spend:4 approved_category", f"panel_{_f}")
     _register(f"matched_part_changes_{_f}", lambda s, d, f=_F: indices.matched_changes(_panel(s, d, f)),
-              "period_start period_end match_count matched_spend:2 current_matched_spend:2 total_spend:2 coverage:6 median_change:6 equal_change:6 winsor_equal_change:6 capped_spend_change:6 winsor_low:6 winsor_high:6", sql=f"""
-  SELECT l.period_start, max(period_end) AS period_end, count(*) AS match_count, round(sum(w0), 2) AS matched_spend, round(sum(spend), 2) AS current_matched_spend, round(max(total), 2) AS total_spend,
-    round(sum(spend) / max(total), 6) AS coverage, round(exp(median(r)) - 1, 6) AS median_change, round(exp(avg(r)) - 1, 6) AS equal_change, round(exp(avg(rw)) - 1, 6) AS winsor_equal_change,
-    round(exp(sum(w * rw) / sum(w)) - 1, 6) AS capped_spend_change, round(max(ql), 6) AS winsor_low, round(max(qu), 6) AS winsor_high
-  FROM (SELECT a.*, ql, qu, least(greatest(r, ql), qu) AS rw, CASE WHEN ws <= 0 THEN 1 ELSE least(w0, cap) END AS w
-        FROM (SELECT *, sqrt(greatest(spend, 0) * greatest(spend_0, 0)) AS w0 FROM links_{_f}) a
-        JOIN (SELECT period_start, quantile_cont(r, 0.01) AS ql, quantile_cont(r, 0.99) AS qu, sum(w0) AS ws, quantile_cont(w0, 0.95) AS cap
-              FROM (SELECT *, sqrt(greatest(spend, 0) * greatest(spend_0, 0)) AS w0 FROM links_{_f}) b GROUP BY 1) q ON q.period_start = a.period_start) l
-  JOIN (SELECT period_start, sum(spend) AS total FROM panel_{_f} GROUP BY 1) t ON t.period_start = l.period_start GROUP BY 1""")
+              "period_start period_end match_count matched_spend:2 current_matched_spend:2 total_spend:2 coverage:6 median_change:6 equal_change:6 winsor_equal_change:6 capped_spend_change:6 winsor_low:6 winsor_high:6",
+              f"mchg_{_f}")
     _register(f"tornqvist_{_f}", lambda s, d, f=_F: indices.tornqvist(_panel(s, d, f)), "period_start period_end match_count log_change:6 pct_change:6 index_level:5 coverage:6 status", sql=f"""
   SELECT t.period_start, period_end, match_count, round(g, 6) AS log_change, round(exp(g) - 1, 6) AS pct_change, round(exp(sum(g) OVER (ORDER BY t.period_start)), 5) AS index_level,
     round(tv / total, 6) AS coverage, CASE WHEN g IS NULL THEN 'unavailable' ELSE 'ok' END AS status
@@ -300,8 +316,11 @@ def _monthly_rates(spark, d):
     return t.select(F.lit("Overall").alias("series"), F.col("period_start").alias("month"), F.col("log_change").alias("rate"))
 
 
-_register("forecast_candidates", lambda s, d: forecast.candidates(forecast.series_arrays(_monthly_rates(s, d))), "series method cumulative_log:5")
-_register("method_selection", lambda s, d: forecast.method_errors(forecast.series_arrays(_monthly_rates(s, d))), "series method mae:5 n_evals")
+_register("forecast_candidates", lambda s, d: forecast.candidates(forecast.series_arrays(_monthly_rates(s, d))), "series method cumulative_log:5",
+          sql="SELECT 'Overall' AS series, method, round(cumulative_log, 5) AS cumulative_log FROM sums WHERE i = n")
+_register("method_selection", lambda s, d: forecast.method_errors(forecast.series_arrays(_monthly_rates(s, d))), "series method mae:5 n_evals", sql="""
+  SELECT 'Overall' AS series, method, round(avg(abs(cumulative_log - actual)), 5) AS mae, count(*) AS n_evals
+  FROM sums JOIN (SELECT a.i, sum(b.x) AS actual FROM ser a JOIN ser b ON b.i BETWEEN a.i + 1 AND a.i + 12 GROUP BY 1) f ON f.i = sums.i WHERE sums.i BETWEEN 13 AND n - 12 AND n >= 18 GROUP BY 1, 2""")
 _register("holdout_basket", lambda s, d: basket.holdout_basket(_written_daily(s, d), date(1999, 9, 30)), "part_key base_date actual_date gap_days actual_multiplier:6 unscaled_multiplier:6 extreme pre_robust_weight:8 weight:8 stale_excluded", sql="""
   SELECT part_key, base_date, actual_date, gap AS gap_days, round(exp(greatest(least(lh, least(qh, ln(4.0))), greatest(ql, ln(0.25)))), 6) AS actual_multiplier,
     round(exp(greatest(least(raw, least(rh, ln(4.0))), greatest(rl, ln(0.25)))), 6) AS unscaled_multiplier, (lh < ln(0.25) OR lh > ln(4.0)) AS extreme, round(w1 / sum(w1) OVER (), 8) AS pre_robust_weight,
@@ -311,11 +330,21 @@ _register("holdout_basket", lambda s, d: basket.holdout_basket(_written_daily(s,
 
 
 def _metrics(spark, d):
-    h = basket.holdout_basket(_daily(spark, d), date(1999, 9, 30))
-    return basket.forecast_metrics(h.select("approved_category", F.col("price_actual").alias("actual"), F.col("price_base").alias("predicted"), (F.col("price_base") * 0.9).alias("base"), "weight"), ["approved_category"])
-
-
-_register("forecast_metrics", _metrics, "approved_category n wape:6 wale:6 mdape:6 directional_accuracy:6")
+    """Errors of prices forecast a year ahead: the last price moved by the mean of the twelve monthly changes known then."""
+    daily, cutoff = _written_daily(spark, d), date(1999, 9, 30)
+    monthly = indices.tornqvist(staged(panel.part_period(daily.where(F.col("po_date") <= F.lit(cutoff)), "M"), "panel"))
+    series = forecast.series_arrays(monthly.select(F.lit("Overall").alias("series"), F.col("period_start").alias("month"), F.col("log_change").alias("rate")))
+    change = forecast.candidates(series).where(F.col("method") == forecast.METHODS[0]).select("cumulative_log")
+    held = staged(basket.holdout_basket(daily, cutoff), "holdout").join(F.broadcast(change))
+    predicted = F.col("price_base") * F.exp("cumulative_log")
+    rows = held.select("approved_category", F.col("price_actual").alias("actual"), predicted.alias("predicted"), F.col("price_base").alias("base"), "weight")
+    return basket.forecast_metrics(rows, ["approved_category"])
+
+
+_register("forecast_metrics", _metrics, "approved_category n wape:6 wale:6 mdape:6 directional_accuracy:6", sql="""
+  SELECT approved_category, count(*) AS n, round(sum(weight * abs(p - pa)) / sum(weight * pa), 6) AS wape, round(sum(weight * abs(ln(p) - ln(pa))) / sum(weight), 6) AS wale,
+    round(median(abs((p - pa) / pa)), 6) AS mdape, round(avg(CASE WHEN sign(pa - pb) = sign(p - pb) THEN 1.0 ELSE 0.0 END), 6) AS directional_accuracy
+  FROM (SELECT *, pb * exp((SELECT 12 * avg(x) FROM (SELECT x FROM ser WHERE month <= DATE '1999-09-01' ORDER BY i DESC LIMIT 12) r)) AS p FROM hold_2) t GROUP BY 1""")
 _register("last_price", lambda s, d: classify.last_rows(_daily(s, d).where(F.col("po_date") <= F.lit(BASE)), "part_key", ["po_date"]), "part_key po_date price:6",
           sql=f"SELECT part_key, po_date, round(price, 6) AS price FROM (SELECT *, row_number() OVER (PARTITION BY part_key ORDER BY po_date DESC) AS k FROM daily WHERE po_date <= DATE '{S.BASE}') t WHERE k = 1")
 _register("top_weighted_parts", lambda s, d: _daily(s, d).groupBy("part_key").agg(F.sum("spend").alias("spend")).orderBy(F.desc("spend"), "part_key").limit(100), "part_key spend:2",
@@ -341,20 +370,28 @@ def _index(spark, d):
     return regression.monthly_index(_model(spark, d)[1].rates(spark), basket.fiscal_weights(_classified(spark, d), BASE), BASE)
 
 
-def _forecast(spark, d, part):
-    weighted, model = _model(spark, d)
+def _forecast(spark, d, fitted=None):
+    weighted, model = fitted or _model(spark, d)
     n = quality.pair_coverage(weighted).select("category", "pairs")
     signal = committed.committed_signal(_committed(spark, d))
-    return forecast.annual_forecast(model.rates(spark), basket.fiscal_weights(_classified(spark, d), BASE), n, BASE, signal)[part]
+    return forecast.annual_forecast(model.rates(spark), basket.fiscal_weights(_classified(spark, d), BASE), n, BASE, signal)
+
+
+def _physical_daily(spark, d):
+    return panel.physical_daily(classify.historical_scopes(_cleaned(spark, d)))
 
 
+_register("physical_daily", _physical_daily, "part_key po_date price:6 qty:4 spend:2 approved_category", sql="""
+  SELECT part_key, po_date, round(median(price), 6) AS price, round(median(qty_ordered) FILTER (WHERE qty_ordered > 0), 4) AS qty, round(sum(greatest(coalesce(po_value, 0), 0)), 2) AS spend, max(modal) AS approved_category
+  FROM (SELECT *, first(description_norm) OVER (PARTITION BY part_key, po_date ORDER BY n DESC, description_norm) AS modal
+        FROM (SELECT *, count(*) OVER (PARTITION BY part_key, po_date, description_norm) AS n FROM hist WHERE in_physical_inputs AND part_key IS NOT NULL AND po_date IS NOT NULL AND price > 0) a) b GROUP BY 1, 2""")
 _register("monthly_rates", lambda s, d: _model(s, d)[1].rates(s), "series month rate:6")
 _register("monthly_index", _index, "series month rate:6 index_level:4 status")
 _register("fy_ttm_rates", lambda s, d: regression.fiscal_and_trailing_rates(_index(s, d), BASE), "series period period_type end_date inflation_rate:5")
-_register("bucket_forecast", lambda s, d: _forecast(s, d, 0), "direct_category forecast_year method committed_weight:6 annual_rate:5 cumulative_multiplier:5 at_guardrail")
-_register("composite_forecast", lambda s, d: _forecast(s, d, 1), "forecast_year annual_rate:5 cumulative_multiplier:5")
+_register("bucket_forecast", lambda s, d: _forecast(s, d)[0], "direct_category forecast_year method committed_weight:6 annual_rate:5 cumulative_multiplier:5 at_guardrail")
+_register("composite_forecast", lambda s, d: _forecast(s, d)[1], "forecast_year annual_rate:5 cumulative_multiplier:5")
 _register("part_residuals", lambda s, d: regression.part_residuals(regression.predict_pairs(*_model(s, d))), "part_key category n_pairs span_days residual_rate:5 shrinkage:6 shrunk_residual:6 quality:6 source")
-_register("huber_trim_grid", lambda s, d: regression.joint_huber(staged(pairs.adjacent_pairs(_daily(s, d), 30), "pairs")), "trim weighting n_pairs n_parts annual_rate:4 gamma:4 converged")
+_register("huber_trim_grid", lambda s, d: regression.joint_huber(staged(pairs.adjacent_pairs(_physical_daily(s, d), 30), "pairs")), "trim weighting n_pairs n_parts annual_rate:4 gamma:4 converged")
 
 _register("source_trace", lambda s, d: bridge.source_trace(_cleaned(s, d), ("source_file", "source_row_number", "description_1")), "part_key source_file source_row_number description_1",
           sql="SELECT part_key, source_file, source_row_number, description_1 FROM (SELECT *, row_number() OVER (PARTITION BY part_key ORDER BY po_date DESC, source_file DESC, source_row_number DESC) AS k FROM clean WHERE part_key IS NOT NULL) t WHERE k = 1")
@@ -372,27 +409,95 @@ def _bands(spark, d):
     return backtest.bootstrap_forecasts(_pairs(spark, d), basket.fiscal_weights(_classified(spark, d), BASE), BASE, method, committed.committed_signal(_committed(spark, d)), Controls())[0]
 
 
-def _bridged(spark, d):
-    weighted, model = _model(spark, d)
+def _bridged(spark, d, fitted=None):
+    weighted, model = fitted or _model(spark, d)
     residuals = regression.part_residuals(regression.predict_pairs(weighted, model))
     lines = _cleaned(spark, d).withColumn("model_eligible", F.col("included_for_pricing"))
     return bridge.basket_quantities(bridge.bridged_prices(_daily(spark, d), residuals, model, BASE), lines, BASE)
 
 
+def _purchasing(spark, d):
+    """Cost of the basket a year ahead: each part moves by the forecast of its category, else by the composite one."""
+    fitted = _model(spark, d)
+    bucket, composite = _forecast(spark, d, fitted)
+    first = "forecast_year = 1"
+    own = bucket.where(first).select(F.col("direct_category").alias("category"), F.col("cumulative_multiplier").alias("own"))
+    rows = _bridged(spark, d, fitted).join(own, "category", "left").join(F.broadcast(composite.where(first).select(F.col("cumulative_multiplier").alias("overall"))))
+    return bridge.purchasing_cost(rows.withColumn("multiplier", F.coalesce("own", "overall")))
+
+
+def _stationary(spark, d):
+    """Whether the overall fit solves its equations, X'W (y - X theta) = P theta, summed anew in plain columns."""
+    weighted, model = _model(spark, d)
+    controls, months = Controls(), len(model.months)
+    pairs_ = regression.predict_pairs(weighted, regression.RepeatSales(model.months, model.delta0, model.gamma0, model.sigma, True, model.n_pairs))
+    r = F.col("y") - F.col("predicted")
+    damped = F.when(F.abs(r) > controls.huber_delta * model.sigma, controls.huber_delta * model.sigma / F.abs(r)).otherwise(1.0)
+    pull = pairs_.withColumn("pull", F.col("pair_weight") * damped * r)
+    by_month = pairs.month_exposure(pull.select("part_key", "date_a", "date_b", "pull"), ("part_key", "date_a", "date_b", "pull"))
+    sums = {x.month: (x.g, x.s) for x in by_month.groupBy("month").agg(F.sum(F.col("pull") * F.col("exposure")).alias("g"), F.sum(F.abs("pull") * F.col("exposure")).alias("s")).collect()}
+    own = pull.agg(F.sum(F.col("pull") * F.col("x_q")), F.sum(F.abs(F.col("pull") * F.col("x_q"))), F.count(F.lit(1))).first()
+    theta = [*model.delta0.tolist(), model.gamma0]
+    held = regression.penalty_matrix(months, controls) @ theta
+    gaps = [abs(sums.get(m, (0.0, 0.0))[0] - held[i]) / (1.0 + sums.get(m, (0.0, 0.0))[1]) for i, m in enumerate(model.months)]
+    gaps.append(abs((own[0] or 0.0) - held[-1]) / (1.0 + (own[1] or 0.0)))
+    return spark.createDataFrame([(regression.OVERALL, own[2], bool(max(gaps) < 1e-4))], "series string, n_pairs long, stationary boolean")
+
+
+_register("repeat_sales_equations", _stationary, "series n_pairs stationary", sql="SELECT 'Overall' AS series, count(*) AS n_pairs, true AS stationary FROM weighted")
 _register("composite_backtest", _backtest, "cutoff method matched_parts eligible_basket_weight:6 actual_gap_days:4 stale_parts_excluded extreme_weight_share:6 actual_multiplier:5 predicted_multiplier:4 absolute_log_error:4")
 _register("bootstrap_bands", _bands, "forecast_year lower:4 median:4 upper:4")
 _register("penalty_search", lambda s, d: backtest.penalty_search(_pairs(s, d), Controls()), "candidate lambda_smooth lambda_gamma mean_wape:4 n_cutoffs selected")
 _register("part_backtest", lambda s, d: backtest.part_backtest_summary(backtest.part_backtest(_written_daily(s, d), Controls())),
           "model horizon_months n wape:4 wape_quantity_conditional:4 wale:4 mdape:4 directional_accuracy:4 interval_coverage:4 composite_error:4")
 _register("bridged_prices", _bridged, "part_key latest_date latest_price:4 estimated_base_price:4 price_staleness_days q_star:4 q_future:4 composite_weight:6 source")
-_register("purchasing_cost", lambda s, d: bridge.purchasing_cost(_bridged(s, d).withColumn("multiplier", F.when(F.col("category").isNull(), 1.0).otherwise(1.05))), "cost_base:2 cost_target:2 purchasing_cost_change:6 fixed_basket_change:6")
+_register("purchasing_cost", _purchasing, "cost_base:2 cost_target:2 purchasing_cost_change:6 fixed_basket_change:6")
 _register("heaviest_parts", lambda s, d: bridge.heaviest(_daily(s, d).groupBy("part_key").agg(F.sum("spend").alias("weight")), 0.995, 50), "part_key weight:8",
           sql="SELECT part_key, round(w / sum(w) OVER (), 8) AS weight FROM (SELECT part_key, w, sum(w) OVER (ORDER BY w DESC, part_key ROWS UNBOUNDED PRECEDING) / sum(w) OVER () AS run FROM (SELECT part_key, sum(spend) AS w FROM daily GROUP BY 1)) t WHERE run <= 0.995")
-_register("recent_quarter_change", lambda s, d: bridge.recent_change(indices.tornqvist(_panel(s, d, "Q")), "pct_change"), "mean_change:6 n annual_log:6")
-_register("historical_index", lambda s, d: bridge.historical_index(_daily(s, d)), "period_start frequency tornqvist_index:5 tornqvist_change:6 status match_count matched_spend:2 capped_spend_change:6 fisher_index:5")
-_register("scope_sensitivity", lambda s, d: bridge.scope_sensitivity({k: panel.realized_daily(classify.classify_lines(_cleaned(s, d)).withColumns({"approved_category": F.col("direct_category"), "in_direct_costs": v})) for k, v in
-          {"direct_costs": F.col("in_direct_costs"), "all_po_lines": F.col("included_for_pricing")}.items()}), "scope frequency status part_days distinct_parts latest_matched_change:6 latest_tornqvist:6 match_count matched_spend:2 total_spend:2")
+_register("recent_quarter_change", lambda s, d: bridge.recent_change(indices.tornqvist(_panel(s, d, "Q")), "pct_change"), "mean_change:6 n annual_log:6",
+          sql="SELECT round(avg(c), 6) AS mean_change, count(*) AS n, round(ln(1 + avg(c)) * 4, 6) AS annual_log FROM (SELECT exp(g) - 1 AS c FROM torn_q WHERE g IS NOT NULL ORDER BY period_start DESC LIMIT 4) t")
+_register("historical_index", lambda s, d: bridge.historical_index(_written_daily(s, d)), "period_start frequency tornqvist_index:5 tornqvist_change:6 status match_count matched_spend:2 capped_spend_change:6 fisher_index:5",
+          sql=" UNION ALL ".join(f"""
+  SELECT t.period_start, '{f.upper()}' AS frequency, round(exp(sum(g) OVER (ORDER BY t.period_start)), 5) AS tornqvist_index, round(exp(g) - 1, 6) AS tornqvist_change, 'ok' AS status, m.match_count,
+    round(matched_spend, 2) AS matched_spend, round(capped_spend_change, 6) AS capped_spend_change, round(fisher_index, 5) AS fisher_index
+  FROM torn_{f} t JOIN mchg_{f} m ON m.period_start = t.period_start LEFT JOIN fish_{f} i ON i.period_start = t.period_start""" for f in ("m", "q", "fy")))
+#: Scopes of the sensitivity grid: the lines that count, as a column and as SQL.
+_SCOPES = {
+    "direct_costs": ("in_direct_costs", "in_direct_costs"),
+    "inventory_only": ("included_for_pricing and direct_category = 'Inventory'", "included_for_pricing AND direct_category = 'Inventory'"),
+    "physical_plus_review": ("included_for_pricing and decision in ('Include', 'Needs Review')", "included_for_pricing AND decision IN ('Include', 'Needs Review')"),
+    "all_po_lines": ("included_for_pricing", "included_for_pricing"),
+}
+
+
+def _scope_sensitivity(spark, d):
+    wanted = F.array_compact(F.array(*(F.when(F.expr(f"coalesce({on}, false)"), F.lit(k)) for k, (on, _) in _SCOPES.items())))
+    rows = _classified(spark, d).withColumn("scope", F.explode(wanted)).withColumn("in_direct_costs", F.lit(True))
+    daily = staged(panel.realized_daily(rows.withColumn("part_key", F.struct("scope", "part_key"))), "scope-days")
+    one = lambda k: daily.where(F.col("part_key.scope") == k).withColumn("part_key", F.col("part_key.part_key"))
+    return bridge.scope_sensitivity({k: one(k) for k in _SCOPES})
+
+
+def _scope_sql(scope: str, rows: str) -> str:
+    grid = " UNION ALL ".join(f"""
+  SELECT '{scope}' AS scope, '{f.upper()}' AS frequency, 'ok' AS status, count(*) AS part_days, count(DISTINCT part_key) AS distinct_parts,
+    (SELECT round(capped_spend_change, 6) FROM mchg_{f} ORDER BY period_start DESC LIMIT 1) AS latest_matched_change, (SELECT round(exp(g) - 1, 6) FROM torn_{f} WHERE g IS NOT NULL ORDER BY period_start DESC LIMIT 1) AS latest_tornqvist,
+    (SELECT match_count FROM mchg_{f} ORDER BY period_start DESC LIMIT 1) AS match_count, (SELECT round(matched_spend, 2) FROM mchg_{f} ORDER BY period_start DESC LIMIT 1) AS matched_spend, round(sum(spend), 2) AS total_spend FROM daily""" for f in ("m", "q", "fy"))
+    realized = f"SELECT * FROM classified WHERE {rows} AND realized_price > 0 AND qty_received > 0 AND part_key IS NOT NULL AND effective_date IS NOT NULL"
+    return S.changed(S.statement(grid), realized=realized)
+
+
+_register("scope_sensitivity", _scope_sensitivity, "scope frequency status part_days distinct_parts latest_matched_change:6 latest_tornqvist:6 match_count matched_spend:2 total_spend:2")
+_SQL["scope_sensitivity"] = " UNION ALL ".join(f"SELECT * FROM ({_scope_sql(k, on)}) s_{k}" for k, (_, on) in _SCOPES.items())
 _register("extremes_sensitivity", lambda s, d: _extremes(s, d), "variant status n_rows latest_matched_change:6 latest_tornqvist:6 extreme_pairs")
+_VARIANT_SQL = """
+  SELECT '{}' AS variant, 'ok' AS status, count(*) AS n_rows, (SELECT round(capped_spend_change, 6) FROM mchg_q ORDER BY period_start DESC LIMIT 1) AS latest_matched_change,
+    (SELECT round(exp(g) - 1, 6) FROM torn_q WHERE g IS NOT NULL ORDER BY period_start DESC LIMIT 1) AS latest_tornqvist, (SELECT count(*) FROM flagged WHERE extreme_flag) AS extreme_pairs FROM panel_q"""
+_SQL["extremes_sensitivity"] = (
+    f"SELECT * FROM ({S.statement(_VARIANT_SQL.format('with_extremes'))}) a UNION ALL SELECT * FROM ("
+    + S.changed(S.statement(_VARIANT_SQL.format("without_extremes")), panel_q=S.part("panel_q") + " WHERE part_key NOT IN (SELECT part_key FROM flagged WHERE extreme_flag)")
+    + ") b"
+)
 
 
 def _extremes(spark, d):

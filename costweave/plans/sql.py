@@ -118,6 +118,19 @@ for _f, (_start, _ordinal, _step) in _PERIOD.items():
   SELECT l.period_start, max(period_end) AS period_end, count(*) AS match_count, max(tv) AS tv,
     sum((CASE WHEN tv > 0 THEN price * qty / tv WHEN ts > 0 THEN spend / ts END + CASE WHEN tv0 > 0 THEN price_0 * qty_0 / tv0 WHEN ts0 > 0 THEN spend_0 / ts0 END) / 2 * r) AS g
   FROM links_{_f} l JOIN (SELECT period_start, sum(price * qty) AS tv, sum(price_0 * qty_0) AS tv0, sum(spend) AS ts, sum(spend_0) AS ts0 FROM links_{_f} GROUP BY 1) s ON s.period_start = l.period_start GROUP BY 1"""
+    _PARTS[f"mchg_{_f}"] = f"""
+  SELECT l.period_start, max(period_end) AS period_end, count(*) AS match_count, sum(w0) AS matched_spend, sum(spend) AS current_matched_spend, max(total) AS total_spend,
+    sum(spend) / max(total) AS coverage, exp(median(r)) - 1 AS median_change, exp(avg(r)) - 1 AS equal_change, exp(avg(rw)) - 1 AS winsor_equal_change,
+    exp(sum(w * rw) / sum(w)) - 1 AS capped_spend_change, max(ql) AS winsor_low, max(qu) AS winsor_high
+  FROM (SELECT a.*, ql, qu, least(greatest(r, ql), qu) AS rw, CASE WHEN ws <= 0 THEN 1 ELSE least(w0, cap) END AS w
+        FROM (SELECT *, sqrt(greatest(spend, 0) * greatest(spend_0, 0)) AS w0 FROM links_{_f}) a
+        JOIN (SELECT period_start, quantile_cont(r, 0.01) AS ql, quantile_cont(r, 0.99) AS qu, sum(w0) AS ws, quantile_cont(w0, 0.95) AS cap
+              FROM (SELECT *, sqrt(greatest(spend, 0) * greatest(spend_0, 0)) AS w0 FROM links_{_f}) b GROUP BY 1) q ON q.period_start = a.period_start) l
+  JOIN (SELECT period_start, sum(spend) AS total FROM panel_{_f} GROUP BY 1) t ON t.period_start = l.period_start GROUP BY 1"""
+    _PARTS[f"fish_{_f}"] = f"""
+  SELECT *, exp(sum(ln(l * p) / 2) OVER (ORDER BY period_start)) AS fisher_index
+  FROM (SELECT period_start, max(period_end) AS period_end, count(*) AS match_count, sum(price * qty_0) / sum(price_0 * qty_0) AS l, sum(price * qty) / sum(price_0 * qty) AS p
+    FROM links_{_f} WHERE qty > 0 AND qty_0 > 0 GROUP BY 1) t"""
 _PARTS["hist"] = """
   SELECT *, CASE WHEN dn = '' THEN NULL ELSE dn END AS description_norm, included_for_pricing AND dn IN ('INVENTORY', 'PRODUCTION SUPPLIES', 'OPERATING SUPPLIES', 'PRODUCTION AIDS', 'SMALL TOOLS') AS in_physical_inputs,
     included_for_pricing AND dn = 'INVENTORY' AS in_inventory_only, included_for_pricing AS in_all_po_lines, source_file AS fiscal_year FROM clean"""
@@ -170,11 +183,26 @@ _PARTS["committed_stats"] = """
   SELECT category, quantile_cont(annual_log_change, 0.01) AS lo, quantile_cont(annual_log_change, 0.99) AS hi, quantile_cont(open_weight, 0.95) AS cap FROM committed_both
   WHERE annual_log_change IS NOT NULL AND open_weight > 0 GROUP BY 1"""
 _PARTS["hold_0"] = """
-  SELECT b.part_key, b.po_date AS base_date, a.po_date AS actual_date, b.price AS pb, a.price AS pa, b.spend, CAST(date_diff('day', b.po_date, a.po_date) AS BIGINT) AS gap
+  SELECT b.part_key, b.approved_category, b.po_date AS base_date, a.po_date AS actual_date, b.price AS pb, a.price AS pa, b.spend, CAST(date_diff('day', b.po_date, a.po_date) AS BIGINT) AS gap
   FROM (SELECT *, row_number() OVER (PARTITION BY part_key ORDER BY po_date DESC) AS k FROM daily WHERE po_date <= DATE '1999-09-30') b
   JOIN (SELECT *, row_number() OVER (PARTITION BY part_key ORDER BY abs(date_diff('day', po_date, DATE '2000-09-30')), po_date) AS k FROM daily WHERE po_date BETWEEN DATE '2000-09-30' - 90 AND DATE '2000-09-30' + 90) a
     ON a.part_key = b.part_key AND a.k = 1 AND b.k = 1"""
 _PARTS["hold_1"] = "SELECT *, ln(pa / pb) AS raw, ln(pa / pb) * 366 / gap AS lh, greatest(coalesce(spend, pb), 0) AS w0 FROM hold_0 WHERE gap > 0 AND gap <= 548"
+_PARTS["hold_2"] = """
+  SELECT *, w1 * damp / sum(w1 * damp) OVER () AS weight
+  FROM (SELECT h.*, CASE WHEN lh < ln(0.25) OR lh > ln(4.0) THEN 0.25 ELSE 1 END AS damp, least(w0, cap) AS w1 FROM hold_1 h, (SELECT quantile_cont(w0, 0.95) AS cap FROM hold_1) s) t"""
+# Monthly rates in order, and the state of the recursive forecasters after each month.
+_PARTS["ser"] = "SELECT row_number() OVER (ORDER BY period_start) AS i, period_start AS month, g AS x FROM torn_m"
+_PARTS["st"] = """
+  SELECT CAST(1 AS BIGINT) AS i, x AS e, x AS l, coalesce((SELECT x FROM ser WHERE i = 2) - x, 0) AS t FROM ser WHERE i = 1
+  UNION ALL SELECT s.i, 0.3 * s.x + 0.7 * p.e, 0.4 * s.x + 0.6 * (p.l + 0.8 * p.t), 0.2 * (0.4 * s.x + 0.6 * (p.l + 0.8 * p.t) - p.l) + 0.64 * p.t FROM st p JOIN ser s ON s.i = p.i + 1"""
+_PARTS["sums"] = """
+  SELECT s.i, n, method, CASE method WHEN 'trailing_12m_mean' THEN 12 * recent WHEN 'ewma' THEN 12 * e
+    WHEN 'damped_holt' THEN 12 * l + (12 * 0.8 - 0.64 * (1 - pow(0.8, 12)) / 0.2) / 0.2 * t ELSE 12 * mu + (recent - mu) * 0.85 * (1 - pow(0.85, 12)) / 0.15 END AS cumulative_log
+  FROM (SELECT i, avg(x) OVER (ORDER BY i) AS mu, avg(x) OVER (ORDER BY i ROWS 11 PRECEDING) AS recent, count(*) OVER () AS n FROM ser) s JOIN st ON st.i = s.i,
+    (VALUES ('trailing_12m_mean'), ('ewma'), ('damped_holt'), ('mean_reversion')) m(method)"""
+_PARTS["mixed"] = """
+  SELECT * REPLACE (CASE WHEN in_direct_costs AND (source_row_number // 100) % 3 = 0 THEN 'Inventory' ELSE direct_category END AS direct_category) FROM classified"""
 _PARTS["fparts"] = """
   SELECT direct_category, prefix, part_key, first(words ORDER BY source_file, source_row_number) AS words, median(realized_price) AS median_price, count(*) AS observations, min(fy) AS first_fy, max(fy) AS last_fy,
     list_distinct(list_filter(string_split(first(words ORDER BY source_file, source_row_number), ' '), lambda t: length(t) >= 2 AND t NOT IN ('A', 'AN', 'AND', 'FOR', 'OF', 'THE', 'TO', 'WITH', 'ASSY', 'ASSEMBLY'))) AS tokens
@@ -218,11 +246,22 @@ def _nudged(text: str) -> str:
 
 def statement(select: str) -> str:
     """A query with the named parts it needs in front of it."""
-    parts = _needed(select)
-    head = "WITH " + ",\n".join(f"{k} AS ({_PARTS[k]})" for k in parts) + "\n" if parts else ""
+    parts = _needed(select)  # a part that names itself is recursive
+    head = f"WITH {'RECURSIVE ' if 'st' in parts else ''}" + ",\n".join(f"{k} AS ({_PARTS[k]})" for k in parts) + "\n" if parts else ""
     return head + _nudged(select)
 
 
+def changed(sql: str, **parts: str) -> str:
+    """A statement in which named parts have another text."""
+    for name, text in parts.items():
+        sql = sql.replace(f"{name} AS ({_PARTS[name]})", f"{name} AS ({text})")
+    return sql
+
+
+def part(name: str) -> str:
+    return _PARTS[name]
+
+
 def rounded(spec: str, table: str, tail: str = "") -> str:
     """``a b:6 c`` as columns of a table, those with digits rounded."""
     columns = [c if ":" not in c else f"round({c.split(':')[0]}, {c.split(':')[1]}) AS {c.split(':')[0]}" for c in spec.split()]

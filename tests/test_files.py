@@ -1,12 +1,16 @@
 import json
 import math
+import zipfile
+from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
-from costweave import cli
+from costweave import cli, config
+from costweave.operators import windows
 from costweave.operators.clean import clean_lines
 from costweave.plans.sinks import json_value, write_package
-from costweave.sources import files
+from costweave.sources import files, workbooks
 
 HEAD = "P.O. Date, Part Number,Description 1,Description 2, Cost ,Qty Ordered,Qty Received,Extension (Qty Received),PO Value,Bucket,Description\n"
 
@@ -46,3 +50,87 @@ def test_full_run_on_the_star_schema(spark, tmp_path):
     manifest = json.loads((tmp_path / "run/run_manifest.json").read_text())
     assert manifest["tables"]["composite_forecast"]["rows"] == 3 and manifest["tables"]["tornqvist_FY"]["rows"] > 0
     assert json.loads((tmp_path / "run/summary.json").read_text())["pairs"] >= 50
+
+
+def test_files_with_other_column_orders_keep_their_columns(spark, tmp_path):
+    heads = [h.strip() for h in HEAD.strip().split(",")]
+    line = dict(zip(heads, ["10/31/2023", "P1", "x", "", "2", "7", "1", "2", "14", "1210AC", "Inventory"], strict=True))
+    for name, order in (("a.csv", heads), ("b.csv", heads[::-1])):
+        (tmp_path / name).write_text(",".join(order) + '\n' + ",".join(line[h] for h in order) + "\n" + ",".join(["" for _ in order]) + "\n" + ",".join(f'"{line[h]}\n"' if h == "Description 1" else line[h] for h in order) + "\n")
+    rows = files.read_csv(spark, str(tmp_path)).orderBy("source_file", "source_row_number").collect()
+    assert [(r.source_file, r.source_row_number, r.qty_ordered, r.qty_received) for r in rows] == [(f, n, 7.0, 1.0) for f in ("a.csv", "b.csv") for n in (2, 4)]
+    assert {str(r.po_date) for r in rows} == {"2023-10-31"}
+
+
+def test_dates_as_people_type_them(spark):
+    texts = {"2023-10-31": 0, "10/31/2023": 0, "10/31/23": 0, "2023-10-31 08:15:00": 0, "2023-10-31T00:00:00": 0, "10/31/2023 8:15": 0, "31-Oct-2023": 0, "Oct 31, 2023": 0, "20231031": 0, "31.31.2023": 1, "": 1, "soon": 1}
+    got = {r.t: r.d for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", files.parsed_date(F.col("t")).alias("d")).collect()}
+    assert {t for t, d in got.items() if d is None} == {t for t, bad in texts.items() if bad}
+    assert {str(d) for d in got.values() if d} == {"2023-10-31"}
+
+
+def write_workbook(path, sheets, dated=(0,)):
+    """A small .xlsx: shared texts, a date style for the columns ``dated``, one entry of ``sheets`` a sheet."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    texts = []
+
+    def cell(value, row, column):
+        ref = f"{chr(65 + column)}{row}"
+        if value is None:
+            return ""
+        if isinstance(value, str):
+            texts.append(value)
+            return f'<c r="{ref}" t="s"><v>{len(texts) - 1}</v></c>'
+        if isinstance(value, bool):
+            return f'<c r="{ref}" t="b"><v>{int(value)}</v></c>'
+        return f'<c r="{ref}" s="{int(column in dated and row > 1)}"><v>{value}</v></c>'
+
+    with zipfile.ZipFile(path, "w") as z:
+        for i, rows in enumerate(sheets.values(), 1):
+            body = "".join(f'<row r="{n}">' + "".join(cell(v, n, c) for c, v in enumerate(r)) + "</row>" for n, r in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+        names = "".join(f'<sheet name="{n}" sheetId="{i}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f"<workbook {main}><sheets>{names}</sheets></workbook>")
+        links = "".join(f'<Relationship Id="rId{i}" Type="t" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><t>{t}</t></si>" for t in texts) + "</sst>")
+
+
+def test_workbooks(spark, tmp_path):
+    heads = [h.strip() for h in HEAD.strip().split(",")]
+    lines = [heads, [45230, 12345.0, "x", None, 2.5, 7, 1, 2.5, 17.5, "1210AC", "Inventory"], [], [45231, "a-1", None, None, "$3", 1, 0, 0, 3, "1210AC", "Inventory"]]
+    write_workbook(tmp_path / "b.xlsx", {"Notes": [["nothing"]], "Sheet2": lines, "Z": lines[:2]})
+    write_workbook(tmp_path / "a.xlsm", {"Z": lines[:2], "A": lines})
+    rows = files.discover(str(tmp_path), (".xlsx", ".xlsm"))
+    got = clean_lines(workbooks.read_workbooks(spark, rows)).orderBy("source_file", "source_row_number").collect()
+    assert [(r.source_file, r.source_sheet, r.source_row_number, r.part_key, str(r.po_date), r.cost) for r in got] == [
+        ("a.xlsm", "Z", 2, "12345", "2023-10-31", 2.5), ("b.xlsx", "Sheet2", 2, "12345", "2023-10-31", 2.5), ("b.xlsx", "Sheet2", 4, "A-1", "2023-11-01", 3.0),
+    ]
+    write_workbook(tmp_path / "c.xlsx", {"Sheet2": [["a"]]})
+    with pytest.raises(Exception, match="no sheet has 8"):
+        workbooks.read_workbooks(spark, [str(tmp_path / "c.xlsx")]).collect()
+
+
+def test_configuration_from_a_workbook_and_a_template(spark, tmp_path):
+    write_workbook(tmp_path / "c.xlsx", {"controls ": [["Key", "Value", "Description"], ["fast_mode", "yes", ""], ["lambda_smooth", 5, ""]], "Planned Basket": [["PartKey", "ExpectedQuantity"], ["A", 3], [None, None]]}, dated=())
+    got = config.load_tables(spark, str(tmp_path / "c.xlsx"), {"base_date": "2024-01-31"})
+    assert got.controls.fast_mode and got.controls.lambda_smooth == 5.0 and str(got.controls.base_date) == "2024-01-31" and got.scope_mapping is None
+    assert [tuple(r) for r in got.planned_basket.collect()] == [("A", 3.0, None)]
+    mapping = spark.createDataFrame([("b", "d", "Include", "Inventory", "why", "")], "bucket string, description string, default_decision string, category string, reason string, manual_override string")
+    assert len(config.write_template(str(tmp_path / "t"), mapping)) == 5
+    back = config.load_tables(spark, str(tmp_path / "t"))
+    assert back.controls == config.Controls() and back.scope_mapping.first().default_decision == "Include" and back.part_overrides is None
+    with pytest.raises(ValueError, match="boolean"):
+        config.parse_bool("maybe")
+
+
+def test_historical_run_and_windows(spark, tmp_path):
+    w, pairs = windows.comparisons(2023, date(2026, 7, 9))
+    assert w == [("FY2023", date(2022, 10, 1), date(2023, 9, 30)), ("FY2024", date(2023, 10, 1), date(2024, 9, 30)), ("FY2025", date(2024, 10, 1), date(2025, 9, 30)),
+                 ("FY2025 YTD", date(2024, 10, 1), date(2025, 7, 9)), ("FY2026 YTD", date(2025, 10, 1), date(2026, 7, 9))]
+    assert pairs == [("FY2023-FY2024", "FY2023", "FY2024"), ("FY2024-FY2025", "FY2024", "FY2025"), ("FY2025YTD-FY2026YTD", "FY2025 YTD", "FY2026 YTD")]
+    assert windows.ytd_window(2025, date(2024, 2, 29))[2] == date(2025, 2, 28) and windows.ytd_window(2024, date(2023, 11, 5))[2] == date(2023, 11, 5)
+    cli.main(["historical-actuals", "--input", "/root/testdata/sf0.001", "--format", "star", "--output", str(tmp_path / "h"), "--base-date", "2001-06-30", "--first-fiscal-year", "1998"])
+    tables = json.loads((tmp_path / "h/run_manifest.json").read_text())["tables"]
+    assert tables["comparisons"]["rows"] == 9 and tables["huber_grid"]["rows"] == 8 and tables["matched_parts"]["rows"] > 0
