@@ -23,6 +23,7 @@ def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
 
 
 def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document: maximal segments of token log-odds; ``n_passages`` counts the significant ones."""
     model = toxicity.train(labelled(spark, sf_dir, "toxic"), hash_col="drawn")
     scored = toxicity.score(table(spark, sf_dir, "documents"), model)
     return scored.select(
@@ -32,10 +33,12 @@ def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every document and of its edited text, terms in 0.02 % to 5 % of the documents."""
     return imatch.compare_with_edits(table(spark, sf_dir, "documents"), min_share=0.0002, max_share=0.05)
 
 
 def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and the probe -7, as a reply tree of one branch: formatted, parsed again and digested."""
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -43,6 +46,7 @@ def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes as a TIFF page 64 pixels wide (deflate, differences to the left), read back."""
     media = tiff.store_texts(table(spark, sf_dir, "documents"), width=64, compression=tiff.DEFLATE, predictor=2)
     pages = tiff.tiff_pages(media)
     return pages.select(
@@ -56,35 +60,41 @@ def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of SimHash fingerprints (3-word shingles) at two or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), max_bits=2, shingle=3)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document that meet the targets of its source; without base rates one tilt a source."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), max_rate=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 length buckets of least padding, batches of 65,536 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), max_length=4096, n_buckets=16, token_budget=65_536)
 
 
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by boosted trees over its statistics."""
     scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op9_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from the posteriors of its words."""
     documents = table(spark, sf_dir, "documents")
     model = langid.train(documents.select("doc_id", "text", "lang"))
     return langid.predict(documents, model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
 
 
 def op10_pii_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans by kind, and with those that the trees add; ``n_spans`` counts all."""
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
