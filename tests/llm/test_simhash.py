@@ -69,3 +69,22 @@ def test_edge_rows(docs, empty):
     assert by_id[300].fingerprint == "0" * 16 and by_id[301].component_id == by_id[302].component_id == 300
     assert by_id[305].component_id == 4 and by_id[306].component_id == 6
     assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_components_of_more_edges_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_CHUNK", 20)
+    rng = np.random.default_rng(8)
+    edges = [tuple(map(int, e)) for e in rng.integers(0, 300, size=(180, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = dict(graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect())
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
