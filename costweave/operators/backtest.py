@@ -7,6 +7,7 @@ import math
 from dataclasses import replace
 from datetime import date
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,6 +179,39 @@ def _part_growth(train: DataFrame, spans: DataFrame, models: dict[str, regressio
     return rows.withColumns({"residual": F.coalesce("shrunk_residual", F.lit(0.0)), "source": F.coalesce("source", F.lit("overall"))}).drop("shrunk_residual")
 
 
+def bootstrap_parts(flagged: DataFrame, parts: DataFrame, base: date, target: date, controls: Controls | None = None, noise: float = 0.15) -> DataFrame:
+    """Quantiles of the multiplier from base to target of every part, every category and the whole basket, over refits on resampled parts.
+
+    ``parts`` has ``part_key, approved_category, weight``. Each resample refits the paths (at most 15 rounds, 8 in fast mode), the
+    parts' residual rates and the future rates; these take normal noise of ``noise`` times the first fit's scale, which stands
+    for the forecast's own error. Run 0 is the original without noise. Returns ``level`` (part, category, composite), ``key,
+    lower, median, upper, runs``. ``flagged`` is read in every round and should be a written table.
+    """
+    c, spark = controls or Controls(), flagged.sparkSession
+    sample = pair_weights(resampled_pairs(flagged, max(2, c.bootstrap_iterations), c.random_seed), c.pair_weight_method, by=("run",))
+    models = {run: m for run, m in regression.fit_runs(sample, c, max_rounds=8 if c.fast_mode else 15, persist=False).items() if m.months}
+    empty = "level string, key string, lower double, median double, upper double, runs long"
+    if not models:
+        return spark.createDataFrame([], empty)
+    ahead = future_rates(spark, models, dict.fromkeys(models, target), (3, 6, 12))
+    first = models.get("0", next(iter(models.values())))
+    scale = noise * max(first.sigma, 1e-4)
+    noisy = {run: (np.asarray(path) + (run != "0") * np.random.default_rng([c.random_seed, int(run)]).normal(0, scale, len(path))).tolist() for run, path in ahead.items()}
+    runs = F.explode(F.array(*map(F.lit, sorted(models, key=int)))).alias("run")
+    spans = parts.where("weight > 0").select("part_key", "approved_category", "weight", F.lit(base).alias("date_a"), F.lit(target).alias("date_b"), runs)
+    once = sample.dropDuplicates(["run", "part_key", "date_a"])  # a part drawn twice has the residual rate of one
+    rows = _part_growth(once, spans, models, noisy, c)
+    years = F.datediff("date_b", "date_a") / 365.25
+    rows = rows.withColumn("multiplier", F.exp(F.col("log_category") + F.col("residual") * years))
+    mean = (F.sum(F.col("weight") * F.col("multiplier")) / F.sum("weight")).alias("multiplier")
+    levels = rows.select("run", F.lit("part").alias("level"), F.col("part_key").alias("key"), "multiplier")
+    levels = levels.unionByName(rows.groupBy("run", F.lit("category").alias("level"), F.col("category").alias("key")).agg(mean))
+    levels = levels.unionByName(rows.groupBy("run", F.lit("composite").alias("level"), F.lit(regression.OVERALL).alias("key")).agg(mean))
+    q = F.percentile("multiplier", F.array(*map(F.lit, (c.confidence_lower_quantile, 0.5, c.confidence_upper_quantile))))
+    found = levels.groupBy("level", "key").agg(q.alias("q"), F.count(F.lit(1)).alias("runs"))
+    return found.select("level", "key", F.col("q")[0].alias("lower"), F.col("q")[1].alias("median"), F.col("q")[2].alias("upper"), "runs")
+
+
 def penalty_search(pairs: DataFrame, controls: Controls | None = None) -> DataFrame:
     """Mean weighted error over the six months after each inner cutoff for every pair of penalties; the least one is selected.
 

@@ -108,7 +108,7 @@ def window_values(scoped: DataFrame, windows: DataFrame, by: list[str] | None =
         F.sum(own(value)).alias("spend"),
         F.median(F.when(priced & (F.col("qty_ordered") > 0), F.col("qty_ordered"))).alias("qty"),
         F.count_if(priced).alias("line_count"),
-        F.count_distinct(own("price")).alias("unique_price_count"),
+        F.size(F.collect_set(own("price"))).cast("long").alias("unique_price_count"),
         F.min(own("po_date")).alias("first_date"), F.max(own("po_date")).alias("last_date"), F.min(own("price")).alias("price_min"), F.max(own("price")).alias("price_max"),
         F.stddev_pop(own("price")).alias("price_dispersion"),
         F.mode(own("hist_category"), True).alias("hist_category"), F.mode(own("description_1"), True).alias("description_1"),

@@ -9,6 +9,7 @@ from datetime import date
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,12 +80,14 @@ def _partial_sums(rows: DataFrame, state: dict, size: int, huber: float) -> Data
                 sums[unit] = sums.get(unit, 0.0) + gram
         if sums:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums)), pa.array([int(np.random.default_rng().integers(64))] * len(sums), pa.int32()), pa.array([s.ravel().tolist() for s in sums.values()], pa.list_(pa.float64()))],
+                [pa.array(list(sums)), pa.array([TaskContext.get().partitionId() % 64] * len(sums), pa.int32()), pa.array([s.ravel().tolist() for s in sums.values()], pa.list_(pa.float64()))],
                 names=["unit", "slot", "sums"],
             )
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"unit": frame["unit"].iloc[:1], "slot": [0], "sums": [np.sum(np.stack(frame["sums"].to_list()), axis=0)]})
+        parts = np.stack(frame["sums"].to_list())
+        parts = parts[np.lexsort(parts.T[::-1])]  # one order of summation, whatever order the rows come in
+        return pd.DataFrame({"unit": frame["unit"].iloc[:1], "slot": [0], "sums": [np.sum(parts, axis=0)]})
 
     schema = "unit string, slot int, sums array<double>"
     parts = rows.select("unit", "first", "shares", "x_q", "y", "w").mapInArrow(run, schema)
@@ -219,12 +222,13 @@ def log_growth(spans: DataFrame, paths: list[tuple], category: str = "category",
     """Adds the log price change over (date_a, date_b] and the elasticity of each row's run and category.
 
     A category without a path of its own takes the overall one; months outside a path take its last rate; a run
-    without a path grows by nothing. Paths are runs by categories by months numbers, all of them from fits.
+    without a path grows by nothing. Paths are runs by categories by months numbers, all of them from fits; they are
+    broadcast where their size allows it, as Spark measures it.
     """
     table = spans.sparkSession.createDataFrame(paths, PATHS)
     own = table.where("c is not null").select("run", F.col("c").alias(category), F.struct("first", "path", "gamma").alias("_own"))
     base = table.where("c is null").select("run", F.struct("first", "path", "gamma").alias("_base"))
-    p = spans.join(F.broadcast(base), "run", "left").join(F.broadcast(own), ["run", category], "left").withColumn("_p", F.coalesce("_own", "_base"))
+    p = spans.join(base, "run", "left").join(own, ["run", category], "left").withColumn("_p", F.coalesce("_own", "_base"))
     months = F.sequence(F.trunc(F.date_add("date_a", 1), "month"), F.trunc("date_b", "month"), F.expr("interval 1 month"))
 
     def term(m):

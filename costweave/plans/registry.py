@@ -447,6 +447,16 @@ def _stationary(spark, d):
 _register("repeat_sales_equations", _stationary, "series n_pairs stationary", sql="SELECT 'Overall' AS series, count(*) AS n_pairs, true AS stationary FROM weighted")
 _register("composite_backtest", _backtest, "cutoff method matched_parts eligible_basket_weight:6 actual_gap_days:4 stale_parts_excluded extreme_weight_share:6 actual_multiplier:5 predicted_multiplier:4 absolute_log_error:4")
 _register("bootstrap_bands", _bands, "forecast_year lower:4 median:4 upper:4")
+
+
+def _part_bands(spark, d):
+    """Bands of every part a year ahead, parts weighted by all they cost."""
+    daily = _written_daily(spark, d)
+    weights = daily.groupBy("part_key").agg(F.max_by("approved_category", "po_date").alias("approved_category"), F.sum("spend").alias("weight"))
+    return backtest.bootstrap_parts(_flagged(daily), weights, BASE, date(BASE.year + 1, 12, 31), Controls())
+
+
+_register("part_bands", _part_bands, "level key lower:4 median:4 upper:4 runs")
 _register("penalty_search", lambda s, d: backtest.penalty_search(_pairs(s, d), Controls()), "candidate lambda_smooth lambda_gamma mean_wape:4 n_cutoffs selected")
 _register("part_backtest", lambda s, d: backtest.part_backtest_summary(backtest.part_backtest(_written_daily(s, d), Controls())),
           "model horizon_months n wape:4 wape_quantity_conditional:4 wale:4 mdape:4 directional_accuracy:4 interval_coverage:4 composite_error:4")

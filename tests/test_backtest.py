@@ -72,6 +72,15 @@ def test_bootstrap_bands_hold_the_forecast(spark, daily):
     assert 1.05 < rows[1].median < 1.2
 
 
+def test_bands_of_parts_categories_and_the_basket(spark, daily):
+    p = pairs.flag_extremes(pairs.adjacent_pairs(daily, 0)).persist()
+    parts = daily.groupBy("part_key").agg(F.first("approved_category").alias("approved_category"), F.sum("spend").alias("weight")).persist()
+    bands = backtest.bootstrap_parts(p, parts, date(2023, 6, 30), date(2024, 6, 30), Controls(bootstrap_iterations=3, fast_mode=True))
+    got = {(r.level, r.key): r for r in bands.collect()}
+    assert sum(k[0] == "part" for k in got) == parts.count() and ("composite", "Overall") in got
+    assert all(r.lower <= r.median <= r.upper and r.runs >= 2 for r in got.values()) and 1.0 < got["composite", "Overall"].median < 1.3
+
+
 def test_penalty_search_and_part_backtest(spark, daily):
     c = Controls(fast_mode=True, forecast_horizons_months=(6, 9))
     grid = backtest.penalty_search(pairs.adjacent_pairs(daily, 0), c).collect()
