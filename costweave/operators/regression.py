@@ -86,7 +86,7 @@ def _partial_sums(rows: DataFrame, state: dict, size: int, huber: float) -> Data
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         parts = np.stack(frame["sums"].to_list())
-        parts = parts[np.lexsort(parts.T[::-1])]  # one order of summation, whatever order the rows come in
+        parts = parts[np.argsort(parts.sum(axis=1), kind="stable")]  # one order of summation, whatever order the rows come in
         return pd.DataFrame({"unit": frame["unit"].iloc[:1], "slot": [0], "sums": [np.sum(parts, axis=0)]})
 
     schema = "unit string, slot int, sums array<double>"
