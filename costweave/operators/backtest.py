@@ -8,12 +8,12 @@ from dataclasses import replace
 from datetime import date
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costweave.config import Controls
 from costweave.functions import columns as C
-from costweave.operators import basket, forecast, indices, panel, regression
+from costweave.operators import basket, forecast, indices, panel, regression, resampling
 from costweave.operators.pairs import adjacent_pairs, flag_extremes, pair_weights
 
 #: Models of the part-level backtest, the simplest first.
@@ -111,44 +111,21 @@ def backtest_summary(detail: DataFrame) -> DataFrame:
     return by.withColumn("selected", place == 1)
 
 
-def _copies(seed: int, run: Column, key: Column) -> Column:
-    """Poisson(1) number of copies from a hash: the same in every attempt of a task."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), run, key), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    steps, term, total = [], math.exp(-1), 0.0
-    for k in range(1, 15):
-        total += term
-        term /= k
-        steps.append((u >= total).cast("int"))
-    return sum(steps[1:], steps[0])
-
-
-def resampled_pairs(flagged: DataFrame, iterations: int, seed: int = 42) -> DataFrame:
-    """Pairs of every iteration with a ``run`` column; whole parts repeat or go together.
-
-    Iteration 0 is the original. In the others each part is drawn a Poisson(1) number of times, the distributed
-    form of drawing as many parts with replacement as there are: no list of parts is made anywhere.
-    """
-    rows = flagged.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    n = F.when(F.col("run") == 0, 1).otherwise(_copies(seed, F.col("run"), F.col("part_key")))
-    return rows.withColumn("_n", n).where("_n > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "_c").withColumn("run", F.col("run").cast("string"))
-
-
 def bootstrap_forecasts(flagged: DataFrame, weights: DataFrame, base: date, method: str, signal: DataFrame | None = None, controls: Controls | None = None) -> tuple[DataFrame, dict]:
     """Quantiles of the composite multiplier of each forecast year over refits on resampled parts, and the share that converged.
 
-    Pair weights are made anew in every resample. ``flagged`` should be persisted: every round of the fits expands it anew,
-    so that the resamples themselves are never stored.
+    Pair weights are made anew in every resample. ``flagged`` should be a written table.
     """
-    c = controls or Controls()
-    n = max(2, c.bootstrap_iterations)
-    sample = pair_weights(resampled_pairs(flagged, n, c.random_seed), c.pair_weight_method, by=("run",))
-    models = {run: m for run, m in regression.fit_runs(sample, c, persist=False).items() if m.converged}
+    c, spark = controls or Controls(), flagged.sparkSession
+    fits = resampling.fit_resamples(flagged, c)
+    models = {run: m for run, m in fits.models.items() if m.converged}
     empty = "forecast_year int, lower double, median double, upper double"
-    summary = {"attempts": n, "successful_fits": len(models), "success_rate": len(models) / n, "method": "part_cluster_refit"}
+    summary = {"attempts": fits.runs, "successful_fits": len(models), "success_rate": len(models) / fits.runs, "method": "part_cluster_refit"}
     if not models:
-        return flagged.sparkSession.createDataFrame([], empty), summary
-    counts = sample.groupBy("run", F.col("approved_category").alias("category")).agg(F.count(F.lit(1)).alias("pairs"))
-    _, composite = forecast.annual_forecast(_history(flagged.sparkSession, models), weights, counts, base, signal, forced_method=method, controls=c, run="run")
+        return spark.createDataFrame([], empty), summary
+    drawn = [(run, k, int(v[int(run)])) for k, v in fits.draws.items() if k != regression.OVERALL for run in models]
+    counts = spark.createDataFrame([x for x in drawn if x[2]], "run string, category string, pairs long")
+    _, composite = forecast.annual_forecast(_history(spark, models), weights, counts, base, signal, forced_method=method, controls=c, run="run")
     q = F.percentile("cumulative_multiplier", F.array(*map(F.lit, (c.confidence_lower_quantile, 0.5, c.confidence_upper_quantile))))
     return composite.groupBy("forecast_year").agg(q.alias("q")).select("forecast_year", F.col("q")[0].alias("lower"), F.col("q")[1].alias("median"), F.col("q")[2].alias("upper")), summary
 
@@ -185,31 +162,18 @@ def bootstrap_parts(flagged: DataFrame, parts: DataFrame, base: date, target: da
     ``parts`` has ``part_key, approved_category, weight``. Each resample refits the paths (at most 15 rounds, 8 in fast mode), the
     parts' residual rates and the future rates; these take normal noise of ``noise`` times the first fit's scale, which stands
     for the forecast's own error. Run 0 is the original without noise. Returns ``level`` (part, category, composite), ``key,
-    lower, median, upper, runs``. ``flagged`` is read in every round and should be a written table.
+    lower, median, upper, runs``. ``flagged`` should be a written table.
     """
     c, spark = controls or Controls(), flagged.sparkSession
-    sample = pair_weights(resampled_pairs(flagged, max(2, c.bootstrap_iterations), c.random_seed), c.pair_weight_method, by=("run",))
-    models = {run: m for run, m in regression.fit_runs(sample, c, max_rounds=8 if c.fast_mode else 15, persist=False).items() if m.months}
-    empty = "level string, key string, lower double, median double, upper double, runs long"
+    fits = resampling.fit_resamples(flagged, c, max_rounds=8 if c.fast_mode else 15)
+    models = {run: m for run, m in fits.models.items() if m.months}
     if not models:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "level string, key string, lower double, median double, upper double, runs long")
     ahead = future_rates(spark, models, dict.fromkeys(models, target), (3, 6, 12))
     first = models.get("0", next(iter(models.values())))
     scale = noise * max(first.sigma, 1e-4)
     noisy = {run: (np.asarray(path) + (run != "0") * np.random.default_rng([c.random_seed, int(run)]).normal(0, scale, len(path))).tolist() for run, path in ahead.items()}
-    runs = F.explode(F.array(*map(F.lit, sorted(models, key=int)))).alias("run")
-    spans = parts.where("weight > 0").select("part_key", "approved_category", "weight", F.lit(base).alias("date_a"), F.lit(target).alias("date_b"), runs)
-    once = sample.dropDuplicates(["run", "part_key", "date_a"])  # a part drawn twice has the residual rate of one
-    rows = _part_growth(once, spans, models, noisy, c)
-    years = F.datediff("date_b", "date_a") / 365.25
-    rows = rows.withColumn("multiplier", F.exp(F.col("log_category") + F.col("residual") * years))
-    mean = (F.sum(F.col("weight") * F.col("multiplier")) / F.sum("weight")).alias("multiplier")
-    levels = rows.select("run", F.lit("part").alias("level"), F.col("part_key").alias("key"), "multiplier")
-    levels = levels.unionByName(rows.groupBy("run", F.lit("category").alias("level"), F.col("category").alias("key")).agg(mean))
-    levels = levels.unionByName(rows.groupBy("run", F.lit("composite").alias("level"), F.lit(regression.OVERALL).alias("key")).agg(mean))
-    q = F.percentile("multiplier", F.array(*map(F.lit, (c.confidence_lower_quantile, 0.5, c.confidence_upper_quantile))))
-    found = levels.groupBy("level", "key").agg(q.alias("q"), F.count(F.lit(1)).alias("runs"))
-    return found.select("level", "key", F.col("q")[0].alias("lower"), F.col("q")[1].alias("median"), F.col("q")[2].alias("upper"), "runs")
+    return resampling.part_bands(flagged, parts, base, target, fits, noisy, c)
 
 
 def penalty_search(pairs: DataFrame, controls: Controls | None = None) -> DataFrame:

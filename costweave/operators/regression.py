@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costweave.config import Controls
 from costweave.functions import columns as C
+from costweave.operators import robust
 from costweave.operators.quantiles import beside, percentiles
 
 #: Name of the unit that holds all pairs.
@@ -58,42 +56,6 @@ def exposure_rows(pairs: DataFrame, first_month: int) -> DataFrame:
     return pairs.withColumns({"first": (_month_number(F.date_add("date_a", 1)) - first_month).cast("int"), "shares": F.transform(months, share)})
 
 
-def _partial_sums(rows: DataFrame, state: dict, size: int, huber: float) -> DataFrame:
-    """Normal equations of every unit, summed inside each task first, then over tasks in two levels."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            cols = batch.to_pydict()
-            units = np.array(cols["unit"])
-            x = np.zeros((len(units), size))
-            for i, (first, shares) in enumerate(zip(cols["first"], cols["shares"], strict=True)):
-                x[i, first : first + len(shares)] = shares
-            x[:, -1] = cols["x_q"]
-            y, w = np.array(cols["y"]), np.maximum(np.array(cols["w"]), 1e-12)
-            for unit in np.unique(units):
-                at = units == unit
-                theta, sigma = state[unit]
-                z = np.abs(y[at] - x[at] @ theta) / sigma
-                v = w[at] * np.where(z > huber, huber / np.maximum(z, 1e-300), 1.0)
-                gram = np.concatenate([x[at].T @ (x[at] * v[:, None]), (x[at].T @ (v * y[at]))[:, None]], axis=1)
-                sums[unit] = sums.get(unit, 0.0) + gram
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums)), pa.array([TaskContext.get().partitionId() % 64] * len(sums), pa.int32()), pa.array([s.ravel().tolist() for s in sums.values()], pa.list_(pa.float64()))],
-                names=["unit", "slot", "sums"],
-            )
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = np.stack(frame["sums"].to_list())
-        parts = parts[np.argsort(parts.sum(axis=1), kind="stable")]  # one order of summation, whatever order the rows come in
-        return pd.DataFrame({"unit": frame["unit"].iloc[:1], "slot": [0], "sums": [np.sum(parts, axis=0)]})
-
-    schema = "unit string, slot int, sums array<double>"
-    parts = rows.select("unit", "first", "shares", "x_q", "y", "w").mapInArrow(run, schema)
-    return parts.groupBy("unit", "slot").applyInPandas(add, schema).groupBy("unit").applyInPandas(add, schema)
-
-
 def penalty_matrix(n_months: int, c: Controls) -> np.ndarray:
     """Smoothness of the monthly rates, a small ridge on each, and one on the elasticity."""
     penalty = np.zeros((n_months + 1, n_months + 1))
@@ -105,44 +67,6 @@ def penalty_matrix(n_months: int, c: Controls) -> np.ndarray:
     return penalty
 
 
-def irls(rows: DataFrame, n_months: int, controls: Controls, max_rounds: int | None = None, spans: dict[str, tuple[int, int]] | None = None, controls_of: Callable[[str], Controls] | None = None) -> dict[str, tuple[np.ndarray, float, bool, int]]:
-    """Penalised Huber fits of all units at once: ``unit -> (theta, sigma, converged, rows)``.
-
-    ``rows`` has ``unit, first, shares, x_q, y, w`` and should be persisted. A round makes the median
-    of the residuals, the median of their distance from it, and the normal equations, each in one
-    job for all units; only units by months numbers reach the driver, which solves them.
-    Medians are taken to a rank error of one in 100,000, so that no task sorts a whole unit.
-    ``spans`` limits a unit to months from one place up to another, ``controls_of`` gives it penalties of its own.
-    """
-    size, c = n_months + 1, controls
-    counts = {r.unit: r.n for r in rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).collect()}
-    state = {u: (np.zeros(size), 1.0) for u in counts}
-    done: dict[str, bool] = dict.fromkeys(counts, False)
-    places = {u: np.array([*range(*((0, n_months) if spans is None else spans[u])), n_months]) for u in counts}
-    spark = rows.sparkSession
-    for _ in range(max_rounds or (30 if c.fast_mode else 60)):
-        open_ = [u for u in counts if not done[u]]
-        if not open_:
-            break
-        table = spark.createDataFrame([(u, state[u][0].tolist()) for u in open_], "unit string, theta array<double>")
-        joined = rows.join(F.broadcast(table), "unit")
-        fitted = F.aggregate(F.zip_with("shares", F.slice("theta", F.col("first") + 1, F.size("shares")), lambda s, t: s * t), F.lit(0.0), lambda a, b: a + b)
-        r = joined.select("unit", (F.col("y") - fitted - F.element_at("theta", -1) * F.col("x_q")).alias("r"))
-        middle = r.groupBy("unit").agg(F.percentile_approx("r", 0.5, 100_000).alias("m"))
-        spread = r.join(F.broadcast(spark.createDataFrame(middle.collect(), "unit string, m double")), "unit").groupBy("unit").agg(F.percentile_approx(F.abs(F.col("r") - F.col("m")), 0.5, 100_000).alias("d"))
-        sigmas = {x.unit: max(1e-6, x.d / 0.6745) for x in spread.collect()}
-        now = {u: (state[u][0], sigmas[u]) for u in open_}
-        for x in _partial_sums(rows.where(F.col("unit").isin(open_)), now, size, c.huber_delta).collect():
-            both, at = np.array(x.sums).reshape(size, size + 1), places[x.unit]
-            penalty = penalty_matrix(len(at) - 1, controls_of(x.unit) if controls_of else c)
-            theta = np.zeros(size)
-            theta[at] = np.linalg.lstsq(both[np.ix_(at, at)] + penalty, both[at, size], rcond=None)[0]
-            old = state[x.unit][0]
-            done[x.unit] = bool(np.linalg.norm(theta - old) / (1 + np.linalg.norm(old)) < 1e-6)
-            state[x.unit] = (theta, sigmas[x.unit])
-    return {u: (*state[u], done[u], counts[u]) for u in counts}
-
-
 def fit_runs(weighted_pairs: DataFrame, controls: Controls | None = None, run: str = "run", controls_of: Callable[[str], Controls] | None = None, max_rounds: int | None = None, persist: bool = True) -> dict[str, RepeatSales]:
     """Repeat-sales fits of many runs (cutoffs, resamples, penalties) in the jobs of one: ``run -> model``.
 
@@ -157,21 +81,30 @@ def fit_runs(weighted_pairs: DataFrame, controls: Controls | None = None, run: s
         return {}
     first, last = min(r.low for r in ends), max(r.high for r in ends)
     span = {r.run: (r.low - first, r.high - first + 1) for r in ends}
+    size = last - first + 2
     category = F.coalesce("approved_category", F.lit("Uncategorized"))
-    unit = F.explode(F.array(*(F.concat_ws("\t", run, x) for x in (F.lit(OVERALL), category)))).alias("unit")
-    rows = exposure_rows(weighted_pairs, first).select(unit, "first", "shares", "x_q", "y", F.col("pair_weight").alias("w"))
+    units = F.array(*(F.concat_ws("\t", run, x) for x in (F.lit(OVERALL), category))).alias("units")
+    rows = exposure_rows(weighted_pairs, first).select(units, "first", "shares", "x_q", "y", F.col("pair_weight").alias("w"))
     if persist:
         rows = rows.persist()
-
-    class Spans(dict):
-        def __missing__(self, name):
-            return span[name.split("\t", 1)[0]]
-
     try:
-        fits = irls(rows, last - first + 1, c, max_rounds, Spans(), controls_of and (lambda u: controls_of(u.split("\t", 1)[0])))
+        counts = {r.unit: r.n for r in rows.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n")).collect()}
+        fits = fitted(rows, robust.plain_groups, counts, span, size, c, controls_of, max_rounds)
     finally:
         if persist:
             rows.unpersist()
+    return models_of(fits, span, first, c)
+
+
+def fitted(rows: DataFrame, groups_of: Callable, counts: dict, span: dict, size: int, c: Controls, controls_of: Callable | None = None, max_rounds: int | None = None, start: dict | None = None) -> dict:
+    """Fits of units named ``run, tab, category``; a run's months limit its coefficients."""
+    places = lambda u: np.array([*range(*span[u.split("\t", 1)[0]]), size - 1])
+    penalty = lambda u, n: penalty_matrix(n, controls_of(u.split("\t", 1)[0]) if controls_of else c)
+    return robust.fit(rows, groups_of, counts, size, places, penalty, c.huber_delta, max_rounds or (30 if c.fast_mode else 60), start)
+
+
+def models_of(fits: dict, span: dict, first: int, c: Controls) -> dict[str, RepeatSales]:
+    """The fits as one model a run, categories shrunk to their overall path."""
     out = {}
     for name, (low, high) in span.items():
         theta, sigma, converged, n = fits[f"{name}\t{OVERALL}"]

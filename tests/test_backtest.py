@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from costweave.config import Controls
-from costweave.operators import backtest, pairs, regression
+from costweave.operators import backtest, pairs, regression, resampling
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +20,21 @@ def daily(spark):
     return spark.createDataFrame(rows, "part_key string, po_date date, price double, qty double, spend double, approved_category string").persist()
 
 
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """Pairs of sixty parts of three categories with noise, jumps, quantities and months that not every part has."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for p in range(60):
+        for m in sorted(rng.choice(30, rng.integers(3, 14), replace=False).tolist()):
+            jump = 6.0 if rng.random() < 0.02 else 1.0
+            q = float(rng.integers(1, 9))
+            price = 10 * jump * math.exp(0.01 * m + 0.02 * (p % 3) * m / 12 + rng.normal(0, 0.05))
+            rows.append((f"P{p:02d}", date(2021 + m // 12, m % 12 + 1, 3 + p % 20), price, q, price * q, ("Inventory", "COS", None)[p % 3] if p % 7 else "Inventory"))
+    daily = spark.createDataFrame(rows, "part_key string, po_date date, price double, qty double, spend double, approved_category string")
+    return pairs.flag_extremes(pairs.adjacent_pairs(daily, 0)).persist()
+
+
 def test_quarter_ends():
     assert backtest.quarter_ends(date(2023, 3, 31), date(2023, 12, 30)) == [date(2023, 3, 31), date(2023, 6, 30), date(2023, 9, 30)]
     assert backtest._shift(date(2024, 1, 31), 1) == date(2024, 2, 29)
@@ -52,15 +67,58 @@ def test_composite_backtest_on_steady_growth(spark, daily):
     assert backtest.composite_backtest(daily.limit(0), lines, date(2023, 6, 30)).count() == 0
 
 
+def repeated(flagged, runs, seed):
+    """The plain form: every row as often as its run draws it, with the run's name."""
+    rows = resampling.with_times(flagged, runs, seed).select("*", F.posexplode("times").alias("run", "n")).where("n > 0")
+    return rows.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("times", "n", "col").withColumn("run", F.col("run").cast("string"))
+
+
 def test_resampling_keeps_parts_whole_and_repeats(spark, daily):
     p = pairs.flag_extremes(pairs.adjacent_pairs(daily, 0))
-    sample = backtest.resampled_pairs(p, 30, seed=1).groupBy("run", "part_key").count().collect()
+    sample = repeated(p, 30, 1).groupBy("run", "part_key").count().collect()
     assert all(r["count"] % 29 == 0 for r in sample)
     assert sum(r["count"] for r in sample if r.run == "0") == 40 * 29
     mean = np.mean([sum(r["count"] for r in sample if r.run == str(i)) for i in range(1, 30)]) / (40 * 29)
     assert 0.85 < mean < 1.15
 
 
+@pytest.mark.parametrize("method", ["capped_spend_sqrt_n", "equal_part"])
+def test_resamples_equal_fits_of_repeated_rows(spark, uneven, method):
+    c = Controls(bootstrap_iterations=6, pair_weight_method=method)
+    fits = resampling.fit_resamples(uneven, c)
+    plain = regression.fit_runs(pairs.pair_weights(repeated(uneven, 6, c.random_seed), method, by=("run",)).persist(), c)
+    assert sorted(fits.models) == sorted(plain) == list("012345")
+    for run, want in plain.items():
+        got = fits.models[run]
+        assert (got.months, got.n_pairs, sorted(got.differences)) == (want.months, want.n_pairs, sorted(want.differences))
+        np.testing.assert_allclose(got.delta0, want.delta0, atol=2e-6)
+        assert got.sigma == pytest.approx(want.sigma, rel=1e-4) and got.gamma0 == pytest.approx(want.gamma0, abs=2e-6)
+        for k in want.differences:
+            np.testing.assert_allclose(got.differences[k], want.differences[k], atol=4e-6)
+
+
+def test_bands_equal_those_of_repeated_rows(spark, uneven):
+    c, base, target = Controls(bootstrap_iterations=6, part_min_intervals=2, part_min_span_days=90), date(2023, 6, 30), date(2024, 3, 31)
+    parts = uneven.groupBy("part_key").agg(F.max_by("approved_category", "date_b").alias("approved_category"), F.sum("spend_b").alias("weight"))
+    parts = parts.unionByName(spark.createDataFrame([("new", "Other", 40.0), ("odd", None, 5.0), ("none", "COS", 0.0)], parts.schema)).persist()
+    fits = resampling.fit_resamples(uneven, c)
+    ahead = {run: [0.002 * int(run)] * 9 for run in fits.models}
+    got = {(r.level, r.key): (r.lower, r.median, r.upper, r.runs) for r in resampling.part_bands(uneven, parts, base, target, fits, ahead, c).collect()}
+    sample = repeated(uneven, 6, c.random_seed)
+    spans = parts.where("weight > 0").select("*", F.lit(base).alias("date_a"), F.lit(target).alias("date_b"), F.explode(F.array(*map(F.lit, sorted(fits.models)))).alias("run"))
+    rows = backtest._part_growth(sample.dropDuplicates(["run", "part_key", "date_a"]), spans, fits.models, ahead, c)
+    rows = rows.withColumn("m", F.exp(F.col("log_category") + F.col("residual") * F.datediff("date_b", "date_a") / 365.25)).toPandas()
+    assert rows.residual.abs().max() > 0
+    rows["category"] = rows.category.where(rows.category.notna(), None)
+    by_run = lambda g: g.assign(wm=g.weight * g.m).groupby("run")[["wm", "weight"]].sum().pipe(lambda t: t.wm / t.weight)
+    want = {("part", k): g.m for k, g in rows.groupby("part_key")}
+    want |= {("category", None if k == "-" else k): by_run(g) for k, g in rows.assign(category=rows.category.fillna("-")).groupby("category")}
+    want["composite", "Overall"] = by_run(rows)
+    assert set(got) == set(want)
+    for key, values in want.items():
+        assert got[key][:3] == pytest.approx(np.quantile(values, [c.confidence_lower_quantile, 0.5, c.confidence_upper_quantile]), rel=1e-9) and got[key][3] == len(values)
+
+
 def test_bootstrap_bands_hold_the_forecast(spark, daily):
     p = pairs.flag_extremes(pairs.adjacent_pairs(daily, 0)).persist()
     weights = spark.createDataFrame([("Inventory", 0.5), ("COS", 0.5)], "direct_category string, weight double")
@@ -106,7 +164,7 @@ def test_log_growth_by_hand(spark):
 
 
 @pytest.mark.parametrize("name, function", [("composite_backtest", "composite_backtest"), ("bootstrap_bands", "bootstrap_forecasts"), ("penalty_search", "penalty_search"), ("part_backtest", "part_backtest")])
-def test_registered_queries_take_the_whole_job(monkeypatch, name, function):
+def test_registered_queries_take_the_whole_job(spark, monkeypatch, name, function):
     from unittest.mock import MagicMock
 
     from costweave.plans import registry
@@ -128,5 +186,5 @@ def test_registered_queries_take_the_whole_job(monkeypatch, name, function):
         monkeypatch.setattr(registry.backtest, "backtest_summary", summary)
     monkeypatch.setattr(registry.backtest, function, reached)
     with pytest.raises(Reached) as got:
-        registry.queries()[name](None, "")
+        registry.queries()[name](spark, "")
     assert Controls() in got.value.args and (name != "bootstrap_bands" or "ewma" in got.value.args)

@@ -54,7 +54,7 @@ def test_repeat_sales_equals_a_dense_fit_and_recovers_the_rate(spark, steady):
     c = Controls(lambda_ridge=0.01, lambda_smooth=1.0)
     model = regression.fit_repeat_sales(steady, c)
     theta = dense_fit(steady.toPandas(), model.months, c)
-    assert model.converged and np.abs(model.delta0 - theta[:-1]).max() < 1e-4
+    assert model.converged and np.abs(model.delta0 - theta[:-1]).max() < 1e-9
     assert float(np.mean(model.delta0)) == pytest.approx(0.01, abs=0.002)
     assert set(model.differences) == {"Inventory"}
     residuals = regression.part_residuals(regression.predict_pairs(steady, model))
