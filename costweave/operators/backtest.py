@@ -59,7 +59,7 @@ def composite_backtest(daily: DataFrame, classified: DataFrame, base: date, cont
     Cutoffs are the last eight (two in fast mode) quarter ends from 18 months after the first day to 12 months
     before the base date. A cutoff with fewer than ``min_pairs`` pairs, without convergence or without a matched
     basket gives no row. Rates, basket weights and actual prices of a cutoff use only what was known at it.
-    Both tables are read once a cutoff and should be persisted.
+    All cutoffs share the passes over both tables, which should be written tables.
     """
     c, spark = controls or Controls(), daily.sparkSession
     if cutoffs is None:
@@ -79,18 +79,15 @@ def composite_backtest(daily: DataFrame, classified: DataFrame, base: date, cont
     sums = arrays.select("run", "series", F.inline(methods))
     overall = sums.where(F.col("series") == regression.OVERALL).select("run", "method", F.col("log_1").alias("overall_log"))
     own = sums.where(F.col("series") != regression.OVERALL).withColumnRenamed("series", "direct_category")
-    actual = None
-    for run in sorted(models):
-        cutoff = date.fromisoformat(run)
-        held = basket.holdout_basket(daily, cutoff, 12, c)
-        weights = basket.fiscal_weights(classified.where(F.col("effective_date") <= F.lit(cutoff)), cutoff, c.fiscal_year_start_month)
-        mean = lambda x: F.try_divide(F.sum(F.col("weight") * x), F.sum("weight"))
-        by = held.groupBy(F.col("approved_category").alias("direct_category")).agg(
-            mean(F.col("actual_multiplier")).alias("actual"), mean(F.col("unscaled_multiplier")).alias("unscaled"), mean(F.col("gap_days")).alias("gap"), mean(F.col("extreme").cast("double")).alias("extreme"),
-            F.count(F.lit(1)).alias("parts"), F.max("stale_excluded").alias("stale"),
-        )
-        by = by.withColumn("all_parts", F.sum("parts").over(Window.partitionBy())).join(F.broadcast(weights.select("direct_category", F.col("weight").alias("bucket"))), "direct_category").withColumn("run", F.lit(run))
-        actual = by if actual is None else actual.unionByName(by)
+    dates = {run: date.fromisoformat(run) for run in sorted(models)}
+    held = basket.holdout_baskets(daily, dates, 12, c)
+    weights = basket.fiscal_weights_of(classified, dates, c.fiscal_year_start_month).select("run", "direct_category", F.col("weight").alias("bucket"))
+    mean = lambda x: F.try_divide(F.sum(F.col("weight") * x), F.sum("weight"))
+    by = held.groupBy("run", F.col("approved_category").alias("direct_category")).agg(
+        mean(F.col("actual_multiplier")).alias("actual"), mean(F.col("unscaled_multiplier")).alias("unscaled"), mean(F.col("gap_days")).alias("gap"), mean(F.col("extreme").cast("double")).alias("extreme"),
+        F.count(F.lit(1)).alias("parts"), F.max("stale_excluded").alias("stale"),
+    )
+    actual = by.withColumn("all_parts", F.sum("parts").over(Window.partitionBy("run"))).join(weights, ["run", "direct_category"])
     clip = lambda x: C.clip(x, F.lit(c.forecast_annual_log_floor), F.lit(c.forecast_annual_log_cap))
     rows = actual.where("bucket > 0").join(overall, "run").join(own, ["run", "direct_category", "method"], "left").withColumn("predicted", F.exp(clip(F.coalesce("log_1", "overall_log"))))
     whole = lambda x: F.sum(F.col("bucket") * F.col(x)) / F.sum("bucket")

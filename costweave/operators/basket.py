@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from costweave.config import Controls
 from costweave.functions import columns as C
 from costweave.operators.quantiles import beside, percentiles
+from costweave.plans.stages import staged
 
 
 def latest_complete_fiscal_year(base: date, start_month: int = 10) -> int:
@@ -54,46 +55,67 @@ def planned_weights(classified: DataFrame, planned: DataFrame, base: date) -> Da
     return _normalised(own.withColumn("basket_value", value), F.lit("planned_basket"))
 
 
+def fiscal_weights_of(classified: DataFrame, bases: dict[str, date], start_month: int = 10) -> DataFrame:
+    """:func:`fiscal_weights` at several base dates, each with its name in the column ``run``: one aggregation for all of them."""
+    day, value = F.col("effective_date"), F.col("realized_spend")
+    sums = []
+    for run, base in bases.items():
+        in_fy = (C.fiscal_year(day, start_month) == latest_complete_fiscal_year(base, start_month)) & (day <= F.lit(base))
+        in_year = (day > F.lit(base - timedelta(days=365))) & (day <= F.lit(base))
+        sums.append(F.struct(F.lit(run).alias("run"), F.sum(F.when(in_fy, value)).alias("fy_value"), F.count_if(in_fy).alias("fy_rows"), F.sum(F.when(in_year, value)).alias("ttm_value")))
+    rows = classified.where(F.col("in_direct_costs") & C.positive(value))
+    both = rows.groupBy("direct_category").agg(F.array(*sums).alias("runs")).select("direct_category", F.inline("runs"))
+    run = Window.partitionBy("run")
+    chosen = both.withColumn("has_fy", F.sum("fy_rows").over(run) > 0).select("run", "direct_category", F.when(F.col("has_fy"), F.col("fy_value")).otherwise(F.col("ttm_value")).alias("basket_value")).where("basket_value > 0")
+    return chosen.withColumn("weight", F.col("basket_value") / F.sum("basket_value").over(run))
+
+
 def holdout_basket(daily: DataFrame, cutoff: date, horizon_months: int = 12, controls: Controls | None = None) -> DataFrame:
     """Last price up to the cutoff against the price nearest the target date, within 90 days (ties: the earlier).
 
     Relatives are scaled to the horizon, clipped to the basket's quantiles and the absolute bounds, and
-    weighted by capped spend with extremes damped. One aggregation finds both prices of a part.
+    weighted by capped spend with extremes damped.
+    """
+    return holdout_baskets(daily, {"one": cutoff}, horizon_months, controls).drop("run")
+
+
+def holdout_baskets(daily: DataFrame, cutoffs: dict[str, date], horizon_months: int = 12, controls: Controls | None = None) -> DataFrame:
+    """:func:`holdout_basket` of several cutoffs, each with its name in the column ``run``.
+
+    One aggregation finds both prices of a part at all cutoffs. They are written once, as the quantiles and sums of a
+    basket read them again; quantiles, counts and sums are then small tables of one row a run.
     """
     c = controls or Controls()
-    target = F.add_months(F.lit(cutoff), horizon_months)
-    horizon = F.datediff(target, F.lit(cutoff))
     day = F.col("po_date")
-    near = day.between(F.date_sub(target, 90), F.date_add(target, 90))
-    before = day <= F.lit(cutoff)
     obs = F.struct(day.alias("day"), "price", "spend", "approved_category")
-    both = daily.where(before | near).groupBy("part_key").agg(
-        F.max_by(obs, F.when(before, day)).alias("b"), F.min_by(obs, F.when(near, F.struct(F.abs(F.datediff(day, target)), day))).alias("a")
-    )
+    found, used = [], F.lit(False)
+    for run, cutoff in cutoffs.items():
+        target = F.add_months(F.lit(cutoff), horizon_months)
+        near, before = day.between(F.date_sub(target, 90), F.date_add(target, 90)), day <= F.lit(cutoff)
+        used = used | near | before
+        last, then = F.max_by(obs, F.when(before, day)), F.min_by(obs, F.when(near, F.struct(F.abs(F.datediff(day, target)), day)))
+        found.append(F.struct(F.lit(run).alias("run"), F.datediff(target, F.lit(cutoff)).alias("horizon"), last.alias("b"), then.alias("a")))
+    both = daily.where(used).groupBy("part_key").agg(F.array(*found).alias("runs")).select("part_key", F.inline("runs"))
     m = both.where((F.col("b.price") > 0) & (F.col("a.price") > 0)).select(
-        "part_key", F.col("b.day").alias("base_date"), F.col("a.day").alias("actual_date"), F.col("b.price").alias("price_base"), F.col("a.price").alias("price_actual"), F.col("b.spend").alias("spend"),
-        F.col("b.approved_category").alias("approved_category"), F.datediff("a.day", "b.day").cast("long").alias("gap_days"),
+        "run", "part_key", F.col("b.day").alias("base_date"), F.col("a.day").alias("actual_date"), F.col("b.price").alias("price_base"), F.col("a.price").alias("price_actual"), F.col("b.spend").alias("spend"),
+        F.col("b.approved_category").alias("approved_category"), F.datediff("a.day", "b.day").cast("long").alias("gap_days"), "horizon",
     )
-    stale = m.agg(F.count_if(F.col("gap_days") > c.backtest_max_actual_gap_days).alias("stale_excluded"))
-    m = m.where((F.col("gap_days") > 0) & (F.col("gap_days") <= c.backtest_max_actual_gap_days))
-    m = m.withColumn("raw_log", F.ln(F.col("price_actual") / F.col("price_base"))).withColumns({"log_h": F.col("raw_log") * horizon / F.col("gap_days"), "w0": F.greatest(F.coalesce("spend", "price_base"), F.lit(0.0))})
+    m = m.withColumn("raw_log", F.ln(F.col("price_actual") / F.col("price_base"))).withColumns({"log_h": F.col("raw_log") * F.col("horizon") / F.nullif(F.col("gap_days"), F.lit(0)), "w0": F.greatest(F.coalesce("spend", "price_base"), F.lit(0.0))})
+    every = staged(m.drop("horizon"), "holdout-prices")
+    stale = every.groupBy("run").agg(F.count_if(F.col("gap_days") > c.backtest_max_actual_gap_days).alias("stale_excluded"))
+    m = every.where((F.col("gap_days") > 0) & (F.col("gap_days") <= c.backtest_max_actual_gap_days))
     q = {"low": c.benchmark_winsor_lower, "high": c.benchmark_winsor_upper}
     wanted = {f"{name}_{end}": (F.col(of), p) for name, of in (("q", "log_h"), ("rq", "raw_log")) for end, p in q.items()}
-    stats = percentiles(m, [], wanted | {"cap": (F.col("w0"), 0.95)})
+    stats = percentiles(m, ["run"], wanted | {"cap": (F.col("w0"), 0.95)})
     low, high = F.ln(F.lit(c.extreme_ratio_low)), F.ln(F.lit(c.extreme_ratio_high))
-    m = m.join(F.broadcast(stats)).join(F.broadcast(stale))
+    m = beside(m, beside(stats, stale, ["run"]), ["run"])
     bound = lambda x, q: F.exp(F.greatest(F.least(x, F.least(F.col(f"{q}_high"), high)), F.greatest(F.col(f"{q}_low"), low)))
-    m = m.withColumns(
-        {
-            "actual_multiplier": bound(F.col("log_h"), "q"), "unscaled_multiplier": bound(F.col("raw_log"), "rq"), "raw_multiplier": F.exp("log_h"),
-            "extreme": (F.col("log_h") < low) | (F.col("log_h") > high), "w1": F.least("w0", "cap"),
-        }
-    )
-    everywhere = m.agg(F.sum("w1").alias("s1"), F.sum(F.col("w1") * F.when(F.col("extreme"), 0.25).otherwise(1.0)).alias("s2"))
-    m = m.join(F.broadcast(everywhere))
-    return m.withColumns(
-        {"pre_robust_weight": C.ratio(F.col("w1"), F.col("s1")), "weight": C.ratio(F.col("w1") * F.when(F.col("extreme"), 0.25).otherwise(1.0), F.col("s2"))}
-    ).drop(*wanted, "cap", "w0", "w1", "s1", "s2", "log_h", "raw_log")
+    extreme = (F.col("log_h") < low) | (F.col("log_h") > high)
+    w1 = F.least("w0", "cap")
+    damped = w1 * F.when(extreme, 0.25).otherwise(1.0)
+    m = m.withColumns({"actual_multiplier": bound(F.col("log_h"), "q"), "unscaled_multiplier": bound(F.col("raw_log"), "rq"), "raw_multiplier": F.exp("log_h"), "extreme": extreme, "w1": w1, "w2": damped})
+    m = beside(m, m.groupBy("run").agg(F.sum("w1").alias("s1"), F.sum("w2").alias("s2")), ["run"])
+    return m.withColumns({"pre_robust_weight": C.ratio(F.col("w1"), F.col("s1")), "weight": C.ratio(F.col("w2"), F.col("s2"))}).drop(*wanted, "cap", "w0", "w1", "w2", "s1", "s2", "log_h", "raw_log")
 
 
 def category_actuals(holdout: DataFrame, weights: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def penalty_matrix(n_months: int, c: Controls) -> np.ndarray:
     return penalty
 
 
-def fit_runs(weighted_pairs: DataFrame, controls: Controls | None = None, run: str = "run", controls_of: Callable[[str], Controls] | None = None, max_rounds: int | None = None, persist: bool = True) -> dict[str, RepeatSales]:
+def fit_runs(weighted_pairs: DataFrame, controls: Controls | None = None, run: str = "run", controls_of: Callable[[str], Controls] | None = None, max_rounds: int | None = None) -> dict[str, RepeatSales]:
     """Repeat-sales fits of many runs (cutoffs, resamples, penalties) in the jobs of one: ``run -> model``.
 
     ``weighted_pairs`` carries ``pair_weight`` and a run name in every row. A run's months go from its own first to its own last.
@@ -85,22 +85,20 @@ def fit_runs(weighted_pairs: DataFrame, controls: Controls | None = None, run: s
     category = F.coalesce("approved_category", F.lit("Uncategorized"))
     units = F.array(*(F.concat_ws("\t", run, x) for x in (F.lit(OVERALL), category))).alias("units")
     rows = exposure_rows(weighted_pairs, first).select(units, "first", "shares", "x_q", "y", F.col("pair_weight").alias("w"))
-    if persist:
-        rows = rows.persist()
+    rows, tasks = robust.spread_out(rows)
     try:
         counts = {r.unit: r.n for r in rows.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n")).collect()}
-        fits = fitted(rows, robust.plain_groups, counts, span, size, c, controls_of, max_rounds)
+        fits = fitted(rows, robust.plain_groups, counts, span, size, c, tasks, controls_of, max_rounds)
     finally:
-        if persist:
-            rows.unpersist()
+        rows.unpersist()
     return models_of(fits, span, first, c)
 
 
-def fitted(rows: DataFrame, groups_of: Callable, counts: dict, span: dict, size: int, c: Controls, controls_of: Callable | None = None, max_rounds: int | None = None, start: dict | None = None) -> dict:
+def fitted(rows: DataFrame, groups_of: Callable, counts: dict, span: dict, size: int, c: Controls, tasks: int, controls_of: Callable | None = None, max_rounds: int | None = None, start: dict | None = None) -> dict:
     """Fits of units named ``run, tab, category``; a run's months limit its coefficients."""
     places = lambda u: np.array([*range(*span[u.split("\t", 1)[0]]), size - 1])
     penalty = lambda u, n: penalty_matrix(n, controls_of(u.split("\t", 1)[0]) if controls_of else c)
-    return robust.fit(rows, groups_of, counts, size, places, penalty, c.huber_delta, max_rounds or (30 if c.fast_mode else 60), start)
+    return robust.fit(rows, groups_of, counts, size, places, penalty, c.huber_delta, max_rounds or (30 if c.fast_mode else 60), tasks, start)
 
 
 def models_of(fits: dict, span: dict, first: int, c: Controls) -> dict[str, RepeatSales]:

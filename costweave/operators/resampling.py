@@ -121,16 +121,17 @@ def fit_resamples(flagged: DataFrame, controls: Controls | None = None, max_roun
     rows = with_times(regression.exposure_rows(flagged, first), runs, c.random_seed).select(
         F.coalesce("approved_category", F.lit("Uncategorized")).alias("category"), "first", "shares", "x_q", "y", F.sqrt(value("a") * value("b")).alias("g"),
         (1 / F.sqrt(F.greatest(F.col("n_pairs_part").cast("double"), F.lit(1.0)))).alias("root"), F.when(F.col("extreme_flag"), extreme_factor).otherwise(1.0).alias("damp"), "times",
-    ).persist()
+    )
+    rows, tasks = robust.spread_out(rows)
     try:
-        direct = robust.few_tasks(rows)
+        direct = tasks <= robust.DIRECT
         sums = robust.sum_pass(rows, partial(_counted, size), direct)
         total = sums[f"n\t{regression.OVERALL}"]
         cap = None
         if c.pair_weight_method != "equal_part":
             names = [str(r) for r in range(runs)]
             spent = sums["spent"]
-            targets = {r: robust.around(n, (0, 0), (0, 0), 0.0, None, False) if n <= robust.SHIPPED else robust.Target(n, np.concatenate([[0.0], np.geomspace(1e-6, 1e12, 512)])) for r, n in zip(names, spent.tolist(), strict=True) if n > 0}
+            targets = {r: robust.begun(n, robust.limit_of(runs, tasks)) for r, n in zip(names, spent.tolist(), strict=True) if n > 0}
             robust.quantiles(rows, partial(_spend, names), targets, 0.95, False, direct)
             cap = np.array([targets[r].middle if r in targets else 1.0 for r in names])
         mean = robust.sum_pass(rows, partial(_weight_sums, cap), direct)["weights"] / np.maximum(total, 1)
@@ -139,7 +140,7 @@ def fit_resamples(flagged: DataFrame, controls: Controls | None = None, max_roun
         drawn = [r for r in range(runs) if total[r] > 0]
         span = {str(r): (int(np.flatnonzero(months["first"][:, r])[0]), int(np.flatnonzero(months["last"][:, r])[-1]) + 1) for r in drawn}
         counts = {f"{r}\t{k}": float(v[r]) for k, v in draws.items() for r in drawn if v[r] > 0}
-        fitted = partial(regression.fitted, rows, partial(_groups, cap, np.where(mean > 0, mean, 1.0)), span=span, size=size, c=c, max_rounds=max_rounds)
+        fitted = partial(regression.fitted, rows, partial(_groups, cap, np.where(mean > 0, mean, 1.0)), span=span, size=size, c=c, tasks=tasks, max_rounds=max_rounds)
         original = fitted({u: n for u, n in counts.items() if u.startswith("0\t")})
         start = {u: original[f"0\t{u.split(chr(9), 1)[1]}"][0] for u in counts if f"0\t{u.split(chr(9), 1)[1]}" in original}
         fits = original | fitted({u: n for u, n in counts.items() if not u.startswith("0\t")}, start=start)
@@ -258,7 +259,7 @@ def part_bands(flagged: DataFrame, parts: DataFrame, base: date, target: date, f
     schema = "level string, key string, lower double, median double, upper double, runs long"
     names_out = [x.split()[0] for x in schema.split(", ")]
     try:
-        found = {k: v.reshape(2, -1) for k, v in robust.sum_pass(table, sums, robust.few_tasks(table)).items()}
+        found = {k: v.reshape(2, -1) for k, v in robust.sum_pass(table, sums, robust.tasks_of(table) <= robust.DIRECT).items()}
     finally:
         table.unpersist()
     rows = []

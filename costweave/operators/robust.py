@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct values near a median that a task may send along for each unit; where it has more, finer bins follow.
-SHIPPED = 400
+#: Values near the wanted ones that all tasks together may send along in a pass; where there are more, finer bins follow.
+BUDGET = 2_000_000
 #: Bins of each zone around a wanted value.
 _BINS = 32
 #: First bins of a unit that nothing is known about.
-_GRID = np.concatenate([-np.geomspace(1e3, 1e-13, 257), np.geomspace(1e-13, 1e3, 257)])
+_GRID = np.concatenate([-np.geomspace(1e12, 1e-13, 401), np.geomspace(1e-13, 1e12, 401)])
 #: Up to so many tasks, their sums are added on the driver; more are added up by Spark first.
-_DIRECT = 32
+DIRECT = 32
 _ROWS = 512
 
 
@@ -99,6 +99,7 @@ class Target:
     """What is known of a unit's wanted value and spread: its bins, and whether values near them are to be sent."""
 
     n: float
+    limit: int = 400  # distinct values that a task may send
     edges: np.ndarray = field(default_factory=lambda: _GRID)
     zones: list[tuple[float, float]] = field(default_factory=list)
     ship: bool = False
@@ -142,7 +143,7 @@ def count_pass(rows: DataFrame, values_of: Callable, targets: dict[str, Target],
                         held[1].append(m)
         sent = {u: _distinct(*map(np.concatenate, two)) for u, two in near.items()}
         none = (np.zeros(0), np.zeros(0))
-        yield from _emit({u: (c, *(sent[u] if len(sent[u][0]) <= SHIPPED else none)) for u, c in counts.items()}, ("counts", "near", "times"))
+        yield from _emit({u: (c, *(sent[u] if len(sent[u][0]) <= wanted[u].limit else none)) for u, c in counts.items()}, ("counts", "near", "times"))
 
     return _merged(rows.mapInArrow(run, "unit string, counts binary, near binary, times binary"), direct, ("counts", "near", "times"))
 
@@ -191,26 +192,31 @@ def narrowed(t: Target, found: dict[str, np.ndarray], share: float, with_spread:
         d, ends = (sum(least) / 2, sum(most) / 2), (least[0], most[1])
     if not np.isfinite([*m, *d, *ends]).all():  # outside all bins: look further around the last values, then everywhere
         wider = 16 * t.half
-        return around(t.n, (t.middle - wider, t.middle + wider), (max(t.spread - wider, 0.0), t.spread + wider), wider, None, with_spread) if 0 < wider < 1 else Target(t.n)
+        return around(t, (t.middle - wider, t.middle + wider), (max(t.spread - wider, 0.0), t.spread + wider), wider, None, with_spread) if 0 < wider < 1 else Target(t.n, t.limit)
     middle, spread = (m[0] + m[1]) / 2, (d[0] + d[1]) / 2
     if m[1] - m[0] <= 1e-12 and d[1] - d[0] <= 1e-12:
         moved = max(abs(middle - t.middle), abs(spread - t.spread)) if t.half else 0.1 * spread
         half = max(4 * moved, 1e-9 * (1e-3 + abs(middle) + spread))
-        out = around(t.n, (middle - half, middle + half), (spread - half, spread + half), half, atoms, with_spread)
+        out = around(t, (middle - half, middle + half), (spread - half, spread + half), half, atoms, with_spread)
         out.middle, out.spread, out.exact = middle, spread, True
         return out
-    out = around(t.n, (min(lows), max(highs)), ends, max(m[1] - m[0], d[1] - d[0]), atoms, with_spread)
+    out = around(t, (min(lows), max(highs)), ends, max(m[1] - m[0], d[1] - d[0]), atoms, with_spread)
     out.middle, out.spread = middle, spread
     return out
 
 
-def around(n: float, middle: tuple[float, float], spread: tuple[float, float], half: float, atoms: tuple | None, with_spread: bool) -> Target:
+def begun(n: float, limit: int) -> Target:
+    """A target that nothing is known about but the number of its rows; small ones send all their values."""
+    return Target(n, limit, np.zeros(0), [(-np.inf, np.inf)], True) if n <= limit else Target(n, limit)
+
+
+def around(t: Target, middle: tuple[float, float], spread: tuple[float, float], half: float, atoms: tuple | None, with_spread: bool) -> Target:
     """A target whose zones span the bounds of its value and of both places at its spread, cut into bins.
 
-    Small units send all their values, others those of their zones where ``atoms`` say that there are not very many.
+    Values are asked for where ``atoms`` say that the zones hold few enough.
     """
-    if n <= SHIPPED:
-        return Target(n, np.zeros(0), [(-np.inf, np.inf)], True)
+    if t.n <= t.limit:
+        return begun(t.n, t.limit)
     zones = [middle]
     if with_spread:
         zones += [(middle[0] - spread[1], middle[1] - spread[0]), (middle[0] + spread[0], middle[1] + spread[1])]
@@ -225,7 +231,7 @@ def around(n: float, middle: tuple[float, float], spread: tuple[float, float], h
             inside = np.clip(np.minimum(high, b) - np.maximum(low, a), 0, None)
             portion = np.where(finite, inside / np.where(finite, high - low, 1.0), np.where(high > low, inside > 0, (low >= a) & (low < b)))
             mass += float((portion * times).sum())
-    return Target(n, edges, zones, mass <= 20 * SHIPPED, (middle[0] + middle[1]) / 2, (spread[0] + spread[1]) / 2, half)
+    return Target(t.n, t.limit, edges, zones, mass <= 8 * t.limit, (middle[0] + middle[1]) / 2, (spread[0] + spread[1]) / 2, half)
 
 
 def quantiles(rows: DataFrame, values_of: Callable, targets: dict[str, Target], share: float, with_spread: bool, direct: bool, passes: int = 12) -> None:
@@ -299,22 +305,40 @@ def residuals_of(groups_of: Callable, state: dict[str, np.ndarray], size: int) -
     return values
 
 
-def few_tasks(rows: DataFrame) -> bool:
-    """Whether the table has so few partitions with rows that the driver can add up their sums itself."""
-    return rows.select(F.spark_partition_id().alias("p")).distinct().count() <= _DIRECT
+def tasks_of(rows: DataFrame) -> int:
+    """Partitions of the table that have rows; sums of few tasks are added up by the driver itself."""
+    return rows.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def limit_of(units: int, tasks: int) -> int:
+    """Values that a task may send of each unit, so that all of them stay within the budget."""
+    return max(16, BUDGET // max(1, units * tasks))
+
+
+def spread_out(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The table, persisted, over at least as many partitions as there are cores if it has rows enough, and their number."""
+    rows, cores = rows.persist(), rows.sparkSession.sparkContext.defaultParallelism
+    tasks = tasks_of(rows)
+    wanted = min(cores, rows.count() // 5000)
+    if tasks >= wanted:
+        return rows, tasks
+    more = rows.repartition(wanted).persist()
+    tasks = tasks_of(more)
+    rows.unpersist()
+    return more, tasks
 
 
-def fit(rows: DataFrame, groups_of: Callable, counts: dict[str, float], size: int, places: Callable[[str], np.ndarray], penalty: Callable[[str, int], np.ndarray], huber: float, max_rounds: int, start: dict[str, np.ndarray] | None = None) -> dict[str, tuple[np.ndarray, float, bool, float]]:
+def fit(rows: DataFrame, groups_of: Callable, counts: dict[str, float], size: int, places: Callable[[str], np.ndarray], penalty: Callable[[str, int], np.ndarray], huber: float, max_rounds: int, tasks: int, start: dict[str, np.ndarray] | None = None) -> dict[str, tuple[np.ndarray, float, bool, float]]:
     """Iteratively reweighted fits: ``unit -> (theta, sigma, converged, rows)``.
 
     ``rows`` has ``first, shares, x_q, y`` and what ``groups_of`` reads, and should be persisted. A round takes one pass for the
     median of the residuals and the median of their distance from it, both exact (a few more in the first round, until the zones
     around them are known), and one for the normal equations; units that have converged leave both.
     """
-    direct = few_tasks(rows)
+    direct, limit = tasks <= DIRECT, limit_of(len(counts), tasks)
     theta = {u: np.array((start or {}).get(u, np.zeros(size)), float) for u in counts}
     sigma, done = dict.fromkeys(counts, 1.0), dict.fromkeys(counts, False)
-    targets = {u: around(n, (0, 0), (0, 0), 0.0, None, True) if n <= SHIPPED else Target(n) for u, n in counts.items()}
+    targets = {u: begun(n, limit) for u, n in counts.items()}
     for _ in range(max_rounds):
         open_ = [u for u in counts if not done[u]]
         if not open_:
