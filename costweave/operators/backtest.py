@@ -15,6 +15,7 @@ from costweave.config import Controls
 from costweave.functions import columns as C
 from costweave.operators import basket, forecast, indices, panel, regression, resampling
 from costweave.operators.pairs import adjacent_pairs, flag_extremes, pair_weights
+from costweave.plans.stages import staged
 
 #: Models of the part-level backtest, the simplest first.
 MODELS = ("last_price", "overall_cagr", "matched_part", "tornqvist", "category_benchmark", "hierarchical", "blended")
@@ -68,8 +69,9 @@ def composite_backtest(daily: DataFrame, classified: DataFrame, base: date, cont
     empty = "cutoff date, horizon_months int, method string, matched_parts long, eligible_basket_weight double, actual_gap_days double, stale_parts_excluded long, extreme_weight_share double, unscaled_multiplier double, actual_multiplier double, predicted_multiplier double, absolute_log_error double, point_error double, signed_error double"
     if not cutoffs:
         return spark.createDataFrame([], empty)
-    train = flag_extremes(pairs_by_cutoff(daily, cutoffs, c.historical_min_pair_gap_days), c.extreme_ratio_low, c.extreme_ratio_high, c.extreme_ratio_max_days, by=("run",))
-    fits = regression.fit_runs(pair_weights(train, c.pair_weight_method, by=("run",)), c)
+    known = staged(pairs_by_cutoff(daily, cutoffs, c.historical_min_pair_gap_days), "cutoff-pairs")
+    train = staged(flag_extremes(known, c.extreme_ratio_low, c.extreme_ratio_high, c.extreme_ratio_max_days, by=("run",)), "cutoff-flagged")
+    fits = regression.fit_runs(staged(pair_weights(train, c.pair_weight_method, by=("run",)), "cutoff-weighted"), c)
     models = {run: m for run, m in fits.items() if m.n_pairs >= min_pairs and m.converged}
     if not models:
         return spark.createDataFrame([], empty)
@@ -193,7 +195,8 @@ def penalty_search(pairs: DataFrame, controls: Controls | None = None) -> DataFr
         train = train.withColumn("extreme_flag", F.lit(False))
     enough = [r.run for r in train.groupBy("run").count().where("count >= 30").collect()]
     number = F.explode(F.array(*(F.lit(str(i)) for i in range(len(grid)))))
-    train = pair_weights(train.where(F.col("run").isin(enough)), c.pair_weight_method, by=("run",)).withColumn("candidate", number).withColumn("run", F.concat_ws("|", "run", "candidate"))
+    train = staged(train.where(F.col("run").isin(enough)), "cutoff-pairs")
+    train = staged(pair_weights(train, c.pair_weight_method, by=("run",)), "cutoff-weighted").withColumn("candidate", number).withColumn("run", F.concat_ws("|", "run", "candidate"))
     own = [replace(c, lambda_smooth=s, lambda_gamma=g) for s, g in grid]
     models = regression.fit_runs(train, c, controls_of=lambda run: own[int(run.split("|")[1])])
     ahead = future_rates(spark, models, {run: _shift(date.fromisoformat(run.split("|")[0]), 6) for run in models}, (3, 6))
@@ -235,7 +238,8 @@ def part_backtest(daily: DataFrame, controls: Controls | None = None, cutoffs: l
         cutoffs = quarter_ends(start, end)[-2 if c.fast_mode else 0 :] or [start]
     if not cutoffs:
         return spark.createDataFrame([], "cutoff date, horizon_months int, part_key string, base_date date, actual_date date, base_price double, actual_price double, qty_cutoff double, qty_actual double, category string, source string, model string, predicted_price double, pred_p10 double, pred_p90 double")
-    train = pair_weights(pairs_by_cutoff(daily, cutoffs).withColumn("extreme_flag", F.lit(False)), c.pair_weight_method, by=("run",))
+    known = staged(pairs_by_cutoff(daily, cutoffs).withColumn("extreme_flag", F.lit(False)), "cutoff-pairs")
+    train = staged(pair_weights(known, c.pair_weight_method, by=("run",)), "cutoff-weighted")
     models = regression.fit_runs(train, c)
     ahead = future_rates(spark, models, {run: _shift(date.fromisoformat(run), horizons[-1]) for run in models}, (3, 6, 12))
     quarters = panel.part_period(daily.where(F.col("po_date") <= F.lit(max(cutoffs))), "Q", c.fiscal_year_start_month)
