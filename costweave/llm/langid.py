@@ -209,10 +209,17 @@ def lexicon(df: DataFrame, min_share: float = 0.8, min_count: int = 5, min_rate:
 
 
 def _training_blocks(rows: DataFrame, counts: dict[str, int], docs_per_language: int, blocks_per_doc: int) -> list:
-    """(lang, hash of the row, number, words) of blocks of 64 words drawn by hashes from the whole texts, in a fixed order."""
-    key = F.xxhash64(F.lit("crf"), "doc_id", "text")
+    """(lang, hash of the text, number, words) of blocks of 64 words drawn by hashes from the whole texts, in a fixed order.
+
+    ``rows`` has ``text, lang, key`` and ``counts`` the number of distinct keys of each language. A text that repeats is
+    brought to one row by Spark before its words go anywhere; the keys that repeat in the sample, no more than it has texts, are broadcast.
+    """
     cuts = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 53, (docs_per_language << 53) // n))))
-    picked = rows.select("text", "lang", key.alias("key")).where(F.pmod("key", F.lit(1 << 53)) < cuts[F.col("lang")])
+    picked = rows.where(F.pmod("key", F.lit(1 << 53)) < cuts[F.col("lang")])
+    repeated = [r[0] for r in picked.groupBy("key").count().where("count > 1").select("key").collect()]
+    if repeated:
+        again = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in sorted(repeated)], "key long"))
+        picked = picked.join(again, "key", "left_anti").unionByName(picked.join(again, "key", "left_semi").dropDuplicates(["key"]))
 
     def make():
         from xxhash import xxh32_intdigest
@@ -238,14 +245,14 @@ def train(df: DataFrame, id_col: str = "doc_id", docs_per_language: int = 400, b
     """Fit on rows with ``text`` and a non-null ``lang`` outside fold 0.
 
     The lexicon counts all of them. The weights learn from about ``docs_per_language`` texts of each
-    language, chosen by a hash of id and text (repeated rows count once), and from about
+    language, chosen by a hash (a text that repeats counts once, under one id or many), and from about
     ``blocks_per_doc`` sequences of 64 words of each, drawn by hash from the whole text; in a
     third of the sequences the tail is replaced by words of another language, which is where
     the transitions learn to switch. The likelihood gradient comes from forward-backward; steps
     follow AdaGrad. Languages may have any names; they are told apart by their exact strings.
     """
-    rows = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).alias("doc_id"), "text", "lang")
-    rows = rows.where(fold(F.col("doc_id")) != 0)
+    rows = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(fold(F.col(id_col)) != 0)
+    rows = rows.select("text", "lang", F.xxhash64(F.lit("crf"), "lang", "text").alias("key"))
     languages, words = lexicon(rows.select("text", "lang"))
     k = len(languages)
     rng = np.random.default_rng(seed)
@@ -253,7 +260,7 @@ def train(df: DataFrame, id_col: str = "doc_id", docs_per_language: int = 400, b
     np.fill_diagonal(model.moves, 0.0)
     if k < 2:
         return model
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r.lang: max(1, r.n) for r in rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.01).alias("n")).collect()}
     blocks = _training_blocks(rows, counts, docs_per_language, blocks_per_doc)
     number = {lang: i for i, lang in enumerate(languages)}
     sequences = [found for _, found in blocks]
