@@ -99,12 +99,17 @@ def _features(best: float, count: int, rest: float) -> tuple[float, float, float
     return 1.0, max(-10.0, min(40.0, best)) / 10, math.log1p(count), math.log1p(max(0.0, rest)) / 3
 
 
+#: Stands for all words together in a table of units; no word holds a line break.
+_ALL = "\n"
+
+
 def log_odds(labelled: DataFrame, prior_mass: float = 10.0, least: float = 0.5, min_z: float = 3.0, min_count: int = 5, min_share: float = 2e-5) -> dict[str, float]:
     """Log-odds of units between toxic and other texts under Dirichlet priors.
 
     ``labelled`` has ``text`` and ``toxic`` (0 or 1); every row counts, a unit once a text, so that one
     text that repeats a word proves nothing. The prior of a unit is ``prior_mass`` times its
-    share of both classes plus ``least``. Units count where their log-odds are ``min_z`` standard
+    share of both classes plus ``least``; words in fewer than ``min_count`` texts are one unit of the prior, and
+    class totals count all words. Units count where their log-odds are ``min_z`` standard
     deviations from 0 and where ``min_count`` texts and a ``min_share`` of all texts have them. So
     those that come to the driver number at most the mean count of distinct units in a text
     over ``min_share``, however large the table is.
@@ -118,6 +123,8 @@ def log_odds(labelled: DataFrame, prior_mass: float = 10.0, least: float = 0.5,
                 for word in set(_WORD.findall((text or "").lower())):
                     units.update(_units(word))
                 by_class[label].update(units)
+            for counter in by_class:
+                counter[_ALL] = sum(n for u, n in counter.items() if not u.endswith("*"))
             every = list(dict.fromkeys([*by_class[0], *by_class[1]]))
             return {"unit": every, "n0": [by_class[0][u] for u in every], "n1": [by_class[1][u] for u in every]}
 
@@ -126,16 +133,18 @@ def log_odds(labelled: DataFrame, prior_mass: float = 10.0, least: float = 0.5,
     counts = arrow_rows(labelled, ["text", "toxic"], make, "unit string, n0 long, n1 long").groupBy("unit").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counts = staged(counts.where(F.col("n0") + F.col("n1") >= min_count), "units")
     texts = labelled.count()
-    whole = counts.where(~F.col("unit").endswith("*")).agg(F.sum("n0"), F.sum("n1")).first()
-    t0, t1 = float(whole[0] or 0), float(whole[1] or 0)
-    if not t0 or not t1:
+    total = counts.where(F.col("unit") == _ALL).first()
+    if total is None or not total.n0 or not total.n1:
         return {}
+    t0, t1 = float(total.n0), float(total.n1)
+    counts_known = counts.where(F.col("unit") != _ALL)
     prior = F.lit(prior_mass) * (F.col("n0") + F.col("n1")) / (t0 + t1) + least
-    mass = prior_mass + least
+    # every word that is known has its share of the prior, all others together have one
+    mass = prior_mass + least * (counts_known.where(~F.col("unit").endswith("*")).count() + 1)
     logit = [F.ln((F.col(n) + prior) / F.greatest(F.lit(least), t + mass - F.col(n) - prior)) for n, t in (("n0", t0), ("n1", t1))]
     delta = logit[1] - logit[0]
     z = delta / F.sqrt(1 / (F.col("n0") + prior) + 1 / (F.col("n1") + prior))
-    rows = counts.select("unit", delta.alias("odds"), F.abs(z).alias("z"), (F.col("n0") + F.col("n1")).alias("n"))
+    rows = counts_known.select("unit", delta.alias("odds"), F.abs(z).alias("z"), (F.col("n0") + F.col("n1")).alias("n"))
     odds = {r.unit: r.odds for r in rows.where((F.col("z") >= min_z) & (F.col("n") >= min_share * texts)).toLocalIterator()}
     dropped(counts)
     return odds
@@ -184,7 +193,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", cost: float = 0.5, max_ca
     )
     odds = seed_odds if seed_odds is not None else log_odds(clean.where("fold <> 4"))
     model = Model(odds, cost)
-    rows = hash_sample(clean.where("fold = 4"), max_calibration_rows, ["drawn"])
+    rows = hash_sample(clean.where("fold = 4"), max_calibration_rows, ["drawn", "toxic"])  # a text with both labels counts once under each
     rows = staged(rows.select("text", "toxic"), "calibration")
 
     def tokens(m: Model) -> DataFrame:
@@ -239,6 +248,13 @@ def _statistics_rows(rows: DataFrame, model: Model) -> DataFrame:
     return arrow_rows(rows, ["text", "toxic"], make, "toxic int, best double, passages long, rest double")
 
 
+def _places(text: str, lower: str):
+    """From a place in the lower-cased text to that in the text itself; a few letters have a longer lower case."""
+    if len(lower) == len(text):
+        return lambda i: i
+    return [i for i, c in enumerate(text) for _ in c.lower()].__getitem__
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` (0 to 1) and ``passages`` of every whole text.
 
@@ -262,7 +278,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 spans = []
                 if found:
                     words = list(_WORD.finditer(lower))
-                    spans = [{"start": words[a].start(), "end": words[b - 1].end(), "score": v, "p_value": p} for a, b, v, p in found]
+                    place = _places(text, lower)
+                    spans = [{"start": place(words[a].start()), "end": place(words[b - 1].end() - 1) + 1, "score": v, "p_value": p} for a, b, v, p in found]
                 passages.append(spans)
             return {"doc_id": ids, "score": scores, "passages": passages}
 
