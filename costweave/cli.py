@@ -12,7 +12,7 @@ from costweave import config
 from costweave.operators import backtest, basket, classify, committed, forecast, indices, matching, pairs, panel, quality, regression
 from costweave.operators.clean import clean_lines, flag_duplicates
 from costweave.plans.historical import historical_tables
-from costweave.plans.sinks import write_package
+from costweave.plans.sinks import snapshot, write_package
 from costweave.plans.stages import staged, tuned
 from costweave.sources import files, star_schema, workbooks
 
@@ -25,8 +25,11 @@ def _lines(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return files.read_csv(spark, args.input) if args.format == "csv" else files.read_parquet(spark, args.input)
 
 
-def run_tables(lines: DataFrame, resolved: config.Resolved) -> tuple[dict[str, DataFrame], dict]:
-    """All tables of a full run. Stops where pairs are too few or the fit does not converge."""
+def run_tables(lines: DataFrame, resolved: config.Resolved, bands: bool = False) -> tuple[dict[str, DataFrame], dict]:
+    """All tables of a full run. Stops where pairs are too few or the fit does not converge.
+
+    With ``bands`` the method comes from the rolling backtest, and the composite forecast has the quantiles of refits on resampled parts.
+    """
     c = resolved.controls
     cleaned = flag_duplicates(clean_lines(lines, c), c.deduplication_mode)
     classified = classify.classify_lines(cleaned, resolved)
@@ -47,15 +50,26 @@ def run_tables(lines: DataFrame, resolved: config.Resolved) -> tuple[dict[str, D
     weights = basket.planned_weights(known, resolved.planned_basket, base) if resolved.planned_basket is not None else basket.fiscal_weights(known, base, c.fiscal_year_start_month)
     detail = committed.committed_detail(known, base)
     signal = committed.committed_signal(detail)
-    bucket, composite = forecast.annual_forecast(rates, weights, quality.pair_coverage(weighted), base, signal, controls=c)
+    method, extra = None, {}
+    if bands:
+        detail_ = staged(backtest.composite_backtest(daily, known, base, c, None), "backtest")
+        summary_ = backtest.backtest_summary(detail_)
+        best = summary_.where("selected").first()
+        method = best.method if best else forecast.METHODS[0]
+        extra = {"composite_backtest": detail_, "composite_summary": summary_}
+    bucket, composite = forecast.annual_forecast(rates, weights, quality.pair_coverage(weighted), base, signal, forced_method=method, controls=c)
+    resampled: dict = {}
+    if bands:
+        found, resampled = backtest.bootstrap_forecasts(weighted.drop("pair_weight"), weights, base, method, signal, c)
+        composite = backtest.with_bands(composite, found)
     index = regression.monthly_index(rates, weights, base)
     tables = {
         "monthly_rates": rates, "monthly_index": index, "fiscal_and_trailing_rates": regression.fiscal_and_trailing_rates(index, base, c.fiscal_year_start_month), "bucket_weights": weights,
         "coverage": quality.coverage_table(weighted, known, base), "committed_detail": detail, "committed_signal": signal, "bucket_forecast": bucket, "composite_forecast": composite,
         "data_quality": quality.data_quality(classified, daily, weighted), "exclusions": quality.exclusion_log(classified), "family_candidates": matching.family_candidates(staged(matching.part_stats(known), "parts")),
-        **indices.all_benchmarks(daily, c.fiscal_year_start_month),
+        **indices.all_benchmarks(daily, c.fiscal_year_start_month), **extra,
     }
-    return tables, {"base_date": base, "pairs": n, "sigma": model.sigma, "gamma": model.gamma0, "warnings": model.warnings, "controls": vars(c), "sources": resolved.sources}
+    return tables, {"selected_method": method, "resamples": resampled, "base_date": base, "pairs": n, "sigma": model.sigma, "gamma": model.gamma0, "warnings": model.warnings, "controls": vars(c), "sources": resolved.sources}
 
 
 def backtest_tables(lines: DataFrame, resolved: config.Resolved) -> tuple[dict[str, DataFrame], dict]:
@@ -89,9 +103,12 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--base-date", type=date.fromisoformat)
     p.add_argument("--first-fiscal-year", type=int)
     p.add_argument("--fast", action="store_true")
+    p.add_argument("--no-bands", action="store_true", help="run without the backtest and the refits on resampled parts")
     args = p.parse_args(argv)
     spark = tuned(SparkSession.builder.getOrCreate())
     resolved = _resolved(spark, args)
+    writes = args.command in ("run", "backtest", "historical-actuals")
+    before = staged(snapshot(spark, [args.input]), "inputs") if writes else None
     lines = _lines(spark, args)
     if args.command == "profile":
         quality.source_ranges(lines).orderBy("first_date").show(100, truncate=False)
@@ -108,8 +125,9 @@ def main(argv: list[str] | None = None) -> int:
         elif args.command == "historical-actuals":
             tables, summary = historical_tables(lines, resolved.controls, args.base_date, args.first_fiscal_year, resolved.scope_mapping)
         else:
-            tables, summary = run_tables(lines, resolved)
-        write_package(tables, args.output, summary)
+            tables, summary = run_tables(lines, resolved, bands=not args.no_bands)
+        required = ("composite_forecast", "monthly_rates", "bucket_weights") if args.command == "run" else ()
+        write_package(tables, args.output, summary, inputs=[args.input], before=before, required=required)
     return 0
 
 

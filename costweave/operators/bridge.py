@@ -118,7 +118,7 @@ def historical_index(daily: DataFrame, rates: DataFrame | None = None, start_mon
     for freq in ("M", "Q", "FY"):
         t = found[f"tornqvist_{freq}"].select("period_start", F.col("index_level").alias("tornqvist_index"), F.col("pct_change").alias("tornqvist_change"), "status")
         m = found[f"matched_{freq}"].select("period_start", "match_count", "matched_spend", "median_change", "equal_change", "capped_spend_change")
-        f = found[f"fisher_{freq}"].select("period_start", F.col("index_level").alias("fisher_index"))
+        f = found[f"fisher_{freq}"].where("status = 'ok'").select("period_start", F.col("index_level").alias("fisher_index"))
         frame = t.join(m, "period_start", "full").join(f, "period_start", "left").withColumn("frequency", F.lit(freq))
         frame = frame.join(own, "period_start", "left") if rates is not None and freq == "M" else frame
         out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)

@@ -17,19 +17,23 @@ def asof_prior(open_rows: DataFrame, realized: DataFrame) -> DataFrame:
 
     ``realized`` has ``comparison_entity, effective_date, realized_price`` and line numbers. Both sides are stacked
     and one window an entity carries the last realized row forward; realized rows sort after open
-    rows of the same day, which makes the comparison strict. No join, one shuffle.
+    rows of the same day, which makes the comparison strict. No join, one shuffle. Rows without an entity have
+    no prior price; they stay out of the window, where they would all be one group.
     """
-    realized = realized.select(
+    realized = realized.where(F.col("comparison_entity").isNotNull()).select(
         "comparison_entity", F.col("effective_date").alias("_day"), F.lit(1).alias("_kind"), "source_file", "source_row_number",
         F.struct(F.col("realized_price").alias("price"), F.col("effective_date").alias("day")).alias("_prior"), F.lit(None).cast(open_rows.schema).alias("_row"),
     )
-    opened = open_rows.select(
+    known = F.col("comparison_entity").isNotNull()
+    opened = open_rows.where(known).select(
         "comparison_entity", F.col("po_date").alias("_day"), F.lit(0).alias("_kind"), "source_file", "source_row_number", F.lit(None).cast(realized.schema["_prior"].dataType).alias("_prior"),
         F.struct(*open_rows.columns).alias("_row"),
     )
     order = Window.partitionBy("comparison_entity").orderBy("_day", "_kind", "source_file", "source_row_number")
     last = F.last("_prior", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return opened.unionByName(realized).withColumn("_last", last).where("_kind = 0").select("_row.*", F.col("_last.price").alias("prior_price"), F.col("_last.day").alias("prior_date"))
+    found = opened.unionByName(realized).withColumn("_last", last).where("_kind = 0").select("_row.*", F.col("_last.price").alias("prior_price"), F.col("_last.day").alias("prior_date"))
+    kinds = {f.name: f.dataType for f in found.schema}
+    return found.unionByName(open_rows.where(~known).withColumns({c: F.lit(None).cast(kinds[c]) for c in ("prior_price", "prior_date")}))
 
 
 def open_commitments(classified: DataFrame, base: date) -> DataFrame:

@@ -65,15 +65,25 @@ def tornqvist(panel: DataFrame) -> DataFrame:
 
 
 def fisher(panel: DataFrame) -> DataFrame:
-    """Chained Fisher index over parts with quantities in both periods."""
-    rows = links(panel).where((F.col("qty") > 0) & (F.col("qty_0") > 0))
-    cross = lambda p, q: F.sum(F.col(p) * F.col(q))
-    by = rows.groupBy("period_start").agg(
-        F.first("period_end").alias("period_end"), F.count(F.lit(1)).alias("match_count"),
-        (cross("price", "qty_0") / cross("price_0", "qty_0")).alias("laspeyres"), (cross("price", "qty") / cross("price_0", "qty")).alias("paasche"),
+    """Chained Fisher index over parts with quantities in both periods.
+
+    Every period of the panel but its first has a row. One without such parts is ``unavailable``, says why, and keeps the
+    level of the chain; counts, links and the spine of periods come from one aggregation each, so no period gets lost in a join.
+    """
+    with_qty = (F.col("qty") > 0) & (F.col("qty_0") > 0)
+    cross = lambda p, q: F.sum(F.when(with_qty, F.col(p) * F.col(q)))
+    by = links(panel).groupBy("period_start").agg(
+        F.count(F.lit(1)).alias("linked"), F.count_if(with_qty).alias("match_count"),
+        F.try_divide(cross("price", "qty_0"), cross("price_0", "qty_0")).alias("laspeyres"), F.try_divide(cross("price", "qty"), cross("price_0", "qty")).alias("paasche"),
     )
-    out = _chained(by, F.ln(F.col("laspeyres") * F.col("paasche")) / 2)
-    return out.select("period_start", "period_end", "match_count", "laspeyres", "paasche", "log_change", "pct_change", "index_level")
+    spine = panel.groupBy("period_start").agg(F.first("period_end").alias("period_end"), F.min("period_ordinal").alias("ordinal"))
+    first = panel.agg(F.min("period_ordinal").alias("first_ordinal"))
+    rows = spine.join(F.broadcast(first)).where("ordinal > first_ordinal").join(by, "period_start", "left").withColumn("match_count", F.coalesce("match_count", F.lit(0)))
+    usable = (F.col("laspeyres") > 0) & (F.col("paasche") > 0)
+    out = _chained(rows, F.when(usable, F.ln(F.col("laspeyres") * F.col("paasche")) / 2))
+    reason = F.when(usable, None).when(F.coalesce("linked", F.lit(0)) == 0, "no part in this period and the one before").when(F.col("match_count") == 0, "insufficient valid quantities").otherwise("nonpositive index")
+    out = out.withColumns({"status": F.when(usable, "ok").otherwise("unavailable"), "reason": reason.cast("string")})
+    return out.select("period_start", "period_end", "match_count", "laspeyres", "paasche", "log_change", "pct_change", "index_level", "status", "reason")
 
 
 def all_benchmarks(daily: DataFrame, start_month: int = 10) -> dict[str, DataFrame]:

@@ -466,6 +466,23 @@ _register("heaviest_parts", lambda s, d: bridge.heaviest(_daily(s, d).groupBy("p
           sql="SELECT part_key, round(w / sum(w) OVER (), 8) AS weight FROM (SELECT part_key, w, sum(w) OVER (ORDER BY w DESC, part_key ROWS UNBOUNDED PRECEDING) / sum(w) OVER () AS run FROM (SELECT part_key, sum(spend) AS w FROM daily GROUP BY 1)) t WHERE run <= 0.995")
 _register("recent_quarter_change", lambda s, d: bridge.recent_change(indices.tornqvist(_panel(s, d, "Q")), "pct_change"), "mean_change:6 n annual_log:6",
           sql="SELECT round(avg(c), 6) AS mean_change, count(*) AS n, round(ln(1 + avg(c)) * 4, 6) AS annual_log FROM (SELECT exp(g) - 1 AS c FROM torn_q WHERE g IS NOT NULL ORDER BY period_start DESC LIMIT 4) t")
+
+
+def _gaps(spark, d):
+    """The quarterly panel without the quantities of each first quarter of a calendar year."""
+    return indices.fisher(_panel(spark, d, "Q").withColumn("qty", F.when(F.month("period_start") != 1, F.col("qty"))))
+
+
+_register("fisher_gaps", _gaps, "period_start period_end match_count laspeyres:6 paasche:6 log_change:6 index_level:5 status reason")
+_GAPS_SQL = """
+  SELECT s.period_start, s.period_end, coalesce(n, 0) AS match_count, round(l, 6) AS laspeyres, round(p, 6) AS paasche, round(ln(l * p) / 2, 6) AS log_change,
+    round(exp(sum(coalesce(ln(l * p) / 2, 0)) OVER (ORDER BY s.period_start)), 5) AS index_level, CASE WHEN l > 0 THEN 'ok' ELSE 'unavailable' END AS status,
+    CASE WHEN l > 0 THEN NULL WHEN coalesce(linked, 0) = 0 THEN 'no part in this period and the one before' ELSE 'insufficient valid quantities' END AS reason
+  FROM (SELECT DISTINCT period_start, period_end FROM panel_q WHERE period_ordinal > (SELECT min(period_ordinal) FROM panel_q)) s
+  LEFT JOIN (SELECT period_start, count(*) AS linked FROM links_q GROUP BY 1) k ON k.period_start = s.period_start
+  LEFT JOIN (SELECT period_start, count(*) AS n, sum(price * qty_0) / sum(price_0 * qty_0) AS l, sum(price * qty) / sum(price_0 * qty) AS p
+    FROM links_q WHERE qty > 0 AND qty_0 > 0 GROUP BY 1) t ON t.period_start = s.period_start"""
+_SQL["fisher_gaps"] = S.changed(S.statement(_GAPS_SQL), panel_q=f"SELECT * REPLACE (CASE WHEN month(period_start) <> 1 THEN qty END AS qty) FROM ({S.part('panel_q')}) whole")
 _register("historical_index", lambda s, d: bridge.historical_index(_written_daily(s, d)), "period_start frequency tornqvist_index:5 tornqvist_change:6 status match_count matched_spend:2 capped_spend_change:6 fisher_index:5",
           sql=" UNION ALL ".join(f"""
   SELECT t.period_start, '{f.upper()}' AS frequency, round(exp(sum(g) OVER (ORDER BY t.period_start)), 5) AS tornqvist_index, round(exp(g) - 1, 6) AS tornqvist_change, 'ok' AS status, m.match_count,

@@ -8,7 +8,8 @@ from datetime import date, datetime
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def json_value(value: Any) -> Any:
@@ -24,22 +25,53 @@ def json_value(value: Any) -> Any:
     return None if isinstance(value, float) and not math.isfinite(value) else value
 
 
-def write_package(tables: dict[str, DataFrame], folder: str, summary: dict[str, Any], fmt: str = "parquet") -> dict[str, Any]:
+def snapshot(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, bytes, modified, sha256`` of all files at these paths or below them, hashed where they are read.
+
+    The distributed state of a run's inputs: taken before the first and after the last read, it tells whether they changed meanwhile.
+    One file is one row of Spark's binary source, so files of over 2 GB raise.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+
+
+def changes(before: DataFrame, after: DataFrame) -> list[str]:
+    """Some paths (ten at most, in order) whose content differs between two snapshots or that only one of them has."""
+    other = after.select("path", F.col("sha256").alias("now"))
+    differ = before.join(other, "path", "full").where(~F.col("sha256").eqNullSafe(F.col("now")))
+    return [r.path for r in differ.select("path").orderBy("path").limit(10).collect()]
+
+
+def write_package(tables: dict[str, DataFrame], folder: str, summary: dict[str, Any], fmt: str = "parquet", inputs: list[str] | None = None, before: DataFrame | None = None, required: tuple[str, ...] = ()) -> dict[str, Any]:
     """Write every table with Spark, then ``summary.json`` and ``run_manifest.json``; reopen each table and count it.
 
-    A table without rows is written with its schema. The manifest is written last, so a folder
-    without one is an unfinished run.
+    A table without rows is written with its schema. The manifest is written last, so a folder without one is an unfinished run; it
+    holds the rows, columns and files of every table with their hashes. With ``inputs`` and the snapshot
+    ``before`` of them, a second one is taken after the tables are written; if they differ, a ValueError says so and
+    there is no manifest. Tables named in ``required`` must be there and have rows.
     """
     if not tables:
         raise ValueError("no tables to write")
+    if missing := [t for t in required if t not in tables]:
+        raise ValueError(f"tables missing: {', '.join(missing)}")
     manifest: dict[str, Any] = {"format": fmt, "tables": {}}
     for name, df in tables.items():
         writer = df.write.mode("errorifexists")
         (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(f"{folder}/{name}")
         back = df.sparkSession.read.schema(df.schema)
         n = (back.option("header", True).csv if fmt == "csv" else back.parquet)(f"{folder}/{name}").count()
+        if name in required and not n:
+            raise ValueError(f"table {name} has no rows")
         manifest["tables"][name] = {"rows": n, "columns": df.columns}
     spark = next(iter(tables.values())).sparkSession
+    written = snapshot(spark, [f"{folder}/{name}" for name in tables]).where(F.element_at(F.split("path", "/"), -1).rlike("^part-"))
+    for r in written.select("path", "bytes", "sha256").orderBy("path").collect():
+        parts = r.path.split("/")
+        manifest["tables"][parts[-2]].setdefault("files", {})[parts[-1]] = {"bytes": r.bytes, "sha256": r.sha256}
+    if before is not None:
+        if changed := changes(before, snapshot(spark, inputs or [])):
+            raise ValueError(f"inputs changed during the run: {', '.join(changed)}")
+        manifest["inputs"] = {r.path: {"bytes": r.bytes, "modified": r.modified, "sha256": r.sha256} for r in before.orderBy("path").collect()}
     for name, content in (("summary.json", summary), ("run_manifest.json", manifest)):
         text = json.dumps(json_value(content), indent=1, sort_keys=True)
         if "://" in folder:

@@ -43,11 +43,6 @@ def combined_fingerprint(paths: list[Path], version: str) -> str:
     return hashlib.sha256("|".join(parts).encode()).hexdigest()[:32]
 
 
-def content_hashes(spark: SparkSession, paths: str) -> DataFrame:
-    """``path, sha256`` of whole files, read by the executors."""
-    return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"))
-
-
 #: Ways in which people type dates, tried in order; month before day, as in the source system.
 DATE_FORMATS = ("yyyy-MM-dd['T'HH:mm:ss[.SSSSSS]]", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yy", "M-d-yyyy", "yyyy/M/d", "yyyyMMdd", "d-MMM-yyyy", "d-MMM-yy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy")
 

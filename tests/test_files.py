@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import zipfile
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from costweave import cli, config
 from costweave.operators import windows
 from costweave.operators.clean import clean_lines
+from costweave.plans import sinks
 from costweave.plans.sinks import json_value, write_package
 from costweave.sources import files, workbooks
 
@@ -46,7 +48,7 @@ def test_package_and_manifest(spark, tmp_path):
 
 
 def test_full_run_on_the_star_schema(spark, tmp_path):
-    cli.main(["run", "--input", "/root/testdata/sf0.001", "--format", "star", "--output", str(tmp_path / "run"), "--base-date", "2000-12-31"])
+    cli.main(["run", "--input", "/root/testdata/sf0.001", "--format", "star", "--output", str(tmp_path / "run"), "--base-date", "2000-12-31", "--fast"])
     manifest = json.loads((tmp_path / "run/run_manifest.json").read_text())
     assert manifest["tables"]["composite_forecast"]["rows"] == 3 and manifest["tables"]["tornqvist_FY"]["rows"] > 0
     assert json.loads((tmp_path / "run/summary.json").read_text())["pairs"] >= 50
@@ -134,3 +136,25 @@ def test_historical_run_and_windows(spark, tmp_path):
     cli.main(["historical-actuals", "--input", "/root/testdata/sf0.001", "--format", "star", "--output", str(tmp_path / "h"), "--base-date", "2001-06-30", "--first-fiscal-year", "1998"])
     tables = json.loads((tmp_path / "h/run_manifest.json").read_text())["tables"]
     assert tables["comparisons"]["rows"] == 9 and tables["huber_grid"]["rows"] == 8 and tables["matched_parts"]["rows"] > 0
+
+
+def test_a_file_that_changes_during_a_run_stops_it(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / "in" / name).write_text("x\n1\n")
+    tables, inputs = {"one": spark.range(3).toDF("n"), "none": spark.range(0).toDF("n")}, [str(tmp_path / "in")]
+    before = spark.createDataFrame(sinks.snapshot(spark, inputs).collect(), "path string, bytes long, modified timestamp, sha256 string")
+    manifest = sinks.write_package(tables, str(tmp_path / "first"), {}, inputs=inputs, before=before, required=("one",))
+    assert len(manifest["inputs"]) == 2 and manifest["tables"]["one"]["rows"] == 3
+    for name, kept in manifest["tables"]["one"]["files"].items():
+        content = (tmp_path / "first/one" / name).read_bytes()
+        assert (kept["bytes"], kept["sha256"]) == (len(content), hashlib.sha256(content).hexdigest())
+    (tmp_path / "in/b.csv").write_text("x\n2\n")
+    (tmp_path / "in/c.csv").write_text("x\n")
+    with pytest.raises(ValueError, match=r"inputs changed.*b\.csv.*c\.csv"):
+        sinks.write_package(tables, str(tmp_path / "second"), {}, inputs=inputs, before=before)
+    assert not (tmp_path / "second/run_manifest.json").exists()
+    with pytest.raises(ValueError, match="none has no rows"):
+        sinks.write_package(tables, str(tmp_path / "third"), {}, required=("none",))
+    with pytest.raises(ValueError, match="tables missing: two"):
+        sinks.write_package(tables, str(tmp_path / "fourth"), {}, required=("two",))

@@ -234,3 +234,18 @@ def test_config_precedence():
     with pytest.raises(ValueError):
         config.resolve_dates(config.resolve({"target_date": "2020-01-01"}).controls, D("2024-01-01"))
     assert config.resolve_dates(config.Controls(), D("2024-01-01"))[1] == D("2024-12-31")
+
+
+def test_open_lines_without_an_entity_stay_out_of_the_window(spark):
+    opened = spark.createDataFrame([("A", D("2024-03-01"), 5.0, "f", 1), (None, D("2024-03-01"), 6.0, "f", 2), (None, D("2024-04-01"), 7.0, "f", 3)], "comparison_entity string, po_date date, committed_price double, source_file string, source_row_number int")
+    realized = spark.createDataFrame([("A", D("2024-01-01"), 4.0, "f", 1), (None, D("2024-01-01"), 9.0, "f", 2), ("A", D("2024-03-01"), 8.0, "f", 3)], "comparison_entity string, effective_date date, realized_price double, source_file string, source_row_number int")
+    got = {r.committed_price: (r.prior_price, r.prior_date) for r in committed.asof_prior(opened, realized).collect()}
+    assert got == {5.0: (4.0, D("2024-01-01")), 6.0: (None, None), 7.0: (None, None)}
+
+
+def test_fisher_says_why_a_period_has_no_index(spark):
+    row = lambda part, m, price, qty: (part, date(2024, m, 1), date(2024, m, 28), m, price, qty, 1.0, "x")
+    panel_ = panel_frame(spark, [row("A", 1, 10.0, 1.0), row("A", 2, 11.0, 2.0), row("A", 3, 12.0, None), row("A", 4, 12.0, 1.0), row("B", 6, 3.0, 1.0), row("B", 7, 6.0, 1.0)])
+    got = [(r.period_start.month, r.match_count, r.status, r.reason, round(r.index_level, 9)) for r in indices.fisher(panel_).orderBy("period_start").collect()]
+    short, alone = "insufficient valid quantities", "no part in this period and the one before"
+    assert got == [(2, 1, "ok", None, 1.1), (3, 0, "unavailable", short, 1.1), (4, 0, "unavailable", short, 1.1), (6, 0, "unavailable", alone, 1.1), (7, 1, "ok", None, 2.2)]
