@@ -20,8 +20,8 @@ from costweave.llm.buffers import as_strings, bounds_of, bytes_of, gather, with_
 _BLOCK = 1 << 17
 #: Texts above this many characters are split one block of pre-tokens at a time.
 _LONG = 1 << 20
-#: Missed pre-tokens of up to 64 bytes whose merges a task remembers.
-_REMEMBERED = 1 << 16
+#: Missed pre-tokens of up to 64 bytes whose merges a worker remembers: at most some 100 MB.
+_REMEMBERED = 1 << 18
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -260,7 +260,10 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", packed
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make() -> Callable:
-        encode_texts = encoder(shared.value)
+        vocabulary = shared.value  # one object for all tasks of a worker, and so are its tables and what they remember
+        if not hasattr(vocabulary, "encode_texts"):
+            vocabulary.encode_texts = encoder(vocabulary)
+        encode_texts = vocabulary.encode_texts
 
         def kernel(texts: pa.Array) -> dict[str, pa.Array]:
             ids, bounds = encode_texts(texts)
