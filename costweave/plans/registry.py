@@ -427,7 +427,7 @@ def _purchasing(spark, d):
 
 
 def _stationary(spark, d):
-    """Whether the overall fit solves its equations, X'W (y - X theta) = P theta, summed anew in plain columns."""
+    """How far the overall fit is from solving each of its equations, X'W (y - X theta) = P theta, summed anew in plain columns; a part of the size of its terms."""
     weighted, model = _model(spark, d)
     controls, months = Controls(), len(model.months)
     pairs_ = regression.predict_pairs(weighted, regression.RepeatSales(model.months, model.delta0, model.gamma0, model.sigma, True, model.n_pairs))
@@ -439,12 +439,46 @@ def _stationary(spark, d):
     own = pull.agg(F.sum(F.col("pull") * F.col("x_q")), F.sum(F.abs(F.col("pull") * F.col("x_q"))), F.count(F.lit(1))).first()
     theta = [*model.delta0.tolist(), model.gamma0]
     held = regression.penalty_matrix(months, controls) @ theta
-    gaps = [abs(sums.get(m, (0.0, 0.0))[0] - held[i]) / (1.0 + sums.get(m, (0.0, 0.0))[1]) for i, m in enumerate(model.months)]
-    gaps.append(abs((own[0] or 0.0) - held[-1]) / (1.0 + (own[1] or 0.0)))
-    return spark.createDataFrame([(regression.OVERALL, own[2], bool(max(gaps) < 1e-4))], "series string, n_pairs long, stationary boolean")
+    gaps = [(m.isoformat(), own[2], float(abs(sums.get(m, (0.0, 0.0))[0] - held[i]) / (1.0 + sums.get(m, (0.0, 0.0))[1]))) for i, m in enumerate(model.months)]
+    gaps.append(("quantity", own[2], float(abs((own[0] or 0.0) - held[-1]) / (1.0 + (own[1] or 0.0)))))
+    return spark.createDataFrame(gaps, "part string, n_pairs long, gap double")
 
 
-_register("repeat_sales_equations", _stationary, "series n_pairs stationary", sql="SELECT 'Overall' AS series, count(*) AS n_pairs, true AS stationary FROM weighted")
+_register("repeat_sales_equations", _stationary, "part n_pairs gap:3", sql="""
+  SELECT part, n_pairs, CAST(0 AS DOUBLE) AS gap FROM (SELECT CAST(month AS VARCHAR) AS part FROM exposure WHERE exposure > 0 GROUP BY 1 UNION ALL SELECT 'quantity') p, (SELECT count(*) AS n_pairs FROM weighted) w""")
+
+
+def _link_index(spark, d):
+    """The monthly index along Törnqvist links in place of fitted rates: the same steps with an input that a second engine has."""
+    return regression.monthly_index(_monthly_rates(spark, d), basket.fiscal_weights(_classified(spark, d), BASE), BASE)
+
+
+def _link_forecast(spark, d):
+    """Three years along Törnqvist links by the trailing mean, without a committed signal."""
+    weights = basket.fiscal_weights(_classified(spark, d), BASE)
+    none = spark.createDataFrame([], "category string, pairs long")
+    return forecast.annual_forecast(_monthly_rates(spark, d), weights, none, BASE, forced_method=forecast.METHODS[0])
+
+
+_LINK_SERIES = "(SELECT direct_category AS series FROM fy_spend WHERE source_file = 'FY2000' GROUP BY 1 UNION ALL SELECT 'Overall Direct Fit' UNION ALL SELECT 'Combined Direct Costs') s"
+_register("index_of_links", _link_index, "series month rate:6 index_level:4 status", sql=f"""
+  SELECT series, month, CASE WHEN series <> 'Combined Direct Costs' THEN round(x, 6) END AS rate,
+    round(100 * exp(sum(x) OVER (PARTITION BY series ORDER BY month) - first(x) OVER (PARTITION BY series ORDER BY month)), 4) AS index_level,
+    CASE WHEN month <= DATE '2000-12-01' THEN 'complete' ELSE 'partial' END AS status FROM ser, {_LINK_SERIES}""")
+_register("rates_of_links", lambda s, d: regression.fiscal_and_trailing_rates(_link_index(s, d), BASE), "series period period_type end_date inflation_rate:5", sql=f"""
+  SELECT series, CASE WHEN month(month) = 9 THEN 'FY' || year(month) ELSE 'TTM through 2000-12-31' END AS period, CASE WHEN month(month) = 9 THEN 'complete_fiscal_year' ELSE 'trailing_12_months' END AS period_type,
+    last_day(month) AS end_date, round(exp(g) - 1, 5) AS inflation_rate
+  FROM (SELECT *, sum(x) OVER (ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS g FROM ser) t, {_LINK_SERIES} WHERE i > 12 AND (month(month) = 9 OR month = DATE '2000-12-01')""")
+_LINK_YEARS = """(SELECT forecast_year, least(greatest(lr + power({rho}, forecast_year - 1) * (y1 - lr), {floor}), {cap}) AS g
+    FROM (SELECT least(greatest(12 * avg(x) FILTER (WHERE k <= 12), {floor}), {cap}) AS y1, least(greatest(12 * avg(x) FILTER (WHERE k <= 36), {floor}), {cap}) AS lr
+          FROM (SELECT x, row_number() OVER (ORDER BY month DESC) AS k FROM ser WHERE month <= DATE '2000-12-01') last) c, (VALUES (1), (2), (3)) y(forecast_year)) g""".format(
+    rho=Controls().forecast_mean_reversion_rho, floor=Controls().forecast_annual_log_floor, cap=Controls().forecast_annual_log_cap
+)
+_register("forecast_of_links", lambda s, d: _link_forecast(s, d)[0], "direct_category forecast_year annual_rate:5 cumulative_multiplier:5", sql=f"""
+  SELECT direct_category, forecast_year, round(exp(g) - 1, 5) AS annual_rate, round(exp(sum(g) OVER (PARTITION BY direct_category ORDER BY forecast_year)), 5) AS cumulative_multiplier
+  FROM {_LINK_YEARS}, (SELECT direct_category FROM fy_spend WHERE source_file = 'FY2000' GROUP BY 1) b""")
+_register("composite_of_links", lambda s, d: _link_forecast(s, d)[1], "forecast_year annual_rate:5 cumulative_multiplier:5", sql=f"""
+  SELECT forecast_year, round(exp(g) - 1, 5) AS annual_rate, round(exp(sum(g) OVER (ORDER BY forecast_year)), 5) AS cumulative_multiplier FROM {_LINK_YEARS}""")
 _register("composite_backtest", _backtest, "cutoff method matched_parts eligible_basket_weight:6 actual_gap_days:4 stale_parts_excluded extreme_weight_share:6 actual_multiplier:5 predicted_multiplier:4 absolute_log_error:4")
 _register("bootstrap_bands", _bands, "forecast_year lower:4 median:4 upper:4")
 
