@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,34 +101,33 @@ def _scanned(salted: DataFrame) -> DataFrame:
 def _ends(salted: DataFrame) -> DataFrame:
     """SHA-256 of the ids of the conversations that end at each node, ascending, joined by commas.
 
-    Ids stream through the hash in sorted order, so a node where very many end costs time (a hash has one order), not memory.
+    Ids of one node within one stretch of 4,096 numbers are sorted and joined first, all over the cluster; the joined
+    texts then stream through the hash in order. A node where very many end thus costs the time of one hash, not memory.
     """
     last = salted.groupBy(*_CONV).agg(F.bit_xor("x_hi").alias("hi"), F.bit_xor("x_lo").alias("lo"))
+    # nulls first, as one stretch of their own
+    stretch = F.when(F.col("none"), F.lit(-(1 << 62))).otherwise(F.floor(F.col("conv") / SEGMENT)).alias("stretch")
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("conv", "none"))), lambda c: F.when(c["none"], F.lit("")).otherwise(c["conv"].cast("string")))
+    pieces = last.groupBy("hi", "lo", stretch).agg(F.array_join(ids, ",").alias("ids"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_node, sha = None, None
+        schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("ends_sha256", pa.string())])
+        node, sha = None, None
         for batch in batches:
-            hi, lo, none, conv = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hi", "lo", "none", "conv"))
-            cuts = np.concatenate([[0], np.flatnonzero((hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])) + 1, [len(hi)]]).tolist()
             done: list[tuple[int, int, str]] = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                node = (int(hi[a]), int(lo[a]))
-                ids = ",".join("" if n else str(c) for n, c in zip(none[a:b].tolist(), conv[a:b].tolist(), strict=True))
-                if node != open_node:
-                    if sha is not None:
-                        done.append((*open_node, sha.hexdigest()))
-                    open_node, sha = node, hashlib.sha256(ids.encode())
+            for hi, lo, text in zip(*(batch.column(c).to_pylist() for c in ("hi", "lo", "ids")), strict=True):
+                if (hi, lo) == node:
+                    sha.update(b",")
                 else:
-                    sha.update(("," + ids).encode())
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["hi", "lo", "ends_sha256"])
+                    if sha is not None:
+                        done.append((*node, sha.hexdigest()))
+                    node, sha = (hi, lo), hashlib.sha256()
+                sha.update(text.encode())
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in done], schema=schema)
         if sha is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([open_node[0]], pa.int64()), pa.array([open_node[1]], pa.int64()), pa.array([sha.hexdigest()], pa.string())], names=["hi", "lo", "ends_sha256"])
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (*node, sha.hexdigest()), strict=True))], schema=schema)
 
-    order = ["hi", "lo", F.col("none").desc(), "conv"]
-    return last.repartition("hi", "lo").sortWithinPartitions(*order).select("hi", "lo", *_CONV).mapInArrow(hashed, "hi long, lo long, ends_sha256 string")
+    return pieces.repartition("hi", "lo").sortWithinPartitions("hi", "lo", "stretch").select("hi", "lo", "ids").mapInArrow(hashed, "hi long, lo long, ends_sha256 string")
 
 
 def _rolled_up(nodes: DataFrame, deepest: int) -> DataFrame:
