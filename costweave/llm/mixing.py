@@ -76,6 +76,10 @@ def balance(
     return tilts.select("source", "tilt")
 
 
+#: Equal rows that one row stands for while they are dealt into slots.
+_RUN = 4096
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -96,11 +100,17 @@ def mix(
     Then each source adds or drops one copy of the document whose size is nearest to its
     remaining gap, again and again until no single change makes any gap smaller. A null text
     has size 0; a null source is a source; repeated rows count each; an empty table gives no
-    rows. The same table gives the same copies whatever its partitions.
+    rows. Rows alike in id, source, size, base rate and text are counted first and dealt in runs of at most
+    ``_RUN``, so null or repeated ids make no slot large. The same table gives the same copies whatever its partitions.
     """
+    return _mixed_rows(df, id_col, text_col, source_col, base_col, max_rate, rows_per_slot).drop("digest")
+
+
+def _mixed_rows(df: DataFrame, id_col: str, text_col: str, source_col: str, base_col: str | None = None, max_rate: int = 3, rows_per_slot: int = 100_000) -> DataFrame:
+    """The rows of :func:`mix` with ``digest``, the 64-bit hash of the text."""
     base = F.coalesce(F.col(base_col).cast("double"), F.lit(1.0)) if base_col else F.lit(1.0)
     sizes = staged(
-        df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), base.alias("base")),
+        df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), base.alias("base"), F.xxhash64(F.col(text_col)).alias("digest")),
         "sizes",
     )
     targets = staged(source_targets(sizes, max_rate), "targets")
@@ -110,34 +120,40 @@ def mix(
 
     rate = F.least(F.lit(float(max_rate)), F.col("base") * F.exp("tilt"))
     size_class = F.when(F.col("size") > 0, F.floor(F.log2("size") * 8)).otherwise(-1).cast("int")
-    spread = F.xxhash64("doc_id", "size")
     classed = sizes.withColumn("cls", size_class)
+    # Equal rows are interchangeable: one row stands for a run of them until their places are known.
+    alike = classed.groupBy("doc_id", "source", "size", "base", "digest", "cls").agg(F.count(F.lit(1)).alias("n"))
+    runs = alike.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _RUN))))
+    runs = runs.withColumn("n", F.least(F.lit(_RUN).cast("long"), F.col("n") - F.col("run") * _RUN))
+    spread = F.xxhash64("doc_id", "size", "digest", "run")
     classes = classed.groupBy(F.col("source").alias("s"), F.col("cls").alias("c")).agg(F.ceil(F.count(F.lit(1)) / rows_per_slot).alias("slots"))
     plan = plan.withColumnRenamed("source", "s").join(classes.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
     plan = staged(plan, "classes")
-    rated = classed.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("cls") == F.col("c"))).select(
+    rated = runs.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("cls") == F.col("c"))).select(
         "doc_id", "source", "size", "source_size", "target", rate.alias("rate"), F.round(rate * PARTS).cast("long").alias("parts"),
-        "cls", F.pmod(spread, F.col("slots")).cast("int").alias("slot"), spread.alias("spread"),
+        "cls", F.pmod(spread, F.col("slots")).cast("int").alias("slot"), spread.alias("spread"), "digest", "run", "n",
     )
     # Running sums in two levels: over the (class, slot) groups of a source, then inside each group.
-    groups = rated.groupBy("source", "cls", "slot").agg(F.sum("parts").alias("group_parts"))
+    groups = rated.groupBy("source", "cls", "slot").agg(F.sum(F.col("parts") * F.col("n")).alias("group_parts"))
     before = F.sum("group_parts").over(Window.partitionBy("source").orderBy(F.desc("cls"), "slot")) - F.col("group_parts")
     groups = groups.select(F.col("source").alias("s"), F.col("cls").alias("c"), F.col("slot").alias("o"), before.alias("before"))
-    inside = Window.partitionBy("source", "cls", "slot").orderBy(F.desc("size"), "spread", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "cls", "slot").orderBy(F.desc("size"), "spread", "doc_id", "digest", "run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     half = PARTS // 2
     rounded = (
-        rated.withColumn("upto", F.sum("parts").over(inside))
-        .withColumn("pos", F.count(F.lit(1)).over(inside))
+        rated.withColumn("upto", F.sum(F.col("parts") * F.col("n")).over(inside))
+        .withColumn("rows_upto", F.sum("n").over(inside))
         .join(groups, F.col("source").eqNullSafe(F.col("s")) & (F.col("cls") == F.col("c")) & (F.col("slot") == F.col("o")))
+        .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        .withColumn("end", F.col("before") + F.col("upto") - (F.col("n") - F.col("nth")) * F.col("parts"))
         .select(
-            "doc_id", "source", "size", "source_size", "target", "rate", "cls", "slot", "pos",
-            (F.floor((F.col("before") + F.col("upto") + half) / PARTS) - F.floor((F.col("before") + F.col("upto") - F.col("parts") + half) / PARTS)).cast("long").alias("copies"),
+            "doc_id", "source", "size", "digest", "source_size", "target", "rate", "cls", "slot", (F.col("rows_upto") - F.col("n") + F.col("nth")).alias("pos"),
+            (F.floor((F.col("end") + half) / PARTS) - F.floor((F.col("end") - F.col("parts") + half) / PARTS)).cast("long").alias("copies"),
         )
     )
     rounded = staged(rounded, "rounded")
     dropped(sizes, targets, cells)
     return _corrected(rounded, max_rate).withColumn("taken", F.col("copies") * F.col("size")).select(
-        "doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken"
+        "doc_id", "source", "size", "digest", "source_size", "target", "rate", "copies", "taken"
     )
 
 
@@ -183,14 +199,14 @@ def _with_changes(rounded: DataFrame, changed: DataFrame) -> DataFrame:
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: every row of ``df`` as often as :func:`mix` says, with the columns of ``df``.
 
-    Rows are matched by id, source and size; rows alike in all three share their copies out in
-    text order. Helper columns get names that ``df`` does not have.
+    Rows are matched by id, source, size and a hash of the text; rows alike in all of these share their copies
+    out in text order. Helper columns get names that ``df`` does not have.
     """
     key, place, copies = (fresh(df, c) for c in ("mix_key", "mix_nth", "mix_copies"))
-    plan = mix(df, id_col, text_col, source_col, **options)
-    plan = plan.select(F.to_json(F.struct("doc_id", "source", "size")).alias(key), F.col("copies").alias(copies))  # one string, so that nulls meet
+    plan = _mixed_rows(df, id_col, text_col, source_col, **options)
+    plan = plan.select(F.to_json(F.struct("doc_id", "source", "size", "digest")).alias(key), F.col("copies").alias(copies))  # one string, so that nulls meet
     plan = plan.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.desc(copies)))).where(F.col(copies) > 0)
-    own_key = F.to_json(F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    own_key = F.to_json(F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("digest")))
     own = df.withColumn(key, own_key).withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(text_col)))
     repeated = own.join(plan, [key, place]).select(*(F.col(f"`{c}`") for c in df.columns), F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies))
     return repeated.drop(copies)

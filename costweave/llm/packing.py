@@ -50,6 +50,10 @@ def bucket_bounds(lengths: list[int], counts: list[int], n_buckets: int) -> list
     return bounds[::-1]
 
 
+#: Equal pieces that one row stands for while they are dealt into slots.
+_RUN = 4096
+
+
 def pack(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -67,7 +71,9 @@ def pack(
     one piece of length 0. The histogram of lengths covers all rows and has ``max_length`` + 1
     entries at most, which is what the driver gets. Places inside a bucket come from counts by
     slot (a hash of the row; about ``rows_per_slot`` rows each), never from one sort of a
-    bucket. Repeated rows are pieces of their own. Batches number from 0 in each bucket.
+    bucket. Repeated rows are pieces of their own. Pieces that agree in all columns (many rows with a null
+    id, say) are counted first and dealt in runs of at most ``_RUN``, so no id makes a slot large.
+    Batches number from 0 in each bucket.
     A ``token_budget`` below ``max_length`` could not hold one full piece and is an error.
     """
     if not 0 < max_length <= token_budget:
@@ -87,17 +93,22 @@ def pack(
     bound = F.lit(bounds[-1] if bounds else 0).cast("long")
     for b in reversed(bounds[:-1]):
         bound = F.when(F.col("length") <= b, F.lit(b).cast("long")).otherwise(bound)
-    spread = F.xxhash64("doc_id", "piece")
-    placed = pieces.withColumn("bucket_length", bound).withColumn("spread", spread).withColumn("slot", F.pmod("spread", F.lit(slots)))
-    counts = placed.groupBy("bucket_length", "slot").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("bucket_length").orderBy("slot")) - F.col("n")
+    # Equal pieces are interchangeable: one row stands for a run of them until places are known.
+    alike = pieces.groupBy("doc_id", "piece", "start", "length").agg(F.count(F.lit(1)).alias("n"))
+    runs = alike.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _RUN))))
+    runs = runs.withColumn("n", F.least(F.lit(_RUN).cast("long"), F.col("n") - F.col("run") * _RUN))
+    spread = F.xxhash64("doc_id", "piece", "length", "run")
+    placed = runs.withColumn("bucket_length", bound).withColumn("spread", spread).withColumn("slot", F.pmod("spread", F.lit(slots)))
+    counts = placed.groupBy("bucket_length", "slot").agg(F.sum("n").alias("slot_rows"))
+    before = F.sum("slot_rows").over(Window.partitionBy("bucket_length").orderBy("slot")) - F.col("slot_rows")
     offsets = counts.select("bucket_length", "slot", before.alias("before"))
-    inside = Window.partitionBy("bucket_length", "slot").orderBy("spread", "doc_id", "piece", "start", "length")
+    inside = Window.partitionBy("bucket_length", "slot").orderBy("spread", "doc_id", "piece", "start", "length", "run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows_per_batch = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(token_budget) / F.greatest(F.lit(1).cast("long"), F.col("bucket_length"))))
     return (
-        placed.withColumn("nth", F.row_number().over(inside) - 1)
+        placed.withColumn("upto", F.sum("n").over(inside))
         .join(offsets, ["bucket_length", "slot"])
-        .withColumn("place", F.col("before") + F.col("nth"))
+        .withColumn("first", F.col("before") + F.col("upto") - F.col("n"))
+        .withColumn("place", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
         .select(
             "doc_id", "piece", "start", "length", "bucket_length",
             F.floor(F.col("place") / rows_per_batch).alias("batch"), (F.col("place") % rows_per_batch).cast("long").alias("row_in_batch"),
