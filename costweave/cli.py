@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from costweave.operators.clean import clean_lines, flag_duplicates
 from costweave.plans.historical import historical_tables
 from costweave.plans.sinks import snapshot, write_package
 from costweave.plans.stages import staged, tuned
+from costweave.plans.store import StageStore, each_time, input_fingerprint
 from costweave.sources import files, star_schema, workbooks
 
 
@@ -25,28 +27,38 @@ def _lines(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return files.read_csv(spark, args.input) if args.format == "csv" else files.read_parquet(spark, args.input)
 
 
-def run_tables(lines: DataFrame, resolved: config.Resolved, bands: bool = False) -> tuple[dict[str, DataFrame], dict]:
+def run_tables(
+    lines: DataFrame | Callable[[], DataFrame],
+    resolved: config.Resolved,
+    bands: bool = False,
+    keep: Callable[[Callable[[], DataFrame], str], DataFrame] = each_time,
+) -> tuple[dict[str, DataFrame], dict]:
     """All tables of a full run. Stops where pairs are too few or the fit does not converge.
 
     With ``bands`` the method comes from the rolling backtest, and the composite forecast has the quantiles of refits on resampled parts.
+    ``keep`` writes the large stages or finds them again (:class:`costweave.plans.store.StageStore`); ``lines``
+    may be a function, which is called only where the classified lines are not found.
     """
     c = resolved.controls
-    cleaned = flag_duplicates(clean_lines(lines, c), c.deduplication_mode)
-    classified = classify.classify_lines(cleaned, resolved)
+
+    def classified_lines() -> DataFrame:
+        read = lines() if callable(lines) else lines
+        return classify.classify_lines(flag_duplicates(clean_lines(read, c), c.deduplication_mode), resolved)
+
+    classified = keep(classified_lines, "classified")
     latest = classified.agg(F.max("effective_date")).first()[0]
     base, _ = config.resolve_dates(c, latest)
-    known = classify.label_categories_at(classified.where(F.col("effective_date") <= F.lit(base)), base)
-    known = staged(known, "known")
-    daily = staged(panel.realized_daily(known, base, c.same_day_price_aggregation), "daily")
-    adjacent = staged(pairs.adjacent_pairs(daily, c.historical_min_pair_gap_days), "pairs")
-    weighted = staged(pairs.pair_weights(pairs.flag_extremes(adjacent), c.pair_weight_method), "weighted")
+    known = keep(lambda: classify.label_categories_at(classified.where(F.col("effective_date") <= F.lit(base)), base), "known")
+    daily = keep(lambda: panel.realized_daily(known, base, c.same_day_price_aggregation), "daily")
+    adjacent = keep(lambda: pairs.adjacent_pairs(daily, c.historical_min_pair_gap_days), "pairs")
+    weighted = keep(lambda: pairs.pair_weights(pairs.flag_extremes(adjacent), c.pair_weight_method), "weighted")
     n = weighted.count()
     if n < 50:
         raise ValueError(f"only {n} repeat-purchase pairs; 50 are needed")
     model = regression.fit_repeat_sales(weighted, c)
     if not model.converged and c.fail_on_nonconvergence:
         raise ValueError("the repeat-sales fit did not converge")
-    rates = model.rates(lines.sparkSession)
+    rates = model.rates(classified.sparkSession)
     weights = basket.planned_weights(known, resolved.planned_basket, base) if resolved.planned_basket is not None else basket.fiscal_weights(known, base, c.fiscal_year_start_month)
     detail = committed.committed_detail(known, base)
     signal = committed.committed_signal(detail)
@@ -93,6 +105,10 @@ def _resolved(spark: SparkSession, args: argparse.Namespace) -> config.Resolved:
     return config.load(args.config, own) if args.config.lower().endswith(".json") else config.load_tables(spark, args.config, own)
 
 
+def _config_digest(spark: SparkSession, args: argparse.Namespace) -> str:
+    return input_fingerprint(snapshot(spark, [args.config])) if args.config else ""
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="costweave")
     p.add_argument("command", choices=("profile", "validate", "run", "propose-mappings", "init-config", "backtest", "historical-actuals"))
@@ -103,12 +119,31 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--base-date", type=date.fromisoformat)
     p.add_argument("--first-fiscal-year", type=int)
     p.add_argument("--fast", action="store_true")
+    p.add_argument("--cache", help="folder where run keeps its large stages and finds them again for the same files, rules and controls")
+    p.add_argument("--cache-days", type=float, default=30.0, help="stages older than that are deleted from the folder")
     p.add_argument("--no-bands", action="store_true", help="run without the backtest and the refits on resampled parts")
     args = p.parse_args(argv)
     spark = tuned(SparkSession.builder.getOrCreate())
     resolved = _resolved(spark, args)
     writes = args.command in ("run", "backtest", "historical-actuals")
     before = staged(snapshot(spark, [args.input]), "inputs") if writes else None
+    if args.command == "run":
+        keep = each_time
+        if args.cache:
+            # Mappings and overrides are inputs too; their sources stand in the configuration.
+            settings = {"controls": vars(resolved.controls), "config": _config_digest(spark, args), "format": args.format}
+            keep = StageStore(spark, args.cache, input_fingerprint(before), settings)
+            keep.sweep(args.cache_days)
+        try:
+            tables, summary = run_tables(lambda: _lines(spark, args), resolved, bands=not args.no_bands, keep=keep)
+            if args.cache:
+                summary["stages"] = {"found": keep.hits, "built": keep.built}
+            write_package(tables, args.output, summary, inputs=[args.input], before=before, required=("composite_forecast", "monthly_rates", "bucket_weights"))
+        except BaseException:
+            for stage in keep.built if args.cache else ():  # they may hold lines of files that changed
+                keep.invalidate(stage)
+            raise
+        return 0
     lines = _lines(spark, args)
     if args.command == "profile":
         quality.source_ranges(lines).orderBy("first_date").show(100, truncate=False)
@@ -122,12 +157,9 @@ def main(argv: list[str] | None = None) -> int:
     else:
         if args.command == "backtest":
             tables, summary = backtest_tables(lines, resolved)
-        elif args.command == "historical-actuals":
-            tables, summary = historical_tables(lines, resolved.controls, args.base_date, args.first_fiscal_year, resolved.scope_mapping)
         else:
-            tables, summary = run_tables(lines, resolved, bands=not args.no_bands)
-        required = ("composite_forecast", "monthly_rates", "bucket_weights") if args.command == "run" else ()
-        write_package(tables, args.output, summary, inputs=[args.input], before=before, required=required)
+            tables, summary = historical_tables(lines, resolved.controls, args.base_date, args.first_fiscal_year, resolved.scope_mapping)
+        write_package(tables, args.output, summary, inputs=[args.input], before=before)
     return 0
 
 

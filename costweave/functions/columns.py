@@ -26,25 +26,109 @@ STOP_WORDS = ("A", "AN", "AND", "FOR", "OF", "THE", "TO", "WITH", "ASSY", "ASSEM
 BASIS_TOLERANCE = 0.03
 
 
-def _compatibility_tables() -> tuple[dict[str, str], dict[str, str]]:
-    """Characters of the basic plane whose compatibility form (NFKC) is one other character, and those with a longer one."""
-    forms = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x80, 0xFFFE) if not 0xD800 <= c < 0xE000}
-    single = {c: n for c, n in forms.items() if n != c and len(n) == 1}
-    return single, {c: n for c, n in forms.items() if len(n) > 1}
+#: Planes that hold characters with a compatibility form, a decomposition or a combining class.
+_CODES = [c for c in (*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)) if not 0xAC00 <= c < 0xD7A4]
+_HANGUL = 0xAC00
 
 
-_SINGLE, _LONGER = _compatibility_tables()
+def _unicode_tables() -> tuple[dict[str, str], dict[str, str], dict[str, str], dict[str, int], dict[str, str]]:
+    """Characters with another compatibility form (NFKC) of one and of more characters, with a full decomposition (NFKD), with a combining class, and the pairs that compose."""
+    single, longer, apart, classes, pairs = {}, {}, {}, {}, {}
+    for c in map(chr, _CODES):
+        form, parts = unicodedata.normalize("NFKC", c), unicodedata.normalize("NFKD", c)
+        if form != c:
+            (single if len(form) == 1 else longer)[c] = form
+        if parts != c:
+            apart[c] = parts
+        if kind := unicodedata.combining(c):
+            classes[c] = kind
+        halves = unicodedata.decomposition(c).split()
+        if len(halves) == 2 and "<" not in halves[0] and form == c:
+            pairs["".join(chr(int(h, 16)) for h in halves)] = c
+    return single, longer, apart, classes, pairs
+
+
+_SINGLE, _LONGER, _APART, _CLASSES, _PAIRS = _unicode_tables()
+
+
+def _joining() -> str:
+    """Pattern of a character that may change with the ones before it: a mark, the second of a pair, a vowel or final of Hangul."""
+    second = {p[1] for p in _PAIRS} | set(_CLASSES) | set(map(chr, (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))))
+    ranges: list[list[int]] = []
+    for c in _CODES:
+        if _APART.get(chr(c), chr(c))[0] in second:
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "[" + "".join(rf"\x{{{x:X}}}-\x{{{y:X}}}" for x, y in ranges) + "]"
+
+
+_JOINING = _joining()
+
+
+def _lookup(table: dict[str, str]) -> Column:
+    return F.map_from_arrays(F.split(F.lit("\x01".join(table)), "\x01"), F.split(F.lit("\x01".join(table.values())), "\x01"))
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point of the basic plane."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+
+
+def _composed(text: Column) -> Column:
+    """Full NFKC: characters taken apart, marks brought into the order of their combining classes, pairs composed from the left."""
+    apart, pairs = _lookup(_APART), _lookup(_PAIRS)
+    classes = _lookup({c: str(k) for c, k in _CLASSES.items()})
+
+    def parts(c: Column) -> Column:
+        at = F.ascii(c) - _HANGUL
+        final = F.when(at % 28 > 0, _character(0x11A7 + at % 28)).otherwise("")
+        syllable = F.concat(_character(0x1100 + F.floor(at / 588)), _character(0x1161 + F.floor(at % 588 / 28)), final)
+        return F.when(c.between("\uac00", "\ud7a3") & (F.length(c) == 1), syllable).otherwise(F.coalesce(F.try_element_at(apart, c), c))
+
+    def joined(a: Column, b: Column) -> Column:
+        x, y = F.ascii(a), F.ascii(b)
+        leading = x.between(0x1100, 0x1112) & y.between(0x1161, 0x1175)
+        trailing = x.between(0xAC00, 0xD7A3) & ((x - _HANGUL) % 28 == 0) & y.between(0x11A8, 0x11C2)
+        return F.when(leading, _character(_HANGUL + (x - 0x1100) * 588 + (y - 0x1161) * 28)).when(trailing, _character(x + y - 0x11A7)).otherwise(F.try_element_at(pairs, F.concat(a, b)))
+
+    text_type = "struct<block:int,rows:array<struct<block:int,kind:int,place:int,c:string>>>"
+    chars = F.split(F.array_join(F.transform(F.split(text, ""), parts), ""), "")
+    marked = F.transform(chars, lambda c, i: F.struct(F.lit(0).alias("block"), F.coalesce(F.try_element_at(classes, c).cast("int"), F.lit(0)).alias("kind"), i.alias("place"), c.alias("c")))
+
+    def numbered(acc: Column, r: Column) -> Column:  # a new block begins at each character that is no mark
+        block = acc["block"] + F.when(r["kind"] == 0, 1).otherwise(0)
+        row = F.struct(block.alias("block"), r["kind"].alias("kind"), r["place"].alias("place"), r["c"].alias("c"))
+        return F.struct(block.alias("block"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+    empty = F.from_json(F.lit('{"block":0,"rows":[]}'), text_type)
+    ordered = F.array_sort(F.aggregate(marked, empty, numbered, lambda acc: acc["rows"]))
+
+    def step(acc: Column, r: Column) -> Column:
+        free = (acc["tail"] == "") | (acc["last"] < r["kind"])  # nothing between blocks the two
+        one = F.when(free & (acc["head"] != ""), joined(acc["head"], r["c"]))
+        starts = r["kind"] == 0
+        return F.struct(
+            F.when(one.isNull() & starts, F.concat(acc["done"], acc["head"], acc["tail"])).otherwise(acc["done"]).alias("done"),
+            F.coalesce(one, F.when(starts, r["c"]).otherwise(acc["head"])).alias("head"),
+            F.when(one.isNotNull(), acc["tail"]).when(starts, "").otherwise(F.concat(acc["tail"], r["c"])).alias("tail"),
+            F.when(one.isNotNull(), acc["last"]).otherwise(r["kind"]).alias("last"),
+        )
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("head"), F.lit("").alias("tail"), F.lit(0).alias("last"))
+    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["done"], acc["head"], acc["tail"]))
 
 
 def compatible(text: Column) -> Column:
-    """Text with full-width digits, ligatures, no-break spaces and the like as their plain characters (NFKC, character by character).
+    """Text in Unicode's compatibility form (NFKC): full-width digits, ligatures and no-break spaces as plain characters, letters with their accents.
 
-    Only texts that are not ASCII are worked on. Letters with separate accents are left as they are.
+    ASCII texts are left alone; others go character by character, and only those that hold a mark (or a part of a Hangul syllable) are taken apart and composed.
     """
     plain = F.translate(text, "".join(_SINGLE), "".join(_SINGLE.values()))
-    table = F.map_from_arrays(F.split(F.lit("\x01".join(_LONGER)), "\x01"), F.split(F.lit("\x01".join(_LONGER.values())), "\x01"))
+    table = _lookup(_LONGER)
     longer = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), longer).otherwise(text)
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), text).when(text.rlike(_JOINING), _composed(text)).otherwise(longer)
 
 
 def squeezed(text: Column) -> Column:

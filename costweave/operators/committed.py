@@ -15,25 +15,24 @@ from costweave.operators.quantiles import beside, percentiles
 def asof_prior(open_rows: DataFrame, realized: DataFrame) -> DataFrame:
     """``open_rows`` with the last realized price and date of their entity strictly before the order date.
 
-    ``realized`` has ``comparison_entity, effective_date, realized_price`` and line numbers. Both sides are stacked
-    and one window an entity carries the last realized row forward; realized rows sort after open
-    rows of the same day, which makes the comparison strict. No join, one shuffle. Rows without an entity have
-    no prior price; they stay out of the window, where they would all be one group.
+    ``realized`` has ``comparison_entity, effective_date, realized_price`` and line numbers. Lines are first brought to
+    one row an entity and day (the last realized line of the day by source order, the highest price of lines with one place),
+    on the way to the shuffle; the window that carries prices forward sees days of an entity only, so the calendar bounds it, however many lines
+    an entity has. Open rows then meet their own day by equality. Rows without an entity or a date have no prior price.
     """
-    realized = realized.where(F.col("comparison_entity").isNotNull()).select(
-        "comparison_entity", F.col("effective_date").alias("_day"), F.lit(1).alias("_kind"), "source_file", "source_row_number",
-        F.struct(F.col("realized_price").alias("price"), F.col("effective_date").alias("day")).alias("_prior"), F.lit(None).cast(open_rows.schema).alias("_row"),
+    place = F.struct("source_file", "source_row_number", "realized_price")
+    days = realized.where(F.col("comparison_entity").isNotNull() & F.col("effective_date").isNotNull()).groupBy(
+        "comparison_entity", F.col("effective_date").alias("_day")
+    ).agg(F.max_by(F.struct(F.col("realized_price").alias("price"), F.col("effective_date").alias("day")), place).alias("_last"))
+    asked = open_rows.where(F.col("comparison_entity").isNotNull() & F.col("po_date").isNotNull()).select("comparison_entity", F.col("po_date").alias("_day")).distinct()
+    both = days.withColumn("_asked", F.lit(False)).unionByName(asked.withColumns({"_last": F.lit(None).cast(days.schema["_last"].dataType), "_asked": F.lit(True)}))
+    # An asked day comes before the prices of that day, which keeps the comparison strict.
+    order = Window.partitionBy("comparison_entity").orderBy("_day", F.desc("_asked")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_prior", F.last("_last", ignorenulls=True).over(order)).where("_asked").select(
+        F.col("comparison_entity").alias("_entity"), "_day", F.col("_prior.price").alias("prior_price"), F.col("_prior.day").alias("prior_date")
     )
-    known = F.col("comparison_entity").isNotNull()
-    opened = open_rows.where(known).select(
-        "comparison_entity", F.col("po_date").alias("_day"), F.lit(0).alias("_kind"), "source_file", "source_row_number", F.lit(None).cast(realized.schema["_prior"].dataType).alias("_prior"),
-        F.struct(*open_rows.columns).alias("_row"),
-    )
-    order = Window.partitionBy("comparison_entity").orderBy("_day", "_kind", "source_file", "source_row_number")
-    last = F.last("_prior", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = opened.unionByName(realized).withColumn("_last", last).where("_kind = 0").select("_row.*", F.col("_last.price").alias("prior_price"), F.col("_last.day").alias("prior_date"))
-    kinds = {f.name: f.dataType for f in found.schema}
-    return found.unionByName(open_rows.where(~known).withColumns({c: F.lit(None).cast(kinds[c]) for c in ("prior_price", "prior_date")}))
+    same = (F.col("comparison_entity") == F.col("_entity")) & (F.col("po_date") == F.col("_day"))
+    return open_rows.join(found, same, "left").drop("_entity", "_day")
 
 
 def open_commitments(classified: DataFrame, base: date) -> DataFrame:

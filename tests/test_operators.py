@@ -1,5 +1,7 @@
 import math
-from datetime import date
+import random
+import unicodedata
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,3 +251,29 @@ def test_fisher_says_why_a_period_has_no_index(spark):
     got = [(r.period_start.month, r.match_count, r.status, r.reason, round(r.index_level, 9)) for r in indices.fisher(panel_).orderBy("period_start").collect()]
     short, alone = "insufficient valid quantities", "no part in this period and the one before"
     assert got == [(2, 1, "ok", None, 1.1), (3, 0, "unavailable", short, 1.1), (4, 0, "unavailable", short, 1.1), (6, 0, "unavailable", alone, 1.1), (7, 1, "ok", None, 2.2)]
+
+
+def test_keys_are_composed_as_unicode_says(spark):
+    r = random.Random(5)
+    pools = (list("abcEOUanAIeo"), list(C._CLASSES), list(C._APART), list(C._PAIRS), [chr(c) for c in range(0xAC00, 0xD7A4)], [chr(c) for c in (*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A8, 0x11C3))])
+    texts = ["".join(r.choice(r.choice(pools)) for _ in range(r.randint(1, 10))) for _ in range(10_000)] + ["", "plain", "\U0001f600 é", "́"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", C.compatible(F.col("t")).alias("k")).collect()
+    assert [(texts[x.i], x.k) for x in rows if x.k != unicodedata.normalize("NFKC", texts[x.i])] == []
+    one = spark.createDataFrame([("café 1",), ("café 1",)], "t string").select(C.part_key(F.col("t"), F.lit("str"))).distinct()
+    assert one.count() == 1
+
+
+def test_prior_prices_equal_a_plain_search(spark):
+    """One entity holds most lines, days repeat, and the last line of a day stands."""
+    r = random.Random(3)
+    entity = lambda: r.choice(["hot"] * 6 + ["b", "c", None])
+    day = lambda: date(2024, 1, 1) + timedelta(days=r.randint(0, 60))
+    bought = [(entity(), day(), float(r.randint(1, 90)), r.choice("fg"), n) for n in range(900)]
+    asked = [(entity(), r.choice([day(), None]), "h", n) for n in range(500)]
+    realized = spark.createDataFrame(bought, "comparison_entity string, effective_date date, realized_price double, source_file string, source_row_number long")
+    opened = spark.createDataFrame(asked, "comparison_entity string, po_date date, source_file string, source_row_number long")
+    got = {x.source_row_number: (x.prior_price, x.prior_date) for x in committed.asof_prior(opened, realized).collect()}
+    assert len(got) == 500
+    for e, d, _, n in asked:
+        before = [(x[1], x[3], x[4], x[2]) for x in bought if e is not None and d is not None and x[0] == e and x[1] < d]
+        assert got[n] == ((max(before)[3], max(before)[0]) if before else (None, None))
