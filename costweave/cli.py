@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 from collections.abc import Callable
 from datetime import date
 
@@ -10,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costweave import config
-from costweave.operators import backtest, basket, classify, committed, forecast, indices, matching, pairs, panel, quality, regression
+from costweave.operators import backtest, basket, bridge, classify, committed, forecast, indices, matching, pairs, panel, quality, regression
 from costweave.operators.clean import clean_lines, flag_duplicates
-from costweave.plans.historical import historical_tables
+from costweave.plans.historical import historical_tables, markdown
 from costweave.plans.sinks import snapshot, write_package
 from costweave.plans.stages import staged, tuned
 from costweave.plans.store import StageStore, each_time, input_fingerprint
@@ -75,9 +76,14 @@ def run_tables(
         found, resampled = backtest.bootstrap_forecasts(weighted.drop("pair_weight"), weights, base, method, signal, c)
         composite = backtest.with_bands(composite, found)
     index = regression.monthly_index(rates, weights, base)
+    residuals = regression.part_residuals(regression.predict_pairs(weighted, model))
+    bridged = bridge.bridged_prices(daily, residuals, model, base, bridge.manual_values(known))
+    priced = staged(bridge.basket_quantities(bridged, known.withColumn("model_eligible", F.col("included_for_pricing")), base, resolved.planned_basket), "priced")
+    parts = staged(bridge.part_forecast(priced, bucket, composite), "part-forecast")
     tables = {
         "monthly_rates": rates, "monthly_index": index, "fiscal_and_trailing_rates": regression.fiscal_and_trailing_rates(index, base, c.fiscal_year_start_month), "bucket_weights": weights,
         "coverage": quality.coverage_table(weighted, known, base), "committed_detail": detail, "committed_signal": signal, "bucket_forecast": bucket, "composite_forecast": composite,
+        "part_forecast": parts, "purchasing_cost": bridge.purchasing_cost(parts.where("forecast_year = 1")), "source_trace": bridge.source_trace(known),
         "data_quality": quality.data_quality(classified, daily, weighted), "exclusions": quality.exclusion_log(classified), "family_candidates": matching.family_candidates(staged(matching.part_stats(known), "parts")),
         **indices.all_benchmarks(daily, c.fiscal_year_start_month), **extra,
     }
@@ -93,9 +99,32 @@ def backtest_tables(lines: DataFrame, resolved: config.Resolved) -> tuple[dict[s
     daily = staged(panel.realized_daily(known, base, c.same_day_price_aggregation), "daily")
     detail = staged(backtest.composite_backtest(daily, known, base, c, None), "backtest")
     summary = backtest.backtest_summary(detail)
-    tables = {"composite_backtest": detail, "composite_summary": summary, "part_backtest": backtest.part_backtest_summary(backtest.part_backtest(daily, c))}
+    parts = staged(backtest.part_backtest_summary(staged(backtest.part_backtest(daily, c), "part-backtest")), "part-summary")
+    tables = {"composite_backtest": detail, "composite_summary": summary, "part_backtest": parts}
     best = summary.where("selected").first()
-    return tables, {"base_date": base, "selected_method": best.method if best else None, "controls": vars(c)}
+    return tables, {"selected_part_model": backtest.select_model(parts, c), "base_date": base, "selected_method": best.method if best else None, "controls": vars(c)}
+
+
+def profile_tables(spark: SparkSession, lines: DataFrame, args: argparse.Namespace) -> dict[str, DataFrame]:
+    """Every source file with its rows, dates, size, time, fingerprint and warnings."""
+    listing = files.listing(spark, args.input, fingerprints=True)
+    return {"files": quality.file_profile(staged(lines.select("source_file", "source_sheet", "po_date"), "profile-lines"), listing).orderBy("first_date", "source_file")}
+
+
+def validation_tables(lines: DataFrame, resolved: config.Resolved, args: argparse.Namespace) -> dict[str, DataFrame]:
+    """Profile figures, lines by the reason that leaves them out, data quality, and expected figures where they are given."""
+    c = resolved.controls
+    classified = staged(classify.classify_lines(flag_duplicates(clean_lines(lines, c), c.deduplication_mode), resolved), "classified")
+    base, _ = config.resolve_dates(c, classified.agg(F.max("effective_date")).first()[0])
+    known = classify.label_categories_at(classified.where(F.col("effective_date") <= F.lit(base)), base)
+    daily = staged(panel.realized_daily(known, base, c.same_day_price_aggregation), "daily")
+    flagged = staged(pairs.flag_extremes(staged(pairs.adjacent_pairs(daily, c.historical_min_pair_gap_days), "pairs")), "flagged")
+    profile = staged(quality.profile(classified), "profile")
+    tables = {"profile": profile, "exclusions": quality.exclusion_log(classified), "data_quality": quality.data_quality(classified, daily, flagged)}
+    if args.expected:
+        with open(args.expected, encoding="utf-8") as f:
+            tables["expected"] = quality.compare_profile(profile, json.load(f))
+    return tables
 
 
 def _resolved(spark: SparkSession, args: argparse.Namespace) -> config.Resolved:
@@ -122,6 +151,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--cache", help="folder where run keeps its large stages and finds them again for the same files, rules and controls")
     p.add_argument("--cache-days", type=float, default=30.0, help="stages older than that are deleted from the folder")
     p.add_argument("--no-bands", action="store_true", help="run without the backtest and the refits on resampled parts")
+    p.add_argument("--workbook", action="store_true", help="write the tables as sheets of report.xlsx too")
+    p.add_argument("--expected", help="JSON file of expected profile figures, which validate compares")
     args = p.parse_args(argv)
     spark = tuned(SparkSession.builder.getOrCreate())
     resolved = _resolved(spark, args)
@@ -138,17 +169,19 @@ def main(argv: list[str] | None = None) -> int:
             tables, summary = run_tables(lambda: _lines(spark, args), resolved, bands=not args.no_bands, keep=keep)
             if args.cache:
                 summary["stages"] = {"found": keep.hits, "built": keep.built}
-            write_package(tables, args.output, summary, inputs=[args.input], before=before, required=("composite_forecast", "monthly_rates", "bucket_weights"))
+            write_package(tables, args.output, summary, inputs=[args.input], before=before, required=("composite_forecast", "monthly_rates", "bucket_weights"), workbook=args.workbook)
         except BaseException:
             for stage in keep.built if args.cache else ():  # they may hold lines of files that changed
                 keep.invalidate(stage)
             raise
         return 0
     lines = _lines(spark, args)
-    if args.command == "profile":
-        quality.source_ranges(lines).orderBy("first_date").show(100, truncate=False)
-    elif args.command == "validate":
-        quality.profile(clean_lines(lines, resolved.controls)).show(truncate=False)
+    if args.command in ("profile", "validate"):
+        tables = profile_tables(spark, lines, args) if args.command == "profile" else validation_tables(lines, resolved, args)
+        if args.output:
+            write_package(tables, args.output, {"controls": vars(resolved.controls), "sources": resolved.sources}, workbook=args.workbook)
+        for table in tables.values():
+            table.show(1000, truncate=False)
     elif args.command == "init-config":
         print("\n".join(config.write_template(args.output, classify.complete_mapping(clean_lines(lines, resolved.controls)))))
     elif args.command == "propose-mappings":
@@ -159,7 +192,8 @@ def main(argv: list[str] | None = None) -> int:
             tables, summary = backtest_tables(lines, resolved)
         else:
             tables, summary = historical_tables(lines, resolved.controls, args.base_date, args.first_fiscal_year, resolved.scope_mapping)
-        write_package(tables, args.output, summary, inputs=[args.input], before=before)
+        texts = {"report.md": markdown(tables, summary)} if args.command == "historical-actuals" else {}
+        write_package(tables, args.output, summary, inputs=[args.input], before=before, workbook=args.workbook, texts=texts)
     return 0
 
 

@@ -15,6 +15,7 @@ from costweave.config import Controls
 from costweave.functions import columns as C
 from costweave.operators import basket, forecast, indices, panel, regression, resampling
 from costweave.operators.pairs import adjacent_pairs, flag_extremes, pair_weights
+from costweave.operators.sampling import weighted_sample
 from costweave.plans.stages import staged
 
 #: Models of the part-level backtest, the simplest first.
@@ -180,9 +181,13 @@ def penalty_search(pairs: DataFrame, controls: Controls | None = None) -> DataFr
 
     Cutoffs are the last four (one in fast mode) quarter ends from a year after the first pair to three months before the last.
     All candidates and cutoffs are fitted in the same jobs, on all pairs; errors take all later pairs.
-    ``pairs`` should be persisted. Fewer than 50 pairs give no row.
+    ``pairs`` should be persisted. Fewer than 50 pairs give no row. Where ``penalty_search_max_pairs`` is set (it is 0, no bound), more
+    pairs than that are sampled by the later price times quantity, once for the whole search.
     """
     c, spark = controls or Controls(), pairs.sparkSession
+    if c.penalty_search_max_pairs:
+        value = F.col("price_b") * F.coalesce(F.nullif(F.col("qty_b"), F.lit(0.0)), F.lit(1.0))
+        pairs = staged(weighted_sample(pairs, value, c.penalty_search_max_pairs, c.random_seed, ("part_key", "date_a", "date_b")), "sampled-pairs")
     schema = "candidate int, lambda_smooth double, lambda_gamma double, mean_wape double, n_cutoffs int"
     n, low, high = pairs.agg(F.count(F.lit(1)), F.min("date_b"), F.max("date_b")).first()
     if n < 50:
@@ -225,7 +230,8 @@ def part_backtest(daily: DataFrame, controls: Controls | None = None, cutoffs: l
     One row an observation, cutoff, horizon and model: ``predicted_price`` beside the actual and the base price, quantities at the
     cutoff and later, and a band of the hierarchical model. All later observations of parts known at the
     cutoff count. Cutoffs are quarter ends from 18 months after the first day (12 where that is too late),
-    the last two in fast mode. ``daily`` should be persisted.
+    the last two in fast mode. ``daily`` should be persisted. Where ``part_backtest_max_observations`` is set (it is 0, no bound), a cutoff and horizon
+    tests at most that many later observations, sampled by the value bought; fits take all rows all the same.
     """
     c, spark = controls or Controls(), daily.sparkSession
     horizons = sorted(c.forecast_horizons_months)
@@ -260,6 +266,9 @@ def part_backtest(daily: DataFrame, controls: Controls | None = None, cutoffs: l
     later = daily.select("part_key", "po_date", "price", "qty", "approved_category", F.explode(F.filter(spans, lambda w: (w["low"] < F.col("po_date")) & (w["high"] >= F.col("po_date")))).alias("w"))
     fut = later.select("w.run", "w.horizon_months", F.col("w.high").alias("target"), "part_key", F.col("po_date").alias("date_b"), "price", "qty", "approved_category").join(last, ["run", "part_key"])
     fut = fut.withColumns({"date_a": F.col("a.po_date"), "base_price": F.col("a.price"), "qty_cutoff": F.greatest(F.coalesce("a.qty", F.lit(1.0)), F.lit(1e-9)), "qty_actual": F.greatest(F.coalesce("qty", F.lit(1.0)), F.lit(1e-9))}).drop("a", "qty")
+    if c.part_backtest_max_observations:
+        value = F.col("price") * F.col("qty_actual")
+        fut = staged(weighted_sample(staged(fut, "later"), value, c.part_backtest_max_observations, c.random_seed, ("part_key", "date_b"), by=("run", "horizon_months")), "sampled-later")
     rows = _part_growth(train, fut, models, ahead, c).join(F.broadcast(table), "run")
     years = F.datediff("date_b", "date_a") / 365.25
     logs = {

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costweave.functions import columns as C
-from costweave.operators import indices, panel, regression
+from costweave.operators import forecast, indices, panel, regression
 
 
 def source_trace(lines: DataFrame, columns: tuple[str, ...] = ("source_file", "source_row_number", "description_1", "description_2", "part_number")) -> DataFrame:
@@ -72,6 +72,25 @@ def basket_quantities(bridged: DataFrame, classified: DataFrame, base: date, pla
     return rows.join(F.broadcast(total)).withColumn("composite_weight", F.coalesce(C.ratio(F.col("basket_value"), F.col("_total")), F.lit(0.0))).drop("_total")
 
 
+def part_forecast(bridged: DataFrame, bucket: DataFrame, composite: DataFrame) -> DataFrame:
+    """Price of each part in each forecast year: its bridged price moved by the forecast of its category, else by the composite one.
+
+    ``bucket`` and ``composite`` have one row a category and year, or a year. Where ``composite`` has bands, the part's price has them
+    relative to its own: wider where the part has no rate of its own, its price is old or the year is far.
+    """
+    own = bucket.select(F.col("direct_category").alias("category"), "forecast_year", F.col("cumulative_multiplier").alias("own"))
+    bands = ["lower", "median", "upper"] if "lower" in composite.columns else []
+    years = composite.select("forecast_year", F.col("cumulative_multiplier").alias("overall"), *bands)
+    rows = bridged.join(F.broadcast(years)).join(own, ["category", "forecast_year"], "left").withColumn("multiplier", F.coalesce("own", "overall"))
+    price = F.col("estimated_base_price") * F.col("multiplier")
+    rows = rows.withColumn("price", price)
+    if bands:
+        side = lambda c: F.col("price") * C.ratio(F.col(c), F.col("median"))
+        wide = forecast.widen_interval(side("lower"), F.col("price"), side("upper"), F.col("source"), F.col("price_staleness_days"), F.col("forecast_year") * 12)
+        rows = rows.withColumns({"price_p10": F.greatest(wide["p10"], F.lit(0.0)), "price_p90": wide["p90"]})
+    return rows.drop("own", "overall", *bands)
+
+
 def purchasing_cost(priced: DataFrame, multiplier: str = "multiplier") -> DataFrame:
     """Cost of the future quantities at the base and at the target, their change, and that of the fixed basket."""
     q, p, m = F.coalesce("q_future", F.lit(0.0)), F.coalesce("estimated_base_price", F.lit(0.0)), F.col(multiplier)

@@ -152,9 +152,3 @@ def cagr_multiplier(index_levels: DataFrame, first_day: date, cutoff: date, targ
         return 1.0
     years = max((cutoff - first_day).days / 365.25, 1 / 12)
     return math.exp(math.log(row[2] / row[1]) / years * max((target - cutoff).days / 365.25, 0.0))
-
-
-def weighted_sample(df: DataFrame, weight: Column, n: int, seed: int = 42, key: tuple[str, ...] = ("part_key", "po_date")) -> DataFrame:
-    """``n`` rows without replacement, with chances by weight: least exponential key first, the key from a hash."""
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    return df.where(weight > 0).withColumn("_e", -F.ln(uniform) / weight).orderBy("_e", *key).limit(n).drop("_e")

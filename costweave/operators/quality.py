@@ -97,6 +97,31 @@ def source_ranges(lines: DataFrame, max_gap_days: int = 7) -> DataFrame:
     ).withColumn("has_gap", F.coalesce(F.col("gap_days") > max_gap_days, F.lit(False)))
 
 
+def file_profile(lines: DataFrame, listing: DataFrame, first_sheet: str = "Sheet2", max_gap_days: int = 7) -> DataFrame:
+    """Each file with its rows, sheet, dates, size, time and fingerprint, and its warnings in one text.
+
+    ``lines`` is aggregated by file and sheet, then joined to :func:`costweave.sources.files.listing`: a listed file without lines has 0 rows, lines
+    of a file that is not listed have no size. Warned of: no lines, a sheet other than ``first_sheet`` in a workbook, lines without an order date, dates that
+    overlap those of the file before or leave a gap of over ``max_gap_days`` after them.
+    """
+    by = lines.groupBy("source_file").agg(
+        F.max("source_sheet").alias("sheet"), F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("po_date").isNull()).alias("undated"), F.min("po_date").alias("first_date"), F.max("po_date").alias("last_date")
+    )
+    ranges = source_ranges(lines, max_gap_days).select("source_file", "previous_last", "overlaps", "gap_days", "has_gap")
+    rows = by.join(ranges, "source_file", "left").join(listing.withColumnRenamed("file", "source_file"), "source_file", "full")
+    n = F.coalesce("row_count", F.lit(0))
+    workbook = F.lower("source_file").rlike(r"\.xls[xm]$")
+    warnings = (
+        F.when(n == 0, F.lit("no lines")),
+        F.when(workbook & (F.col("sheet") != first_sheet), F.format_string("sheet '%s' was taken", "sheet")),
+        F.when(F.col("undated") > 0, F.format_string("%d lines without an order date", "undated")),
+        F.when(F.col("overlaps"), F.format_string("dates overlap those of the file before, up to %s", F.col("previous_last").cast("string"))),
+        F.when(F.col("has_gap"), F.format_string("%d days without lines before", "gap_days")),
+    )
+    facts = [c for c in ("bytes", "modified", "fingerprint") if c in listing.columns]
+    return rows.select("source_file", "sheet", n.alias("row_count"), "first_date", "last_date", *facts, F.concat_ws("; ", *warnings).alias("warnings"))
+
+
 def pair_coverage(pairs: DataFrame) -> DataFrame:
     """Pairs, parts and later spend of each category, and its share."""
     g = pairs.groupBy(F.coalesce("approved_category", F.lit("Uncategorized")).alias("category")).agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("part_key").alias("parts"), F.sum("spend_b").alias("pair_spend"))

@@ -52,3 +52,27 @@ def historical_tables(lines: DataFrame, controls: Controls | None = None, until:
         "scope_disclosure": quality.scope_disclosure(h), "spend_reconciliation": quality.spend_reconciliation(h), "basis_histogram": quality.basis_histogram(h), "huber_grid": grid,
     }
     return tables, {"until": until, "windows": window_rows, "comparisons": comparison_rows, "scopes": SCOPES, "controls": vars(c)}
+
+
+def _percent(value: float | None) -> str:
+    return "n/a" if value is None else f"{100 * value:+.2f} %"
+
+
+def markdown(tables: dict[str, DataFrame], summary: dict) -> str:
+    """The findings as Markdown: windows, changes of every scope by comparison, spread of the methods, chains. One row a scope and comparison is read."""
+
+    def section(title: str, name: str, keys: list[str]) -> list[str]:
+        df = tables[name]
+        by = [k for k in keys if k in df.columns]
+        numbers = [f.name for f in df.schema.fields if f.name not in by and f.dataType.typeName() in ("double", "long", "integer", "boolean", "string")]
+        lines = ["", f"## {title}", "", "| " + " | ".join([*by, *numbers]) + " |", "|" + "---|" * (len(by) + len(numbers))]
+        for r in df.select(*by, *numbers).orderBy(*by).toLocalIterator():
+            shown = [_percent(r[c]) if isinstance(r[c], float) and ("change" in c or "rate" in c or "share" in c) else "" if r[c] is None else f"{r[c]:,.4g}" if isinstance(r[c], float) else str(r[c]) for c in numbers]
+            lines.append("| " + " | ".join(v.replace("|", "\\|") for v in [*(str(r[c]) for c in by), *shown]) + " |")
+        return lines
+
+    out = ["# Prices of past purchases", "", f"Orders up to {summary['until']}.", "", "| window | from | to |", "|---|---|---|", *(f"| {n} | {a} | {b} |" for n, a, b in summary["windows"])]
+    keys = ["scope", "category", "comparison"]
+    for title, name in (("Comparisons", "comparisons"), ("Methods", "method_sensitivity"), ("Chained", "chained"), ("Categories", "category_comparisons"), ("Scopes by description", "scope_disclosure"), ("Value against price times quantity", "spend_reconciliation")):
+        out += section(title, name, ["description_norm", "fiscal_year"] if name in ("scope_disclosure", "spend_reconciliation") else keys)
+    return "\n".join(out) + "\n"

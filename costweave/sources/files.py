@@ -25,7 +25,28 @@ def discover(folder: str, suffixes: tuple[str, ...] = (".csv", ".parquet", ".xls
     return found
 
 
-def fingerprint(path: Path, edge: int = 65_536) -> str:
+#: Bytes at either end of a file that its fingerprint takes.
+EDGE = 65_536
+
+
+def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".csv", ".parquet", ".xlsx", ".xlsm"), fingerprints: bool = False) -> DataFrame:
+    """``path, file, bytes, modified`` of the source files at or in a folder, by any file system that Spark reads; editors' lock files are left out.
+
+    With ``fingerprints`` also :func:`fingerprint`, worked out where a file is read; without it no content is read.
+    """
+    name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
+    found = spark.read.format("binaryFile").load(folder).withColumn("file", name)
+    wanted = F.lower("file").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$") & ~F.startswith("file", F.lit("~$"))
+    columns = ["path", "file", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")]
+    if fingerprints:
+        size = F.col("length").cast("int")
+        head = F.encode(F.concat_ws("|", "file", "length", F.unix_seconds("modificationTime")), "utf-8")
+        tail = F.when(size > EDGE, F.substring("content", F.greatest(F.lit(EDGE), size - EDGE) + 1, F.lit(EDGE))).otherwise(F.lit(b""))
+        columns.append(F.left(F.sha2(F.concat(head, F.substring("content", 1, EDGE), tail), 256), F.lit(24)).alias("fingerprint"))
+    return found.where(wanted).select(*columns)
+
+
+def fingerprint(path: Path, edge: int = EDGE) -> str:
     """Cheap identity of a file: name, size, modification second, and both ends."""
     stat = path.stat()
     digest = hashlib.sha256(f"{path.name}|{stat.st_size}|{int(stat.st_mtime)}".encode())

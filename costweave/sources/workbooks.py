@@ -31,6 +31,17 @@ def csv_rows(path: Path) -> list[list[str]]:
         return list(csv.reader(f))
 
 
+def _unescaped(text: str) -> str:
+    """A stored text with its ``_xHHHH_`` as the characters they stand for."""
+    return re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text) if "_x" in text else text
+
+
+def _rich_text(item: ElementTree.Element) -> str:
+    """The text of a shared or inline string: its own or that of its runs, without phonetic hints."""
+    runs = [item, *item.findall(f"{_MAIN}r")]
+    return _unescaped("".join(t.text or "" for r in runs for t in r.findall(f"{_MAIN}t")))
+
+
 def _column(reference: str) -> int:
     """Place of a cell reference: A1 is 0, AA1 is 26."""
     place = 0
@@ -48,7 +59,7 @@ class Workbook:
         self.texts = []
         if "xl/sharedStrings.xml" in names:
             for item in self._items("xl/sharedStrings.xml", "si"):
-                self.texts.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
+                self.texts.append(_rich_text(item))
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(self.zip.read("xl/_rels/workbook.xml.rels"))}
         book = ElementTree.fromstring(self.zip.read("xl/workbook.xml"))
         place = lambda t: t.lstrip("/") if t.startswith("/") else f"xl/{t}"
@@ -79,7 +90,8 @@ class Workbook:
     def _value(self, cell: ElementTree.Element) -> Any:
         kind, v = cell.get("t", "n"), cell.find(f"{_MAIN}v")
         if kind == "inlineStr":
-            return "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+            inline = cell.find(f"{_MAIN}is")
+            return None if inline is None else _rich_text(inline)
         if v is None or v.text is None or kind == "e":
             return None
         if kind == "s":
@@ -90,7 +102,10 @@ class Workbook:
             return v.text
         number, style = float(v.text), int(cell.get("s", 0))
         if style < len(self.is_date) and self.is_date[style]:
-            return (self.epoch + timedelta(days=number)).isoformat()
+            try:
+                return (self.epoch + timedelta(days=number)).isoformat()
+            except (OverflowError, ValueError):  # a number that is no day of the calendar
+                return None
         return int(number) if number.is_integer() else number
 
     def rows(self, sheet: str) -> Iterator[tuple[int, list]]:
