@@ -15,7 +15,7 @@ def exponential_key(weight: Column, seed: int, key: tuple[str, ...]) -> Column:
     """-ln(u) / weight with u in (0, 1) from a hash of the seed and the key: the rows with the least ones are a sample by weight."""
     text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key))
     drawn = F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("long")
-    return -F.ln((drawn + 0.5) / float(16**_DIGITS)) / weight
+    return F.try_divide(-F.ln((drawn + 0.5) / float(16**_DIGITS)), weight)
 
 
 def _reach(counts: DataFrame, by: list[str], step: str, n: Column) -> DataFrame:

@@ -30,8 +30,9 @@ EDGE = 65_536
 
 
 def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".csv", ".parquet", ".xlsx", ".xlsm"), fingerprints: bool = False) -> DataFrame:
-    """``path, file, bytes, modified`` of the source files at or in a folder, by any file system that Spark reads; editors' lock files are left out.
+    """``path, file, bytes, modified`` of the source files at or in a folder, by any file system that Spark reads.
 
+    Editors' lock files and files of 0 bytes are left out (Spark's listing skips the latter, which hold no lines).
     With ``fingerprints`` also :func:`fingerprint`, worked out where a file is read; without it no content is read.
     """
     name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
