@@ -3,6 +3,7 @@ from datetime import date
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from costweave.operators import bridge, pairs, regression
 
@@ -73,3 +74,21 @@ def test_trace_takes_the_later_row(spark):
     rows = [("A", date(2022, 1, 1), "f", 1, "x"), ("A", date(2022, 1, 1), "f", 2, "y"), (None, date(2023, 1, 1), "f", 3, "z")]
     lines = spark.createDataFrame(rows, "part_key string, po_date date, source_file string, source_row_number long, description_1 string")
     assert [tuple(r) for r in bridge.source_trace(lines, ("source_row_number", "description_1")).collect()] == [("A", 2, "y")]
+
+
+def test_prices_of_parts_move_by_category_and_widen_where_little_is_known(spark):
+    bridged = spark.createDataFrame([("own", "a", "part", 0, 10.0, 1.0), ("old", "b", "overall", 365, 10.0, 2.0)], "part_key string, category string, source string, price_staleness_days int, estimated_base_price double, q_future double")
+    bridged = bridged.withColumn("composite_weight", F.lit(0.5))
+    bucket = spark.createDataFrame([("a", y, 1.1**y) for y in (1, 2, 3)], "direct_category string, forecast_year int, cumulative_multiplier double")
+    composite = spark.createDataFrame([(y, 1.2**y, 0.9, 1.0, 1.1) for y in (1, 2, 3)], "forecast_year int, cumulative_multiplier double, lower double, median double, upper double")
+    got = {(r.part_key, r.forecast_year): r for r in bridge.part_forecast(bridged, bucket, composite).collect()}
+    assert len(got) == 6
+    for year in (1, 2, 3):
+        far = 1.25 if year == 3 else 1.0  # a third year lies twelve months beyond two years
+        for part, rate, factor in (("own", 1.1, far), ("old", 1.2, 1.35 * 1.25 * far)):
+            r, price = got[part, year], 10 * rate**year
+            assert [r.price, r.price_p10, r.price_p90] == pytest.approx([price, price * (1 - 0.1 * factor), price * (1 + 0.1 * factor)])
+    plain = bridge.part_forecast(bridged, bucket, composite.drop("lower", "median", "upper"))
+    assert "price_p10" not in plain.columns and plain.count() == 6
+    cost = bridge.purchasing_cost(plain.where("forecast_year = 1")).first()
+    assert (cost.cost_base, cost.cost_target) == pytest.approx((30.0, 11.0 + 24.0))
