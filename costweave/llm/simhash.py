@@ -97,11 +97,12 @@ def near_links(distinct_fps: DataFrame, max_bits: int = 2, crowd: int = 16) -> D
         return spark.createDataFrame([], "a long, b long")
     keyed = distinct_fps.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = staged(keyed.join(shared, "key"), "variants")
+    # Spark takes the exploded rows for no more than their source; by that size it would broadcast all variants.
+    sized = staged(keyed.join(shared.hint("merge"), "key"), "variants")
     small = sized.where(F.col("n") <= crowd)
     joined = (
         small.select("key", F.col("fp").alias("a"))
-        .join(small.select("key", F.col("fp").alias("b")), "key")
+        .join(small.select("key", F.col("fp").alias("b")).hint("merge"), "key")
         .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
         .select("a", "b")
     )

@@ -88,3 +88,17 @@ def test_components_of_more_edges_than_a_task_holds(spark, monkeypatch):
         root[high] = low
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect())
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_variants_meet_by_shuffles_not_by_a_broadcast_of_exploded_rows(spark, tmp_path, monkeypatch):
+    spark.range(3000).selectExpr("xxhash64(id) AS fp").write.parquet(str(tmp_path / "fps"))
+    plans = []
+
+    def staged(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(simhash, "staged", staged)
+    links = simhash.near_links(spark.read.parquet(str(tmp_path / "fps")))
+    plans.append(links._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
