@@ -97,7 +97,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, min_similarity: float, shingle
 
 def _sized_pairs(left: DataFrame, right: DataFrame, min_similarity: float) -> DataFrame:
     """Pairs of nodes with one key whose sizes allow them to be near."""
-    met = left.select("key", F.col("node").alias("x"), F.col("size").alias("x_size")).join(right.select("key", F.col("node").alias("y"), F.col("size").alias("y_size")), "key")
+    met = left.select("key", F.col("node").alias("x"), F.col("size").alias("x_size")).join(right.select("key", F.col("node").alias("y"), F.col("size").alias("y_size")).hint("merge"), "key")
     fits = F.least("x_size", "y_size") >= min_similarity * F.greatest("x_size", "y_size")
     return met.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b")
 
@@ -142,7 +142,7 @@ def _open_pairs(members: DataFrame, texts: DataFrame, min_similarity: float, shi
     rare = staged(arrow_rows(own, ["node", "root", "text"], prefixes, "key long, node long, root long, size long, pos long, index boolean"), "prefixes")
     small, large = (rare.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "size", "pos", "index"))) for side in ("s", "l"))
     needed = F.ceil(min_similarity / (1 + min_similarity) * (F.col("s_size") + F.col("l_size")) - 1e-9)
-    met = small.where("s_index").join(large, "key").where(
+    met = small.where("s_index").join(large.hint("merge"), "key").where(
         (F.col("s_root") != F.col("l_root"))
         & (F.struct("s_size", "s_node") < F.struct("l_size", "l_node"))
         & (F.col("s_size") >= min_similarity * F.col("l_size"))
@@ -192,7 +192,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     keyed = nodes.select("node", "size", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    sized = staged(keyed.join(shared, "key"), "bands")
+    sized = staged(keyed.join(shared.hint("merge"), "key"), "bands")  # exploded rows are more than Spark takes them for
     small, large = sized.where(F.col("members") <= crowd), sized.where(F.col("members") > crowd)
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
     leaders = large.withColumn("place", place).where("place <= 3")

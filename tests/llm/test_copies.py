@@ -66,3 +66,10 @@ def test_the_stage_drops_near_copies_beyond_two_bits(spark, copies):
     assert kept == set(groups.values())
     far = [i for i, g in groups.items() if (simhash.text_fingerprint(texts[i]) ^ simhash.text_fingerprint(texts[g])).bit_count() > 2]
     assert len(far) > 20 and not kept & set(far)
+
+
+def test_bands_and_rare_shingles_meet_by_shuffles_not_by_a_broadcast_of_exploded_rows(spark, tmp_path):
+    spark.range(300).selectExpr("id AS node", "id % 7 AS key", "id + 5 AS size").write.parquet(str(tmp_path / "keyed"))
+    keyed = spark.read.parquet(str(tmp_path / "keyed"))
+    plan = near._sized_pairs(keyed, keyed, 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
