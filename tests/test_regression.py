@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from costweave.config import Controls
-from costweave.operators import pairs, regression
+from costweave.operators import pairs, regression, robust
 
 
 def observed(spark, rows):
@@ -80,3 +80,24 @@ def test_joint_huber_recovers_rate_and_elasticity(spark):
     assert len(got) == 4
     for r in got:
         assert r.converged and r.annual_rate == pytest.approx(0.08, abs=0.02) and r.gamma == pytest.approx(-0.07, abs=0.03)
+
+
+@pytest.mark.parametrize("units", [1, 3])
+def test_equations_by_ends_equal_dense_products_of_month_shares(units):
+    rng, months, n = np.random.default_rng(0), 40, 500
+    a = rng.integers(0, months * 30 - 2, n)  # months of 30 days; a row covers the days a + 1 to b
+    b = np.minimum(a + rng.integers(1, 400, n), months * 30 - 1)
+    x = np.zeros((n, months + 1))
+    for m in range(months):
+        x[:, m] = np.clip(np.minimum(b, m * 30 + 29) - np.maximum(a, m * 30 - 1), 0, None) / 30
+    x[:, -1] = rng.normal(size=n)
+    first, last = (a + 1) // 30, b // 30
+    head, tail = np.where(first == last, 1.0, (30 - (a + 1) % 30) / 30), np.where(first == last, (b - a) / 30, (b % 30 + 1) / 30)
+    spans, at = robust.Spans(first, last, head, tail, x[:, -1]), np.flatnonzero(rng.random(n) < 0.7)
+    theta, weights, y = rng.normal(size=(months + 1, units)), rng.random((len(at), units)), rng.normal(size=n)
+    assert (first == last).any() and np.abs(spans.predicted(at, theta) - x[at] @ theta).max() < 1e-12
+    total = np.zeros((months + 2, months + 3, units))
+    robust._add_products(total, spans, at, weights, y)
+    for k in range(units):
+        dense = np.column_stack([x[at].T @ (x[at] * weights[:, [k]]), x[at].T @ (weights[:, k] * y[at])])
+        assert np.abs(robust._by_months(total[:, :, k]) - dense).max() < 1e-10
