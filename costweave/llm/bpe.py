@@ -1,11 +1,10 @@
-"""Byte-level BPE: known pre-tokens through a minimal perfect hash, all others through a heap over linked bytes."""
+"""Byte-level BPE: known pre-tokens through a minimal perfect hash, short others merged side by side, long ones by a heap over linked bytes."""
 
 from __future__ import annotations
 
 import base64
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import batched
 
@@ -20,8 +19,10 @@ from costweave.llm.buffers import as_strings, bounds_of, bytes_of, gather, with_
 _BLOCK = 1 << 17
 #: Texts above this many characters are split one block of pre-tokens at a time.
 _LONG = 1 << 20
-#: Missed pre-tokens of up to 64 bytes whose merges a worker remembers: at most some 100 MB.
-_REMEMBERED = 1 << 18
+#: Missed pre-tokens of up to so many bytes are merged side by side, longer ones by the heap.
+_SHORT = 64
+#: Missed pre-tokens that are merged side by side at once.
+_ABREAST = 1 << 14
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -168,6 +169,60 @@ class Merges:
         return out
 
 
+class ShortMerges:
+    """Ids of many short pre-tokens at once, as :class:`Merges` gives them.
+
+    Those of one length are the rows of a matrix. A round merges one pair in each row, the leftmost of least rank, so rows
+    that still merge have equally many parts; a row without a known pair leaves. Two parts are known by their ids, in a sorted table
+    of every way to cut a token of the vocabulary into two others.
+    """
+
+    _NONE = np.iinfo(np.int64).max
+
+    def __init__(self, ranks: dict[bytes, int]):
+        cuts = sorted((ranks[k[:i]] << 32 | ranks[k[i:]], r) for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks)
+        self.pairs, self.merged = np.array([k for k, _ in cuts], np.int64), np.array([r for _, r in cuts], np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.double = self._known(self.single[:, None], self.single[None, :])
+
+    def _known(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each two parts, ``_NONE`` where they make no token."""
+        if not len(self.pairs):
+            return np.full(np.broadcast_shapes(left.shape, right.shape), self._NONE)
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.merged[at], self._NONE)
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of pre-tokens with a matrix of their ids, a row each; every pre-token comes once."""
+        for size in np.unique(lengths):
+            own = np.flatnonzero(lengths == size)
+            for a in range(0, len(own), _ABREAST):
+                some = own[a : a + _ABREAST]
+                yield from self._merge(some, data[starts[some, None] + np.arange(size)])
+
+    def _merge(self, number: np.ndarray, letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids, rank = self.single[letters], self.double[letters[:, :-1], letters[:, 1:]]
+        while rank.shape[1]:
+            at = rank.argmin(axis=1)
+            best = rank[np.arange(len(at)), at]
+            open_ = best < self._NONE
+            if not open_.all():
+                yield number[~open_], ids[~open_]
+                number, ids, rank, at, best = number[open_], ids[open_], rank[open_], at[open_], best[open_]
+            if not len(number):
+                return
+            row, parts = np.arange(len(number)), ids.shape[1] - 1
+            keep = np.arange(parts + 1) != at[:, None] + 1
+            ids = ids[keep].reshape(len(number), parts)
+            ids[row, at] = best
+            rank = rank[keep[:, 1:]].reshape(len(number), parts - 1)
+            first, last = np.flatnonzero(at > 0), np.flatnonzero(at < parts - 1)
+            rank[first, at[first] - 1] = self._known(ids[first, at[first] - 1], best[first])
+            rank[last, at[last]] = self._known(best[last], ids[last, at[last] + 1])
+        yield number, ids
+
+
 class Vocabulary:
     """Byte strings with their ranks, and the pattern that splits a text into pre-tokens.
 
@@ -196,27 +251,28 @@ def encoder(vocabulary: Vocabulary) -> Callable[[pa.Array], tuple[np.ndarray, np
     """Function from an array of strings to the ids of all its rows, end to end, and their bounds."""
     split = regex.compile(vocabulary.pattern)
     table, ranks = vocabulary.hash, dict(vocabulary.hash.items())
-    merges = Merges(ranks, table.width)
-    remembered = lru_cache(_REMEMBERED)(merges)
+    merges, abreast = Merges(ranks, table.width), ShortMerges(ranks)
 
     def looked_up(block: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of pre-tokens and their number for each; each distinct one is resolved once."""
         coded = pa.array(block, pa.large_string()).dictionary_encode()
         data, bounds = bytes_of(coded.dictionary)
         found = table.find(data, bounds)
-        whole, lengths, parts = data.tobytes(), np.ones(len(found), np.int64), []
+        sizes, lengths = np.diff(bounds), np.ones(len(found), np.int64)
         missed = np.flatnonzero(found < 0)
-        for k, a, b in zip(missed.tolist(), bounds[missed].tolist(), bounds[missed + 1].tolist(), strict=True):
-            piece = whole[a:b]
-            ids = remembered(piece) if b - a <= 64 else merges(piece)
-            lengths[k] = len(ids)
-            parts.extend(ids)
+        short = missed[sizes[missed] <= _SHORT]
+        merged = [(short[some], ids) for some, ids in abreast(data, bounds[short], sizes[short])]
+        for k in missed[sizes[missed] > _SHORT].tolist():
+            merged.append((np.array([k]), np.array([merges(data[bounds[k] : bounds[k + 1]].tobytes())])))
+        for some, ids in merged:
+            lengths[some] = ids.shape[1]
         # ids of the distinct pre-tokens end to end: hits take one place each, misses theirs
         starts = bounds_of(lengths)
         all_ids = np.empty(starts[-1], np.uint32)
         hit = found >= 0
         all_ids[starts[:-1][hit]] = found[hit]
-        all_ids[np.repeat(~hit, lengths)] = parts
+        for some, ids in merged:
+            all_ids[starts[some, None] + np.arange(ids.shape[1])] = ids
         index = coded.indices.to_numpy()
         return gather(all_ids, starts[:-1][index], lengths[index]), lengths[index]
 

@@ -101,3 +101,17 @@ def test_ids_that_are_none(spark, vocabulary):
 def test_clashing_names_pass_through(spark, vocabulary):
     table = spark.createDataFrame([row(1, "some text")], SCHEMA)
     assert bpe.encode(table, vocabulary).columns == [*table.columns, "n_tokens", "ids"]
+
+
+def test_short_pieces_are_merged_side_by_side_as_by_the_heap(vocabulary, monkeypatch):
+    ranks = dict(vocabulary.hash.items())
+    merges, abreast = bpe.Merges(ranks, vocabulary.hash.width), bpe.ShortMerges(ranks)
+    monkeypatch.setattr(bpe, "_ABREAST", 100)
+    rng = random.Random(5)
+    made = ["".join(rng.choice(["a", "e", "th", "er", "zu", "ñ", "ß", "0", " "]) for _ in range(rng.randrange(1, 30))).encode()[:64] for _ in range(3000)]
+    pieces = [*made, *(bytes([97]) * n for n in range(1, 65)), *(bytes(rng.randrange(256) for _ in range(n)) for n in range(1, 65))]
+    data, bounds = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)])
+    got = {}
+    for some, ids in abreast(data, bounds[:-1], np.diff(bounds)):
+        got |= zip(some.tolist(), ids.tolist(), strict=True)
+    assert [got[i] for i in range(len(pieces))] == [merges(p) for p in pieces]
