@@ -92,3 +92,11 @@ def test_prices_of_parts_move_by_category_and_widen_where_little_is_known(spark)
     assert "price_p10" not in plain.columns and plain.count() == 6
     cost = bridge.purchasing_cost(plain.where("forecast_year = 1")).first()
     assert (cost.cost_base, cost.cost_target) == pytest.approx((30.0, 11.0 + 24.0))
+
+
+def test_heaviest_parts_work_their_input_out_once(spark):
+    from pyspark.sql import functions as F
+
+    weights = spark.range(2000).select(F.concat(F.lit("P"), F.col("id")).alias("part_key"), (F.col("id") + 1).cast("double").alias("weight"))
+    out = bridge.heaviest(weights, 0.9, 100)
+    assert "Range" not in out._jdf.queryExecution().executedPlan().toString() and abs(sum(r.weight for r in out.collect()) - 1) < 1e-9
