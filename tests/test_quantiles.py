@@ -30,3 +30,16 @@ def test_keys_in_compatibility_form(spark):
     rows = [("\uff21\uff22\uff0d\uff11\uff12",), ("o\ufb03ce\u00a0 9",), ("caf\u00e9",), ("ab-12",), ("\u3000",), ("\u2460x",)]
     got = [r.k for r in spark.createDataFrame(rows, "t string").select(C.part_key(F.col("t"), F.lit("str")).alias("k")).collect()]
     assert got == ["AB-12", "OFFICE 9", "CAF\u00c9", "AB-12", None, "1X"]
+
+
+def test_rows_of_few_groups_are_not_dealt_by_group(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30000b")
+    try:
+        rows = spark.range(30_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 1000).cast("double").alias("x"))
+        out = quantiles.beside(rows, quantiles.percentiles(rows, ["g"], {"middle": (F.col("x"), 0.5)}), ["g"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert out.count() == 30_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
