@@ -277,3 +277,41 @@ def test_prior_prices_equal_a_plain_search(spark):
     for e, d, _, n in asked:
         before = [(x[1], x[3], x[4], x[2]) for x in bought if e is not None and d is not None and x[0] == e and x[1] < d]
         assert got[n] == ((max(before)[3], max(before)[0]) if before else (None, None))
+
+
+def test_gram_adds_weights_of_the_same_days_before_it_spreads_months(spark):
+    from datetime import date
+
+    from costweave.operators import pairs
+
+    rows = [("A", date(2020, 1, 10), date(2020, 3, 5), 1.0), ("B", date(2020, 1, 10), date(2020, 3, 5), 2.5), ("C", date(2020, 2, 1), date(2020, 2, 11), 2.0)]
+    gram = pairs.weighted_gram(spark.createDataFrame(rows, "part_key string, date_a date, date_b date, pair_weight double"))
+    share = {1: 21 / 31, 2: 1.0, 3: 5 / 31}
+    want = {(a, b): 3.5 * share[a] * share[b] + (2.0 * (10 / 29) ** 2 if a == b == 2 else 0.0) for a in share for b in share}
+    got = {(r.month.month, r.month_2.month): r.gram for r in gram.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert "keys=[date_a" in gram._jdf.queryExecution().executedPlan().toString()
+
+
+def test_baskets_need_no_texts_and_deal_no_rows_by_basket(spark):
+    from pyspark.sql import functions as F
+
+    from costweave.operators import indices
+    from costweave.plans.stages import staged
+
+    part = F.concat(F.lit("P"), F.col("id") % 3000).alias("part_key")
+    price = (F.col("id") % 3000 % 50 + 1 + F.floor(F.col("id") / 3000)).cast("double")
+    values = staged(spark.range(6000).select(F.lit("all").alias("scope"), F.when(F.col("id") < 3000, "Y1").otherwise("Y2").alias("label"), part, price.alias("price"), (price * 2).alias("spend"), F.lit(2.0).alias("qty"),
+                                             F.lit(1).cast("long").alias("line_count"), (price * 2).alias("scope_spend")), "values")
+    comparisons = spark.createDataFrame([("Y1-Y2", "Y1", "Y2")], "comparison string, a string, b string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000b")
+    try:
+        matched = indices.matched_parts(values, comparisons, ["scope"])
+        assert "SortMergeJoin" not in matched._jdf.queryExecution().executedPlan().toString()
+        matched = staged(matched, "matched-parts")
+        out = indices.weighted_basket(matched, values, comparisons, ["scope"])
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 3000 and "description_norm" not in out.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
