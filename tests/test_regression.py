@@ -113,3 +113,19 @@ def test_indices_and_backtests_read_small_written_tables_instead_of_lines(spark)
     assert daily.columns == ["part_key", "po_date", "price", "qty", "spend", "approved_category"]
     found = indices.all_benchmarks(daily)
     assert not any("lag(" in found[f"{k}_FY"]._jdf.queryExecution().optimizedPlan().toString() for k in ("matched", "tornqvist", "fisher"))
+
+
+def test_predicted_growth_follows_the_ends_of_a_pair(spark):
+    months = [date(2020 + m // 12, m % 12 + 1, 1) for m in range(30)]
+    rng = np.random.default_rng(4)
+    model = regression.RepeatSales(months, rng.normal(0, 0.02, 30), 0.1, 0.01, True, 9, {"own": rng.normal(0, 0.02, 30)}, {"own": 0.05})
+    ends = [(date(2020, 1, 1), date(2020, 1, 20)), (date(2020, 1, 31), date(2020, 2, 29)), (date(2020, 3, 10), date(2022, 6, 30)), (date(2021, 5, 5), date(2021, 6, 6))]
+    frame = spark.createDataFrame([(a, b, c, x) for a, b in ends for c in ("own", "other", None) for x in (0.0, 0.3)], "date_a date, date_b date, approved_category string, x_q double")
+    made = regression.predict_pairs(frame, model)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.columns == [*frame.columns, "predicted"] and "sequence(" not in plan  # no months a pair
+    for r in made.collect():
+        rates, gamma = (model.delta0 + model.differences["own"], 0.15) if r.approved_category == "own" else (model.delta0, 0.1)
+        days = [(r.date_a.toordinal() + 1 + i) for i in range((r.date_b - r.date_a).days)]
+        want = sum(rates[(d.year - 2020) * 12 + d.month - 1] / calendar.monthrange(d.year, d.month)[1] for d in map(date.fromordinal, days)) + gamma * r.x_q
+        assert r.predicted == pytest.approx(want, abs=1e-12)
