@@ -1,12 +1,12 @@
 import math
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from costweave.config import Controls
-from costweave.operators import backtest, pairs, regression, resampling
+from costweave.operators import backtest, pairs, regression, resampling, robust
 
 
 @pytest.fixture(scope="module")
@@ -155,6 +155,62 @@ def test_penalty_search_and_part_backtest(spark, daily):
     assert backtest.select_model(summary, Controls(selected_model_mode="tornqvist")) == "tornqvist"
 
 
+def test_penalty_search_repeats_no_pair_by_candidate(spark, uneven, monkeypatch):
+    held, spread = [], robust.spread_out
+
+    def spread_out(rows, *given):
+        out = spread(rows, *given)
+        held.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(robust, "spread_out", spread_out)
+    grid = backtest.penalty_search(uneven, Controls(part_min_intervals=2, part_min_span_days=90)).collect()
+    low, high = uneven.agg(F.min("date_b"), F.max("date_b")).first()
+    cutoffs = backtest.quarter_ends(backtest._shift(low, 12), backtest._shift(high, -3))[-4:]
+    assert len(grid) == len(backtest.PENALTIES) and len(cutoffs) > 1 and {r.n_cutoffs for r in grid} == {len(cutoffs)}
+    assert held == [sum(uneven.where(F.col("date_b") <= F.lit(d)).count() for d in cutoffs)]
+
+
+def test_variants_side_by_side_equal_one_at_a_time(spark, uneven):
+    own = [Controls(lambda_smooth=s, lambda_gamma=g, category_min_pairs=10, part_min_intervals=2, part_min_span_days=90) for s, g in backtest.PENALTIES[:3]]
+    train = uneven.withColumn("run", F.explode(F.array(F.lit("2022-12-31"), F.lit("2023-03-31")))).where(F.col("date_b") <= F.col("run").cast("date"))
+    train = pairs.pair_weights(train, by=("run",)).persist()
+    fits = regression.fit_runs(train, own[0], variants=own)
+    alone = [regression.fit_runs(train, c) for c in own]
+    assert sorted(fits) == sorted(f"{run}|{i}" for i, a in enumerate(alone) for run in a)
+    for i, models in enumerate(alone):
+        for run, m in models.items():
+            got = fits[f"{run}|{i}"]
+            assert got.months == m.months and got.n_pairs == m.n_pairs and sorted(got.differences) == sorted(m.differences) and m.differences
+            np.testing.assert_allclose([*got.delta0, got.gamma0, got.sigma], [*m.delta0, m.gamma0, m.sigma], atol=1e-9)
+            for c in m.differences:
+                np.testing.assert_allclose(got.differences[c], m.differences[c], atol=1e-9)
+    spans = uneven.select("part_key", "approved_category", "date_a", "date_b", F.lit("2022-12-31").alias("run"))
+    ahead = [{run: [0.002 * (i + 1)] * 3 for run in models} for i, models in enumerate(alone)]
+    many = {(r.part_key, r.date_a): r for r in backtest._part_growths(train, spans, alone, ahead, own[0]).collect()}
+    for i in range(len(own)):
+        rows = backtest._part_growth(train, spans, alone[i], ahead[i], own[i]).collect()
+        assert len(rows) == len(many) and any(r.residual for r in rows)
+        for r in rows:
+            got = many[r.part_key, r.date_a]
+            assert (got[f"log_category_{i}"], got[f"residual_{i}"], got.source, got.category) == (pytest.approx(r.log_category), pytest.approx(r.residual), r.source, r.category)
+
+
+def test_growth_by_ends_equals_months_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    path, first = rng.normal(0, 0.02, 14), 2022 * 12 + 4
+    paths = [("r", None, first, path.tolist(), 0.3), ("r", "A", first, (path + 0.01).tolist(), 0.4)]
+    rows = []
+    for k in range(300):
+        a = date(2021, 11, 1) + timedelta(days=int(rng.integers(0, 900)))
+        rows.append((k, "rq"[k % 10 == 0], "AB"[k % 2] if k % 7 else None, a, a + timedelta(days=int(rng.integers(0, 700)))))
+    got = regression.log_growth(spark.createDataFrame(rows, "k int, run string, category string, date_a date, date_b date"), paths).collect()
+    own = {"A": path + 0.01}
+    for r in got:
+        want = 0.0 if r.run == "q" or r.date_b <= r.date_a else resampling._growth(first, own.get(r.category, path), r.date_a, r.date_b)
+        assert r.log_growth == pytest.approx(want, abs=1e-12) and r.gamma == (0.0 if r.run == "q" else 0.4 if r.category == "A" else 0.3)
+
+
 def test_log_growth_by_hand(spark):
     paths = [("r", None, 2023 * 12, [0.01, 0.02], 0.0), ("r", "A", 2023 * 12, [0.03, 0.05], 0.0)]
     rows = [("A", date(2023, 1, 31), date(2023, 2, 28)), ("B", date(2022, 12, 31), date(2023, 1, 31)), ("B", date(2023, 2, 28), date(2023, 4, 30)), ("A", date(2023, 1, 5), date(2023, 1, 5))]
