@@ -19,6 +19,17 @@ def test_percentiles_equal_the_built_in(spark, n):
         assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
 
 
+def test_percentiles_of_one_column_share_a_summary(spark, monkeypatch):
+    made, summary = [], F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda *given: made.append(1) or summary(*given))
+    df = spark.range(30_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 30_011).cast("double").alias("x"))
+    x, y = F.col("x"), F.sqrt("x")
+    wanted = {"low": (x, 0.005), "root": (y, 0.3), "high": (x, 0.995), "top": (x, 1.0)}
+    got = quantiles.percentiles(df, ["g"], wanted).collect()
+    want = df.groupBy("g").agg(*(F.percentile(c, p).alias(k) for k, (c, p) in wanted.items())).collect()
+    assert len(made) == 2 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_lines_meet_any_number_of_windows(spark):
     days = spark.sql("select date_add(date'2020-01-01', cast(id as int)) as po_date, cast(id as string) as part_key from range(100)")
     spans = spark.sql("select concat('w', id) as label, date_add(date'2020-01-01', cast(id % 90 as int)) as start, date_add(date'2020-01-01', cast(id % 90 + id % 7 as int)) as end from range(1500)")

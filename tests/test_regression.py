@@ -82,6 +82,47 @@ def test_joint_huber_recovers_rate_and_elasticity(spark):
         assert r.converged and r.annual_rate == pytest.approx(0.08, abs=0.02) and r.gamma == pytest.approx(-0.07, abs=0.03)
 
 
+def test_joint_huber_holds_a_pair_once_and_equals_dense_rounds(spark, monkeypatch):
+    held, spread = [], robust.spread_out
+
+    def spread_out(rows, *given):
+        out = spread(rows, *given)
+        held.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(robust, "spread_out", spread_out)
+    rng = np.random.default_rng(1)
+    n = 400
+    rows = [(f"P{i % 37}", float(y), float(t), float(x), float(q), 2.0, float(s), 5.0, 1 + i % 9) for i, (y, t, x, q, s) in enumerate(zip(rng.standard_t(2, n) * 0.1, rng.uniform(0.1, 2, n), rng.normal(0, 0.3, n), rng.integers(0, 5, n), rng.choice([0.0, 3.0, 50.0], n)))]
+    table = spark.createDataFrame(rows, "part_key string, y double, delta_years double, x_q double, qty_a double, qty_b double, spend_a double, spend_b double, n_pairs_part long")
+    assert tuple(table.columns) == regression.HUBER_COLUMNS
+    trims = (0.0, 0.05)
+    got = {(r.trim, r.weighting): r for r in regression.joint_huber(table, trims).collect()}
+    whole = [r for r in rows if r[4] > 0]
+    assert held == [len(whole)] and len(got) == 4
+    for trim in trims:
+        rate = np.array([r[1] / r[2] for r in whole])
+        low, high = np.quantile(rate, [trim, 1 - trim])
+        some = [r for r, a in zip(whole, rate) if low <= a <= high]
+        y, t, x, b, k = (np.array(v) for v in zip(*((r[1], r[2], r[3], math.sqrt(r[6] * r[7]), r[8]) for r in some)))
+        w = np.minimum(b, np.quantile(b, 0.95)) / np.sqrt(k)
+        for kind, u in (("unweighted", np.ones(len(y))), ("spend_weighted", w / w.mean())):
+            theta, s, m = np.zeros(2), y.std(), np.column_stack([t, x])
+            for _ in range(200):
+                r = np.abs(y - m @ theta)
+                near = r <= 1.35 * s
+                v = u * np.where(near, 1, 1.35 * s / r)
+                new = np.linalg.solve(m.T @ (v[:, None] * m) + 0.1 * s * np.eye(2), m.T @ (v * y))
+                scale = math.sqrt((u * near * r * r).sum() / (u * np.where(near, 1, 1 - 1.35**2)).sum())
+                stop = np.abs(new - theta).sum() + abs(scale - s) < 1e-6 * (1 + s)
+                theta, s = new, scale
+                if stop:
+                    break
+            found = got[trim, kind]
+            assert (found.n_pairs, found.n_parts) == (len(some), len({r[0] for r in some})) and found.converged
+            assert [found.beta_t, found.gamma] == pytest.approx(theta.tolist(), abs=1e-9)
+
+
 @pytest.mark.parametrize("units", [1, 3])
 def test_equations_by_ends_equal_dense_products_of_month_shares(units):
     rng, months, n = np.random.default_rng(0), 40, 500
