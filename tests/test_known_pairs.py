@@ -69,3 +69,34 @@ def test_a_table_for_fits_has_a_bounded_number_of_tasks(spark, days):
     rows, tasks = robust.spread_out(many.repartition(90))
     assert tasks <= max(robust.DIRECT, 2 * spark.sparkContext.defaultParallelism) and rows.count() == days.count()
     rows.unpersist()
+
+
+def test_counting_by_zones_side_by_side_equals_bins_one_unit_at_a_time():
+    rng = np.random.default_rng(2)
+    values, times = rng.normal(size=(4000, 6)), rng.poisson(1.0, (4000, 6)).astype(float)
+    known = robust.Target(4000.0, 400)
+    apart = robust.around(known, (-0.01, 0.01), (0.67, 0.68), 0.01, None, True)
+    sent = robust.around(known, (-0.001, 0.001), (0.674, 0.675), 0.001, (np.array([-9.0]), np.array([9.0]), np.array([10.0])), True)
+    crossed = robust.around(known, (-0.5, 0.5), (0.1, 0.8), 0.5, None, True)
+    targets = {"a": apart, "b": sent, "c": crossed, "d": robust.Target(4000.0, 400), "e": robust.begun(50.0, 400), "f": apart}
+    assert sent.ship and robust._zone_ends(crossed) is None and len(robust._zone_ends(apart)) == 6
+    counter = robust._Counter(list(targets), targets)
+    for a in range(0, 4000, 700):
+        counter.add(values[a : a + 700], times[a : a + 700])
+        if a % 1400:
+            counter.flush()
+    counter.flush()
+    for k, (unit, counts, near, n) in enumerate(counter.found()):
+        whole, v, m = robust._bins(values[:, k], times[:, k], targets[unit])
+        assert counts.tolist() == whole.tolist()
+        if len(v) <= targets[unit].limit:
+            assert (near.tolist(), n.tolist()) == (v.tolist(), m.tolist())
+    assert counts.sum() == times[:, 5].sum()
+
+
+def test_draws_stop_at_the_first_step_that_holds_them(spark):
+    rows = resampling.with_times(spark.range(200).withColumn("part_key", F.col("id").cast("string")), 40, 7)
+    got = [x for r in rows.collect() for x in r.times[1:]]
+    assert all(r.times[0] == 1 for r in rows.collect()) and abs(np.mean(got) - 1) < 0.05 and abs(np.mean([x == 0 for x in got]) - math.exp(-1)) < 0.02
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= 0.36787944" not in plan  # no sum over all steps for every draw
