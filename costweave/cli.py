@@ -99,7 +99,7 @@ def backtest_tables(lines: DataFrame, resolved: config.Resolved) -> tuple[dict[s
     daily = staged(panel.realized_daily(known, base, c.same_day_price_aggregation), "daily")
     detail = staged(backtest.composite_backtest(daily, known, base, c, None), "backtest")
     summary = backtest.backtest_summary(detail)
-    parts = staged(backtest.part_backtest_summary(staged(backtest.part_backtest(daily, c), "part-backtest")), "part-summary")
+    parts = staged(backtest.part_backtest_summary(backtest.part_backtest(daily, c, wide=True)), "part-summary")
     tables = {"composite_backtest": detail, "composite_summary": summary, "part_backtest": parts}
     best = summary.where("selected").first()
     return tables, {"selected_part_model": backtest.select_model(parts, c), "base_date": base, "selected_method": best.method if best else None, "controls": vars(c)}

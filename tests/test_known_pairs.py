@@ -100,3 +100,34 @@ def test_draws_stop_at_the_first_step_that_holds_them(spark):
     assert all(r.times[0] == 1 for r in rows.collect()) and abs(np.mean(got) - 1) < 0.05 and abs(np.mean([x == 0 for x in got]) - math.exp(-1)) < 0.02
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert ">= 0.36787944" not in plan  # no sum over all steps for every draw
+
+
+def test_part_backtest_side_by_side_equals_a_row_a_model(spark, days):
+    c = Controls(forecast_horizons_months=(3, 6), part_min_intervals=2, part_min_span_days=90, category_min_pairs=10)
+    wide = backtest.part_backtest(days, c, CUTOFFS[1:], wide=True).persist()
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan  # rows come from written rows of parts, nothing is dealt by cutoff or horizon
+    detail = backtest.part_backtest(days, c, CUTOFFS[1:]).persist()
+    assert detail.count() == 7 * wide.count() > 0
+    rows = {(r.cutoff, r.horizon_months, r.part_key, r.actual_date): r for r in wide.collect()}
+    last = {}
+    for r in rows.values():
+        last[r.cutoff, r.horizon_months, r.part_key] = max(r.actual_date, last.get((r.cutoff, r.horizon_months, r.part_key), r.actual_date))
+    assert all(r.is_last == (r.actual_date == last[r.cutoff, r.horizon_months, r.part_key]) for r in rows.values())
+    # The plain form: pairs repeated by cutoff, residuals and growths joined by cutoff and part.
+    known = backtest.pairs_by_cutoff(days, CUTOFFS[1:]).withColumn("extreme_flag", F.lit(False))
+    train = pairs.pair_weights(known, c.pair_weight_method, by=("run",)).persist()
+    models = regression.fit_runs(train, c)
+    ahead = backtest.future_rates(spark, models, {run: backtest._shift(date.fromisoformat(run), 6) for run in models}, (3, 6, 12))
+    spans = wide.select(F.col("cutoff").cast("string").alias("run"), "horizon_months", "part_key", F.col("base_date").alias("date_a"), F.col("actual_date").alias("date_b"), F.col("category").alias("approved_category"))
+    plain = backtest._part_growth(train, spans, models, ahead, c).collect()
+    assert len(plain) == len(rows) and any(r.residual for r in plain) and {r.source for r in plain} >= {"part"}
+    for r in plain:
+        got = rows[date.fromisoformat(r.run), r.horizon_months, r.part_key, r.date_b]
+        years = (r.date_b - r.date_a).days / 365.25
+        assert got.source == r.source and got.predicted_category_benchmark == pytest.approx(got.base_price * math.exp(r.log_category), rel=1e-9)
+        assert got.predicted_hierarchical == pytest.approx(got.base_price * math.exp(r.log_category + r.residual * years), rel=1e-8)
+    one, two = ({(r.model, r.horizon_months): r for r in backtest.part_backtest_summary(x).collect()} for x in (wide, detail))
+    assert set(one) == set(two) and len(one) == 14
+    for key, want in two.items():
+        assert list(one[key].asDict()) == list(want.asDict()) and all(a == (None if b is None else pytest.approx(b, rel=1e-9)) for a, b in zip(one[key][2:], want[2:], strict=True))
